@@ -64,15 +64,17 @@ def _emit(keys, left, right, k, exclude_self, home_rows):
     found = pd.DataFrame(
         {**head, "src": q_id[rows], "dst": t_id[cols], "nn_rank": rank.astype("int32"), "d2": dist}
     )
+    found[["x", "y", "z"]] = t_xyz[cols]
+    found["_home"] = None
     if not home_rows:
-        return found.assign(x=np.nan, y=np.nan, z=np.nan, _home=None)
+        return found
     # One row of rank 0 per query carries its position and the bound on its k-th distance.
     kth = np.full(len(q_id), np.inf)
     kth[rows[rank == k]] = dist[rank == k]
     own = pd.DataFrame({**head, "src": q_id, "dst": q_id, "nn_rank": np.int32(0), "d2": kth})
     own[["x", "y", "z"]] = q_xyz
     own["_home"] = left["_node"].iloc[0]
-    return pd.concat([found.assign(x=np.nan, y=np.nan, z=np.nan, _home=None), own], ignore_index=True)
+    return pd.concat([found, own], ignore_index=True) if len(found) else own
 
 
 def _match(queries: DataFrame, targets: DataFrame, keys: list[str], k: int, exclude_self: bool, schema: str,
@@ -106,7 +108,7 @@ def _search(queries, targets, k, keys, splits: Splits, exclude_self, schema, sam
         home = _match_self(t, keys, k, exclude_self, schema)
     else:
         home = _match(assign_tiles(queries, splits), t, keys, k, exclude_self, schema, True)
-    out_cols = [*keys, "src", "dst", "nn_rank", "d2"]
+    out_cols = [*keys, "src", "dst", "nn_rank", "d2", *XYZ]
     if not splits.levels:
         return home.where("nn_rank > 0").select(*out_cols)
     home = cut(home)
@@ -117,7 +119,7 @@ def _search(queries, targets, k, keys, splits: Splits, exclude_self, schema, sam
     )
     routed = assign_ball(travellers, splits, radius).where("_node <> _home").drop("_home")
     away = _match(routed, t, keys, k, exclude_self, schema, False)
-    both = home.where("nn_rank > 0").unionByName(away).drop("nn_rank", *XYZ, "_home")
+    both = home.where("nn_rank > 0").unionByName(away).drop("nn_rank", "_home")
     w = Window.partitionBy(*keys, "src").orderBy("d2", "dst")
     return both.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k).select(*out_cols)
 
@@ -130,9 +132,12 @@ def knn_join(
     exclude_self: bool = False,
     id_col: str = "point_id",
     tile_points: int = TILE_POINTS,
+    positions: bool = False,
 ) -> DataFrame:
     """k nearest targets of every query inside the same group: (keys, src, dst, nn_rank, d2).
 
+    ``positions`` adds the coordinates x, y, z of the neighbour, which saves a join back to the points.
+
     Clouds with fewer than k candidates return all of them. Ties in distance go to the smaller id.
     ``targets=None`` joins the queries with themselves. Extra copies of one position beyond the k+1 smallest
     ids can be nobody's neighbour, so an oversized position is reduced to those first; that reduction is exact.
@@ -147,8 +152,9 @@ def knn_join(
     q = pick(queries)
     t = q if same else pick(targets)
     splits = build_splits(t, keys, list(XYZ), max(tile_points, 2 * (k + 1)))
+    out_cols = [*keys, "src", "dst", "nn_rank", "d2", *(XYZ if positions else ())]
     if not splits.stuck:
-        return _search(q, t, k, keys, splits, exclude_self, schema, same)
+        return _search(q, t, k, keys, splits, exclude_self, schema, same).select(*out_cols)
 
     place = keys + list(XYZ)
     first = Window.partitionBy(*place).orderBy("_id")
@@ -156,13 +162,15 @@ def knn_join(
     splits = build_splits(t, keys, list(XYZ), max(tile_points, 2 * (k + 1)))
     places = q.groupBy(*place).agg(F.min("_id").alias("_id"))
     found = _search(places, t, k + 1, keys, splits, False, schema, False)
-    found = found.join(places.withColumnRenamed("_id", "src"), keys + ["src"]).drop("src", "nn_rank")
-    out = found.join(q.withColumnRenamed("_id", "src"), place)
+    found = found.select(*keys, "src", "dst", "d2", *[F.col(c).alias(f"t{c}") for c in XYZ])
+    found = found.join(places.withColumnRenamed("_id", "src"), keys + ["src"]).drop("src")
+    out = found.join(q.withColumnRenamed("_id", "src"), place).drop(*XYZ)
+    out = out.withColumnsRenamed({f"t{c}": c for c in XYZ})
     if exclude_self:
         out = out.where(F.col("src") != F.col("dst"))
     w = Window.partitionBy(*keys, "src").orderBy("d2", "dst")
     out = out.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
-    return out.select(*keys, "src", "dst", "nn_rank", "d2")
+    return out.select(*out_cols)
 
 
 def knn_graph(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), **kw) -> DataFrame:
