@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metric_queries", "transform_queries", "curve_queries"]
+MODULES = ["patch_queries"]
 
 
 def load():
