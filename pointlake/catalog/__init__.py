@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["patch_queries"]
+MODULES = ["orient_queries"]
 
 
 def load():
