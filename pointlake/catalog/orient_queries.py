@@ -343,7 +343,7 @@ _W = [((i * 7) % 5 - 2) / 2 for i in range(64)]
 
 
 @query("iterate_patch_flips", f"""WITH z AS (SELECT CAST(label AS BIGINT) AS cloud_id, CAST(vec_id AS BIGINT) AS patch_id,
-  list_sum(list_transform(list_zip(embedding, {_W}), p -> CAST(p[1] AS DOUBLE) * p[2])) AS z FROM embeddings),
+  {' + '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) * ({w})' for i, w in enumerate(_W))} AS z FROM embeddings),
 a AS (SELECT *, CAST(z - 0.05 > 0 AS BIGINT) AS f1 FROM z),
 b AS (SELECT *, CASE WHEN f1 = 1 THEN -z ELSE z END AS s FROM a)
 SELECT cloud_id, patch_id, xor(f1, CAST(s - 0.05 > 0 AS BIGINT)) AS flip FROM b""")

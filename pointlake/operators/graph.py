@@ -1,25 +1,62 @@
-"""Components, spanning forests and rooted trees on neighbour and patch graphs, as joins repeated to a fixed point.
+"""Components, spanning forests and rooted trees on neighbour and patch graphs.
 
-Every round is materialised with a reliable checkpoint; ``keys`` name the independent graphs (clouds, patches
-of a cloud, forest seeds), all of which advance in the same jobs.
+``keys`` name the independent graphs (clouds, patches of a cloud, forest seeds). Graphs whose rows fit one task
+are solved there, many per batch; larger ones by joins repeated to a fixed point, all of them advancing in the
+same jobs, with a reliable checkpoint per round. Both ways give the same result.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointlake.functions.geometry import as_flag
+from pointlake.operators.grouped import SMALL_GRAPH_ROWS, map_groups, oversized, typed
 from pointlake.operators.tiles import group_sizes
 from pointlake.session import cut, is_empty
 
 
-def reach_labels(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+def _reach_small(g: dict) -> dict:
+    ids, ends = np.unique(np.concatenate([g["src"], g["dst"]]), return_inverse=True)
+    src, dst = ends[: len(g["src"])], ends[len(g["src"]) :]
+    label = np.arange(len(ids))
+    while True:
+        nxt = label.copy()
+        np.minimum.at(nxt, dst, label[src])
+        nxt = nxt[nxt]
+        if np.array_equal(nxt, label):
+            return {"v": ids, "label": ids[label]}
+        label = nxt
+
+
+def _split(rows: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of graphs that fit one task, keys of the others or None)."""
+    big = oversized(rows, keys, limit)
+    return (rows, None) if big is None else (rows.join(big, keys, "left_anti"), big)
+
+
+def reach_labels(vertices: DataFrame, edges: DataFrame, keys: list[str], limit: int = SMALL_GRAPH_ROWS) -> DataFrame:
     """label(v) = smallest vertex that reaches v along directed edges src -> dst: (keys, v, label).
 
-    This equals searches started in id order that claim what they reach. Labels also jump to the label of
-    their label, which is sound because reaching is transitive, so long chains need few rounds.
+    This equals searches started in id order that claim what they reach.
     """
     keys = list(keys)
+    edges = edges.select(*keys, "src", "dst")
+    loops = vertices.select(*keys, F.col("v").alias("src"), F.col("v").alias("dst"))
+    rows = cut(edges.unionByName(loops))
+    small, big = _split(rows, keys, limit)
+    schema = typed(rows, keys) + ", v {0}, label {0}".format(dict(rows.dtypes)["src"])
+    labels = map_groups(small, keys, _reach_small, schema)
+    if big is None:
+        return labels
+    huge = rows.join(big, keys, "left_semi")
+    v = huge.where(F.col("src") == F.col("dst")).select(*keys, F.col("src").alias("v")).distinct()
+    return labels.unionByName(_reach_rounds(v, huge.where(F.col("src") != F.col("dst")), keys))
+
+
+def _reach_rounds(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Labels by rounds of joins. Labels also jump to the label of their label, which is sound because reaching
+    is transitive, so long chains need few rounds."""
     edges = cut(edges.select(*keys, "src", "dst"))
     labels = cut(vertices.select(*keys, "v", F.col("v").alias("label")))
     while True:
@@ -137,20 +174,67 @@ def confidence_weight() -> Column:
     return F.abs(F.col("a") - F.col("b")).cast("double")
 
 
-def spanning_forest(vertices: DataFrame, edges: DataFrame, keys: list[str], weight: Column) -> tuple[DataFrame, DataFrame]:
+def _forest_small(g: dict) -> dict:
+    """Best edges first; every vertex keeps its tree (the smallest vertex in it) and its parity to that root."""
+    real = g["i"] != g["j"]
+    ids, ends = np.unique(np.concatenate([g["i"], g["j"]]), return_inverse=True)
+    a, b = ends[: len(real)], ends[len(real) :]
+    order = np.lexsort((g["j"], g["i"], -g["_w"]))
+    order = order[real[order]]
+    root, parity, trees = np.arange(len(ids)), np.zeros(len(ids), dtype="int64"), {}
+    taken = []
+    for e in order:
+        ra, rb = root[a[e]], root[b[e]]
+        if ra == rb:
+            continue
+        taken.append(e)
+        x = parity[a[e]] ^ parity[b[e]] ^ g["differ"][e]
+        keep, gone = (ra, rb) if ra < rb else (rb, ra)
+        moved = trees.pop(gone, [gone])
+        root[moved] = keep
+        parity[moved] ^= x
+        trees.setdefault(keep, [keep]).extend(moved)
+    t = np.array(taken, dtype=int)
+    n, m = len(ids), len(t)
+    return {
+        "is_edge": np.concatenate([np.zeros(n), np.ones(m)]).astype("int32"),
+        "v": np.concatenate([ids, g["i"][t]]), "w": np.concatenate([ids[root], g["j"][t]]),
+        "bit": np.concatenate([parity, g["differ"][t]]),
+    }
+
+
+def spanning_forest(vertices: DataFrame, edges: DataFrame, keys: list[str], weight: Column,
+                    limit: int = SMALL_GRAPH_ROWS) -> tuple[DataFrame, DataFrame]:
     """Maximum spanning forest by rounds of best outgoing edges.
 
     Returns the forest edges (keys, i, j, differ) and per vertex (keys, v, root, parity): the tree it belongs
     to and whether its bit differs from the root's along the tree, where an edge asks its ends to differ when
-    b > a. Every round at least halves the number of trees, and parities are carried along, so deep trees
-    need no walk from the root.
+    b > a. Of edges with equal weight the one with the smaller ids counts as better.
     """
     keys = list(keys)
-    e = cut(
-        edges.where(F.col("i") < F.col("j")).select(
-            *keys, "i", "j", weight.alias("_w"), as_flag(F.col("b") > F.col("a")).alias("differ")
-        )
+    id_type = dict(edges.dtypes)["i"]
+    e = edges.where(F.col("i") < F.col("j")).select(
+        *keys, "i", "j", weight.alias("_w"), as_flag(F.col("b") > F.col("a")).alias("differ")
     )
+    loops = vertices.select(*keys, F.col("v").alias("i"), F.col("v").alias("j"), F.lit(0.0).alias("_w"),
+                            F.lit(0).cast("long").alias("differ"))
+    rows = cut(e.unionByName(loops))
+    small, big = _split(rows, keys, limit)
+    schema = typed(rows, keys) + f", is_edge int, v {id_type}, w {id_type}, bit long"
+    solved = cut(map_groups(small, keys, _forest_small, schema))
+    forest = solved.where("is_edge = 1").select(*keys, F.col("v").alias("i"), F.col("w").alias("j"), F.col("bit").alias("differ"))
+    state = solved.where("is_edge = 0").select(*keys, "v", F.col("w").alias("root"), F.col("bit").alias("parity"))
+    if big is None:
+        return forest, state
+    huge = rows.join(big, keys, "left_semi")
+    v = huge.where(F.col("i") == F.col("j")).select(*keys, F.col("i").alias("v")).distinct()
+    f2, s2 = _forest_rounds(v, cut(huge.where(F.col("i") < F.col("j"))), keys)
+    return forest.unionByName(f2), state.unionByName(s2)
+
+
+def _forest_rounds(vertices: DataFrame, e: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Forest by rounds of best outgoing edges. Every round at least halves the number of trees, and parities
+    are carried along, so deep trees need no walk from the root."""
     state = cut(vertices.select(*keys, "v", F.col("v").alias("root"), F.lit(0).cast("long").alias("parity")))
     forest = e.select(*keys, "i", "j", "differ").limit(0)
     while True:

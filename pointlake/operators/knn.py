@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pointlake.functions.geometry import XYZ, dist2
+from pointlake.operators.grouped import map_groups
 from pointlake.operators.tiles import Splits, assign_ball, assign_tiles, build_splits
 from pointlake.session import cut
 
@@ -96,10 +97,22 @@ def _match(queries: DataFrame, targets: DataFrame, keys: list[str], k: int, excl
 
 
 def _match_self(points: DataFrame, keys: list[str], k: int, exclude_self: bool, schema: str) -> DataFrame:
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _emit(keys, pdf, pdf, k, exclude_self, True)
-
-    return points.groupBy(*keys, "_node").applyInPandas(work, schema)
+    """Every tile against itself; tiles are bounded, so many of them are worked off per batch."""
+
+    def work(g: dict) -> dict:
+        xyz, ids = np.stack([g["x"], g["y"], g["z"]], axis=1), g["_id"]
+        rows, cols, dist, rank = nearest_rows(xyz, ids, xyz, ids, k, exclude_self)
+        kth = np.full(len(ids), np.inf)
+        kth[rows[rank == k]] = dist[rank == k]
+        both = np.concatenate([xyz[cols], xyz])
+        return {
+            "src": np.concatenate([ids[rows], ids]), "dst": np.concatenate([ids[cols], ids]),
+            "nn_rank": np.concatenate([rank, np.zeros(len(ids))]).astype("int32"),
+            "d2": np.concatenate([dist, kth]), "x": both[:, 0], "y": both[:, 1], "z": both[:, 2],
+            "_home": np.repeat(g["_node"][:1], len(both)),
+        }
+
+    return map_groups(points, [*keys, "_node"], work, schema)
 
 
 def _search(queries, targets, k, keys, splits: Splits, exclude_self, schema, same) -> DataFrame:

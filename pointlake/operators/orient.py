@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ, as_flag, dot, sigmoid
 from pointlake.operators.graph import confidence_weight, graph_vertices, random_weight, spanning_forest
+from pointlake.operators.grouped import SMALL_GRAPH_ROWS, map_groups, oversized, typed
 from pointlake.operators.knn import knn_graph, symmetric_adjacency
 from pointlake.operators.tiles import group_sizes, ranked
 from pointlake.session import cut, is_empty
@@ -103,10 +105,54 @@ def objective(edges: DataFrame, labels: DataFrame, keys: list[str] = ("cloud_id"
     )
 
 
-def improve_flips(edges: DataFrame, labels: DataFrame, keys: list[str] = ("cloud_id",), max_rounds: int = 200) -> DataFrame:
+def _improve_small(g: dict) -> dict:
+    """The rounds of the local search on one graph; rows with i = j carry the vertices and their bits."""
+    own = g["i"] == g["j"]
+    ids, pos = np.unique(g["i"][own], return_index=True)
+    flip = g["flip"][own][pos].copy()
+    i, j = np.searchsorted(ids, g["i"][~own]), np.searchsorted(ids, g["j"][~own])
+    delta = g["b"][~own] - g["a"][~own]
+    for _ in range(int(g["_rounds"][0])):
+        gain = np.zeros(len(ids))
+        step = np.where(flip[i] == flip[j], delta, -delta)
+        np.add.at(gain, i, step)
+        np.add.at(gain, j, step)
+        up = gain > 1e-9
+        if not up.any():
+            break
+        both = up[i] & up[j]
+        p, q = i[both], j[both]
+        first = (gain[p] > gain[q]) | ((gain[p] == gain[q]) & (p < q))
+        up[np.where(first, q, p)] = False
+        flip[up] = 1 - flip[up]
+    return {"patch_id": ids, "flip": flip}
+
+
+def improve_flips(edges: DataFrame, labels: DataFrame, keys: list[str] = ("cloud_id",), max_rounds: int = 200,
+                  limit: int = SMALL_GRAPH_ROWS) -> DataFrame:
     """Parallel local search. A patch flips when that gains and no neighbour gains more; such patches are never
     adjacent, so the objective rises every round until no single flip helps."""
     keys = list(keys)
+    e = edges.where(F.col("i") < F.col("j")).select(
+        *keys, "i", "j", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"),
+        F.lit(0).cast("long").alias("flip"),
+    )
+    zero = F.lit(0.0)
+    own = labels.select(*keys, F.col("patch_id").alias("i"), F.col("patch_id").alias("j"), zero.alias("a"),
+                        zero.alias("b"), F.col("flip").cast("long").alias("flip"))
+    rows = cut(e.unionByName(own).withColumn("_rounds", F.lit(max_rounds)))
+    big = oversized(rows, keys, limit)
+    small = rows if big is None else rows.join(big, keys, "left_anti")
+    schema = typed(rows, keys) + f", patch_id {dict(rows.dtypes)['i']}, flip long"
+    out = map_groups(small, keys, _improve_small, schema)
+    if big is None:
+        return out
+    huge = rows.join(big, keys, "left_semi")
+    bits = huge.where(F.col("i") == F.col("j")).select(*keys, F.col("i").alias("patch_id"), "flip")
+    return out.unionByName(_improve_rounds(huge.where(F.col("i") < F.col("j")), bits, keys, max_rounds))
+
+
+def _improve_rounds(edges: DataFrame, labels: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
     e = cut(both_directions(edges.where(F.col("i") < F.col("j")).select(*keys, "i", "j", "a", "b")))
     labels = cut(labels.select(*keys, "patch_id", "flip"))
     for _ in range(max_rounds):
