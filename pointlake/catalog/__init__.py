@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["orient_queries"]
+MODULES = ["metric_queries", "transform_queries", "curve_queries", "patch_queries", "orient_queries", "run_queries"]
 
 
 def load():

@@ -20,7 +20,11 @@ def emb_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return points_of_events(table(spark, sf_dir, "events"))
+
+
+def points_of_events(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").cast("long").alias("cloud_id"),
         F.col("event_id").cast("long").alias("point_id"),
         F.expr(
@@ -42,7 +46,10 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return history_of_events(table(spark, sf_dir, "events"))
+
+
+def history_of_events(e: DataFrame) -> DataFrame:
     epoch = F.dayofmonth("ts").cast("long")
     return e.select(
         epoch.alias("epoch"),

@@ -63,12 +63,10 @@ def orient_stream(spark: SparkSession, source: str, schema, sink: str, checkpoin
     return writer.start()
 
 
-def metric_stream(spark: SparkSession, source: str, schema, name: str, checkpoint: str, files_per_batch: int = 1,
-                  interval: str | None = None) -> StreamingQuery:
-    """Per-epoch means of a training history that grows file by file (complete mode: one row per epoch)."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+def rollup_stream(history: DataFrame, name: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Per-epoch means of a streamed training history in the table ``name`` (complete mode: one row per epoch)."""
     writer = (
-        epoch_rollup(stream).writeStream.outputMode("complete").format("memory").queryName(name)
+        epoch_rollup(history).writeStream.outputMode("complete").format("memory").queryName(name)
         .option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
