@@ -159,7 +159,9 @@ def knn_join(
     same = targets is None
 
     def pick(df: DataFrame) -> DataFrame:
-        return df.select(*keys, F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in XYZ])
+        # Aliases give both sides their own columns even when they come from the same DataFrame.
+        mine = [F.col(key).alias(key) for key in keys]
+        return df.select(*mine, F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in XYZ])
 
     schema = _schema(queries, keys, id_col)
     q = pick(queries)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ, as_flag, dot, sigmoid
@@ -27,7 +27,10 @@ def neighbourhood_moments(points: DataFrame, k: int, keys: list[str] = ("cloud_i
     return near.groupBy(*keys, F.col("src").alias("point_id")).agg(F.count(F.lit(1)).alias("k"), *cov)
 
 
-@pandas_udf("struct<nx double, ny double, nz double, e0 double, e1 double, e2 double>")
+_EIGEN_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("nx", "ny", "nz", "e0", "e1", "e2")])
+
+
+@pandas_udf(_EIGEN_TYPE)
 def _eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
     m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
     ok = np.isfinite(m).all(axis=(1, 2))

@@ -340,14 +340,14 @@ def largest_patches(members: DataFrame, top: int = 5) -> DataFrame:
     return sizes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def tangent_plane_orientation(points: DataFrame, k: int = 10, radius: float = 0.1) -> DataFrame:
-    """Orient normals along a minimum spanning forest of the neighbour graph, edges weighing 1 - |dot|."""
-    from pointlake.operators.knn import hybrid_neighbours
-    from pointlake.operators.normals import pca_normals
+def propagate_signs(normals: DataFrame, links: DataFrame, keys: list[str] = ("cloud_id",)) -> DataFrame:
+    """Make signs agree along a minimum spanning forest of neighbour links, a link weighing 1 - |dot|.
 
-    keys = ["cloud_id"]
-    n = cut(pca_normals(points, k).select("cloud_id", "point_id", *NORMAL))
-    links = hybrid_neighbours(points, k, radius)
+    ``normals``: keys, point_id, nx, ny, nz; ``links``: keys, src, dst. Returns the normals and ``root``, the
+    tree of each point.
+    """
+    keys = list(keys)
+    n = normals.select(*keys, "point_id", *NORMAL)
     pairs = links.select(*keys, F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).distinct()
     ni = n.select(*keys, F.col("point_id").alias("i"), *[F.col(c).alias(f"_l{c}") for c in NORMAL])
     nj = n.select(*keys, F.col("point_id").alias("j"), *[F.col(c).alias(f"_r{c}") for c in NORMAL])
@@ -359,3 +359,12 @@ def tangent_plane_orientation(points: DataFrame, k: int = 10, radius: float = 0.
     s = state.select(*keys, F.col("v").alias("point_id"), "parity", "root")
     sign = F.when(F.col("parity") == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
     return n.join(s, keys + ["point_id"]).select(*keys, "point_id", *[(sign * F.col(c)).alias(c) for c in NORMAL], "root")
+
+
+def tangent_plane_orientation(points: DataFrame, k: int = 10, radius: float = 0.1) -> DataFrame:
+    """Estimate normals and orient them along the forest of the neighbours within ``radius``."""
+    from pointlake.operators.knn import hybrid_neighbours
+    from pointlake.operators.normals import pca_normals
+
+    n = cut(pca_normals(points, k).select("cloud_id", "point_id", *NORMAL))
+    return propagate_signs(n, hybrid_neighbours(points, k, radius))

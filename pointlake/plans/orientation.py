@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ
 from pointlake.operators import metrics, normals, orient, patches
 from pointlake.operators.graph import consistency_relation, normalized_edges
+from pointlake.operators.knn import knn_graph
 from pointlake.session import cut
 
 
@@ -22,23 +23,30 @@ class Orientation:
     normals: DataFrame  # cloud_id, point_id, oriented normal
 
 
-def orient_clouds(points: DataFrame, method: str = "grid", k: int = 10, refine_rounds: int = 1, refine_k: int = 6,
+def orient_clouds(points: DataFrame, method: str = "grid", k: int = 10, inside: str = "forest", inside_k: int = 6,
+                  scorer: normals.Scorer | None = None, refine_rounds: int = 1,
                   solver: str = "vote", relation: str = "geometric", scored: DataFrame | None = None,
                   merge: str = "smallest", solver_options: dict | None = None, **patch_options) -> Orientation:
     """Orient all clouds of ``points(cloud_id, point_id, x, y, z)`` in one set of jobs, keyed by cloud.
 
-    Normals are estimated once per point; inside each patch neighbours agree on a sign by ``refine_rounds`` of
-    the built-in scorer, then one bit per patch is chosen to make overlapping patches agree.
+    Normals are estimated once per point. Inside each patch signs are made to agree along a forest of neighbour
+    links (``inside='forest'``), or by ``refine_rounds`` of a scorer (``'score'``: the built-in one or a plugged-in
+    ``scorer``), or left as they are (``'none'``). Then one bit per patch is chosen to make patches agree.
     """
     p = points.select("cloud_id", F.col("point_id").cast("long").alias("point_id"), *XYZ)
     base = cut(p.join(normals.pca_normals(p, k).select("cloud_id", "point_id", *NORMAL), ["cloud_id", "point_id"]))
     membership = patches.extract_patches(base, method, **patch_options).select("cloud_id", "patch_id", "point_id")
     membership = patches.drop_small(membership.distinct(), ["cloud_id", "patch_id"], 2)
     members = cut(membership.join(base, ["cloud_id", "point_id"]))
-    if refine_rounds:
-        patch = ["cloud_id", "patch_id"]
-        scorer = normals.neighbour_scorer(members, refine_k, patch)
+    patch = ["cloud_id", "patch_id"]
+    if inside == "forest":
+        signed = orient.propagate_signs(members, knn_graph(members, inside_k, patch), patch)
+        members = cut(members.drop(*NORMAL).join(signed.drop("root"), [*patch, "point_id"]))
+    elif inside == "score":
+        scorer = scorer or normals.neighbour_scorer(members, inside_k, patch)
         members = normals.refine_flips(members, scorer, refine_rounds, patch)
+    elif inside != "none":
+        raise ValueError(f"unknown way to agree inside patches: {inside}")
     edges = consistency_relation(relation, scored, orient.overlap_relation(members))
     edges = cut(normalized_edges(edges))
     flips = cut(orient.solve_flips(solver, edges, members, **(solver_options or {})))

@@ -130,10 +130,11 @@ class FileRanges(InputPartition):
 
 class PlyReader(DataSourceReader):
     def __init__(self, options: dict):
+        options = {k.lower(): v for k, v in options.items()}
         self.root = options["path"]
-        self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.columns = [c for c in options.get("columns", ",".join(COLUMNS)).replace(" ", "").split(",") if c]
-        self.normals_required = str(options.get("requireNormals", "false")).lower() == "true"
+        self.normals_required = str(options.get("requirenormals", "false")).lower() == "true"
 
     def _filesystem(self):
         root = self.root[5:] if self.root.startswith("file:") else self.root
