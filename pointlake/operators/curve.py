@@ -21,7 +21,8 @@ def quantise(points: DataFrame, grid_size: float, origin: str = "cloud") -> Data
     if origin == "cloud":
         p = points.join(points.groupBy("cloud_id").agg(*lows), "cloud_id")
     else:
-        p = points.crossJoin(F.broadcast(points.agg(*lows)))  # one row: the batch minimum
+        low = points.agg(F.struct(*lows)).scalar()
+        p = points.withColumns({f"_m{c}": low[f"_m{c}"] for c in XYZ})
     cells = {g: ((F.col(c) - F.col(f"_m{c}")) / F.lit(grid_size)).cast("long") for g, c in zip(GRID, XYZ)}
     return p.withColumns(cells).drop(*[f"_m{c}" for c in XYZ])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pointlake.functions.geometry import XYZ, dist2
 from pointlake.operators.knn import knn_join
-from pointlake.operators.tiles import group_sizes, ranked
+from pointlake.operators.tiles import group_sizes
 from pointlake.session import cut, is_empty
 
 POOL_POINTS = 20_000  # points one task looks at when it picks farthest points
@@ -146,13 +146,34 @@ def hash_order(seed: int, id_col: str = "point_id") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
+SAMPLE_BUCKETS = 65_536
+SAMPLE_BUCKET_ROWS = 1024
+
+
 def exact_sample(points: DataFrame, size: Column, seed: int, keys: list[str] = ("cloud_id",)) -> DataFrame:
-    """Exactly ``size`` rows per group (an expression over the group size ``_n``), all columns kept."""
+    """Exactly ``size`` rows per group (an expression over the group size ``_n``), all columns kept.
+
+    The rows with the smallest hashes are chosen by counting: hash ranges that lie wholly below the limit are
+    kept as they are, and only the one range in which the limit falls is ranked. Nothing is sorted as a whole.
+    """
     keys = list(keys)
-    sizes = group_sizes(points, keys, "_n").withColumn("_size", size)
-    marked = points.withColumn("_h", hash_order(seed))
-    rn = ranked(marked, keys, ["_h", "point_id"], ["_h"], "_rn")
-    return rn.join(sizes, keys).where(F.col("_rn") <= F.col("_size")).drop("_h", "_rn", "_n", "_size")
+    span = float(16**13)
+    wanted = F.ceil(F.col("_n") / F.lit(float(SAMPLE_BUCKET_ROWS)))
+    sizes = group_sizes(points, keys, "_n").select(
+        *keys, size.cast("long").alias("_size"), F.least(F.lit(SAMPLE_BUCKETS), wanted).cast("long").alias("_buckets")
+    )
+    h = points.withColumn("_h", hash_order(seed)).join(sizes, keys)
+    h = h.withColumn("_b", F.floor(F.col("_h") / F.lit(span) * F.col("_buckets")))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = h.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_k"), F.first("_size").alias("_limit"))
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    ranges = ranges.where(F.col("_before") < F.col("_limit"))
+    inside = ranges.withColumn("_whole", F.col("_before") + F.col("_k") <= F.col("_limit")).drop("_k", "_limit")
+    h = h.join(inside, [*keys, "_b"])
+    local = Window.partitionBy(*keys, "_b").orderBy("_h", "point_id")
+    edge = h.where(~F.col("_whole")).withColumn("_r", F.row_number().over(local))
+    edge = edge.where(F.col("_before") + F.col("_r") <= F.col("_size")).drop("_r")
+    return h.where("_whole").unionByName(edge).select(*points.columns)
 
 
 def random_downsample(points: DataFrame, ratio: float | None = None, target_points: int | None = None,
@@ -230,10 +251,10 @@ def normalized_voxel_downsample(points: DataFrame, voxel: float, extra: list[str
 
 def voxel_sizes_for_rate(points: DataFrame, rate: float, offset: float = 0.1, rungs: int = 16,
                          rounds: int = 12) -> DataFrame:
-    """Per cloud a voxel size that leaves rate * N voxels within the tolerance: (cloud_id, voxel, n_voxels).
+    """Per cloud a voxel size that leaves rate * N voxels within the tolerance: (cloud_id, voxel).
 
-    Every round tries ``rungs`` sizes in one job (two-level distinct counting, no cell list is ever
-    collected) and narrows the interval of each open cloud; a round replaces four bisection steps.
+    Every round sketches the number of voxels for ``rungs`` sizes in one aggregation, counts the most promising
+    size exactly, and narrows the interval of each open cloud; a size is accepted by its exact count only.
     """
     b = cloud_bounds(points)
     longest = F.greatest(*[F.col(f"max_{c}") - F.col(f"min_{c}") for c in XYZ])
@@ -243,40 +264,43 @@ def voxel_sizes_for_rate(points: DataFrame, rate: float, offset: float = 0.1, ru
         (longest / F.pow(F.col("n_points") * F.lit(rate), F.lit(1.0 / 3.0)) + F.lit(0.001)).alias("_high"),
     )
     want, done = cut(want), None
+
+    def cell(v: Column) -> Column:
+        return F.struct(*[F.floor((F.col(c) - F.col(f"min_{c}")) / v).cast("long") for c in XYZ])
+
     for last in [False] * (rounds - 1) + [True]:
-        ladder = F.explode(F.sequence(F.lit(1), F.lit(rungs)))
-        tries = want.select("*", ladder.alias("_rung")).withColumn(
+        p = points.select("cloud_id", *XYZ).join(want, "cloud_id")
+        tries = p.withColumn("_rung", F.explode(F.sequence(F.lit(1), F.lit(rungs)))).withColumn(
             "_v", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_rung") / F.lit(float(rungs))
         )
-        cells = [F.floor((F.col(c) - F.col(f"min_{c}")) / F.col("_v")).cast("long").alias(f"v{c}") for c in XYZ]
-        counts = (
-            points.select("cloud_id", *XYZ)
-            .join(tries, "cloud_id")
-            .select("cloud_id", "_rung", *cells)
-            .distinct()
-            .groupBy("cloud_id", "_rung")
-            .agg(F.count(F.lit(1)).alias("_k"))
+        rung = tries.groupBy("cloud_id", "_v").agg(
+            F.approx_count_distinct(F.xxhash64(cell(F.col("_v"))), 0.02).alias("_k"), F.first("_goal").alias("_goal")
         )
-        seen = tries.join(counts, ["cloud_id", "_rung"])
-        over = F.col("_k") > F.col("_goal") * F.lit(1 + offset)
-        under = F.col("_k") < F.col("_goal") * F.lit(1 - offset)
-        gap = F.abs(F.col("_k") - F.col("_goal"))
+        over = F.col("_k") > F.col("_goal") * F.lit((1 + offset) * 1.06)
+        under = F.col("_k") < F.col("_goal") * F.lit((1 - offset) * 0.94)
         best = cut(
-            seen.groupBy("cloud_id").agg(
-                F.min(F.when(~over & ~under, F.col("_v"))).alias("_hit"),
+            rung.groupBy("cloud_id").agg(
+                F.min_by("_v", F.struct(F.abs(F.col("_k") - F.col("_goal")), "_v")).alias("_try"),
                 F.max(F.when(over, F.col("_v"))).alias("_new_low"),
                 F.min(F.when(under, F.col("_v"))).alias("_new_high"),
-                F.min_by("_v", F.struct(gap, F.col("_v"))).alias("_nearest"),
             )
         )
-        voxel = F.coalesce("_hit", F.when(F.lit(last), F.col("_nearest")))
-        hit = best.select("cloud_id", voxel.alias("voxel")).where(F.col("voxel").isNotNull())
+        exact = (
+            p.join(best.select("cloud_id", "_try"), "cloud_id")
+            .select("cloud_id", "_try", "_goal", cell(F.col("_try")).alias("_c")).distinct()
+            .groupBy("cloud_id", "_try", "_goal").agg(F.count(F.lit(1)).alias("_k"))
+        )
+        fits = (F.col("_k") <= F.col("_goal") * F.lit(1 + offset)) & (F.col("_k") >= F.col("_goal") * F.lit(1 - offset))
+        exact = cut(exact.withColumn("_fits", fits | F.lit(last)))
+        hit = exact.where("_fits").select("cloud_id", F.col("_try").alias("voxel"))
         done = hit if done is None else done.unionByName(hit)
         want = cut(
-            want.join(best.where(F.col("_hit").isNull()), "cloud_id")
-            .withColumn("_low", F.greatest("_low", F.coalesce("_new_low", "_low")))
-            .withColumn("_high", F.least("_high", F.coalesce("_new_high", "_high")))
-            .drop("_hit", "_new_low", "_new_high", "_nearest")
+            want.join(exact.where(~F.col("_fits")).select("cloud_id", "_k"), "cloud_id")
+            .join(best, "cloud_id")
+            .withColumn("_many", F.col("_k") > F.col("_goal"))
+            .withColumn("_low", F.greatest("_low", "_new_low", F.when(F.col("_many"), F.col("_try"))))
+            .withColumn("_high", F.least("_high", "_new_high", F.when(~F.col("_many"), F.col("_try"))))
+            .drop("_try", "_new_low", "_new_high", "_k", "_many")
         )
         if is_empty(want):
             break

@@ -200,9 +200,12 @@ def fourier_features(matrix: list[list[float]], inputs: list[str], name: str = "
 
 def min_max(df: DataFrame, column: str, name: str, keys: list[str] = ()) -> DataFrame:
     """Scale a column to [0, 1] over all rows (or per group); a constant column becomes 0."""
-    stats = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    # Without keys the statistics are exactly one row.
-    joined = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
+    stats = [F.min(column).alias("_lo"), F.max(column).alias("_hi")]
+    if keys:
+        joined = df.join(df.groupBy(*keys).agg(*stats), list(keys))
+    else:
+        all_rows = df.agg(F.struct(*stats)).scalar()
+        joined = df.withColumns({c: all_rows[c] for c in ("_lo", "_hi")})
     span = F.col("_hi") - F.col("_lo")
     scaled = F.when(span == 0, F.lit(0.0)).otherwise((F.col(column) - F.col("_lo")) / span)
     return joined.withColumn(name, scaled).drop("_lo", "_hi")

@@ -63,7 +63,7 @@ def run_report(validation: DataFrame, training: DataFrame, keys: list[str] = ())
     last = F.max_by(F.struct(*cols), "epoch")
     v = validation.groupBy(*keys).agg(F.max("epoch").alias("total_epochs"), best.alias("_b"), last.alias("_f"))
     steps = training.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_steps"))
-    joined = v.join(steps, list(keys)) if keys else v.crossJoin(F.broadcast(steps))  # one row each
+    joined = v.join(steps, list(keys)) if keys else v.withColumn("total_steps", steps.scalar())
     return joined.select(
         *keys, "total_epochs", "total_steps", F.col("_b.epoch").alias("best_epoch"),
         *[F.col(f"_b.{c}").alias(f"best_{c}") for c in cols], *[F.col(f"_f.{c}").alias(f"final_{c}") for c in cols],

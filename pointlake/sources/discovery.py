@@ -111,6 +111,5 @@ def _ready(targets: DataFrame) -> DataFrame:
 
 def preview(targets: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` targets by path and how many more there are (the dry-run listing)."""
-    total = targets.agg(F.count(F.lit(1)).alias("_t"))
-    first = targets.orderBy("path").limit(n)
-    return first.crossJoin(F.broadcast(total)).withColumn("n_more", F.greatest(F.lit(0), F.col("_t") - n)).drop("_t")
+    total = targets.agg(F.count(F.lit(1))).scalar()
+    return targets.orderBy("path").limit(n).withColumn("n_more", F.greatest(F.lit(0), total - n))
