@@ -74,10 +74,10 @@ def _(spark, sf):
     return discovery.file_targets(_paths(spark, sf))
 
 
-@query("preview_targets", f"""{_SCENES}, r AS (SELECT * FROM s WHERE status = 'skipped')
+@query("preview_targets", f"""{_SCENES}, r AS (SELECT * FROM s WHERE n_files > 0)
 SELECT scene_name, error, greatest(0, (SELECT count(*) FROM r) - 10) AS n_more FROM r ORDER BY scene_name LIMIT 10""")
 def _(spark, sf):
-    r = _scenes(spark, sf).where("status = 'skipped'").withColumn("path", F.col("scene_name"))
+    r = _scenes(spark, sf).where("n_files > 0").withColumn("path", F.col("scene_name"))
     return rounded(discovery.preview(r).select("scene_name", "error", "n_more"))
 
 

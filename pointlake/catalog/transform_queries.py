@@ -268,3 +268,16 @@ FROM emb a JOIN emb b ON a.cloud_id = b.cloud_id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.
 def _(spark, sf):
     p = emb_points(spark, sf)
     return rounded(radius_join(p, p, 0.15))
+
+
+@query("highlight_near_query", f"""WITH {EMB}, q AS (SELECT cloud_id, x AS qx, y AS qy, z AS qz FROM emb WHERE point_id % 25 = 0),
+h AS (SELECT DISTINCT e.cloud_id, e.point_id FROM emb e JOIN q USING (cloud_id)
+  WHERE (x-qx)*(x-qx)+(y-qy)*(y-qy)+(z-qz)*(z-qz) <= 0.1 * 0.1)
+SELECT e.cloud_id, e.point_id, CAST(CASE WHEN h.point_id IS NULL THEN 128 ELSE 255 END AS BIGINT) AS r,
+  CAST(CASE WHEN h.point_id IS NULL THEN 128 ELSE 215 END AS BIGINT) AS g, CAST(CASE WHEN h.point_id IS NULL THEN 128 ELSE 0 END AS BIGINT) AS b
+FROM emb e LEFT JOIN h ON h.cloud_id = e.cloud_id AND h.point_id = e.point_id""")
+def _(spark, sf):
+    p = emb_points(spark, sf)
+    gray = p.withColumns({c: F.lit(v) for c, v in zip(T.RGB, T.GRAY)})
+    out = T.highlight_near(gray, p.where("point_id % 25 = 0"), 0.1)
+    return rounded(out.select("cloud_id", "point_id", *T.RGB))

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ, as_flag, clamp, dot, unit
+from pointlake.operators.knn import radius_join
 from pointlake.operators.sampling import cloud_bounds, hash_order
 
 # Colours of the segmentation classes, 0 to 255.
@@ -19,6 +20,7 @@ PALETTE = [
     (128, 128, 255), (255, 128, 128), (128, 255, 128), (64, 64, 64), (192, 192, 192),
 ]
 GREEN, RED, MAGENTA, GRAY, BLUE = (0, 255, 0), (255, 0, 0), (255, 0, 255), (128, 128, 128), (0, 0, 255)
+GOLD = (255, 215, 0)
 RGB = ("r", "g", "b")
 
 
@@ -169,6 +171,14 @@ def colour_training_sets(df: DataFrame) -> DataFrame:
     return df.withColumns(lit)
 
 
+def highlight_near(df: DataFrame, queries: DataFrame, radius: float = 0.05, names=RGB, colour=GOLD) -> DataFrame:
+    """Paint the points within ``radius`` of any of the cloud's query points (cloud_id, point_id, x, y, z)."""
+    hits = radius_join(queries, df, radius).select("cloud_id", F.col("dst").alias("point_id")).distinct()
+    marked = df.join(hits.withColumn("_hit", F.lit(True)), ["cloud_id", "point_id"], "left")
+    paint = {n: F.when(F.col("_hit"), F.lit(v)).otherwise(F.col(n)).cast("long") for n, v in zip(names, colour)}
+    return marked.withColumns(paint).drop("_hit")
+
+
 def consistency_score(df: DataFrame, pred=NORMAL, truth=TRUTH) -> DataFrame:
     """Signed and unsigned agreement with the truth, and the ramp value in [0, 1]."""
     c = clamp(dot(unit(pred, 1e-8, True), unit(truth, 1e-8, True)))

@@ -38,9 +38,15 @@ def running_best(epochs: DataFrame, metric: str, keys: list[str] = (), start: fl
 
 
 def keep_last(saved: DataFrame, n: int, keys: list[str], order: str = "step") -> DataFrame:
-    """Items to delete when each run keeps its n newest."""
+    """Items to delete when each run keeps its n newest (``order`` is unique inside a run).
+
+    Only the n newest of a run are ranked, which Spark limits before the shuffle; the rest is compared with the
+    oldest of them.
+    """
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return saved.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > n).drop("_r")
+    kept = saved.select(*keys, order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    oldest = kept.groupBy(*keys).agg(F.min(order).alias("_oldest"))
+    return saved.join(oldest, keys).where(F.col(order) < F.col("_oldest")).drop("_oldest")
 
 
 def improvement(history: DataFrame, metric: str, keys: list[str], order: str) -> DataFrame:
