@@ -7,39 +7,31 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 
-# Masks that spread the low 21 bits of a number to every third bit position.
-SPREAD_STEPS = [
-    (32, 0x1F00000000FFFF),
-    (16, 0x1F0000FF0000FF),
-    (8, 0x100F00F00F00F00F),
-    (4, 0x10C30C30C30C30C3),
-    (2, 0x1249249249249249),
-]
-LOW_BITS = 0x1FFFFF
+AXIS_BITS = 21  # three axes fill 63 bits
 
 
-def _spread(v: Column) -> Column:
-    v = v.cast("long").bitwiseAND(F.lit(LOW_BITS))
-    for shift, mask in SPREAD_STEPS:
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+def _any_bit(terms: list[Column]) -> Column:
+    out = terms[0]
+    for t in terms[1:]:
+        out = out.bitwiseOR(t)
+    return out
 
 
-def _gather(v: Column) -> Column:
-    v = v.bitwiseAND(F.lit(SPREAD_STEPS[-1][1]))
-    masks = [m for _, m in SPREAD_STEPS[:-1]][::-1] + [LOW_BITS]
-    for (shift, _), mask in zip(SPREAD_STEPS[::-1], masks):
-        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+def z_encode(x: Column, y: Column, z: Column, bits: int = AXIS_BITS) -> Column:
+    """Interleave the bits: bit i of x, y, z goes to 3i+2, 3i+1, 3i. One flat term per bit keeps generated code short."""
+    terms = [
+        F.shiftleft(v.cast("long").bitwiseAND(F.lit(1 << i)), 2 * i + place)
+        for v, place in ((x, 2), (y, 1), (z, 0))
+        for i in range(bits)
+    ]
+    return _any_bit(terms)
 
 
-def z_encode(x: Column, y: Column, z: Column) -> Column:
-    """Interleave the bits: bit i of x, y, z goes to 3i+2, 3i+1, 3i."""
-    return F.shiftleft(_spread(x), 2).bitwiseOR(F.shiftleft(_spread(y), 1)).bitwiseOR(_spread(z))
-
-
-def z_decode(code: Column) -> list[Column]:
-    return [_gather(F.shiftright(code, s)) for s in (2, 1, 0)]
+def z_decode(code: Column, bits: int = AXIS_BITS) -> list[Column]:
+    return [
+        _any_bit([F.shiftright(code, 2 * i + place).bitwiseAND(F.lit(1 << i)) for i in range(bits)])
+        for place in (2, 1, 0)
+    ]
 
 
 def _turn(axes: np.ndarray, bits: int, forward: bool) -> np.ndarray:
@@ -116,4 +108,4 @@ def curve_code(order: str, x: Column, y: Column, z: Column, depth: int) -> Colum
         raise ValueError("curve depth is at most 16")
     if order.endswith("-trans"):
         x, y = y, x
-    return z_encode(x, y, z) if order.startswith("z") else hilbert_encode(x, y, z, depth)
+    return z_encode(x, y, z, max(depth, 1)) if order.startswith("z") else hilbert_encode(x, y, z, depth)
