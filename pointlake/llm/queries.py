@@ -6,18 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointlake.llm import packing, spm, tokens
+from pointlake.llm import licenses, packing, spm, tokens, url_filter
 from pointlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: host, path, verdict
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+@query
+def op1_url_filters(spark, sf_dir):
+    """Every page URL judged by the fixed rules."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(host, path, verdict)")
+    return url_filter.filter_urls(pages, rules)
+
+
+ORACLES["op1_url_filters"] = f"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r(rhost, rpath, verdict) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
+m AS (
+  SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM p JOIN r ON (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
 @query
 def op3_best_fit_packing(spark, sf_dir):
     """Documents packed into sequences of 2048 ids."""
@@ -38,3 +70,12 @@ def op10_sentencepiece(spark, sf_dir):
     )
     out = spm.decode_pieces(ids)
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_license_scans(spark, sf_dir):
+    """Licence phrases and notices of every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_license_scans"] = licenses.oracle("documents")
