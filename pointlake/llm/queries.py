@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointlake.llm import licenses, packing, spm, tokens, url_filter
+from pointlake.llm import licenses, packing, quality, spm, tokens, url_filter
 from pointlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,10 @@ def op8_license_scans(spark, sf_dir):
 
 
 ORACLES["op8_license_scans"] = licenses.oracle("documents")
+
+
+@query
+def op7_quality_rules(spark, sf_dir):
+    """Counts, base rules and verdict of every document."""
+    out = quality.score_quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
