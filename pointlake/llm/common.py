@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pointlake.session import shared_dir, tune
@@ -54,8 +55,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
         texts = batch.column(column)
         if not len(texts):
             continue
-        sizes = texts.cast(pa.large_binary()).combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-        lengths = pa.compute.binary_length(sizes).to_pylist()
+        lengths = pc.binary_length(texts).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
             if i > start and total + (n or 0) > most:

@@ -8,7 +8,6 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from pointlake.llm.common import by_bytes, ids_and_texts, session, tokenizer_path
