@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -128,13 +129,11 @@ def judged(counts: DataFrame) -> DataFrame:
     vote = votes()
     seen = counts.groupBy(*(c.alias(r) for r, c in vote.items())).count().collect()  # at most 3 ** len(RULES) rows
     share, chance = fit(np.array([r[:-1] for r in seen], np.int64).reshape(-1, len(RULES)), np.array([r[-1] for r in seen], float))
-    joint = []
-    for k in range(len(share)):
-        score = F.lit(float(share[k]))
-        for r, c in enumerate(vote.values()):
-            score = score + F.when(c == 0, float(chance[k, r, 0])).when(c == 1, float(chance[k, r, 1])).otherwise(float(chance[k, r, 2]))
-        joint.append(score)
-    faults = sum((F.exp(score - joint[0]) for score in joint[1:]), F.lit(0.0))
+    every = np.array(list(product(range(3), repeat=len(RULES))))
+    joint = share + sum(chance[:, r, every[:, r]].T for r in range(len(RULES)))
+    good = 1 / np.exp(joint - joint[:, :1]).sum(1)
+    code = sum((c * 3 ** (len(RULES) - 1 - r) for r, c in enumerate(vote.values())), F.lit(1))
+    quality = F.element_at(F.array(*map(F.lit, good.tolist())), code)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = counts.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + faults))
+    out = counts.withColumn("base_failed", failed).withColumn("quality", quality)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
