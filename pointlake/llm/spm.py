@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from pointlake.llm.common import by_bytes, ids_and_texts, session, tokenizer_path
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+DECODE_ROWS = 50
 #: Entries of a worker's cache of encoded words, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 500_000, 40
+CACHE_WORDS, CACHE_CHARS = 150_000, 40
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
 
@@ -93,12 +94,9 @@ class Model:
     """A SentencePiece model: its own normalisation with alignment, the library's merges."""
 
     def __init__(self, name: str):
-        import sentencepiece
-
         path = tokenizer_path(name)
         with open(path, "rb") as f:
             top = list(_fields(f.read()))
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         spec = {n: v for number, value in top if number == 3 for n, v in _fields(value)}
         trainer = {n: v for number, value in top if number == 2 for n, v in _fields(value)}
         self.map = CharsMap(spec.get(2, b""))
@@ -106,7 +104,7 @@ class Model:
         self.escape, self.suffix = bool(spec.get(5, 1)), bool(trainer.get(24, 0))
         pieces = [dict(_fields(value)) for number, value in top if number == 1]
         texts = [p[1].decode() for p in pieces]
-        self.end_id = self.library.eos_id()
+        self.end_id = next(i for i, t in enumerate(texts) if t == trainer.get(47, b"</s>").decode())
         # Byte pieces stand for one byte each, all others for their own text.
         self.byte_ids = np.array([p.get(3, 1) == 6 for p in pieces])
         self.sizes = np.array([1 if p.get(3, 1) == 6 else len(t.encode()) for p, t in zip(pieces, texts)], np.int64)
@@ -158,15 +156,13 @@ class Model:
             return
         found, known = [_WORD.findall(t) for t in normalised], self.words
         new = list(set(chain.from_iterable(found)).difference(known))
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set(chain.from_iterable(found)))
         if new:
             known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.inner.encode(new, num_threads=1)))
         for words in found:
             yield np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
-        for w in new:
-            if len(w) > CACHE_CHARS:
+        room = CACHE_WORDS - (len(known) - len(new))
+        for k, w in enumerate(new):  # the words met first stay: they tend to be the frequent ones
+            if k >= room or len(w) > CACHE_CHARS:
                 del known[w]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -228,6 +224,16 @@ def _identity(path: str, top: list):
 
 
 _MODELS: dict[str, Model] = {}
+_LIBRARIES: dict = {}
+
+
+def library(name: str):
+    """The library's own processor, one per worker process and file."""
+    import sentencepiece
+
+    if name not in _LIBRARIES:
+        _LIBRARIES[name] = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
+    return _LIBRARIES[name]
 
 
 def model(name: str) -> Model:
@@ -263,11 +269,11 @@ def decode_pieces(df: DataFrame, model_file: str = "piece_bpe_32k.model") -> Dat
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "ids") + ", text string"
 
     def run(batches):
-        m = model(model_file)
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            texts = iter(m.library.decode([x for x in ids if x is not None], num_threads=1) if any(x is not None for x in ids) else [])
-            column = pa.array([None if x is None else next(texts) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, "text"])
+        processor = library(model_file)
+        for whole in batches:
+            for at in range(0, len(whole), DECODE_ROWS):
+                batch = whole.slice(at, DECODE_ROWS)
+                texts = [None if x is None else processor.decode(x) for x in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
     return df.mapInArrow(run, schema)
