@@ -168,7 +168,7 @@ class Model:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, starts, ends) of each text with the end id; spans are original bytes, the end id's is empty."""
         normal = [self.normalise(t) for t in texts]
-        for (_, align), ids in zip(normal, self.ids([out.decode() for out, _ in normal])):
+        for ids, (_, align) in zip(self.ids([out.decode() for out, _ in normal]), normal):  # ids first: it ends itself
             sizes = self.sizes[ids]
             ends = np.cumsum(sizes)
             starts, stops, n = align[ends - sizes], align[ends], align[-1:]
