@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointlake.llm import licenses, packing, quality, simhash, spm, tokens, topk, url_filter
+from pointlake.llm import licenses, packing, quality, simhash, spm, suffix, tokens, topk, url_filter
 from pointlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,10 @@ def op5_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    """What is left of every document without the 50-byte strings of documents with a smaller id."""
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
