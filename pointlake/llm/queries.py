@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointlake.llm import licenses, packing, quality, simhash, spm, suffix, tokens, topk, url_filter
+from pointlake.llm import html, licenses, packing, quality, simhash, spm, suffix, tokens, topk, url_filter
 from pointlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,9 @@ def op6_suffix_dedup(spark, sf_dir):
     """What is left of every document without the 50-byte strings of documents with a smaller id."""
     out = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html.extract_text(table(spark, sf_dir, "pages"))
