@@ -40,9 +40,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ids_and_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text) only: other columns, whatever their names, are never read. A null text is the empty text."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def ids_and_texts(df: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, text, keep_0, ...) only: other columns, whatever their names, are never read. A null text is the empty text.
+
+    Kept columns travel under numbers, so that their names cannot clash; ``restored`` gives them back.
+    """
+    kept = [F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)]
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *kept)
+
+
+def kept_schema(rows: DataFrame) -> str:
+    """The numbered columns of ``rows`` as the end of a schema string."""
+    return "".join(f", {n} {t}" for n, t in rows.dtypes if n.startswith("keep_"))
+
+
+def kept_names(rows: DataFrame) -> list[str]:
+    return [n for n in rows.columns if n.startswith("keep_")]
+
+
+def restored(rows: DataFrame, keep: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The kept columns under their own names, some of them replaced by ``new``."""
+    new = new or {}
+    return rows.select(*(new.get(c, F.col(f"keep_{i}")).alias(c) for i, c in enumerate(keep)))
 
 
 def partitions(df: DataFrame) -> int:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pointlake.llm.common import by_bytes, ids_and_texts, session, staged
+from pointlake.llm.common import by_bytes, ids_and_texts, kept_names, kept_schema, session, staged
 
 BATCH_BYTES = 8 << 20
 SYMBOLS = "#*$%&|<>"
@@ -52,15 +52,18 @@ def count_text(text: str) -> tuple[int, ...]:
 
 
 def text_counts(rows: DataFrame) -> DataFrame:
-    """(doc_id, counts...) of (doc_id, text) in one narrow Arrow pass."""
+    """(doc_id, counts..., kept columns) of (doc_id, text, kept columns) in one narrow Arrow pass."""
     session(rows)
+    kept = kept_names(rows)
 
     def run(batches):
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             counts = np.array([count_text(t) for t in batch.column("text").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, counts.T)], ["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *map(pa.array, counts.T), *(batch.column(c) for c in kept)], ["doc_id", *COUNTS, *kept]
+            )
 
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + kept_schema(rows))
 
 
 def votes() -> dict[str, Column]:
@@ -112,8 +115,8 @@ def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.log(share), log
 
 
-def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, counts, base_failed, quality, kept) per row.
+def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """(doc_id, counts, base_failed, quality, kept) per row, and the columns ``keep`` as keep_0, keep_1, ....
 
     Counts are staged once; the vote patterns of all documents (at most 3 to the number of rules) are counted, the
     rules' accuracies fitted to these counts, and every document gets the posterior probability that it is good.
@@ -121,7 +124,7 @@ def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated rows each count and give a row, a null id stays null, an empty table gives none; other columns are
     never read.
     """
-    return judged(staged(text_counts(ids_and_texts(df, id_col, text_col))))
+    return judged(staged(text_counts(ids_and_texts(df, id_col, text_col, keep))))
 
 
 def judged(counts: DataFrame) -> DataFrame:

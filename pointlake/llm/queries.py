@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from pointlake.llm import html, licenses, packing, quality, simhash, spm, suffix, tokens, topk, url_filter
 from pointlake.llm.common import table
 
@@ -23,6 +25,9 @@ URL_RULES = [
 ]
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn

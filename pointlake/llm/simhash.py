@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pointlake.llm.common import by_bytes, ids_and_texts, session, staged
+from pointlake.llm.common import by_bytes, ids_and_texts, kept_names, kept_schema, session, staged
 from pointlake.operators.graph import components
 
 BATCH_BYTES = 8 << 20
@@ -37,16 +37,20 @@ def fingerprint(text: str, width: int) -> int:
     return int(np.packbits(2 * ones > last).view(">i8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp) per row in one narrow pass."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, fp) and the kept columns per row in one narrow pass."""
     session(df)
+    rows = ids_and_texts(df, id_col, text_col, keep)
+    kept = kept_names(rows)
 
     def run(batches):
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             found = [fingerprint(t, width) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(found, pa.int64()), *(batch.column(c) for c in kept)], ["doc_id", "fp", *kept]
+            )
 
-    return ids_and_texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + kept_schema(rows))
 
 
 def _join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -127,22 +131,26 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, keep: list[str] = ()
 ) -> DataFrame:
-    """(doc_id, fp, component_id) per row: the smallest id that is reachable over links of at most ``radius`` bits.
+    """(doc_id, fp, component_id, stays) per row: the smallest id reachable over links of at most ``radius`` bits.
 
     Equal fingerprints are one node, whatever their number; nodes are compared tile by tile, each pair of tiles returns a
-    forest of its links, and components follow from these by rounds of joins. Null and empty texts have fingerprint zero
-    and are linked like any other; repeated rows each give a row; a row with a null id gets the smallest id of its
-    component, null if there is none; an empty table gives none; other columns are never read.
+    forest of its links, and components follow from these by rounds of joins. ``stays`` is true for one row of each
+    component, one with its smallest id. The columns ``keep`` follow as keep_0, keep_1, .... Null and empty texts have
+    fingerprint zero and are linked like any other; repeated rows each give a row; a row with a null id gets the
+    smallest id of its component, null if there is none; an empty table gives none; other columns are never read.
     """
-    docs = staged(fingerprints(df, id_col, text_col, width))
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = staged(links(nodes, radius))
+    docs = staged(fingerprints(df, id_col, text_col, width, keep).withColumn("row", F.monotonically_increasing_id()))
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    nodes = docs.groupBy("fp").agg(F.min(own).alias("first"))
+    edges = staged(links(nodes.select("fp"), radius))
     ends = edges.select(F.col("src").alias("v")).unionByName(edges.select(F.col("dst").alias("v"))).distinct()
     graph = F.lit(0).alias("graph")
-    labels = components(ends.select(graph, "v"), edges.select(graph, "src", "dst"), ["graph"], mode="weak").select(F.col("v").alias("fp"), "label")
-    labelled = nodes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = labelled.join(smallest, "label").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    labels = components(ends.select(graph, "v"), edges.select(graph, "src", "dst"), ["graph"], mode="weak")
+    labelled = nodes.join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    smallest = labelled.groupBy("label").agg(F.min("first").alias("smallest"))
+    named = labelled.select("fp", "label").join(smallest, "label").select("fp", "smallest")
+    return docs.join(named, "fp").select(
+        "doc_id", "fp", F.col("smallest.doc_id").alias("component_id"), (F.col("row") == F.col("smallest.row")).alias("stays"), *kept_names(docs)
+    )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pointlake.llm.common import by_bytes, partitions, session
+from pointlake.llm.common import by_bytes, ids_and_texts, kept_schema, partitions, session
 from pointlake.session import shared_dir
 
 #: Bytes of the documents that are read together, and of the runs of a suffix array.
@@ -243,9 +243,7 @@ def _chunks(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataF
     The bucketed table is read twice by joins on ``chunk``, and neither deals the texts out again.
     """
     spark = session(df)
-    rows = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep))
-    )
+    rows = ids_and_texts(df, id_col, text_col, keep)
 
     def pack(batches):
         number = TaskContext.get().partitionId() << 32
@@ -415,15 +413,17 @@ def _repeats(runs: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: list[str] = ()
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: list[str] = (),
+    as_text: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, spans, kept) and the columns ``keep`` per row.
+    """(doc_id, n_bytes, n_removed, n_spans, spans, kept) per row, and the columns ``keep`` as keep_0, keep_1, ....
 
     Removed is each byte covered by a string of ``length`` bytes (at least 24) that also starts in a document with a
     smaller id; matches stay within documents and strings are judged on the input. ``spans`` are the maximal removed
-    runs as start and end, ``kept`` the other bytes. Null and empty texts are empty. Rows with the same id are the same
+    runs as start and end, ``kept`` the other bytes; with ``as_text`` as a string, without the bytes of characters that
+    a span cuts. Null and empty texts are empty. Rows with the same id are the same
     document: none removes from another. Rows without an id come last and do not remove from each other. An empty table
-    gives no rows; other columns are never read, and kept ones are carried along under any name.
+    gives no rows; other columns are never read.
     """
     if length < K + 8:
         raise ValueError(f"length must be at least {K + 8}")
@@ -438,9 +438,8 @@ def remove_repeats(
         F.collect_list("at").alias("at"), F.collect_list("upto").alias("upto")
     )
     found = chunks.join(repeats, "chunk", "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary"
-    for name, kind in df.select(*keep).dtypes if keep else []:
-        schema += f", `{name}` {kind}"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary")
+    schema += kept_schema(ids_and_texts(df, id_col, text_col, keep))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(batches):
@@ -463,9 +462,11 @@ def remove_repeats(
                     for name, value in zip(list(rows)[1:], (b - a, removed, len(spans), spans, text)):
                         rows[name].append(value)
                 carried = pa.ipc.open_stream(rest.as_py()).read_all().combine_chunks()
-                kinds = [pa.int64()] * 4 + [span, pa.binary()]
+                if as_text:
+                    rows["kept"] = [x.decode("utf-8", "ignore") for x in rows["kept"]]
+                kinds = [pa.int64()] * 4 + [span, pa.string() if as_text else pa.binary()]
                 arrays = [pa.array(v, k) if isinstance(v, list) else v for v, k in zip(rows.values(), kinds)]
                 arrays += [carried.column(i).combine_chunks() for i in range(carried.num_columns)]
-                yield pa.RecordBatch.from_arrays(arrays, [*rows, *keep])
+                yield pa.RecordBatch.from_arrays(arrays, [*rows, *carried.column_names])
 
     return found.mapInArrow(apply, schema)
