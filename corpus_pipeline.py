@@ -20,8 +20,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
-    return restored(simhash.near_duplicates(docs, width=5, radius=4, keep=docs.columns).where("stays"), docs.columns)
+    """One document of each group of near-duplicates stays, that with the smallest id.
+
+    Near are texts whose sets of five-word shingles have a similarity of 0.8 or more. Fingerprints of such texts mostly
+    differ in less than 14 bits, those of other texts nearly always in more; the shingles themselves decide.
+    """
+    out = simhash.near_duplicates(docs, width=5, radius=14, keep=docs.columns, least_similarity=0.8)
+    return restored(out.where("stays"), docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

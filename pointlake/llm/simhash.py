@@ -13,6 +13,8 @@ BATCH_BYTES = 8 << 20
 SEED = 42
 #: Most fingerprints of a tile, and rows of one that are compared at once.
 TILE, STRIP = 16_384, 64
+#: Widest radius for which tiles are told apart by both halves' counts; wider ones would make too many of them meet.
+HALVES_UPTO = 6
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 17
 
@@ -53,15 +55,22 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, "doc_id long, fp long" + kept_schema(rows))
 
 
-def _join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Unites the sets of a[i] and b[i]; every entry of ``parent`` points to the smallest of its set afterwards."""
+def _join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Unites the sets of a[i] and b[i]; returns the pairs that united two sets, earlier ones first.
+
+    Every entry of ``parent`` points to the smallest of its set before and afterwards.
+    """
+    used, index = [], np.arange(len(a))
     while True:
-        ra, rb = parent[a], parent[b]
+        ra, rb = parent[a[index]], parent[b[index]]
         apart = ra != rb
         if not apart.any():
-            return
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+            return used
+        index, ra, rb = index[apart], ra[apart], rb[apart]
+        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+        moved, first = np.unique(high, return_index=True)
+        parent[moved] = low[first]
+        used.append(index[first])
         while True:
             up = parent[parent]
             if np.array_equal(up, parent):
@@ -70,9 +79,10 @@ def _join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(from, to): a spanning forest of the links between two tiles, or within one if they are the same.
+    """(from, to): links between two tiles, or within one if they are the same, thinned to a spanning forest.
 
     All pairs are compared by exclusive or and bit counts, but for strips whose first 16 bits hold counts too far apart.
+    Closer pairs of a strip enter the forest first.
     """
     same = a is b
     nodes = a if same else np.concatenate([a, b])
@@ -81,30 +91,37 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
     ka, kb = ka[oa].astype(np.int64), kb[ob].astype(np.int64)
     sa, sb = a[oa], b[ob]
     parent = np.arange(len(nodes))
+    src, dst = [], []
     for at in range(0, len(sa), STRIP):
         rows = sa[at : at + STRIP]
         low, high = ka[at], ka[min(at + STRIP, len(sa)) - 1]
         begin, end = np.searchsorted(kb, low - radius, "left"), np.searchsorted(kb, high + radius, "right")
         if same:
             begin = max(begin, at)
-        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ sb[None, begin:end]) <= radius)
+        bits = np.bitwise_count(rows[:, None] ^ sb[None, begin:end])
+        i, j = np.nonzero(bits <= radius)
         if len(i):
-            _join_roots(parent, oa[at + i], ob[begin + j] + (0 if same else len(a)))
-    moved = np.flatnonzero(parent != np.arange(len(nodes)))
-    return nodes[moved], nodes[parent[moved]]
+            order = np.argsort(bits[i, j], kind="stable")
+            x, y = oa[at + i[order]], ob[begin + j[order]] + (0 if same else len(a))
+            for used in _join_roots(parent, x, y):
+                src.append(nodes[x[used]])
+                dst.append(nodes[y[used]])
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *src]), np.concatenate([empty, *dst])
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """(src, dst): links of distinct fingerprints within ``radius`` bits, thinned to forests that connect the same.
 
-    A tile holds the fingerprints with the same bit counts in the upper and in the lower half, cut into parts of TILE.
-    Tiles whose counts differ by more than the radius cannot hold a link and never meet; all others do, as whole blocks.
+    A tile holds the fingerprints with the same bit counts in the upper and in the lower half (for a wide radius, the
+    same count in all), cut into parts of TILE. Tiles whose counts differ by more than the radius cannot hold a link and
+    never meet; all others do, as whole blocks.
     """
     session(fps)
-    half = F.lit(0xFFFFFFFF)
-    rows = fps.select(
-        "fp", F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int").alias("up"), F.bit_count(F.col("fp").bitwiseAND(half)).cast("int").alias("low")
-    )
+    halves = radius <= HALVES_UPTO
+    upper = F.shiftrightunsigned("fp", 32) if halves else F.col("fp")
+    lower = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))) if halves else F.lit(0)
+    rows = fps.select("fp", F.bit_count(upper).cast("int").alias("up"), lower.cast("int").alias("low"))
     # At most 33 x 33 tiles.
     tiles = rows.groupBy("up", "low").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -112,7 +129,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
         rows.join(F.broadcast(tiles), ["up", "low"]).groupBy("up", "low", part.alias("part"))
         .agg(F.collect_list("fp").alias("fps"))
     )
-    steps = [(u, v) for u in range(-radius, radius + 1) for v in range(-radius, radius + 1) if abs(u) + abs(v) <= radius]
+    steps = [(u, v) for u in range(-radius, radius + 1) for v in (range(-radius, radius + 1) if halves else [0]) if abs(u) + abs(v) <= radius]
     around = F.explode(F.array(*(F.struct((F.col("up") + u).alias("up"), (F.col("low") + v).alias("low")) for u, v in steps)))
     meets = blocks.select(F.struct("up", "low", "part").alias("own"), "fps", around.alias("near")).select("own", "fps", "near.up", "near.low")
     meets = meets.join(F.broadcast(tiles), ["up", "low"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -130,21 +147,57 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(compare, "src long, dst long")
 
 
+def similarity(a: str, b: str, width: int) -> float:
+    """Jaccard similarity of two texts' sets of word shingles; 1 for two texts without words."""
+    sets = []
+    for text in (a, b):
+        words = text.encode().lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(len(words) - width + 1, 1))} if words else set())
+    union = sets[0] | sets[1]
+    return len(sets[0] & sets[1]) / len(union) if union else 1.0
+
+
+def _confirmed(edges: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The links whose first texts have at least this similarity."""
+    session(edges)
+    ends = edges.select(F.array("src", "dst").alias("link"), F.explode(F.array("src", "dst")).alias("fp"))
+    rows = ends.join(nodes.select("fp", "first.row"), "fp").select("link", "fp", "row").join(texts, "row")
+    pairs = rows.groupBy("link").agg(F.min_by("text", "fp").alias("a"), F.max_by("text", "fp").alias("b"))
+
+    def check(batches):
+        for batch in batches:
+            for at in range(0, len(batch), STRIP):
+                part = batch.slice(at, STRIP)
+                near = [similarity(a, b, width) >= least for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist())]
+                yield part.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
+    pairs = pairs.select(F.col("link")[0].alias("src"), F.col("link")[1].alias("dst"), "a", "b")
+    return pairs.mapInArrow(check, "src long, dst long")
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, keep: list[str] = ()
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, keep: list[str] = (),
+    least_similarity: float | None = None,
 ) -> DataFrame:
     """(doc_id, fp, component_id, stays) per row: the smallest id reachable over links of at most ``radius`` bits.
 
     Equal fingerprints are one node, whatever their number; nodes are compared tile by tile, each pair of tiles returns a
-    forest of its links, and components follow from these by rounds of joins. ``stays`` is true for one row of each
-    component, one with its smallest id. The columns ``keep`` follow as keep_0, keep_1, .... Null and empty texts have
-    fingerprint zero and are linked like any other; repeated rows each give a row; a row with a null id gets the
-    smallest id of its component, null if there is none; an empty table gives none; other columns are never read.
+    forest of its links, and components follow from these by rounds of joins. With ``least_similarity``, each link of a
+    forest counts only if the shingle sets of its two texts are that similar; one that fails is not replaced by a longer
+    way around. ``stays`` is true for one row of each component, one with its smallest id. The columns ``keep`` follow as
+    keep_0, keep_1, .... Null and empty texts have fingerprint zero and are linked like any other; repeated rows each give
+    a row; a row with a null id gets the smallest id of its component, null if there is none; an empty table gives none;
+    other columns are never read.
     """
-    docs = staged(fingerprints(df, id_col, text_col, width, keep).withColumn("row", F.monotonically_increasing_id()))
+    carried = [*keep] if least_similarity is None else [*keep, text_col]
+    docs = staged(fingerprints(df, id_col, text_col, width, carried).withColumn("row", F.monotonically_increasing_id()))
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     nodes = docs.groupBy("fp").agg(F.min(own).alias("first"))
-    edges = staged(links(nodes.select("fp"), radius))
+    edges = links(nodes.select("fp"), radius)
+    if least_similarity is not None:
+        texts = docs.select("row", F.coalesce(f"keep_{len(keep)}", F.lit("")).alias("text"))
+        edges = _confirmed(edges, nodes, texts, width, least_similarity)
+    edges = staged(edges)
     ends = edges.select(F.col("src").alias("v")).unionByName(edges.select(F.col("dst").alias("v"))).distinct()
     graph = F.lit(0).alias("graph")
     labels = components(ends.select(graph, "v"), edges.select(graph, "src", "dst"), ["graph"], mode="weak")
@@ -152,5 +205,6 @@ def near_duplicates(
     smallest = labelled.groupBy("label").agg(F.min("first").alias("smallest"))
     named = labelled.select("fp", "label").join(smallest, "label").select("fp", "smallest")
     return docs.join(named, "fp").select(
-        "doc_id", "fp", F.col("smallest.doc_id").alias("component_id"), (F.col("row") == F.col("smallest.row")).alias("stays"), *kept_names(docs)
+        "doc_id", "fp", F.col("smallest.doc_id").alias("component_id"), (F.col("row") == F.col("smallest.row")).alias("stays"),
+        *(f"keep_{i}" for i in range(len(keep))),
     )

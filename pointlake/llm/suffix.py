@@ -8,6 +8,7 @@ over the distinct runs, built by induced sorting, finds the equal strings and th
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 
@@ -21,8 +22,8 @@ from pointlake.session import shared_dir
 
 #: Bytes of the documents that are read together, and of the runs of a suffix array.
 CHUNK_BYTES, SHARD_BYTES = 3 << 20, 4 << 20
-#: Bytes of the word that stands for a string.
-K = 16
+#: Bytes of the word that stands for a string, a multiple of eight.
+K = 24
 #: Words in more documents than this send single strings, spread by content, instead of runs.
 HOT_DOCUMENTS, SPREAD = 20_000, 4096
 LAST_ID = (1 << 63) - 1
@@ -212,12 +213,13 @@ def minimiser_runs(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.nda
     n = len(data)
     if n < length:
         return empty, empty, empty.astype(np.int32), empty
-    raw = np.frombuffer(data + b"\0" * 16, np.uint8)
-    words = np.lib.stride_tricks.as_strided(raw[: len(raw) // 8 * 8].view(np.uint64), (n + 9,), (1,))
+    raw = np.frombuffer(data + b"\0" * (K + 8), np.uint8)
+    words = np.lib.stride_tricks.as_strided(raw[: len(raw) // 8 * 8].view(np.uint64), (n + K,), (1,))
     key = words[:n] * np.uint64(0x9E3779B97F4A7C15)
-    key ^= key >> np.uint64(29)
-    key += words[K - 8 : n + K - 8]
-    key *= np.uint64(0xBF58476D1CE4E5B9)
+    for offset in range(8, K, 8):
+        key ^= key >> np.uint64(29)
+        key += words[offset : n + offset]
+        key *= np.uint64(0xBF58476D1CE4E5B9)
     key &= np.uint64(0xFFFFFFFF00000000)
     key |= np.arange(n, dtype=np.uint64)
     width, span = length - K + 1, 1
@@ -238,9 +240,9 @@ def minimiser_runs(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.nda
 
 
 def _chunks(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """Documents packed into rows of about CHUNK_BYTES: (chunk, ids, sizes, data, rest), bucketed by chunk.
+    """Documents packed into rows of about CHUNK_BYTES: (chunk, ids, sizes, digests, data, rest), bucketed by chunk.
 
-    The bucketed table is read twice by joins on ``chunk``, and neither deals the texts out again.
+    The bucketed table is read by several joins on ``chunk``, and none of them deals the texts out again.
     """
     spark = session(df)
     rows = ids_and_texts(df, id_col, text_col, keep)
@@ -261,7 +263,8 @@ def _chunks(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataF
             out = pa.RecordBatch.from_pydict(
                 {
                     "chunk": pa.array([number], pa.int64()), "ids": pa.array([whole.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    "sizes": pa.array([[len(x) for x in data]], pa.list_(pa.int64())), "data": pa.array([b"".join(data)], pa.binary()),
+                    "sizes": pa.array([[len(x) for x in data]], pa.list_(pa.int64())),
+                    "digests": pa.array([[hashlib.blake2b(x, digest_size=16).digest() for x in data]], pa.list_(pa.binary())), "data": pa.array([b"".join(data)], pa.binary()),
                     "rest": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
                 }
             )
@@ -276,7 +279,7 @@ def _chunks(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataF
         if parts:
             yield flush()
 
-    packed = rows.mapInArrow(pack, "chunk long, ids array<long>, sizes array<long>, data binary, rest binary")
+    packed = rows.mapInArrow(pack, "chunk long, ids array<long>, sizes array<long>, digests array<binary>, data binary, rest binary")
     name = f"chunks_{uuid.uuid4().hex}"
     folder = f"{shared_dir(spark).rstrip('/')}/{name}"
     writer = packed.write.bucketBy(partitions(df), "chunk").option("path", folder).option("compression", "zstd")
@@ -293,21 +296,44 @@ def _ranks(ids) -> np.ndarray:
     return np.array([LAST_ID if x is None else x for x in ids.as_py()], np.int64)
 
 
+def _copies(chunks: DataFrame, length: int) -> DataFrame:
+    """(chunk, copies): places in the chunk of documents whose whole text a smaller document has as well."""
+    docs = chunks.select("chunk", "ids", "sizes", F.posexplode("digests").alias("place", "digest")).where(F.col("sizes")[F.col("place")] >= length)
+    docs = docs.select("chunk", "place", "digest", F.coalesce(F.col("ids")[F.col("place")], F.lit(LAST_ID)).alias("doc"))
+    first = docs.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    copies = docs.join(first.select("digest", "first"), "digest").where("doc > first")
+    return copies.groupBy("chunk").agg(F.collect_list("place").alias("copies"))
+
+
+def _is_copy(n: int, copies) -> np.ndarray:
+    out = np.zeros(n, bool)
+    if copies.is_valid:
+        out[copies.values.to_numpy()] = True
+    return out
+
+
 def _word_counts(chunks: DataFrame, length: int) -> DataFrame:
-    """(word, chunk, n): documents of the chunk with a run of that word."""
+    """(word, chunk, n): documents of the chunk, whole copies aside, with a run of that word."""
 
     def count(batches):
         for batch in batches:
-            for chunk, sizes, data in zip(batch.column("chunk"), batch.column("sizes"), batch.column("data")):
+            for chunk, sizes, data, copies in zip(*(batch.column(c) for c in ("chunk", "sizes", "data", "copies"))):
                 _, _, words, docs = minimiser_runs(data.as_py(), _bounds(sizes), length)
-                pairs = np.unique((words.astype(np.int64) << 32) | docs)
+                own = ~_is_copy(len(sizes), copies)[docs]
+                pairs = np.unique((words[own].astype(np.int64) << 32) | docs[own])
                 found, n = np.unique(pairs >> 32, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), chunk.as_py(), np.int64)), pa.array(n.astype(np.int32))],
                     ["word", "chunk", "n"],
                 )
 
-    return chunks.select("chunk", "sizes", "data").mapInArrow(count, "word int, chunk long, n int")
+    return chunks.select("chunk", "sizes", "data", "copies").mapInArrow(count, "word int, chunk long, n int")
+
+
+def _run_rows(key, texts, doc, chunk, at, upto) -> pa.RecordBatch:
+    columns = [np.asarray(key, np.int64), None, doc, np.full(len(doc), chunk, np.int64), at, upto]
+    arrays = [pa.array([None] * len(doc) if texts is None else texts, pa.binary()) if c is None else pa.array(c, pa.int64()) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, ["key", "text", "doc", "chunk", "at", "upto"])
 
 
 def _runs(held: DataFrame, length: int) -> DataFrame:
@@ -318,10 +344,16 @@ def _runs(held: DataFrame, length: int) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            columns = (batch.column(c) for c in ("chunk", "ids", "sizes", "data", "words", "hot"))
-            for chunk, ids, sizes, data, words, hot in zip(*columns):
-                chunk, data, ranks = chunk.as_py(), data.as_py(), _ranks(ids)
-                first, last, word, doc = minimiser_runs(data, _bounds(sizes), length)
+            columns = (batch.column(c) for c in ("chunk", "ids", "sizes", "data", "copies", "words", "hot"))
+            for chunk, ids, sizes, data, copies, words, hot in zip(*columns):
+                chunk, data, ranks, bounds = chunk.as_py(), data.as_py(), _ranks(ids), _bounds(sizes)
+                copied = _is_copy(len(sizes), copies)
+                yield _run_rows(np.flatnonzero(copied), None, ranks[copied], chunk, bounds[:-1][copied], bounds[1:][copied])
+                if not words.is_valid:
+                    continue
+                first, last, word, doc = minimiser_runs(data, bounds, length)
+                own = ~copied[doc]
+                first, last, word, doc = first[own], last[own], word[own], doc[own]
                 order = np.argsort(shared := words.values.to_numpy(), kind="stable")
                 shared, hot = shared[order], hot.values.to_numpy(zero_copy_only=False)[order]
                 where = np.searchsorted(shared, word)
@@ -343,10 +375,7 @@ def _runs(held: DataFrame, length: int) -> DataFrame:
                 for i in np.flatnonzero(spread & ~known).tolist():
                     key[i] |= 1 + zlib.crc32(texts[i]) % SPREAD
                 rows = [(None if k else t) for k, t in zip(known.tolist(), texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(rows, pa.binary()), pa.array(doc), pa.array(np.full(len(doc), chunk)), pa.array(first), pa.array(last + length)],
-                    ["key", "text", "doc", "chunk", "at", "upto"],
-                )
+                yield _run_rows(key, rows, doc, chunk, first, last + length)
 
     return held.mapInArrow(cut, "key long, text binary, doc long, chunk long, at long, upto long")
 
@@ -429,12 +458,12 @@ def remove_repeats(
         raise ValueError(f"length must be at least {K + 8}")
     keep = list(keep)
     chunks = _chunks(df, id_col, text_col, keep)
-    words = _word_counts(chunks, length).withColumn("total", F.sum("n").over(W.partitionBy("word")))
+    texts = chunks.select("chunk", "ids", "sizes", "data").join(_copies(chunks, length), "chunk", "left")
+    words = _word_counts(texts, length).withColumn("total", F.sum("n").over(W.partitionBy("word")))
     shared = words.where("total > 1").groupBy("chunk").agg(
         F.collect_list("word").alias("words"), F.collect_list(F.col("total") > HOT_DOCUMENTS).alias("hot")
     )
-    held = chunks.select("chunk", "ids", "sizes", "data").join(shared, "chunk")
-    repeats = _repeats(_runs(held, length), length).groupBy("chunk").agg(
+    repeats = _repeats(_runs(texts.join(shared, "chunk", "left"), length), length).groupBy("chunk").agg(
         F.collect_list("at").alias("at"), F.collect_list("upto").alias("upto")
     )
     found = chunks.join(repeats, "chunk", "left")
