@@ -89,7 +89,7 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
     ka, kb = (np.bitwise_count((x.view(np.uint64) >> np.uint64(48)).astype(np.uint16)) for x in (a, b))
     oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
     ka, kb = ka[oa].astype(np.int64), kb[ob].astype(np.int64)
-    sa, sb = a[oa], b[ob]
+    sa, sb = a[oa].view(np.uint64), b[ob].view(np.uint64)  # of negative numbers, numpy counts the bits of the absolute value
     parent = np.arange(len(nodes))
     src, dst = [], []
     for at in range(0, len(sa), STRIP):
