@@ -190,8 +190,8 @@ def _(spark, sf):
 
 _SCALES = [dict(method="grid", num_per_patch=16, overlap_rate=0.5), dict(method="kdtree", num_per_patch=48, patch_count=2)]
 _MULTI = f"""WITH RECURSIVE {EMB}, {grid_sql('emb')}, {kd_sql('emb', 48)}, cnt AS (SELECT cloud_id, count(*) AS cn FROM emb GROUP BY 1),
-allm AS (SELECT cloud_id, 0 AS scale_idx, CASE WHEN cn <= 16 THEN 0 ELSE patch_id END AS patch_id, point_id FROM mem JOIN cnt USING (cloud_id)
-  UNION SELECT cloud_id, 1, CASE WHEN cn <= 48 THEN 0 ELSE patch_id END, point_id FROM leaf JOIN cnt USING (cloud_id)),
+allm AS (SELECT cloud_id, 0 AS scale_idx, CASE WHEN cn < 16 THEN 0 ELSE patch_id END AS patch_id, point_id FROM mem JOIN cnt USING (cloud_id)
+  UNION SELECT cloud_id, 1, patch_id, point_id FROM leaf),
 ms AS (SELECT cloud_id, CAST(scale_idx AS BIGINT) AS scale_idx, patch_id, point_id FROM
   (SELECT *, count(*) OVER (PARTITION BY cloud_id, scale_idx, patch_id) AS c FROM allm) WHERE c > 1)"""
 
@@ -205,6 +205,38 @@ def _(spark, sf):
     return _multi(spark, sf)
 
 
+_CNT = "cnt AS (SELECT cloud_id, count(*) AS cn FROM emb GROUP BY 1)"
+
+
+def some_centres(count):
+    """As many of the first four centres of a cloud as an expression over its size ``cn`` says."""
+    return f"""{_CNT}, {fps_sql(4).replace('cen AS (', 'cen0 AS (')},
+cen AS (SELECT cen0.* FROM cen0 JOIN cnt USING (cloud_id) WHERE center < {count})"""
+
+
+@query("patches_count_from_size", f"""WITH RECURSIVE {EMB}, {some_centres('greatest(1, floor(cn / 24.0 * 1.5))')}, {near_sql(2)}
+SELECT cloud_id, center AS patch_id, point_id FROM near""")
+def _(spark, sf):
+    """The number of patches of each cloud follows from its own size."""
+    return patches.extract_patches(emb_points(spark, sf), "fps", num_per_patch=24, overlap_rate=0.5)
+
+
+@query("patches_size_from_count", f"""WITH RECURSIVE {EMB}, {_CNT}, {fps_sql(4)},
+k AS (SELECT b.cloud_id, b.center, a.point_id, row_number() OVER (PARTITION BY b.cloud_id, b.center ORDER BY {D2}, a.point_id) AS rank
+  FROM cen b JOIN emb a ON a.cloud_id = b.cloud_id)
+SELECT cloud_id, center AS patch_id, point_id, rank FROM k JOIN cnt USING (cloud_id) WHERE rank <= greatest(1, floor(cn / 4.0 * 1.25))""")
+def _(spark, sf):
+    """The size of the patches of each cloud follows from its own size."""
+    return rounded(patches.extract_patches(emb_points(spark, sf), "knn", patch_count=4, overlap_rate=0.25))
+
+
+@query("patches_multi_scale_counts", f"""WITH RECURSIVE {EMB}, {some_centres('floor(cn / 16.0)')}, {near_sql(2)}
+SELECT cloud_id, CAST(0 AS BIGINT) AS scale_idx, center AS patch_id, point_id FROM near""")
+def _(spark, sf):
+    """Counts by scale leave the overlap out."""
+    return patches.multi_scale_patches(emb_points(spark, sf), [dict(method="fps", num_per_patch=16, overlap_rate=0.5)])
+
+
 @query("patches_single", f"WITH {EVT} SELECT cloud_id, CAST(0 AS BIGINT) AS patch_id, point_id FROM evt")
 def _(spark, sf):
     return patches.single_patch(event_points(spark, sf))

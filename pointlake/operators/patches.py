@@ -24,6 +24,12 @@ def overlap_count(rate: float) -> int:
     return 1 if rate <= 0 else max(2, round(1.0 / (1.0 - rate)))
 
 
+def per_cloud(points: DataFrame, value: int | Column) -> DataFrame:
+    """(cloud_id, _limit): a number, or an expression over the cloud's own size ``_n``, for each cloud."""
+    value = value if isinstance(value, Column) else F.lit(value)
+    return group_sizes(points, ["cloud_id"], "_n").select("cloud_id", value.cast("long").alias("_limit"))
+
+
 def patches_around_centres(points: DataFrame, centres: DataFrame, m: int) -> DataFrame:
     near = nearest_centres(points, centres, m)
     return near.select("cloud_id", F.col("center").alias("patch_id"), "point_id")
@@ -34,26 +40,33 @@ def fps_patches(points: DataFrame, patch_count: int | Column, overlap_rate: floa
     return patches_around_centres(points, farthest_points(points, patch_count), overlap_count(overlap_rate))
 
 
-def knn_patches(points: DataFrame, patch_count: int | Column, num_per_patch: int) -> DataFrame:
+def knn_patches(points: DataFrame, patch_count: int | Column, num_per_patch: int | Column) -> DataFrame:
     """The ``num_per_patch`` points nearest to each farthest-point seed, the seed included."""
     seeds = farthest_points(points, patch_count)
     q = seeds.select("cloud_id", F.col("center").alias("point_id"), *XYZ)
     p = points.select("cloud_id", F.col("point_id").cast("long").alias("point_id"), *XYZ)
-    return knn_join(q, p, num_per_patch).select(
+    limits = per_cloud(points, num_per_patch) if isinstance(num_per_patch, Column) else None
+    # The widest search of the batch serves all clouds; each keeps its own number of neighbours.
+    most = num_per_patch if limits is None else limits.agg(F.max("_limit")).first()[0] or 1
+    near = knn_join(q, p, most)
+    if limits is not None:
+        near = near.join(limits, "cloud_id").where(F.col("nn_rank") <= F.col("_limit"))
+    return near.select(
         "cloud_id", F.col("src").alias("patch_id"), F.col("dst").alias("point_id"), F.col("nn_rank").alias("rank")
     )
 
 
-def grid_geometry(points: DataFrame, num_per_patch: int) -> DataFrame:
+def grid_geometry(points: DataFrame, num_per_patch: int | Column) -> DataFrame:
     """Per cloud: origin and cell width, a window of 4 cells holding ``num_per_patch`` points at mean density."""
-    b = cloud_bounds(points)
+    b = cloud_bounds(points).withColumn("_n", F.col("n_points"))
+    wanted = num_per_patch if isinstance(num_per_patch, Column) else F.lit(num_per_patch)
     volume = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")) * (F.col("max_z") - F.col("min_z"))
     density = F.when(volume > 0, F.col("n_points") / volume).otherwise(F.lit(1.0))
-    cell = F.cbrt(F.lit(float(num_per_patch)) / density) / F.lit(float(WINDOW_CELLS))
+    cell = F.cbrt(wanted.cast("double") / density) / F.lit(float(WINDOW_CELLS))
     return b.select("cloud_id", *[f"min_{c}" for c in XYZ], cell.alias("cell"))
 
 
-def grid_patches(points: DataFrame, num_per_patch: int, overlap_rate: float = 0.25) -> DataFrame:
+def grid_patches(points: DataFrame, num_per_patch: int | Column, overlap_rate: float = 0.25) -> DataFrame:
     """Overlapping windows of a grid. A point lists the windows that cover it, so nothing is joined but the
     per-cloud geometry; ``patch_id`` packs the three anchors, 21 bits each, in scan order."""
     stride = max(1, int(WINDOW_CELLS * (1 - overlap_rate)))
@@ -67,11 +80,14 @@ def grid_patches(points: DataFrame, num_per_patch: int, overlap_rate: float = 0.
 
     for i, c in enumerate(XYZ):
         p = p.withColumn(f"_a{i}", F.explode(anchors(c)))
+    for i in range(3):
+        wide = F.raise_error(F.lit("grid_patches: more than 2^21 windows along an axis, choose a larger patch size"))
+        p = p.withColumn(f"_a{i}", F.when(F.col(f"_a{i}") < 1 << 21, F.col(f"_a{i}")).otherwise(wide.cast("long")))
     packed = F.shiftleft("_a0", 42).bitwiseOR(F.shiftleft("_a1", 21)).bitwiseOR(F.col("_a2"))
     return p.select("cloud_id", packed.alias("patch_id"), "point_id")
 
 
-def kd_patches(points: DataFrame, max_points: int) -> DataFrame:
+def kd_patches(points: DataFrame, max_points: int | Column) -> DataFrame:
     """Halve every node above ``max_points`` at the upper median of its most varying axis.
 
     The median is found by distributed rank, so the first levels of a huge cloud are shared by many tasks.
@@ -81,6 +97,7 @@ def kd_patches(points: DataFrame, max_points: int) -> DataFrame:
         points.select("cloud_id", "point_id", *[F.col(c).cast("double").alias(c) for c in XYZ],
                       F.lit(1).cast("long").alias("patch_id"))
     )
+    limits = per_cloud(points, max_points) if isinstance(max_points, Column) else None
     leaves = None
     node = ["cloud_id", "patch_id"]
     while True:
@@ -89,7 +106,8 @@ def kd_patches(points: DataFrame, max_points: int) -> DataFrame:
         )
         top = F.greatest(*[f"_v{c}" for c in XYZ])
         axis = F.when(F.col("_vx") == top, 0).when(F.col("_vy") == top, 1).otherwise(2)
-        split = stats.where(F.col("_n") > max_points).select(*node, "_n", axis.alias("_axis"))
+        above = stats.withColumn("_limit", F.lit(max_points)) if limits is None else stats.join(limits, "cloud_id")
+        split = above.where(F.col("_n") > F.col("_limit")).select(*node, "_n", axis.alias("_axis"))
         value = F.when(F.col("_axis") == 0, F.col("x")).when(F.col("_axis") == 1, F.col("y")).otherwise(F.col("z"))
         busy = open_rows.join(split, node).withColumn("_val", value)
         middle = (
@@ -113,7 +131,7 @@ def kd_patches(points: DataFrame, max_points: int) -> DataFrame:
         )
 
 
-def bfs_patches(points: DataFrame, seeds: DataFrame, k: int, num_per_patch: int, pad: bool = False,
+def bfs_patches(points: DataFrame, seeds: DataFrame, k: int, num_per_patch: int | Column, pad: bool = False,
                 graph: DataFrame | None = None) -> DataFrame:
     """Breadth-first patches: the first ``num_per_patch`` points that a queue discovers from each seed along
     the directed neighbour graph, neighbours by distance. ``seeds``: (cloud_id, patch_id, point_id).
@@ -126,6 +144,7 @@ def bfs_patches(points: DataFrame, seeds: DataFrame, k: int, num_per_patch: int,
     edges = cut((graph if graph is not None else knn_graph(points, k)).select(
         "cloud_id", F.col("src").alias("point_id"), "dst", "nn_rank"
     ))
+    limits = per_cloud(points, num_per_patch)
     front = cut(seeds.select(*patch, "point_id", F.lit(1).cast("long").alias("rank")))
     found = front
     while True:
@@ -139,10 +158,10 @@ def bfs_patches(points: DataFrame, seeds: DataFrame, k: int, num_per_patch: int,
         w = Window.partitionBy(*patch).orderBy("_key.rank", "_key.nn_rank")
         front = cut(
             nxt.withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= num_per_patch)
             .join(have, patch)
+            .join(limits, "cloud_id")
+            .where(F.col("_have") + F.col("_r") <= F.col("_limit"))
             .select(*patch, "point_id", (F.col("_have") + F.col("_r")).alias("rank"))
-            .where(F.col("rank") <= num_per_patch)
         )
         if is_empty(front):
             break
@@ -150,29 +169,22 @@ def bfs_patches(points: DataFrame, seeds: DataFrame, k: int, num_per_patch: int,
     if not pad:
         return found
     last = found.groupBy(*patch).agg(F.max_by("point_id", "rank").alias("point_id"), F.max("rank").alias("_n"))
-    fill = last.where(F.col("_n") < num_per_patch).select(
-        *patch, "point_id", F.explode(F.sequence(F.col("_n") + 1, F.lit(num_per_patch).cast("long"))).alias("rank")
+    fill = last.join(limits, "cloud_id").where(F.col("_n") < F.col("_limit")).select(
+        *patch, "point_id", F.explode(F.sequence(F.col("_n") + 1, F.col("_limit"))).alias("rank")
     )
     return found.unionByName(fill)
 
 
-def split_connected(members: DataFrame, points: DataFrame, k: int, min_size: int = 1,
-                    max_size: int = 5_000_000) -> DataFrame:
-    """Split patches into the parts connected by neighbour links inside the patch.
+def split_connected(members: DataFrame, points: DataFrame, k: int, min_size: int = 1) -> DataFrame:
+    """Split patches of any size into the parts connected by neighbour links inside the patch.
 
-    Neighbours are searched among the patch's own points; parts below ``min_size`` are dropped and patches
-    above ``max_size`` pass unsplit. Returns (cloud_id, parent_id, label, point_id).
+    Neighbours are searched among the patch's own points; parts below ``min_size`` are dropped. Returns
+    (cloud_id, parent_id, label, point_id).
     """
     keys = ["cloud_id", "patch_id"]
-    sizes = group_sizes(members, keys, "_n")
-    m = cut(members.select(*keys, "point_id").join(sizes, keys))
-    small = m.where(F.col("_n") <= max_size).join(points.select("cloud_id", "point_id", *XYZ), ["cloud_id", "point_id"])
-    links = knn_graph(small, k, keys)
-    labels = components(small.select(*keys, F.col("point_id").alias("v")), links, keys)
-    parts = labels.select(*keys, "label", F.col("v").alias("point_id"))
-    whole = m.where(F.col("_n") > max_size)
-    whole = whole.join(whole.groupBy(*keys).agg(F.min("point_id").alias("label")), keys)
-    parts = parts.unionByName(whole.select(*parts.columns)).withColumnRenamed("patch_id", "parent_id")
+    m = cut(members.select(*keys, "point_id").join(points.select("cloud_id", "point_id", *XYZ), ["cloud_id", "point_id"]))
+    labels = components(m.select(*keys, F.col("point_id").alias("v")), knn_graph(m, k, keys), keys)
+    parts = labels.select("cloud_id", F.col("patch_id").alias("parent_id"), "label", F.col("v").alias("point_id"))
     if min_size > 1:
         big = group_sizes(parts, ["cloud_id", "parent_id", "label"]).where(F.col("n") >= min_size)
         parts = parts.join(big.drop("n"), ["cloud_id", "parent_id", "label"], "left_semi")
@@ -187,16 +199,17 @@ def number_parts(parts: DataFrame) -> DataFrame:
     return parts.join(ids, ["cloud_id", "parent_id", "label"]).select("cloud_id", "patch_id", "point_id")
 
 
-def drop_redundant(members: DataFrame, small_below: float, keep_at_least: int | DataFrame) -> DataFrame:
+def drop_redundant(members: DataFrame, small_below: float | DataFrame, keep_at_least: int | DataFrame) -> DataFrame:
     """Drop small patches, smallest first, as long as every point stays covered.
 
     The one-by-one greedy order is reproduced in rounds: a patch is decided as soon as its fate no longer
     depends on undecided patches before it. Dropping stops when ``keep_at_least`` patches are left
-    (a number, or (cloud_id, _keep) per cloud).
+    (a number, or (cloud_id, _keep) per cloud); ``small_below`` is a number or (cloud_id, _below) per cloud.
     """
     patch = ["cloud_id", "patch_id"]
     m = cut(members.select(*patch, "point_id").join(group_sizes(members, patch, "_n"), patch))
-    undecided = cut(m.where(F.col("_n") < small_below).select(*patch, "_n").distinct())
+    sized = m.join(small_below, "cloud_id") if isinstance(small_below, DataFrame) else m.withColumn("_below", F.lit(small_below))
+    undecided = cut(sized.where(F.col("_n") < F.col("_below")).select(*patch, "_n").distinct())
     dropped = undecided.limit(0)
     while not is_empty(undecided):
         alive = m.join(dropped, patch, "left_anti")
@@ -222,14 +235,16 @@ def drop_redundant(members: DataFrame, small_below: float, keep_at_least: int |
     return m.join(gone, patch, "left_anti").select(*patch, "point_id")
 
 
-def fps_bfs_patches(points: DataFrame, patch_count: int, num_per_patch: int, overlap_rate: float,
+def fps_bfs_patches(points: DataFrame, patch_count: int | Column, num_per_patch: int | Column, overlap_rate: float,
                     k: int = 30, min_size: int = 10) -> DataFrame:
     """Farthest-point patches, split into connected parts, without redundant small parts."""
     parts = split_connected(fps_patches(points, patch_count, overlap_rate), points, k, min_size)
-    return drop_redundant(number_parts(parts), num_per_patch / 4, patch_count)
+    below = per_cloud(points, num_per_patch).select("cloud_id", (F.col("_limit") / 4).alias("_below"))
+    keep = per_cloud(points, patch_count).select("cloud_id", F.col("_limit").alias("_keep"))
+    return drop_redundant(number_parts(parts), below, keep)
 
 
-def fps_connected_patches(points: DataFrame, patch_count: int, m: int = 2, k: int = 10,
+def fps_connected_patches(points: DataFrame, patch_count: int | Column, m: int = 2, k: int = 10,
                           min_size: int = 1) -> DataFrame:
     """Farthest-point patches over the m nearest centres, split into connected parts; 1 <= m <= 10."""
     if not 1 <= m <= 10:
@@ -323,30 +338,35 @@ NEEDS = {
 }
 
 
-def extract_patches(points: DataFrame, method: str, patch_count: int | None = None, num_per_patch: int | None = None,
-                    overlap_rate: float = 0.0, query_points: DataFrame | None = None, **options) -> DataFrame:
-    """Membership table by method name. A missing patch count follows from the patch size, and the reverse,
-    with the sizes of the largest cloud of the batch."""
+def extract_patches(points: DataFrame, method: str, patch_count: int | Column | None = None,
+                    num_per_patch: int | Column | None = None, overlap_rate: float = 0.0,
+                    query_points: DataFrame | None = None, **options) -> DataFrame:
+    """Membership table by method name.
+
+    A missing patch count follows from the patch size, and the reverse, by each cloud's own number of points
+    (at least 1), so a cloud's patches do not depend on its batch. Both may be expressions over that number, ``_n``.
+    """
     if method not in EXTRACTORS:
         raise ValueError(f"unknown patch method {method}")
     if not 0.0 <= overlap_rate < 1.0:
         raise ValueError("overlap_rate must be in [0, 1)")
     given = {"patch_count": patch_count, "num_per_patch": num_per_patch}
     for name, value in given.items():
-        if value is not None and value <= 0:
+        if isinstance(value, int) and value <= 0:
             raise ValueError(f"{name} must be positive")
     seeded = method in ("bfs", "bfs_cpu") and query_points is not None
-    if method != "no_chunk" and not seeded and (patch_count is None or num_per_patch is None):
+
+    def derived(other: int | Column) -> Column:
+        other = other if isinstance(other, Column) else F.lit(other)
+        return F.greatest(F.lit(1), F.floor(F.col("_n") / other * F.lit(1 + overlap_rate))).cast("long")
+
+    if method != "no_chunk" and not seeded:
         if patch_count is None and num_per_patch is None:
             raise ValueError("give patch_count or num_per_patch")
-        if patch_count is None and method in ("fps", "knn"):
-            patch_count = F.floor(F.col("_n") / F.lit(num_per_patch) * F.lit(1 + overlap_rate))
-        else:
-            largest = group_sizes(points, ["cloud_id"]).agg(F.max("n")).first()[0] or 1
-            if patch_count is None:
-                patch_count = max(1, int(largest / num_per_patch * (1 + overlap_rate)))
-            else:
-                num_per_patch = max(1, int(largest / patch_count * (1 + overlap_rate)))
+        if patch_count is None:
+            patch_count = derived(num_per_patch)
+        elif num_per_patch is None:
+            num_per_patch = derived(patch_count)
     for name in NEEDS.get(method, ()):
         if {"patch_count": patch_count, "num_per_patch": num_per_patch}[name] is None:
             raise ValueError(f"{method} needs {name}")
@@ -359,17 +379,21 @@ def extract_patches(points: DataFrame, method: str, patch_count: int | None = No
 def multi_scale_patches(points: DataFrame, scales: list[dict]) -> DataFrame:
     """All clouds at all scales: (cloud_id, scale_idx, patch_id, point_id).
 
-    A cloud no larger than the patch size becomes one patch if it has more than one point; patches of a
-    single point are removed.
+    Without a patch count, a cloud of N points gets N / num_per_patch patches, rounded down and whatever the overlap;
+    where that is none, the whole cloud is one patch. Patches of a single point are removed.
     """
     sizes = group_sizes(points, ["cloud_id"], "_n")
     out = None
     for idx, scale in enumerate(scales):
-        limit = scale.get("num_per_patch") or scale.get("patch_count")
-        small = sizes.where(F.col("_n") <= limit).select("cloud_id")
-        whole = single_patch(points.join(small, "cloud_id", "left_semi"))
-        rest = extract_patches(points.join(small, "cloud_id", "left_anti"), **scale)
-        both = rest.select("cloud_id", "patch_id", "point_id").unionByName(whole)
+        rest, whole = points, None
+        if scale.get("patch_count") is None:
+            size = scale["num_per_patch"]
+            small = sizes.where(F.col("_n") < size).select("cloud_id")
+            whole = single_patch(points.join(small, "cloud_id", "left_semi"))
+            rest = points.join(small, "cloud_id", "left_anti")
+            scale = {**scale, "patch_count": F.floor(F.col("_n") / F.lit(size)).cast("long")}
+        both = extract_patches(rest, **scale).select("cloud_id", "patch_id", "point_id")
+        both = both if whole is None else both.unionByName(whole)
         both = both.select("cloud_id", F.lit(idx).cast("long").alias("scale_idx"), "patch_id", "point_id")
         out = both if out is None else out.unionByName(both)
     return drop_small(out, ["cloud_id", "scale_idx", "patch_id"], 2)
