@@ -66,8 +66,7 @@ def _(spark, sf):
 e AS (SELECT {sql_angle(False, False)} AS e, {sql_angle(True, False)} AS o FROM emb)
 SELECT {_NORMAL_METRICS} FROM e""")
 def _(spark, sf):
-    p = emb_points(spark, sf).withColumn("_all", F.lit(0))
-    return rounded(metrics.normal_metrics(p, ["_all"]).drop("_all"))
+    return rounded(metrics.normal_metrics(emb_points(spark, sf)))
 
 
 def _report_sql(oriented):
@@ -78,6 +77,27 @@ def _report_sql(oriented):
 FROM (SELECT cloud_id, {sql_angle(oriented, True)} AS a FROM emb) GROUP BY cloud_id"""
 
 
+@query("accuracy_report_pooled", f"WITH {EMB} SELECT * EXCLUDE (cloud_id) FROM ({_report_sql(True).replace('FROM emb', 'FROM (SELECT * REPLACE (0 AS cloud_id) FROM emb)')})")
+def _(spark, sf):
+    """One report over all points."""
+    return rounded(metrics.accuracy_report(emb_points(spark, sf), True))
+
+
+@query("edge_accuracy_without_edges", f"WITH {PN} SELECT DISTINCT cloud_id, CAST(0 AS DOUBLE) AS edge_accuracy, CAST(0 AS BIGINT) AS total_edges FROM flips")
+def _(spark, sf):
+    """Clouds whose patches never overlap have accuracy 0 over 0 edges."""
+    pn = patch_normals(spark, sf)
+    return rounded(metrics.edge_accuracy(orient.overlap_relation(pn).where("a + b < 0"), orient.majority_flips(pn)))
+
+
+@query("cloud_offsets_text_ids", f"""WITH {EVT}, t AS (SELECT 'c' || CAST(cloud_id AS VARCHAR) AS cloud_id FROM evt), n AS (SELECT cloud_id, count(*) AS n FROM t GROUP BY 1)
+SELECT cloud_id, n, CAST(sum(n) OVER (ORDER BY cloud_id) AS BIGINT) AS end_offset FROM n""")
+def _(spark, sf):
+    """Ids as the file reader delivers them."""
+    p = event_points(spark, sf).withColumn("cloud_id", F.concat(F.lit("c"), F.col("cloud_id").cast("string")))
+    return rounded(metrics.cloud_offsets(p))
+
+
 @query("accuracy_report_unoriented", f"WITH {EMB} {_report_sql(False)}")
 def _(spark, sf):
     return rounded(metrics.accuracy_report(emb_points(spark, sf), False, ["cloud_id"]))

@@ -186,7 +186,7 @@ def _(spark, sf):
 
 @query("max_points", _sample_sql("20"))
 def _(spark, sf):
-    return sampling.cap_points(event_points(spark, sf), 20).select("cloud_id", "point_id")
+    return sampling.random_downsample(event_points(spark, sf), target_points=20).select("cloud_id", "point_id")
 
 
 @query("query_points_random", _sample_sql("8", "emb", EMB))
@@ -196,7 +196,9 @@ def _(spark, sf):
 
 @query("thin_large_clouds", _sample_sql("CASE WHEN n > 60 THEN greatest(1, floor(n * 0.1)) ELSE n END"))
 def _(spark, sf):
-    return sampling.thin_large(event_points(spark, sf), limit=60).select("cloud_id", "point_id")
+    n = F.col("_n")
+    size = F.when(n > 60, F.greatest(F.lit(1), F.floor(n * 0.1))).otherwise(n)
+    return sampling.exact_sample(event_points(spark, sf), size, 42).select("cloud_id", "point_id")
 
 
 _VOX = f"""WITH {EVT}, {_BOX.format(src='evt')},

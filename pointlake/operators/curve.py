@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pointlake.functions.curves import curve_code
 from pointlake.functions.geometry import XYZ
-from pointlake.operators.tiles import group_sizes, ranked
+from pointlake.operators.tiles import dense_ordinals, group_sizes, ranked
 
 GRID = ("gx", "gy", "gz")
 SPARSE_PAD = 96
@@ -39,9 +39,7 @@ def curve_depth(grid: DataFrame) -> int:
 
 def cloud_ordinals(points: DataFrame) -> DataFrame:
     """Dense number of every cloud, from 0, in id order."""
-    ids = points.select("cloud_id").distinct().withColumn("_all", F.lit(0))
-    r = ranked(ids, ["_all"], ["cloud_id"], ["cloud_id"], "_rn")
-    return r.select("cloud_id", (F.col("_rn") - 1).alias("ordinal"))
+    return dense_ordinals(points, "cloud_id")
 
 
 def encode(grid: DataFrame, orders: list[str], depth: int | None = None) -> DataFrame:

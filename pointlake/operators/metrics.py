@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pointlake.functions.geometry import NORMAL, TRUTH, angle_deg, as_flag, clamp, dot, safe_ratio, sigmoid, unit
-from pointlake.operators.tiles import exact_medians, group_sizes
+from pointlake.operators.tiles import exact_medians, group_sizes, ordered_blocks
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,9 +128,14 @@ def edge_accuracy(edges: DataFrame, flips: DataFrame, keys: list[str] = ("cloud_
     fj = flips.select(*keys, F.col("patch_id").alias("j"), F.col("flip").alias("fj"))
     right = (F.col("fi") == F.col("fj")) == (F.col("a") > F.col("b"))
     e = edges.where((F.col("i") < F.col("j")) & (F.col("a") + F.col("b") > 0))
-    return e.join(fi, keys + ["i"]).join(fj, keys + ["j"]).groupBy(*keys).agg(
+    known = e.join(fi, keys + ["i"]).join(fj, keys + ["j"]).groupBy(*keys).agg(
         (F.avg(as_flag(right)) * 100).alias("edge_accuracy"), F.count(F.lit(1)).alias("total_edges")
     )
+    # A cloud without such pairs has accuracy 0 over 0 edges.
+    return flips.select(*keys).distinct().join(known, keys, "left").select(
+        *keys, F.coalesce("edge_accuracy", F.lit(0.0)).alias("edge_accuracy"),
+        F.coalesce("total_edges", F.lit(0)).cast("long").alias("total_edges"),
+    )
 
 
 def either_way(c: Column) -> Column:
@@ -265,12 +270,12 @@ def quality_rollup(profile: DataFrame) -> DataFrame:
 
 
 def cloud_offsets(points: DataFrame, keys: str = "cloud_id") -> DataFrame:
-    """Points per cloud and the cumulative end offsets of the clouds laid out one after the other.
+    """Points per cloud and the cumulative end offsets of the clouds laid out one after the other in id order.
 
-    The running total over clouds is taken in two steps, blocks of cloud ids first, so that no single task
-    sees the list of all clouds.
+    The running total over clouds is taken in two steps, ordered blocks of clouds first, so that no single task
+    sees the list of all clouds. Ids may be of any type that has an order.
     """
-    sizes = group_sizes(points, [keys], "n").withColumn("_block", F.floor(F.col(keys) / F.lit(100_000)))
+    sizes = ordered_blocks(group_sizes(points, [keys], "n"), keys)
     blocks = sizes.groupBy("_block").agg(F.sum("n").alias("_bn"))
     wb = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
@@ -283,8 +288,8 @@ def cloud_offsets(points: DataFrame, keys: str = "cloud_id") -> DataFrame:
 
 
 def offsets_to_counts(offsets: DataFrame, keys: str = "cloud_id") -> DataFrame:
-    """Counts back from end offsets: the difference to the previous cloud's end, in blocks of cloud ids."""
-    o = offsets.withColumn("_block", F.floor(F.col(keys) / F.lit(100_000)))
+    """Counts back from end offsets: the difference to the previous cloud's end, in ordered blocks of clouds."""
+    o = ordered_blocks(offsets.select(keys, "end_offset"), keys)
     wb = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ends = o.groupBy("_block").agg(F.max("end_offset").alias("_end"))
     ends = ends.withColumn("_before", F.coalesce(F.max("_end").over(wb), F.lit(0))).drop("_end")

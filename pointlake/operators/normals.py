@@ -90,16 +90,15 @@ def neighbour_scorer(points: DataFrame, k: int, keys: list[str] = ("cloud_id",))
     return score
 
 
-def patch_scorer(fn: Callable[[pd.DataFrame], np.ndarray], group: list[str], chunk_rows: int = 100_000) -> Scorer:
+def patch_scorer(fn: Callable[[pd.DataFrame], np.ndarray], group: list[str], pointwise: bool = False) -> Scorer:
     """Plug in a model: ``fn`` maps the rows of one patch (position, normal, confidence) to logits.
 
-    A patch above ``chunk_rows`` is scored in hashed chunks, so that no patch has to fit one task.
+    A patch is always handed over whole; the extractor's patch size bounds it. A model that looks at single rows says
+    ``pointwise`` and gets them as they come, in batches.
     """
 
     def score(state: DataFrame) -> DataFrame:
         types = dict(state.dtypes)
-        sizes = state.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows)).cast("int").alias("_chunks"))
-        s = state.join(sizes, group).withColumn("_chunk", F.pmod(F.xxhash64("point_id"), F.col("_chunks")).cast("int"))
         schema = ", ".join(f"{c} {types[c]}" for c in [*group, "point_id"]) + ", logit double"
 
         def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +106,9 @@ def patch_scorer(fn: Callable[[pd.DataFrame], np.ndarray], group: list[str], chu
             out["logit"] = np.asarray(fn(pdf), dtype="float64")
             return out
 
-        return s.groupBy(*group, "_chunk").applyInPandas(work, schema)
+        if pointwise:
+            return state.mapInPandas(lambda batches: map(work, batches), schema)
+        return state.groupBy(*group).applyInPandas(work, schema)
 
     return score
 

@@ -99,10 +99,12 @@ def objective(edges: DataFrame, labels: DataFrame, keys: list[str] = ("cloud_id"
     keys = list(keys)
     same = F.col("_fi") == F.col("_fj")
     e = with_labels(edges.where(F.col("i") < F.col("j")), labels, keys)
-    return e.groupBy(*keys).agg(
+    known = e.groupBy(*keys).agg(
         F.sum(F.when(same, F.col("a")).otherwise(F.col("b"))).alias("objective"),
         (F.sum(F.when(same, F.col("b")).otherwise(F.col("a"))) * 2).alias("total_cost"),
     )
+    # A cloud without edges has nothing to gain or to pay.
+    return labels.select(*keys).distinct().join(known, keys, "left").fillna(0, ["objective", "total_cost"])
 
 
 def _improve_small(g: dict) -> dict:
@@ -112,12 +114,12 @@ def _improve_small(g: dict) -> dict:
     flip = g["flip"][own][pos].copy()
     i, j = np.searchsorted(ids, g["i"][~own]), np.searchsorted(ids, g["j"][~own])
     delta = g["b"][~own] - g["a"][~own]
-    for _ in range(int(g["_rounds"][0])):
-        gain = np.zeros(len(ids))
+    while True:
+        gain = np.zeros(len(ids), np.int64)
         step = np.where(flip[i] == flip[j], delta, -delta)
         np.add.at(gain, i, step)
         np.add.at(gain, j, step)
-        up = gain > 1e-9
+        up = gain > 0
         if not up.any():
             break
         both = up[i] & up[j]
@@ -128,19 +130,22 @@ def _improve_small(g: dict) -> dict:
     return {"patch_id": ids, "flip": flip}
 
 
-def improve_flips(edges: DataFrame, labels: DataFrame, keys: list[str] = ("cloud_id",), max_rounds: int = 200,
+def improve_flips(edges: DataFrame, labels: DataFrame, keys: list[str] = ("cloud_id",),
                   limit: int = SMALL_GRAPH_ROWS) -> DataFrame:
     """Parallel local search. A patch flips when that gains and no neighbour gains more; such patches are never
-    adjacent, so the objective rises every round until no single flip helps."""
+    adjacent, so the objective rises every round until no single flip helps.
+
+    Weights are taken as whole multiples of 2^-20, so that sums do not depend on their order and the search ends.
+    """
     keys = list(keys)
     e = edges.where(F.col("i") < F.col("j")).select(
-        *keys, "i", "j", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"),
+        *keys, "i", "j", *(F.round(F.col(c).cast("double") * (1 << 20)).cast("long").alias(c) for c in ("a", "b")),
         F.lit(0).cast("long").alias("flip"),
     )
-    zero = F.lit(0.0)
+    zero = F.lit(0).cast("long")
     own = labels.select(*keys, F.col("patch_id").alias("i"), F.col("patch_id").alias("j"), zero.alias("a"),
                         zero.alias("b"), F.col("flip").cast("long").alias("flip"))
-    rows = cut(e.unionByName(own).withColumn("_rounds", F.lit(max_rounds)))
+    rows = cut(e.unionByName(own))
     big = oversized(rows, keys, limit)
     small = rows if big is None else rows.join(big, keys, "left_anti")
     schema = typed(rows, keys) + f", patch_id {dict(rows.dtypes)['i']}, flip long"
@@ -149,17 +154,17 @@ def improve_flips(edges: DataFrame, labels: DataFrame, keys: list[str] = ("cloud
         return out
     huge = rows.join(big, keys, "left_semi")
     bits = huge.where(F.col("i") == F.col("j")).select(*keys, F.col("i").alias("patch_id"), "flip")
-    return out.unionByName(_improve_rounds(huge.where(F.col("i") < F.col("j")), bits, keys, max_rounds))
+    return out.unionByName(_improve_rounds(huge.where(F.col("i") < F.col("j")), bits, keys))
 
 
-def _improve_rounds(edges: DataFrame, labels: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
+def _improve_rounds(edges: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     e = cut(both_directions(edges.where(F.col("i") < F.col("j")).select(*keys, "i", "j", "a", "b")))
     labels = cut(labels.select(*keys, "patch_id", "flip"))
-    for _ in range(max_rounds):
+    while True:
         same = F.col("_fi") == F.col("_fj")
         gain = F.sum(F.when(same, F.col("b") - F.col("a")).otherwise(F.col("a") - F.col("b")))
         gains = with_labels(e, labels, keys).groupBy(*keys, F.col("i").alias("patch_id")).agg(gain.alias("_g"))
-        gains = cut(gains.where(F.col("_g") > 1e-9))
+        gains = cut(gains.where(F.col("_g") > 0))
         if is_empty(gains):
             break
         mine = gains.select(*keys, F.col("patch_id").alias("i"), F.struct(F.col("_g"), -F.col("patch_id")).alias("_mi"))

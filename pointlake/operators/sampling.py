@@ -202,11 +202,6 @@ def augment_downsample(points: DataFrame, min_ratio: float, min_points: int, see
     return exact_sample(points, size, seed)
 
 
-def cap_points(points: DataFrame, max_points: int, seed: int = 42) -> DataFrame:
-    """At most ``max_points`` random points per cloud: a sampling operator, used for training views only."""
-    return exact_sample(points, F.lit(max_points), seed)
-
-
 def sample_queries(points: DataFrame, count: int, method: str = "fps", seed: int = 42) -> DataFrame:
     """``count`` query points per cloud, by farthest-point or random sampling; small clouds return all."""
     if method == "fps":
@@ -249,9 +244,10 @@ def normalized_voxel_downsample(points: DataFrame, voxel: float, extra: list[str
     return small.drop("_half", *[f"_mid_{c}" for c in XYZ])
 
 
-def voxel_sizes_for_rate(points: DataFrame, rate: float, offset: float = 0.1, rungs: int = 16,
-                         rounds: int = 12) -> DataFrame:
-    """Per cloud a voxel size that leaves rate * N voxels within the tolerance: (cloud_id, voxel).
+def voxel_sizes_for_rate(points: DataFrame, rate: float, offset: float = 0.1, rungs: int = 16) -> DataFrame:
+    """Per cloud a voxel size that leaves rate * N voxels within the tolerance: (cloud_id, voxel, in_band).
+
+    ``in_band`` is false where no size does: the interval has shrunk to neighbouring doubles, or no rung narrows it.
 
     Every round sketches the number of voxels for ``rungs`` sizes in one aggregation, counts the most promising
     size exactly, and narrows the interval of each open cloud; a size is accepted by its exact count only.
@@ -268,7 +264,7 @@ def voxel_sizes_for_rate(points: DataFrame, rate: float, offset: float = 0.1, ru
     def cell(v: Column) -> Column:
         return F.struct(*[F.floor((F.col(c) - F.col(f"min_{c}")) / v).cast("long") for c in XYZ])
 
-    for last in [False] * (rounds - 1) + [True]:
+    while True:
         p = points.select("cloud_id", *XYZ).join(want, "cloud_id")
         tries = p.withColumn("_rung", F.explode(F.sequence(F.lit(1), F.lit(rungs)))).withColumn(
             "_v", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_rung") / F.lit(float(rungs))
@@ -291,17 +287,19 @@ def voxel_sizes_for_rate(points: DataFrame, rate: float, offset: float = 0.1, ru
             .groupBy("cloud_id", "_try", "_goal").agg(F.count(F.lit(1)).alias("_k"))
         )
         fits = (F.col("_k") <= F.col("_goal") * F.lit(1 + offset)) & (F.col("_k") >= F.col("_goal") * F.lit(1 - offset))
-        exact = cut(exact.withColumn("_fits", fits | F.lit(last)))
-        hit = exact.where("_fits").select("cloud_id", F.col("_try").alias("voxel"))
-        done = hit if done is None else done.unionByName(hit)
-        want = cut(
+        exact = cut(exact.withColumn("_fits", fits))
+        many = F.col("_k") > F.col("_goal")
+        left = cut(
             want.join(exact.where(~F.col("_fits")).select("cloud_id", "_k"), "cloud_id")
             .join(best, "cloud_id")
-            .withColumn("_many", F.col("_k") > F.col("_goal"))
-            .withColumn("_low", F.greatest("_low", "_new_low", F.when(F.col("_many"), F.col("_try"))))
-            .withColumn("_high", F.least("_high", "_new_high", F.when(~F.col("_many"), F.col("_try"))))
-            .drop("_try", "_new_low", "_new_high", "_k", "_many")
+            .withColumn("_l", F.greatest("_low", "_new_low", F.when(many, F.col("_try"))))
+            .withColumn("_h", F.least("_high", "_new_high", F.when(~many, F.col("_try"))))
+            .withColumn("_open", (F.col("_h") - F.col("_l") > F.col("_h") * 1e-12) & ((F.col("_h") < F.col("_high")) | (F.col("_l") > F.col("_low"))))
         )
+        hit = exact.where("_fits").select("cloud_id", F.col("_try").alias("voxel"), F.lit(True).alias("in_band"))
+        hit = hit.unionByName(left.where(~F.col("_open")).select("cloud_id", F.col("_try").alias("voxel"), F.lit(False).alias("in_band")))
+        done = hit if done is None else done.unionByName(hit)
+        want = cut(left.where("_open").select(*[c for c in want.columns if c not in ("_low", "_high")], F.col("_l").alias("_low"), F.col("_h").alias("_high")))
         if is_empty(want):
             break
     return done
@@ -309,7 +307,7 @@ def voxel_sizes_for_rate(points: DataFrame, rate: float, offset: float = 0.1, ru
 
 def rate_voxel_downsample(points: DataFrame, rate: float, offset: float = 0.1) -> DataFrame:
     sizes = voxel_sizes_for_rate(points, rate, offset)
-    p = points.join(sizes, "cloud_id")
+    p = points.join(sizes.drop("in_band"), "cloud_id")
     return voxel_downsample(p, F.col("voxel"))
 
 
@@ -327,9 +325,3 @@ def downsample_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     return n_in.join(n_out, "cloud_id", "left").withColumn("n_out", F.coalesce("n_out", F.lit(0))).withColumn(
         "actual_ratio", F.col("n_out") / F.col("n_in")
     )
-
-
-def thin_large(points: DataFrame, limit: int = 10_000_000, ratio: float = 0.1, seed: int = 42) -> DataFrame:
-    """Preview of very large results: clouds above ``limit`` points are thinned, others stay whole."""
-    n = F.col("_n")
-    return exact_sample(points, F.when(n > limit, F.greatest(F.lit(1), F.floor(n * ratio))).otherwise(n), seed)

@@ -161,10 +161,35 @@ def group_sizes(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def ordered_blocks(df: DataFrame, key: str) -> DataFrame:
+    """The rows with ``_block``, numbered so that blocks follow the order of ``key``, whatever its type.
+
+    Rows are dealt by range and kept, so every later step sees the same blocks; a block is one task's share.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, key).withColumn("_block", F.spark_partition_id()))
+
+
+def dense_ordinals(ids: DataFrame, key: str) -> DataFrame:
+    """(key, ordinal): 0, 1, ... in order of ``key`` over its distinct values."""
+    rows = ordered_blocks(ids.select(key).distinct(), key)
+    # One row per block.
+    before = group_sizes(rows, ["_block"], "_n").withColumn(
+        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(key))
+    return rows.withColumn("_place", place).join(before, "_block").select(
+        key, (F.col("_before") + F.col("_place") - 1).cast("long").alias("ordinal")
+    )
+
+
 def exact_medians(
     df: DataFrame, keys: list[str], value: str, lower: bool, name: str, limit: int = RANK_ROWS
 ) -> DataFrame:
     """Exact median per group by rank: the lower middle value, or the mean of both middle values."""
+    if not keys:
+        whole = exact_medians(df.withColumn("_whole", F.lit(0)), ["_whole"], value, lower, name, limit)
+        return whole.drop("_whole")
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
     rn = ranked(rows, keys, [value], [value], "_rn", limit)
     both = rn.join(group_sizes(rows, keys, "_n"), keys)

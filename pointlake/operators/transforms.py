@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ, as_flag, clamp, dot, unit
-from pointlake.operators.knn import radius_join
+from pointlake.operators.knn import knn_join
 from pointlake.operators.sampling import cloud_bounds, hash_order
 
 # Colours of the segmentation classes, 0 to 255.
@@ -152,11 +152,16 @@ def colour_correctness(df: DataFrame, pred=NORMAL, truth=TRUTH) -> DataFrame:
 
 
 def colour_labels(df: DataFrame, label: str, num_classes: int, names=RGB) -> DataFrame:
-    """Palette colour of the label clipped to the known classes (at most 20 colours, a literal array)."""
+    """Palette colour of the label clipped to the known classes; classes beyond the palette get one from a hash."""
     known = PALETTE[:num_classes]
-    idx = F.greatest(F.lit(0), F.least(F.lit(len(known) - 1), F.col(label))).cast("int")
+    idx = F.greatest(F.lit(0), F.least(F.lit(num_classes - 1), F.col(label))).cast("int")
     table = F.array(*[F.array(*[F.lit(v) for v in rgb]) for rgb in known])
-    return df.withColumns({n: table[idx][i].cast("long") for i, n in enumerate(names)})
+
+    def value(i: int) -> Column:
+        own = F.get(F.get(table, idx), F.lit(i)).cast("long")
+        return own if num_classes <= len(PALETTE) else F.coalesce(own, F.pmod(F.xxhash64(idx, F.lit(i)), F.lit(256)))
+
+    return df.withColumns({n: value(i) for i, n in enumerate(names)})
 
 
 def colour_normals(df: DataFrame, normal=NORMAL) -> DataFrame:
@@ -173,7 +178,9 @@ def colour_training_sets(df: DataFrame) -> DataFrame:
 
 def highlight_near(df: DataFrame, queries: DataFrame, radius: float = 0.05, names=RGB, colour=GOLD) -> DataFrame:
     """Paint the points within ``radius`` of any of the cloud's query points (cloud_id, point_id, x, y, z)."""
-    hits = radius_join(queries, df, radius).select("cloud_id", F.col("dst").alias("point_id")).distinct()
+    # A point needs its nearest query point only.
+    near = knn_join(df.select("cloud_id", "point_id", *XYZ), queries, 1).where(F.col("d2") <= radius * radius)
+    hits = near.select("cloud_id", F.col("src").alias("point_id"))
     marked = df.join(hits.withColumn("_hit", F.lit(True)), ["cloud_id", "point_id"], "left")
     paint = {n: F.when(F.col("_hit"), F.lit(v)).otherwise(F.col(n)).cast("long") for n, v in zip(names, colour)}
     return marked.withColumns(paint).drop("_hit")

@@ -130,11 +130,11 @@ def patch_info(report: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def prediction_rows(points: DataFrame, predictions: DataFrame, truth: DataFrame, num_classes: int,
-                    max_samples: int | None = None) -> DataFrame:
+                    clouds: DataFrame | None = None) -> DataFrame:
     """Points with predicted and true label and palette colours; only points known to all three inputs.
 
-    A prediction given as an array of scores becomes the position of its largest one. ``max_samples`` limits a
-    preview to the first clouds by id.
+    A prediction given as an array of scores becomes the position of its largest one. With ``clouds``
+    (cloud_id), only these are exported.
     """
     on = ["cloud_id", "point_id"]
     p = predictions
@@ -142,9 +142,8 @@ def prediction_rows(points: DataFrame, predictions: DataFrame, truth: DataFrame,
         best = F.array_position("prediction", F.array_max("prediction")) - 1
         p = p.withColumn("prediction", best.cast("long"))
     rows = points.select(*on, *XYZ).join(p.select(*on, "prediction"), on).join(truth.select(*on, "ground_truth"), on)
-    if max_samples is not None:
-        chosen = rows.select("cloud_id").distinct().orderBy("cloud_id").limit(max_samples)
-        rows = rows.join(chosen, "cloud_id", "left_semi")
+    if clouds is not None:
+        rows = rows.join(clouds.select("cloud_id"), "cloud_id", "left_semi")
     rows = colour_labels(rows, "prediction", num_classes, ("pr", "pg", "pb"))
     return colour_labels(rows, "ground_truth", num_classes, ("tr", "tg", "tb"))
 
