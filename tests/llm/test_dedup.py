@@ -133,7 +133,7 @@ def test_removal_of_generated_texts(spark):
     parts = ["".join(rng.choices("ab c", k=rng.randint(5, 90))) for _ in range(8)] + ["é" * 40, "x" * 200, "\x00" * 60]
     rows = [(rng.randint(0, 30), "".join(rng.choices(parts, k=rng.randint(0, 6)))) for _ in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for length in (32, 50, 57):
+    for length in (40, 50, 57):
         assert removed(df, length) == plain_removal(rows, length)
 
 
@@ -144,7 +144,7 @@ def test_kept_columns_and_text(spark):
     assert rows[2].kept == "xy" and rows[2].keep_0 == "b" and rows[2].keep_1 == "x" + same + "y" and rows[3].kept == "" and rows[3].keep_1 is None
     assert suffix.remove_repeats(df.where("false")).collect() == []
     with pytest.raises(ValueError):
-        suffix.remove_repeats(df, length=20)
+        suffix.remove_repeats(df, length=39)
 
 
 def test_suffix_array_is_sorted():
