@@ -330,6 +330,11 @@ def _word_counts(chunks: DataFrame, length: int) -> DataFrame:
     return chunks.select("chunk", "sizes", "data", "copies").mapInArrow(count, "word int, chunk long, n int")
 
 
+def _anywhere(chunk: int, at: np.ndarray) -> np.ndarray:
+    """Keys that spread rows evenly."""
+    return (at * 0x9E3779B1 + chunk) & ((1 << 44) - 1)
+
+
 def _run_rows(key, texts, doc, chunk, at, upto) -> pa.RecordBatch:
     columns = [np.asarray(key, np.int64), None, doc, np.full(len(doc), chunk, np.int64), at, upto]
     arrays = [pa.array([None] * len(doc) if texts is None else texts, pa.binary()) if c is None else pa.array(c, pa.int64()) for c in columns]
@@ -348,7 +353,7 @@ def _runs(held: DataFrame, length: int) -> DataFrame:
             for chunk, ids, sizes, data, copies, words, hot in zip(*columns):
                 chunk, data, ranks, bounds = chunk.as_py(), data.as_py(), _ranks(ids), _bounds(sizes)
                 copied = _is_copy(len(sizes), copies)
-                yield _run_rows(np.flatnonzero(copied), None, ranks[copied], chunk, bounds[:-1][copied], bounds[1:][copied])
+                yield _run_rows(_anywhere(chunk, bounds[:-1][copied]), None, ranks[copied], chunk, bounds[:-1][copied], bounds[1:][copied])
                 if not words.is_valid:
                     continue
                 first, last, word, doc = minimiser_runs(data, bounds, length)
@@ -374,6 +379,7 @@ def _runs(held: DataFrame, length: int) -> DataFrame:
                 key = (word.astype(np.int64) & 0xFFFFFFFF) << 13
                 for i in np.flatnonzero(spread & ~known).tolist():
                     key[i] |= 1 + zlib.crc32(texts[i]) % SPREAD
+                key[known] = _anywhere(chunk, first[known])  # they need no company
                 rows = [(None if k else t) for k, t in zip(known.tolist(), texts)]
                 yield _run_rows(key, rows, doc, chunk, first, last + length)
 
