@@ -85,25 +85,67 @@ _PTS = "SELECT cloud_id, point_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS
 
 
 def _round_trip(spark, sf, binary):
-    """Export all clouds, read the files back with the data source and undo the numbering of the file."""
+    """Export all clouds, some of them in parts, and read the files back with the data source."""
     p = emb_points(spark, sf)
+    if not binary:
+        p = p.withColumns({c: F.round(c, 6) for c in (*XYZ, *NORMAL)})
     folder = scratch(spark, "ply")
     ply.write_ply(p, folder, binary=binary, normals=True, rows_per_file=30).count()
     back = ply.read_ply(spark, _local(folder), ["x", "y", "z", "nx", "ny", "nz"])
-    cloud = F.regexp_extract("cloud_id", r"^(\d+)", 1).cast("long")
-    return rounded(back.select(cloud.alias("cloud_id"), *XYZ, "nx"), 6 if binary else 5)
+    return rounded(back.select(F.col("cloud_id").cast("long").alias("cloud_id"), F.col("point_id").alias("place"), *XYZ, *NORMAL), 6 if binary else 4)
 
 
-@query("ply_round_trip_binary", f"WITH {EMB} SELECT cloud_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, round(nx, 6) + 0.0 AS nx FROM emb")
+def _round_trip_sql(value):
+    columns = ", ".join(f"{value.format(c)} + 0.0 AS {c}" for c in (*XYZ, *NORMAL))
+    return f"""WITH {EMB} SELECT cloud_id, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) - 1 AS place, {columns} FROM emb"""
+
+
+@query("ply_round_trip_binary", _round_trip_sql("round({}, 6)"))
 def _(spark, sf):
     return _round_trip(spark, sf, True)
 
 
-@query("ply_round_trip_ascii")
+@query("ply_round_trip_ascii", _round_trip_sql("round(CAST(round({}, 6) AS FLOAT)::DOUBLE, 4)"))
 def _(spark, sf):
     return _round_trip(spark, sf, False)
 
 
+@query("ply_same_stem", f"""WITH {EMB} SELECT f AS folder, 'f' || f || '/all' AS cloud_id, count(*) AS n, CAST(count(DISTINCT point_id) AS BIGINT) AS ids
+FROM (SELECT cloud_id % 3 AS f, point_id FROM emb) GROUP BY 1""")
+def _(spark, sf):
+    """Files of the same name in several folders are several clouds."""
+    p = emb_points(spark, sf).withColumn("folder", F.col("cloud_id") % 3)
+    folder = scratch(spark, "ply")
+    for f in range(3):
+        part = p.where(F.col("folder") == f).withColumn("cloud_id", F.lit("all"))
+        ply.write_ply(part, f"{folder}/raw{f}").count()
+        files = spark._jvm.org.apache.hadoop.fs
+        store = files.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(files.Path(f"{folder}/all/f{f}"))
+        store.rename(files.Path(f"{folder}/raw{f}/all.cloud/part-00000000.ply"), files.Path(f"{folder}/all/f{f}/all.ply"))
+    back = ply.read_ply(spark, f"{folder}/all", ["x"]).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("point_id").alias("ids"))
+    return back.select(F.substring("cloud_id", 2, 1).cast("long").alias("folder"), "cloud_id", "n", "ids")
+
+
+@query("ply_names_round_trip", f"""WITH {EMB}, t AS (SELECT ['a b', 'a_b', 'a:b', 'a/b', 'ä%20', '..', '007'][cloud_id % 7 + 1] AS cloud_id FROM emb)
+SELECT cloud_id, count(*) AS n FROM t GROUP BY 1""")
+def _(spark, sf):
+    """Names that only differ in characters which file names do not bear."""
+    names = F.array(*map(F.lit, ["a b", "a_b", "a:b", "a/b", "ä%20", "..", "007"]))
+    p = emb_points(spark, sf).withColumn("cloud_id", names[(F.col("cloud_id") % 7).cast("int")])
+    folder = scratch(spark, "ply")
+    ply.write_ply(p, folder, binary=True).count()
+    return ply.read_ply(spark, folder, ["x"]).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("points_files_fallback", f"WITH {EMB} SELECT CAST(cloud_id AS VARCHAR) AS cloud_id, count(*) AS n FROM emb GROUP BY 1")
+def _(spark, sf):
+    """Raw files are read where the preprocessed table is missing."""
+    folder = scratch(spark, "ply")
+    ply.write_ply(emb_points(spark, sf), folder).count()
+    return ply.read_points(spark, f"{folder}-missing", folder).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ply_manifest", f"""WITH {EMB}, r AS (SELECT cloud_id, (row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) - 1) // 30 AS part FROM emb)
 SELECT cloud_id, CAST(part AS BIGINT) AS part, count(*) AS rows FROM r GROUP BY 1, 2""")
 def _(spark, sf):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from urllib.parse import unquote_plus
+
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -23,6 +25,8 @@ from pointlake.session import cut
 SPLIT_BYTES = 128 * 1024 * 1024
 BATCH_ROWS = 65_536
 ROWS_PER_FILE = 1_000_000
+#: Ending of the folder that holds the parts of one exported cloud.
+CLOUD_FOLDER = ".cloud"
 SCHEMA = (
     "cloud_id string, path string, point_id long, x double, y double, z double, "
     "nx double, ny double, nz double, r int, g int, b int"
@@ -44,6 +48,7 @@ class Header:
     dtype: np.dtype
     start: int  # byte of the first vertex record (binary) or of the first body line (ascii)
     skip_lines: int  # ascii body lines before the vertices
+    first_row: int  # number of the first vertex within its cloud, for a part of a cloud
 
 
 def read_header(handle) -> Header:
@@ -59,10 +64,12 @@ def read_header(handle) -> Header:
     lines = [ln.split() for ln in text[:end].decode("ascii", "replace").splitlines()]
     if not lines or lines[0] != ["ply"]:
         raise ValueError("not a PLY file")
-    encoding, elements = None, []
+    encoding, elements, first_row = None, [], 0
     for words in lines:
         if words[:1] == ["format"]:
             encoding = words[1]
+        elif words[:2] == ["comment", "first_row"]:
+            first_row = int(words[2])
         elif words[:1] == ["element"]:
             elements.append((words[1], int(words[2]), []))
         elif words[:1] == ["property"]:
@@ -76,7 +83,7 @@ def read_header(handle) -> Header:
             raise ValueError("list properties before or inside the vertex element are not supported")
         if name == "vertex":
             dtype = np.dtype([(p[1], order[encoding] + SCALARS[p[0]]) for p in props])
-            return Header(encoding, count, dtype, start, skip)
+            return Header(encoding, count, dtype, start, skip, first_row)
         skip += count
         if encoding != "ascii":
             start += count * np.dtype([(p[1], SCALARS[p[0]]) for p in props]).itemsize
@@ -135,6 +142,7 @@ class PlyReader(DataSourceReader):
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.columns = [c for c in options.get("columns", ",".join(COLUMNS)).replace(" ", "").split(",") if c]
         self.normals_required = str(options.get("requirenormals", "false")).lower() == "true"
+        self.skip_broken = str(options.get("skipbroken", "false")).lower() == "true"
 
     def _filesystem(self):
         root = self.root[5:] if self.root.startswith("file:") else self.root
@@ -159,21 +167,49 @@ class PlyReader(DataSourceReader):
     def read(self, partition):
         store, _ = self._filesystem()
         for path, begin, end in partition.pieces:
-            with store.open_input_file(path) as handle:
-                head = read_header(handle)
-                if self.normals_required and "nx" not in head.dtype.names:
-                    raise ValueError(f"{path} has no normals")
-                if head.encoding == "ascii":
-                    rows = _ascii_rows(handle, head) if begin == 0 else ()
-                else:
-                    rows = _binary_rows(handle, head, begin, end)
-                for first, block in rows:
-                    yield self._batch(path, first, block)
+            try:
+                if self.skip_broken:
+                    self._check(store, path)
+            except BROKEN:
+                continue
+            yield from self._blocks(store, path, begin, end)
+
+    def _blocks(self, store, path: str, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+        with store.open_input_file(path) as handle:
+            head = read_header(handle)
+            if self.normals_required and "nx" not in head.dtype.names:
+                raise ValueError(f"{path} has no normals")
+            if head.encoding == "ascii":
+                rows = _ascii_rows(handle, head) if begin == 0 else ()
+            else:
+                rows = _binary_rows(handle, head, begin, end)
+            for first, block in rows:
+                yield self._batch(path, head.first_row + first, block)
+
+    def _check(self, store, path: str) -> int:
+        """Rows of a file that can be read as a whole; raises what reading would raise. Binary rows are not decoded."""
+        with store.open_input_file(path) as handle:
+            head = read_header(handle)
+            if self.normals_required and "nx" not in head.dtype.names:
+                raise ValueError(f"{path} has no normals")
+            if head.encoding == "ascii":
+                return sum(len(block) for _, block in _ascii_rows(handle, head))
+            if handle.size() < head.start + head.rows * head.dtype.itemsize:
+                raise ValueError("PLY file is shorter than its header says")
+            return head.rows
+
+    def cloud_of(self, path: str) -> str:
+        """The path below the root without its ending; for a part of an exported cloud, that cloud's id."""
+        _, root = self._filesystem()
+        below = path[len(root) :].strip("/") if path.startswith(root) and path != root else path.rsplit("/", 1)[-1]
+        folder = below.rpartition("/")[0] or root.rstrip("/").rsplit("/", 1)[-1]
+        if folder.endswith(CLOUD_FOLDER):
+            return unquote_plus(folder.rsplit("/", 1)[-1][: -len(CLOUD_FOLDER)])
+        return below[: -len(".ply")]
 
     def _batch(self, path: str, first: int, block: np.ndarray) -> pa.RecordBatch:
         n = len(block)
-        stem = path.rsplit("/", 1)[-1][: -len(".ply")]
-        arrays = [pa.array([stem] * n), pa.array([path] * n), pa.array(np.arange(first, first + n))]
+        arrays = [pa.array([self.cloud_of(path)] * n), pa.array([path] * n), pa.array(np.arange(first, first + n))]
         for name, prop in COLUMNS.items():
             kind = pa.int32() if name in "rgb" else pa.float64()
             known = prop in block.dtype.names and name in self.columns
@@ -181,8 +217,44 @@ class PlyReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(arrays, names=["cloud_id", "path", "point_id", *COLUMNS])
 
 
+#: What a file that is no sound PLY file raises while it is read.
+BROKEN = (ValueError, KeyError, IndexError, TypeError, OverflowError)
+
+
+class PlyStatusReader(PlyReader):
+    """One row per file, whether it can be read or not."""
+
+    def read(self, partition):
+        store, _ = self._filesystem()
+        for path, begin, _ in partition.pieces:
+            if begin == 0:
+                rows, error = None, None
+                try:
+                    rows = self._check(store, path)
+                except BROKEN as problem:
+                    error = f"{type(problem).__name__}: {problem}"
+                yield self.cloud_of(path), path, rows, error
+
+
+class PlyStatusSource(DataSource):
+    """Files below ``path`` with their rows, or the error that reading them raises."""
+
+    @classmethod
+    def name(cls):
+        return "ply_status"
+
+    def schema(self):
+        return "cloud_id string, path string, rows long, error string"
+
+    def reader(self, schema):
+        return PlyStatusReader(dict(self.options))
+
+
 class PlyDataSource(DataSource):
-    """Options: path, splitBytes, columns (only these are decoded), requireNormals."""
+    """Options: path, splitBytes, columns (only these are decoded), requireNormals, skipBroken.
+
+    A cloud is named by the path of its file below the root, so equal file names in two folders are two clouds.
+    """
 
     @classmethod
     def name(cls):
@@ -197,14 +269,35 @@ class PlyDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PlyDataSource)
+    spark.dataSource.register(PlyStatusSource)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark resolves it, with its file system; local paths are for a local master only."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
+    if full.startswith("file:"):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{full} is a local path; executors of a cluster would each see their own")
+        return "/" + full[5:].lstrip("/")
+    return full
+
+
+def ply_status(spark: SparkSession, path: str, require_normals: bool = False) -> DataFrame:
+    """(cloud_id, path, rows, error) of every file; an unreadable file is a row with its error, not the end of the job."""
+    register(spark)
+    return spark.read.format("ply_status").option("requireNormals", str(require_normals).lower()).load(qualified(spark, path))
 
 
-def read_ply(spark: SparkSession, path: str, columns: list[str] | None = None, require_normals: bool = False) -> DataFrame:
+def read_ply(spark: SparkSession, path: str, columns: list[str] | None = None, require_normals: bool = False,
+             skip_broken: bool = False) -> DataFrame:
+    """Points of all files below ``path``. ``skip_broken`` leaves out what ``ply_status`` reports with an error."""
     register(spark)
     reader = spark.read.format("ply").option("requireNormals", str(require_normals).lower())
+    reader = reader.option("skipBroken", str(skip_broken).lower())
     if columns:
         reader = reader.option("columns", ",".join(columns))
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def read_points(spark: SparkSession, table_path: str | None, ply_path: str | None) -> DataFrame:
@@ -228,10 +321,10 @@ def ascii_lines(df: DataFrame, normals: bool = False, colours: bool = False) ->
     return df.withColumn("line", F.format_string(" ".join(spec), *cols))
 
 
-def header_text(rows: int, binary: bool, normals: bool, colours: bool) -> str:
+def header_text(rows: int, binary: bool, normals: bool, colours: bool, first_row: int = 0) -> str:
     kind = "double" if binary else "float"
     names = [*XYZ, *(NORMAL if normals else ())]
-    lines = ["ply", f"format {'binary_little_endian' if binary else 'ascii'} 1.0", f"element vertex {rows}"]
+    lines = ["ply", f"format {'binary_little_endian' if binary else 'ascii'} 1.0", f"comment first_row {first_row}", f"element vertex {rows}"]
     lines += [f"property {kind} {n}" for n in names]
     lines += [f"property uchar {n}" for n in ("red", "green", "blue")] if colours else []
     return "\n".join(lines + ["end_header", ""])
@@ -241,17 +334,17 @@ def write_ply(points: DataFrame, folder: str, binary: bool = False, normals: boo
               rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Write every cloud in point order and return the manifest (cloud_id, part, path, rows).
 
-    A cloud above ``rows_per_file`` becomes several complete files ``<cloud>_part<n>.ply``, so no task writes a
-    whole large cloud. Files are written under a temporary name and renamed, which makes retries harmless.
+    A cloud of any size is one folder ``<cloud>.cloud`` of complete files ``part-<n>.ply`` with up to ``rows_per_file``
+    points each; the name is percent-encoded, so no two clouds meet, and reading the folder gives one cloud. Files are written under a temporary name and renamed, which makes retries harmless.
     """
+    folder = qualified(points.sparkSession, folder)
     cols = [*XYZ, *(NORMAL if normals else ()), *("rgb" if colours else "")]
     df = points.select("cloud_id", "point_id", *cols)
     df = ranked(df, ["cloud_id"], ["point_id"], ["point_id"], "_rn")
-    total = df.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("_total"))
-    df = df.join(total, "cloud_id").withColumn("part", F.floor((F.col("_rn") - 1) / F.lit(rows_per_file)))
-    name = F.regexp_replace(F.col("cloud_id").cast("string"), r"[^A-Za-z0-9_.-]", "_")
-    single = F.col("_total") <= rows_per_file
-    df = df.withColumn("_file", F.when(single, name).otherwise(F.concat(name, F.lit("_part"), F.col("part"))))
+    df = df.withColumn("part", F.floor((F.col("_rn") - 1) / F.lit(rows_per_file)))
+    name = F.regexp_replace(F.url_encode(F.col("cloud_id").cast("string")), r"\.", "%2E")
+    part = F.lpad(F.col("part").cast("string"), 8, "0")
+    df = df.withColumn("_file", F.concat(name, F.lit(f"{CLOUD_FOLDER}/part-"), part))
     if not binary:
         df = ascii_lines(df, normals, colours)
     keep = cols if binary else ["line"]
@@ -260,7 +353,7 @@ def write_ply(points: DataFrame, folder: str, binary: bool = False, normals: boo
     def save(g: dict) -> dict:
         order = np.argsort(g["_rn"], kind="stable")
         n = len(order)
-        head = header_text(n, binary, normals, colours).encode("ascii")
+        head = header_text(n, binary, normals, colours, int(g["_rn"].min()) - 1).encode("ascii")
         if binary:
             layout = np.dtype([(c, "u1" if c in "rgb" else "<f8") for c in cols])
             body = np.empty(n, dtype=layout)
@@ -271,8 +364,8 @@ def write_ply(points: DataFrame, folder: str, binary: bool = False, normals: boo
             data = head + ("\n".join(g["line"][order]) + "\n").encode("ascii")
         root = folder[5:] if folder.startswith("file:") else folder
         store, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
-        store.create_dir(base, recursive=True)
         target = f"{base}/{g['_file'][0]}.ply"
+        store.create_dir(target.rpartition("/")[0], recursive=True)
         draft = f"{target}.{np.random.default_rng().integers(1 << 62):x}.tmp"
         with store.open_output_stream(draft) as out:
             out.write(data)

@@ -130,3 +130,29 @@ def test_edge_model_learns(spark, kind):
     s = spark.createDataFrame(rows, "cloud_id long, i long, j long, fa array<double>, fb array<double>, dx double, dy double, dz double, label long")
     model = edge_model.fit(s, kind, max_iter=40)
     assert edge_model.evaluate(model, s).first().accuracy > 0.9
+
+
+def test_a_broken_file_is_a_row_and_not_the_end(spark, tmp_path):
+    good = "ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n4 5 6\n"
+    (tmp_path / "good.ply").write_text(good)
+    (tmp_path / "short.ply").write_text(good[:-6])
+    (tmp_path / "none.ply").write_text("no header")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "good.ply").write_text(good)
+    (tmp_path / "sub" / "cut.ply").write_bytes(b"ply\nformat binary_little_endian 1.0\nelement vertex 9\nproperty float x\nproperty float y\nproperty float z\nend_header\n" + b"\0" * 40)
+    status = {r.cloud_id: (r.rows, r.error) for r in ply.ply_status(spark, str(tmp_path)).collect()}
+    assert status["good"] == (2, None) and status["sub/good"] == (2, None)
+    assert {c for c, (_, e) in status.items() if e} == {"short", "none", "sub/cut"} and status["none"][1].startswith("ValueError")
+    read = ply.read_ply(spark, str(tmp_path), skip_broken=True)
+    assert {(r.cloud_id, r.n) for r in read.groupBy("cloud_id").agg(F.count("*").alias("n")).collect()} == {("good", 2), ("sub/good", 2)}
+
+
+def test_patches_of_a_cloud_do_not_depend_on_its_batch(spark):
+    small, large = cloud(40, 3), cloud(300, 4)
+    large["cloud_id"], large["point_id"] = 2, large["point_id"] + 1000
+    both = pd.concat([small, large], ignore_index=True)
+    for method, given in (("kdtree", {"patch_count": 4}), ("grid", {"patch_count": 4}), ("bfs", {"num_per_patch": 10}), ("fps", {"num_per_patch": 10}), ("knn", {"patch_count": 4}), ("fps_cpu", {"num_per_patch": 10})):
+        alone = extract_patches(spark.createDataFrame(small), method, **given)
+        batch = extract_patches(spark.createDataFrame(both), method, **given).where("cloud_id = 1")
+        rows = lambda df: sorted((r.patch_id, r.point_id) for r in df.select("patch_id", "point_id").collect())
+        assert rows(alone) == rows(batch), method
