@@ -167,6 +167,17 @@ def _(spark, sf):
     return ply.read_points(spark, path, None).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("text_ids_table", f"WITH {EVT} SELECT '00' || CAST(cloud_id AS VARCHAR) AS cloud_id, count(*) AS n FROM evt GROUP BY 1")
+def _(spark, sf):
+    """Ids that look like numbers survive a partitioned table, and a second write replaces the first."""
+    p = event_points(spark, sf).withColumn("cloud_id", F.concat(F.lit("00"), F.col("cloud_id").cast("string")))
+    counts = p.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
+    root = scratch(spark, "tables")
+    tables.write_table(counts.where("n > 70"), root, {"k": 1}, ["n"])
+    tables.write_table(counts, root, {"k": 1}, ["cloud_id"])
+    return tables.read_table(spark, root, {"k": 1}).select("cloud_id", "n")
+
+
 @query("membership_table", f"{_MULTI} SELECT cloud_id, patch_id, point_id FROM ms WHERE scale_idx = 0")
 def _(spark, sf):
     """Write the memberships below the address of their scales, then read one scale by partition pruning."""

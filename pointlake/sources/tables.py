@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from pointlake.functions.geometry import XYZ
 
@@ -41,13 +43,21 @@ def unfinished(todo: DataFrame, finished: DataFrame, keys: list[str]) -> DataFra
     return todo.join(finished, keys, "left_anti")
 
 
+MANIFEST = "hash string, config string, n_rows long, folder string, columns string"
+
+
 def write_table(df: DataFrame, root: str, config: dict, partition_by: list[str] = ()) -> str:
-    """Write below the address of the configuration, together with a manifest row."""
+    """Write below the address of the configuration: data into a folder of its own, then the manifest that names it.
+
+    The manifest is the commit: until it is there, readers see the table before, complete. It keeps the column types,
+    so that ids which look like numbers come back as they were.
+    """
     spark, path = df.sparkSession, f"{root}/{config_hash(config)}"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/data")
-    rows = spark.read.parquet(f"{path}/data").count()
-    manifest = spark.createDataFrame([(config_hash(config), canonical(config), rows)], "hash string, config string, n_rows long")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(f"{path}/{folder}")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/{folder}").count()
+    row = (config_hash(config), canonical(config), rows, folder, df.schema.json())
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return path
 
 
@@ -57,10 +67,10 @@ def read_table(spark: SparkSession, root: str, config: dict, check: bool = True)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/_SUCCESS")
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    manifest = spark.read.schema("hash string, config string, n_rows long").json(f"{path}/manifest").first()
-    df = spark.read.parquet(f"{path}/data")
+    manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
     if manifest is None or manifest["config"] != canonical(config):
         return None
+    df = spark.read.schema(StructType.fromJson(json.loads(manifest["columns"]))).parquet(f"{path}/{manifest['folder']}")
     return df if not check or df.count() == manifest["n_rows"] else None
 
 
