@@ -23,7 +23,7 @@ from pointlake.session import shared_dir
 #: Bytes of the documents that are read together, and of the runs of a suffix array.
 CHUNK_BYTES, SHARD_BYTES = 3 << 20, 4 << 20
 #: Bytes of the word that stands for a string, a multiple of eight.
-K = 32
+K = 24
 #: Words in more documents than this send single strings, spread by content, instead of runs.
 HOT_DOCUMENTS, SPREAD = 20_000, 4096
 LAST_ID = (1 << 63) - 1
