@@ -189,13 +189,13 @@ def near_duplicates(
     a row; a row with a null id gets the smallest id of its component, null if there is none; an empty table gives none;
     other columns are never read.
     """
-    carried = [*keep] if least_similarity is None else [*keep, text_col]
+    carried = [*keep] if least_similarity is None or text_col in keep else [*keep, text_col]
     docs = staged(fingerprints(df, id_col, text_col, width, carried).withColumn("row", F.monotonically_increasing_id()))
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     nodes = docs.groupBy("fp").agg(F.min(own).alias("first"))
     edges = links(nodes.select("fp"), radius)
     if least_similarity is not None:
-        texts = docs.select("row", F.coalesce(f"keep_{len(keep)}", F.lit("")).alias("text"))
+        texts = docs.select("row", F.coalesce(f"keep_{carried.index(text_col)}", F.lit("")).alias("text"))
         edges = _confirmed(edges, nodes, texts, width, least_similarity)
     edges = staged(edges)
     ends = edges.select(F.col("src").alias("v")).unionByName(edges.select(F.col("dst").alias("v"))).distinct()
