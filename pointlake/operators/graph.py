@@ -8,7 +8,7 @@ same jobs, with a reliable checkpoint per round. Both ways give the same result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pointlake.functions.geometry import as_flag
 from pointlake.operators.grouped import SMALL_GRAPH_ROWS, map_groups, oversized, typed
@@ -290,24 +290,53 @@ def _shortcut(links: DataFrame, keys: list[str]) -> DataFrame:
             return links
 
 
-def rooted_tree(tree_edges: DataFrame, roots: DataFrame, keys: list[str] = ("cloud_id",)) -> DataFrame:
-    """(keys, v, parent, level) of forests given by undirected edges (i, j) and root vertices (v)."""
-    keys = list(keys)
-    fwd = tree_edges.select(*keys, F.col("i").alias("parent"), F.col("j").alias("v"))
-    both = cut(fwd.unionByName(tree_edges.select(*keys, F.col("j").alias("parent"), F.col("i").alias("v"))))
-    none = F.lit(None).cast(dict(roots.dtypes)["v"])
-    front = cut(roots.select(*keys, "v", none.alias("parent"), F.lit(0).cast("long").alias("level")))
-    tree = front
+def _suffix_sums(arcs: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of ``s`` from each arc (p, v) to the end of its list, whose next arc is (np, nv), by doubling the links.
+
+    Arcs of lists that do not end are left out.
+    """
+    arcs, before = cut(arcs), None
     while True:
-        seen = front.select(*keys, F.col("v").alias("parent"), F.col("parent").alias("_back"), "level")
-        front = cut(
-            both.join(seen, keys + ["parent"])
-            .where(F.col("_back").isNull() | (F.col("v") != F.col("_back")))
-            .select(*keys, "v", "parent", (F.col("level") + 1).alias("level"))
+        left = arcs.where(F.col("np").isNotNull()).count()
+        if left == 0 or left == before:
+            return arcs.where(F.col("np").isNull()).select(*keys, "p", "v", "s")
+        before = left
+        ahead = arcs.select(*keys, F.col("p").alias("np"), F.col("v").alias("nv"), F.col("np").alias("_p"), F.col("nv").alias("_v"), F.col("s").alias("_s"))
+        arcs = cut(
+            arcs.join(ahead, [*keys, "np", "nv"], "left").select(
+                *keys, "p", "v", F.col("_p").alias("np"), F.col("_v").alias("nv"), (F.col("s") + F.coalesce("_s", F.lit(0))).alias("s")
+            )
         )
-        if is_empty(front):
-            return tree
-        tree = tree.unionByName(front)
+
+
+def rooted_tree(tree_edges: DataFrame, roots: DataFrame, keys: list[str] = ("cloud_id",)) -> DataFrame:
+    """(keys, v, parent, level) of forests given by undirected edges (i, j) and root vertices (v).
+
+    Each tree is walked along every edge in both directions; places on the walk follow by doubling links, in rounds that
+    grow with the logarithm of the tree's size, whatever its depth. An edge leads down where it is walked first.
+    """
+    keys = list(keys)
+    fwd = tree_edges.select(*keys, F.col("i").alias("p"), F.col("j").alias("v"))
+    both = fwd.unionByName(tree_edges.select(*keys, F.col("j").alias("p"), F.col("i").alias("v")))
+    around = Window.partitionBy(*keys, "v").orderBy("p")
+    follow = F.lead("p").over(around)
+    smallest = F.min("p").over(Window.partitionBy(*keys, "v"))
+    start = roots.select(*keys, "v", F.lit(True).alias("_root"))
+    walk = both.withColumn("_next", follow).withColumn("_first", smallest).join(start, [*keys, "v"], "left")
+    ends = F.col("_next").isNull() & F.col("_root").isNotNull()
+    walk = cut(walk.select(
+        *keys, "p", "v", F.when(~ends, F.col("v")).alias("np"), F.when(~ends, F.coalesce("_next", "_first")).alias("nv"),
+        F.lit(1).cast("long").alias("s"),
+    ))
+    place = _suffix_sums(walk, keys)
+    back = place.select(*keys, F.col("v").alias("p"), F.col("p").alias("v"), F.col("s").alias("_back"))
+    way = F.when(F.col("_s") > F.col("_back"), F.lit(1)).otherwise(F.lit(-1)).cast("long")
+    place = place.withColumnRenamed("s", "_s").join(back, [*keys, "p", "v"]).select(*keys, "p", "v", way.alias("_way"))
+    steps = walk.drop("s").join(place, [*keys, "p", "v"]).withColumnRenamed("_way", "s")
+    depth = _suffix_sums(steps, keys).join(place.where(F.col("_way") == 1), [*keys, "p", "v"])
+    down = depth.select(*keys, "v", F.col("p").alias("parent"), (1 - F.col("s")).alias("level"))
+    none = F.lit(None).cast(dict(down.dtypes)["parent"])
+    return roots.select(*keys, "v", none.alias("parent"), F.lit(0).cast("long").alias("level")).unionByName(down)
 
 
 def graph_vertices(edges: DataFrame, keys: list[str]) -> DataFrame:
