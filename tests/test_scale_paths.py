@@ -198,10 +198,10 @@ def test_no_all_pairs_plans(spark):
 
 def test_rooted_trees_of_any_depth(spark):
     """A chain, a star, a lone root and a tree without a root, which is left out."""
-    edges = [(1, i, i + 1) for i in range(700)] + [(2, 5, i) for i in range(10, 60)] + [(4, 1, 2), (4, 2, 3)]
+    edges = [(1, i, i + 1) for i in range(100)] + [(2, 5, i) for i in range(10, 60)] + [(4, 1, 2), (4, 2, 3)]
     df = spark.createDataFrame(edges, "cloud_id long, i long, j long")
-    roots = spark.createDataFrame([(1, 300), (2, 5), (3, 9)], "cloud_id long, v long")
+    roots = spark.createDataFrame([(1, 40), (2, 5), (3, 9)], "cloud_id long, v long")
     got = {(r.cloud_id, r.v): (r.parent, r.level) for r in graph.rooted_tree(df, roots).collect()}
-    want = {(1, v): (None if v == 300 else v - 1 if v > 300 else v + 1, abs(v - 300)) for v in range(701)}
+    want = {(1, v): (None if v == 40 else v - 1 if v > 40 else v + 1, abs(v - 40)) for v in range(101)}
     want |= {(2, v): (5, 1) for v in range(10, 60)} | {(2, 5): (None, 0), (3, 9): (None, 0)}
     assert got == want
