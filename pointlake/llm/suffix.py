@@ -381,12 +381,17 @@ def _runs(held: DataFrame, length: int) -> DataFrame:
                     if d < smallest.get(text, LAST_ID + 1):
                         smallest[text] = d
                 known = np.array([smallest[text] for text in texts], np.int64) < doc
-                key = (word.astype(np.int64) & 0xFFFFFFFF) << 13
-                for i in np.flatnonzero(spread & ~known).tolist():
-                    key[i] |= 1 + zlib.crc32(texts[i]) % SPREAD
-                key[known] = _anywhere(chunk, first[known])  # they need no company
-                rows = [(None if k else t) for k, t in zip(known.tolist(), texts)]
-                yield _run_rows(key, rows, doc, chunk, first, last + length)
+                # Runs overlap, so the known ones of a document mostly join into one stretch.
+                low, high = first[known], np.maximum.accumulate(last[known] + length)
+                begin = np.flatnonzero(np.append(True, low[1:] > high[:-1])) if len(low) else np.zeros(0, np.int64)
+                low, high, of = low[begin], high[np.append(begin[1:], len(high)) - 1] if len(begin) else high, doc[known][begin]
+                yield _run_rows(_anywhere(chunk, low), None, of, chunk, low, high)
+                sent = np.flatnonzero(~known)
+                key = (word[sent].astype(np.int64) & 0xFFFFFFFF) << 13
+                rows = [texts[i] for i in sent.tolist()]
+                for i in np.flatnonzero(spread[sent]).tolist():
+                    key[i] |= 1 + zlib.crc32(rows[i]) % SPREAD
+                yield _run_rows(key, rows, doc[sent], chunk, first[sent], last[sent] + length)
 
     return held.mapInArrow(cut, "key long, text binary, doc long, chunk long, at long, upto long")
 
