@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id.
 
     Near are texts whose sets of five-word shingles have a similarity of 0.8 or more. Fingerprints of such texts mostly
-    differ in 12 bits or less, those of unrelated texts nearly always in more; the shingles themselves decide.
+    differ in 12 bits or less; an exact search over the shingles finds the others.
     """
     out = simhash.near_duplicates(docs, width=5, radius=12, keep=docs.columns, least_similarity=0.8)
     return restored(out.where("stays"), docs.columns)

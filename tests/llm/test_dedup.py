@@ -96,6 +96,57 @@ def test_similarity_confirms_links(spark):
     assert simhash.similarity("a b", "a b", 5) == 1 and simhash.similarity("", " ", 5) == 1 and simhash.similarity("a", "b", 5) == 0
 
 
+def plain_similar(rows, width, least):
+    """Smallest id per row by the similarity of all pairs of texts."""
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if simhash.similarity(rows[i][1], rows[j][1], width) >= least:
+                parent[root(i)] = root(j)
+    smallest = {}
+    for i, (doc, _) in enumerate(rows):
+        smallest[root(i)] = min(doc, smallest.get(root(i), doc))
+    return {doc: smallest[root(i)] for i, (doc, _) in enumerate(rows)}
+
+
+def test_similar_texts_equal_all_pairs(spark):
+    """Groups of variants around the least similarity, many beyond 12 bits or nearer to ones that are not similar."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = ["", "one", "one two"]
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randint(40, 200))
+        for edits in (0, *rng.choices(range(1, 6), k=4)):
+            new = list(base)
+            for k in rng.sample(range(len(new)), max(1, edits * len(new) // 200) if edits else 0):
+                new[k] = rng.choice(words)
+            texts.append(" ".join(new))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = plain_similar(rows, 5, 0.8)
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=5, radius=12, least_similarity=0.8)
+    assert {r.doc_id: r.component_id for r in out.collect()} == want and len(set(want.values())) < len(rows) - 20
+
+
+def test_failed_links_are_replaced(spark, monkeypatch):
+    """The forest has A-C and B-C only, which are not similar; A and B are."""
+    rng = random.Random(9)
+    a = [f"w{i}" for i in range(200)]
+    b = [f"x{i}" if i in (20, 60, 100, 140) else w for i, w in enumerate(a)]
+    texts = [" ".join(x) for x in (a, b, rng.choices(["p", "q", "r"], k=200))]
+    fa, fb, fc = (simhash.fingerprint(t, 5) for t in texts)
+    monkeypatch.setattr(simhash, "links", lambda fps, radius: fps.sparkSession.createDataFrame([(fa, fc), (fb, fc)], "src long, dst long"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = simhash.near_duplicates(df, width=5, radius=12, least_similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in out} == {0: 0, 1: 0, 2: 2}
+
+
 def plain_removal(rows, length):
     big = 1 << 70
     seen = {}
