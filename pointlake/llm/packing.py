@@ -16,13 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from pointlake.llm.common import by_bytes, ids_and_texts, session, staged
 from pointlake.llm.tokens import BATCH_BYTES, encoder
 
-#: Pieces that are packed together in a task.
+#: Pieces that are packed together in a task, about so many in later rounds.
 BLOCK_PIECES = 20_000
-#: A later round packs the emptiest sequences of so many groups together, so many pieces of each at most. These bounds
-#: limit a task's memory; pieces that are not taken into a later round keep the sequence they have.
-FAN_IN, CARRIED_PIECES = 32, 4096
-#: Donors in a row that may fail to be emptied before the search ends.
-PATIENCE = 12
 COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, carried boolean, grp long"
 
 
@@ -83,62 +78,77 @@ def _exchange(taker: list[int], donor: list[int], size: list[int], free: int) ->
 def local_search(bins: list[list[int]], sizes: np.ndarray, limit: int) -> list[list[int]]:
     """Moves and exchanges between underfull bins, each raising the sum of squared fills, until no bin can be emptied.
 
-    The emptiest bin gives to the others, those with most room first. Ends at the bound of total length, or when
-    ``PATIENCE`` donors in a row could not be emptied.
+    The emptiest bin gives to the others, those with most room first. Ends at the bound of total length, or when every
+    open bin has failed to be emptied. Bins with the same lengths are tried once.
     """
     size = sizes.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     least = -(-sum(fill) // limit)
     bins = [list(b) for b in bins]
-    alive, stuck, failed = len(bins), set(), 0
-    while alive > least and failed < PATIENCE:
+    numbers: dict[tuple, int] = {}
+
+    def kind(k):
+        return numbers.setdefault(tuple(sorted(size[i] for i in bins[k])), len(numbers))
+
+    kinds = [kind(k) for k in range(len(bins))]
+    # Kinds of donors that no bin can take anything from, until a bin changes.
+    alive, stuck, settled = len(bins), set(), set()
+    while alive > least:
         open_bins = [k for k in range(len(bins)) if 0 < fill[k] < limit and k not in stuck]
+        open_bins.sort(key=fill.__getitem__)
+        stuck.update(done := [k for k in open_bins if kinds[k] in settled])
+        if done:
+            continue
         if len(open_bins) < 2:
             break
-        donor = min(open_bins, key=fill.__getitem__)
-        takers = sorted((k for k in open_bins if k != donor), key=fill.__getitem__)
-        moved = True
+        donor, takers = open_bins[0], open_bins[1:]
+        moved, ever, useless = True, False, set()
         while moved and fill[donor]:
             moved = False
             for k in takers:
                 if not fill[donor]:
                     break
                 free = limit - fill[k]
-                if not free or fill[k] < fill[donor]:
+                if not free or fill[k] < fill[donor] or kinds[k] in useless:
                     continue
                 gain, given, back = _exchange(bins[k], bins[donor], size, free)
-                if gain:
-                    moved = True
-                    bins[k] = [i for i in bins[k] if i not in back] + list(given)
-                    bins[donor] = [i for i in bins[donor] if i not in given] + list(back)
-                    fill[k] += gain
-                    fill[donor] -= gain
+                if not gain:
+                    useless.add(kinds[k])
+                    continue
+                moved = ever = True
+                bins[k] = [i for i in bins[k] if i not in back] + list(given)
+                bins[donor] = [i for i in bins[donor] if i not in given] + list(back)
+                fill[k] += gain
+                fill[donor] -= gain
+                kinds[k], kinds[donor] = kind(k), kind(donor)
+                useless.clear()
+        if ever:
+            settled.clear()
         if fill[donor]:
             stuck.add(donor)
-            failed += 1
+            settled.add(kinds[donor])
         else:
             alive -= 1
-            failed = 0
     return [b for b in bins if b]
 
 
-def _packed(rows: pd.DataFrame, limit: int, group: int, base: int, last: bool) -> pd.DataFrame:
-    """The pieces with sequence, offset and whether a later round may pack them again."""
+def _packed(rows: pd.DataFrame, limit: int, group: int, base: int) -> pd.DataFrame:
+    """The pieces with sequence, offset and whether a later round may pack them again: all that leave room.
+
+    Pieces that have sequences keep them if these are not fewer afterwards.
+    """
     sizes = rows["length"].to_numpy(np.int64)
     bins = local_search(best_fit(sizes, limit), sizes, limit)
+    if "sequence_id" in rows and rows["sequence_id"].nunique() <= len(bins):
+        order = np.lexsort((rows["offset"].to_numpy(np.int64), rows["sequence_id"].to_numpy(np.int64)))
+        ids = rows["sequence_id"].to_numpy(np.int64)[order]
+        bins = [b.tolist() for b in np.split(order, np.flatnonzero(np.diff(ids)) + 1)]
     seq, offset = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
     carried = np.zeros(len(rows), bool)
-    fills = []
     for k, members in enumerate(bins):
         ends = np.cumsum(sizes[members])
         seq[members], offset[members] = base + k, ends - sizes[members]
-        fills.append(int(ends[-1]))
-    room = 0 if last else CARRIED_PIECES
-    for k in np.argsort(np.array(fills), kind="stable").tolist():
-        room -= len(bins[k])
-        if room < 0 or fills[k] > limit - limit // 16:
-            break
-        carried[bins[k]] = True
+        carried[members] = ends[-1] <= limit - limit // 16
     return rows.assign(sequence_id=seq, offset=offset, carried=carried, grp=np.int64(group))
 
 
@@ -153,15 +163,27 @@ def pieces_of(ids: list[int], end_id: int, limit: int) -> Iterator[tuple[int, in
         start += n
 
 
+def _again(carried: DataFrame, limit: int, level: int, groups: int) -> DataFrame:
+    """The sequences dealt into so many groups, other ones at each level, and packed again in each."""
+
+    def run(key, found):
+        rows, group = found.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), key[0].as_py()
+        out = _packed(rows, limit, group, (level << 50) + (group << 26))
+        return pa.Table.from_pandas(out[ARROW.names], schema=ARROW, preserve_index=False)
+
+    dealt = carried.withColumn("grp", F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)).cast("long"))
+    return dealt.groupBy("grp").applyInArrow(run, COLUMNS)
+
+
 def pack_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json",
     limit: int = 2048, end_id: int = 0,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row and its place.
 
-    Each task tokenises its documents and packs them in blocks (best fit, then local search) without a shuffle; the
-    emptiest sequences of neighbouring tasks are packed again together, round by round, until one group is left. Blocks
-    are cut by count, so one hot source or id is as good as any. Every table between rounds is written to the shared
+    Each task tokenises its documents and packs them in blocks (best fit, then local search) without a shuffle; all
+    sequences that leave a sixteenth free are dealt by hash into groups and packed again, in rounds, until a round saves
+    no sequence or all were in one group. Blocks and groups are cut by count, so one hot source or id is as good as any. Every table between rounds is written to the shared
     folder. Null and empty texts are one end id; rows with a null id or a repeated id are packed like any other; an
     empty table gives no rows; other columns are never read.
     """
@@ -176,7 +198,7 @@ def pack_documents(
             nonlocal rows, base
             table = pd.DataFrame(rows, columns=names[:5])
             table["doc_id"] = table["doc_id"].astype("Int64")
-            rows, out = [], _packed(table, limit, group, base, False)
+            rows, out = [], _packed(table, limit, group, base)
             base += len(out)
             return pa.RecordBatch.from_pandas(out[names], schema=ARROW, preserve_index=False)
 
@@ -190,21 +212,20 @@ def pack_documents(
             yield flush()
 
     out = staged(ids_and_texts(df, id_col, text_col).mapInArrow(first, COLUMNS))
-    done, depth = [], 1
-    groups = (out.agg(F.max("grp")).first()[0] or 0) + 1
-    while groups > 1:
-        groups = -(-groups // FAN_IN)
-        last, level = groups == 1, depth
-
-        def again(key, found):
-            rows, group = found.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), key[0].as_py()
-            out = _packed(rows, limit, group, (level << 58) + (group << 26), last)
-            return pa.Table.from_pandas(out[names], schema=ARROW, preserve_index=False)
-
+    done, level = [], 1
+    sequences = F.coalesce(F.sum((F.col("offset") == 0).cast("long")), F.lit(0))
+    while True:
+        carried = out.where("carried")
         done.append(out.where(~F.col("carried")))
-        carried = out.where("carried").withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
-        out = staged(carried.groupBy("grp").applyInArrow(again, COLUMNS))
-        depth += 1
+        pieces, before = carried.agg(F.count(F.lit(1)), sequences).first()
+        groups = -(-pieces // BLOCK_PIECES)
+        if before < 2:
+            out = carried
+            break
+        out = staged(_again(carried, limit, level, groups))
+        if groups == 1 or out.agg(sequences).first()[0] >= before:
+            break
+        level += 1
     for rows in done:
         out = out.unionByName(rows)
     return out.drop("carried", "grp")

@@ -82,6 +82,26 @@ def test_later_rounds_merge_open_sequences(spark, sf, monkeypatch):
     assert len(check_sequences(rows, 2048)) - -(-sum(r.length for r in rows) // 2048) <= 1
 
 
+def test_partitions_of_different_lengths_meet(spark, library):
+    """Half of the partitions hold long documents, half ones that fit into the room these leave."""
+    assert len(expected_ids(library, " a" * 10)) == 10
+    rows = [(i, " a" * (10 if i < 12_000 else 8)) for i in range(24_000)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    out = packing.pack_documents(df, limit=20, end_id=0).collect()
+    # 11 and 9 ids fill a sequence of 20.
+    assert Counter((r.doc_id, r.length) for r in out) == Counter((i, 11 if i < 12_000 else 9) for i in range(24_000))
+    assert len({r.sequence_id for r in out}) == 12_000 and all(r.offset + r.length <= 20 for r in out)
+
+
+def test_local_search_goes_on_after_failures():
+    """Here more than a dozen donors in a row fail before one can be emptied."""
+    rng = np.random.default_rng(122)
+    sizes = np.concatenate([rng.integers(51, 75, 30), rng.integers(20, 50, rng.integers(10, 60))])
+    out = packing.local_search([[i] for i in range(len(sizes))], sizes, 100)
+    assert sorted(i for b in out for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= 100 for b in out)
+    assert len(out) == 30
+
+
 def test_local_search_empties_bins():
     rng = np.random.default_rng(3)
     for sizes in (rng.integers(1, 100, 300), rng.integers(20, 60, 300), np.full(30, 60)):
