@@ -104,3 +104,12 @@ def test_same_rows_as_sql(spark, tmp_path):
     docs.toPandas().to_parquet(tmp_path / "d.parquet")
     want = duckdb.sql(licenses.oracle(f"read_parquet('{tmp_path}/d.parquet')")).fetchall()
     assert Counter(want) == Counter(tuple(r) for r in licenses.scan_licenses(docs).collect())
+
+
+def test_file_of_many_licences(spark):
+    """Each notice of a file that lists them all is found, as it is alone."""
+    notices = [n for _, n, _ in licenses.NOTICES]
+    rows = [(0, " filler words here ".join(notices)), *((i, n) for i, n in enumerate(notices, 1))]
+    out = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].labels == ",".join(sorted({label for label, _, _ in licenses.NOTICES})) and out[0].score == 1
+    assert all(label in out[i].labels.split(",") for i, (label, _, _) in enumerate(licenses.NOTICES, 1))
