@@ -23,6 +23,8 @@ CHUNK = 1 << 17
 SAMPLE, OFTEN = 2000, 4
 #: Shingles whose prefixes (a fifth of them at a similarity of 0.8) make up a part of the exact search.
 PART_SHINGLES = 5_000_000
+#: Bits of a shingle set's parities, a multiple of 64.
+PARITIES = 1024
 #: Room for rounding where a bound is computed from the similarity.
 EPSILON = 1e-6
 
@@ -50,6 +52,12 @@ def _print(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
+def _parities(hashes: np.ndarray) -> list[int]:
+    """Of each of PARITIES classes of hashes, whether an odd number of them is there, as signed 64-bit numbers."""
+    odd = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).view(">i8").tolist()
+
+
 def fingerprint(text: str, width: int) -> int:
     """Signed 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
     return _print(shingles(text, width))
@@ -58,7 +66,7 @@ def fingerprint(text: str, width: int) -> int:
 def fingerprints(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keep: list[str] = (), sets: bool = False
 ) -> DataFrame:
-    """(doc_id, fp) and the kept columns per row in one narrow pass; with ``sets``, also digest and size of the shingle set."""
+    """(doc_id, fp) and the kept columns per row in one narrow pass; with ``sets``, also digest, size and parities of the shingle set."""
     session(df)
     rows = ids_and_texts(df, id_col, text_col, keep)
     kept = kept_names(rows)
@@ -67,7 +75,7 @@ def fingerprints(
         from xxhash import xxh3_128_digest
 
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            found, digests, sizes = [], [], []
+            found, digests, sizes, parities = [], [], [], []
             for t in batch.column("text").to_pylist():
                 hashes = shingles(t, width)
                 found.append(_print(hashes))
@@ -75,13 +83,16 @@ def fingerprints(
                     single = np.unique(hashes)
                     digests.append(xxh3_128_digest(single.tobytes()))
                     sizes.append(len(single))
-            more = {"digest": pa.array(digests, pa.binary()), "n": pa.array(sizes, pa.int64())} if sets else {}
+                    parities.append(_parities(single))
+            more = {}
+            if sets:
+                more = {"digest": pa.array(digests, pa.binary()), "n": pa.array(sizes, pa.int64()), "odd": pa.array(parities, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found, pa.int64()), *more.values(), *(batch.column(c) for c in kept)],
                 ["doc_id", "fp", *more, *kept],
             )
 
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary, n long" * sets + kept_schema(rows))
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary, n long, odd array<long>" * sets + kept_schema(rows))
 
 
 def _join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
@@ -302,6 +313,19 @@ def _candidates(shared: DataFrame, least: float, chain: bool) -> DataFrame:
     return shared.join(mixed, "token", "left_semi").groupBy("part").applyInArrow(run, "src long, dst long").distinct()
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (src, dst) whose sets can be this similar by sizes and parities.
+
+    An element that only one of two sets has changes one parity, so sets differ in at least as many elements as parities;
+    sets of this similarity differ in at most ``(1 - least) / (1 + least)`` of the sum of their sizes.
+    """
+    for c in ("src", "dst"):
+        pairs = pairs.join(nodes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
+    differ = F.aggregate(F.zip_with("odd_src", "odd_dst", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+    most = F.lit((1 - least) / (1 + least)) * (F.col("n_src") + F.col("n_dst")) + EPSILON
+    return pairs.where(differ <= most).select("src", "dst")
+
+
 def _labels(edges: DataFrame) -> DataFrame:
     """(v, label) of all ends of the links (src, dst)."""
     ends = edges.select(F.col("src").alias("v")).unionByName(edges.select(F.col("dst").alias("v"))).distinct()
@@ -320,7 +344,7 @@ def _similar(nodes: DataFrame, texts: DataFrame, width: int, radius: int, least:
     ends = [first.select(F.col("fp").alias(c), F.col("v").alias(f"v_{c}")) for c in ("src", "dst")]
     near = links(first.select("fp"), radius).join(ends[0], "src").join(ends[1], "dst")
     near = near.select(F.least("v_src", "v_dst").alias("src"), F.greatest("v_src", "v_dst").alias("dst")).distinct()
-    edges = staged(_confirmed(near, texts, width, least))
+    edges = staged(_confirmed(_possible(near, nodes, least), texts, width, least))
     size = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shared = staged(_shared(texts, size[0], size[1], width, least))
     checked = None
@@ -329,7 +353,7 @@ def _similar(nodes: DataFrame, texts: DataFrame, width: int, radius: int, least:
         pairs = _candidates(labelled, least, chain)
         pairs = staged(pairs if checked is None else pairs.join(checked, ["src", "dst"], "left_anti"))
         checked = pairs
-        edges = edges.unionByName(staged(_confirmed(pairs, texts, width, least)))
+        edges = edges.unionByName(staged(_confirmed(_possible(pairs, nodes, least), texts, width, least)))
     return edges
 
 
@@ -352,10 +376,10 @@ def near_duplicates(
     docs = staged(fingerprints(df, id_col, text_col, width, carried, exact).withColumn("row", F.monotonically_increasing_id()))
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     if exact:
-        nodes = docs.groupBy("digest").agg(F.min(own).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+        nodes = docs.groupBy("digest").agg(F.min(own).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("odd").alias("odd"))
         nodes = staged(nodes.withColumn("v", F.col("first.row")))
         texts = docs.select(F.col("row").alias("v"), F.coalesce(f"keep_{carried.index(text_col)}", F.lit("")).alias("text"))
-        edges = _similar(nodes.select("fp", "n", "v"), texts.join(nodes.select("v"), "v", "left_semi"), width, radius, least_similarity)
+        edges = _similar(nodes.select("fp", "n", "odd", "v"), texts.join(nodes.select("v"), "v", "left_semi"), width, radius, least_similarity)
     else:
         nodes = docs.groupBy("fp").agg(F.min(own).alias("first")).withColumn("v", F.col("fp"))
         edges = staged(links(nodes.select("fp"), radius))

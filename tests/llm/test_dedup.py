@@ -134,6 +134,16 @@ def test_similar_texts_equal_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in out.collect()} == want and len(set(want.values())) < len(rows) - 20
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 3000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, 20).astype(np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(simhash._parities(np.unique(a)), simhash._parities(b)))
+        assert bits <= differ and bits % 2 == differ % 2
+
+
 def test_failed_links_are_replaced(spark, monkeypatch):
     """The forest has A-C and B-C only, which are not similar; A and B are."""
     rng = random.Random(9)
