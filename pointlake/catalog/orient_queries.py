@@ -362,10 +362,10 @@ def _(spark, sf):
 
 @query("edge_model_scores")
 def _(spark, sf):
-    """Train the pair classifier on edge samples and score the pairs."""
+    """Train the pair classifier on edge samples and score the pairs, each in all its variants."""
     s = orient.edge_samples(_emb_features(spark, sf), 3)
     model = edge_model.fit(s)
-    return rounded(edge_model.score(model, s.where("variant = 0")).select("cloud_id", "src", "dst", "logit"), 4)
+    return rounded(edge_model.score(model, s, ["variant"]).select("cloud_id", "src", "dst", "variant", "logit"), 4)
 
 
 @query("merge_smallest", f"""WITH {PN},

@@ -38,12 +38,12 @@ def fit(samples: DataFrame, kind: str = "logistic", hidden: list[int] = (32,), m
     return Pipeline(stages=[assemble, learner]).fit(data)
 
 
-def score(model: PipelineModel, samples: DataFrame) -> DataFrame:
-    """(cloud_id, src, dst, logit, probability): large logits ask the ends to differ."""
+def score(model: PipelineModel, samples: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(cloud_id, src, dst, logit, probability) and the kept columns: large logits ask the ends to differ."""
     out = model.transform(_inputs(samples))
     raw, prob = vector_to_array("rawPrediction"), vector_to_array("probability")
     return out.select(
-        "cloud_id", F.col("i").alias("src"), F.col("j").alias("dst"), raw[1].alias("logit"), prob[1].alias("probability")
+        "cloud_id", F.col("i").alias("src"), F.col("j").alias("dst"), raw[1].alias("logit"), prob[1].alias("probability"), *keep
     )
 
 

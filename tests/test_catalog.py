@@ -21,3 +21,14 @@ def test_query(spark, sf, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_edge_model_scores_all_variants(spark, sf):
+    from pointlake.catalog import orient_queries
+    from pointlake.catalog.registry import QUERIES
+    from pointlake.operators.orient import edge_samples
+
+    samples = edge_samples(orient_queries._emb_features(spark, sf), 3).selectExpr("cloud_id", "i", "j", "variant")
+    scored = QUERIES["edge_model_scores"](spark, sf).select("cloud_id", "src", "dst", "variant")
+    want, got = (sorted(map(tuple, t.collect())) for t in (samples, scored))
+    assert want == got and {r[3] for r in got} == {0, 1, 2, 3}
