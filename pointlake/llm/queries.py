@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from pointlake.llm import html, licenses, packing, quality, simhash, spm, suffix, tokens, topk, url_filter
+from pointlake.llm import codes, divergence, html, licenses, packing, quality, simhash, spm, suffix, tokens, topk, url_filter
 from pointlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,23 @@ def op6_suffix_dedup(spark, sf_dir):
 def op2_html_extraction(spark, sf_dir):
     """Main text of every page."""
     return html.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    """Code and error of every vector with codebooks fitted to all of them."""
+    coded, books = codes.compress_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    digest = F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256")
+    return coded.select("vec_id", "code", "error", "label_error", digest)
+
+
+ORACLES["op11_vector_codes"] = codes.oracle("embeddings")
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    """How far the words of each source are from those of the other sources of its language."""
+    return divergence.audit_sources(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+ORACLES["op13_source_divergence"] = divergence.oracle("documents")
