@@ -189,7 +189,7 @@ def audit_sources(
     tiles = blocks.join(sources, "lang").join(filled, ["lang", "class", "part", "bucket"], "left")
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
     meets = tiles.groupBy("lang", "class", "part", F.least("bucket", "other").alias("low"), F.greatest("bucket", "other").alias("high")).agg(
-        F.first("width").alias("width"), F.collect_list(F.struct("sources", "cells")).alias("tiles")
+        F.first("width").alias("width"), F.array_sort(F.collect_list(F.struct("bucket", "sources", "cells"))).alias("tiles")
     )
     # A bucket without sources has no tile to meet.
     meets = meets.where((F.col("low") == F.col("high")) | (F.size("tiles") == 2))
