@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from pointlake.llm import codes, divergence, html, licenses, packing, quality, simhash, spm, suffix, tokens, topk, url_filter
+from pointlake.llm import codes, divergence, html, jaccard, licenses, packing, quality, simhash, spm, suffix, tokens, topk, url_filter
 from pointlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,12 @@ def op11_vector_codes(spark, sf_dir):
 ORACLES["op11_vector_codes"] = codes.oracle("embeddings")
 
 
+@query
+def op12_ngram_jaccard(spark, sf_dir):
+    """Size of the shingle set and component of every document."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 @query
 def op13_source_divergence(spark, sf_dir):
     """How far the words of each source are from those of the other sources of its language."""
