@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pointlake.llm.common import by_bytes, discard, ids_and_texts, partitions, session, staged
+from pointlake.llm.common import by_bytes, discard, ids_and_texts, kept_names, kept_schema, partitions, session, staged
 from pointlake.operators.graph import components
 
 BATCH_BYTES, PIECE_BYTES = 2 << 20, 2 << 20
@@ -152,11 +152,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 # -- rows, hot tokens ------------------------------------------------------------------------------------------------
 
 
-def set_rows(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, key, n) per row: key and size of its set; and (token, times) per task, the tokens of many of its rows."""
-    rows = ids_and_texts(df, id_col, text_col)
+def set_rows(df: DataFrame, id_col: str, text_col: str, width: int, mark: Callable[[str], int] | None = None) -> DataFrame:
+    """(doc_id, key, n, mark) per row: key and size of its set, and a number ``mark`` finds for the text.
 
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
+    Also (token, times): the tokens of many of the rows a task holds, and of how many.
+    """
+    rows = ids_and_texts(df, id_col, text_col)
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("mark", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
 
     def batch_of(**columns):
         count = len(next(iter(columns.values())))
@@ -167,7 +169,8 @@ def set_rows(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
         held, count, found = 0, 0, []
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             sets = list(shingle_sets(batch.column("text"), width))
-            yield batch_of(doc_id=batch.column("doc_id"), key=[set_key(x) if len(x) else None for x in sets], n=[len(x) for x in sets])
+            marks = {} if mark is None else {"mark": list(map(mark, batch.column("text").to_pylist()))}
+            yield batch_of(doc_id=batch.column("doc_id"), key=[set_key(x) for x in sets], n=[len(x) for x in sets], **marks)
             found += sets
             held += len(sets)
             count += sum(map(len, sets))
@@ -177,7 +180,19 @@ def set_rows(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
         if found:
             yield batch_of(**_often(found, held))
 
-    return rows.mapInArrow(run, "doc_id long, key binary, n long, token long, times long")
+    return rows.mapInArrow(run, "doc_id long, key binary, n long, mark long, token long, times long")
+
+
+def with_keys(rows: DataFrame, width: int) -> DataFrame:
+    """The rows (doc_id, text, keep_0, ...) with the key of each text's set instead of the text."""
+    kept = kept_names(rows)
+
+    def run(batches):
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            keys = pa.array([set_key(x) for x in shingle_sets(batch.column("text"), width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, *(batch.column(c) for c in kept)], ["doc_id", "key", *kept])
+
+    return rows.mapInArrow(run, "doc_id long, key binary" + kept_schema(rows))
 
 
 def _often(sets: list[np.ndarray], held: int) -> dict:
@@ -439,6 +454,12 @@ def signatures(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, width
     return staged(returned.groupBy("shard").applyInArrow(index, "sig long, key binary, n long"))
 
 
+def shared_entries(sigs: DataFrame) -> DataFrame:
+    """The entries (sig, key, n) that several sets have."""
+    several = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
+    return sigs.join(several, "sig", "left_semi")
+
+
 # -- candidates and links --------------------------------------------------------------------------------------------
 
 
@@ -459,7 +480,7 @@ def candidate_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
                 known.add(key)
                 keys.append(key)
                 sizes.append(len(tokens))
-                odd.append(_parities(tokens))
+                odd.append(parities(tokens))
                 found.append(tokens.tobytes())
             if len(known) > 1_000_000:
                 known.clear()
@@ -484,7 +505,7 @@ def _key_map(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _parities(tokens: np.ndarray) -> list[int]:
+def parities(tokens: np.ndarray) -> list[int]:
     """Of each of PARITIES classes of tokens, whether an odd number of them is there."""
     odd = np.bincount((tokens % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
     return np.packbits(odd.astype(bool)).view(">i8").tolist()
@@ -557,14 +578,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = staged(set_rows(df, id_col, text_col, width))
     docs = rows.where("token IS NULL").select("doc_id", "key", "n")
     sigs = signatures(df, rows, id_col, text_col, width, percent)
-    shared = sigs.join(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"), "sig", "left_semi")
+    shared = shared_entries(sigs)
     nodes = staged(shared.select("key").distinct().withColumn("v", F.monotonically_increasing_id()))
     index = staged(shared.join(nodes, "key").select("sig", "v", "n"))
     discard(sigs)
     sets = candidate_sets(df, nodes, id_col, text_col, width)
     edges = staged(links(index, sets, percent).distinct())
     discard(index, sets)
-    first = docs.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"))
+    first = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     member = nodes.join(labels(edges), "v").select("key", "label")
     smallest = member.join(first, "key").groupBy("label").agg(F.min("first").alias("component_id"))
     joined = member.join(smallest, "label").select("key", "component_id")

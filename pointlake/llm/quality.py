@@ -118,19 +118,23 @@ def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(doc_id, counts, base_failed, quality, kept) per row, and the columns ``keep`` as keep_0, keep_1, ....
 
-    Counts are staged once; the vote patterns of all documents (at most 3 to the number of rules) are counted, the
-    rules' accuracies fitted to these counts, and every document gets the posterior probability that it is good.
+    The vote patterns of all documents (at most 3 to the number of rules) are counted, the rules' accuracies fitted to
+    these counts, and every document gets the posterior probability that it is good. Counts are staged once, or with
+    columns to keep, which may be the texts, found again rather than copied with them.
     ``kept``: not base_failed and a posterior of at least one half. Null and empty texts have no words and fail the base;
     repeated rows each count and give a row, a null id stays null, an empty table gives none; other columns are
     never read.
     """
-    return judged(staged(text_counts(ids_and_texts(df, id_col, text_col, keep))))
+    counts = text_counts(ids_and_texts(df, id_col, text_col, keep))
+    if keep:
+        return judged(counts, text_counts(ids_and_texts(df, id_col, text_col)))
+    return judged(staged(counts))
 
 
-def judged(counts: DataFrame) -> DataFrame:
-    """The counts with base_failed, quality (posterior) and kept."""
+def judged(counts: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
+    """The counts with base_failed, quality (posterior) and kept; the rules are fitted to these counts or to ``fitted``."""
     vote = votes()
-    seen = counts.groupBy(*(c.alias(r) for r, c in vote.items())).count().collect()  # at most 3 ** len(RULES) rows
+    seen = (counts if fitted is None else fitted).groupBy(*(c.alias(r) for r, c in vote.items())).count().collect()  # at most 3 ** len(RULES) rows
     share, chance = fit(np.array([r[:-1] for r in seen], np.int64).reshape(-1, len(RULES)), np.array([r[-1] for r in seen], float))
     every = np.array(list(product(range(3), repeat=len(RULES))))
     joint = share + sum(chance[:, r, every[:, r]].T for r in range(len(RULES)))

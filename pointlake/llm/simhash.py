@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pointlake.llm.common import by_bytes, ids_and_texts, kept_names, kept_schema, partitions, session, staged
+from pointlake.llm import jaccard
+from pointlake.llm.common import by_bytes, discard, ids_and_texts, kept_names, kept_schema, session, staged
+from pointlake.llm.jaccard import parities as _parities  # noqa: F401
 from pointlake.operators.graph import components
+from pointlake.session import is_empty
 
 BATCH_BYTES = 8 << 20
 SEED = 42
@@ -19,14 +20,6 @@ TILE, STRIP = 16_384, 64
 HALVES_UPTO = 6
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 17
-#: Texts looked at to find frequent shingles, and in how many of them such a one stands. Only the work depends on these.
-SAMPLE, OFTEN = 2000, 4
-#: Shingles whose prefixes (a fifth of them at a similarity of 0.8) make up a part of the exact search.
-PART_SHINGLES = 5_000_000
-#: Bits of a shingle set's parities, a multiple of 64.
-PARITIES = 1024
-#: Room for rounding where a bound is computed from the similarity.
-EPSILON = 1e-6
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -52,47 +45,23 @@ def _print(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def _parities(hashes: np.ndarray) -> list[int]:
-    """Of each of PARITIES classes of hashes, whether an odd number of them is there, as signed 64-bit numbers."""
-    odd = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(bool)).view(">i8").tolist()
-
-
 def fingerprint(text: str, width: int) -> int:
     """Signed 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
     return _print(shingles(text, width))
 
 
-def fingerprints(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keep: list[str] = (), sets: bool = False
-) -> DataFrame:
-    """(doc_id, fp) and the kept columns per row in one narrow pass; with ``sets``, also digest, size and parities of the shingle set."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, fp) and the kept columns per row in one narrow pass."""
     session(df)
     rows = ids_and_texts(df, id_col, text_col, keep)
     kept = kept_names(rows)
 
     def run(batches):
-        from xxhash import xxh3_128_digest
-
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            found, digests, sizes, parities = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                hashes = shingles(t, width)
-                found.append(_print(hashes))
-                if sets:
-                    single = np.unique(hashes)
-                    digests.append(xxh3_128_digest(single.tobytes()))
-                    sizes.append(len(single))
-                    parities.append(_parities(single))
-            more = {}
-            if sets:
-                more = {"digest": pa.array(digests, pa.binary()), "n": pa.array(sizes, pa.int64()), "odd": pa.array(parities, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found, pa.int64()), *more.values(), *(batch.column(c) for c in kept)],
-                ["doc_id", "fp", *more, *kept],
-            )
-
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary, n long, odd array<long>" * sets + kept_schema(rows))
+            found = [fingerprint(t, width) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64()), *(batch.column(c) for c in kept)], ["doc_id", "fp", *kept])
+
+    return rows.mapInArrow(run, "doc_id long, fp long" + kept_schema(rows))
 
 
 def _join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
@@ -197,135 +166,6 @@ def similarity(a: str, b: str, width: int) -> float:
     return len(sets[0] & sets[1]) / len(union) if union else 1.0
 
 
-def _confirmed(edges: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The links (src, dst) whose texts (v, text) have at least this similarity."""
-    session(edges)
-    ends = edges.select(F.array("src", "dst").alias("link"), F.explode(F.array("src", "dst")).alias("v"))
-    pairs = ends.join(texts, "v").groupBy("link").agg(F.min_by("text", "v").alias("a"), F.max_by("text", "v").alias("b"))
-
-    def check(batches):
-        for batch in batches:
-            for at in range(0, len(batch), STRIP):
-                part = batch.slice(at, STRIP)
-                near = [similarity(a, b, width) >= least for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist())]
-                yield part.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
-
-    pairs = pairs.select(F.col("link")[0].alias("src"), F.col("link")[1].alias("dst"), "a", "b")
-    return pairs.mapInArrow(check, "src long, dst long")
-
-
-def _frequent(texts: DataFrame, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that stand in several texts of a sample, ascending, and in how many."""
-    some = texts.where(F.pmod(F.xxhash64("v"), F.lit(max(count // SAMPLE, 1))) == 0)
-
-    def run(batches):
-        for batch in by_bytes(batches, "text", BATCH_BYTES):
-            for t in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, width)).view(np.int64))], ["hash"])
-
-    counts = some.select("text").mapInArrow(run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    rows = sorted((r.hash & (1 << 64) - 1, r.n) for r in counts.collect())
-    return np.array([h for h, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
-
-
-def _shared(texts: DataFrame, count: int, total: int, width: int, least: float) -> DataFrame:
-    """(part, token, v, n, at): shingles in the prefixes of two or more texts.
-
-    The shingles of all texts have one order, rare ones first. Two sets of at least this similarity share one of their
-    first ``n - ceil(least * n) + 1`` shingles, whatever the order, so their texts meet here; ``at`` is the place in it.
-    """
-    often = texts.sparkSession.sparkContext.broadcast(_frequent(texts, count, width))
-    parts = max(partitions(texts), total // PART_SHINGLES + 1)
-    fields = [("token", pa.int64()), ("v", pa.int64()), ("n", pa.int32()), ("at", pa.int32())]
-
-    def spread(batches):
-        known, counts = often.value
-        for batch in by_bytes(batches, "text", BATCH_BYTES):
-            columns = []
-            for v, text in zip(batch.column("v").to_pylist(), batch.column("text").to_pylist()):
-                hashes = np.unique(shingles(text, width))
-                n = len(hashes)
-                if not n:
-                    continue
-                seen = np.zeros(n, np.int64)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    seen = np.where(known[place] == hashes, counts[place], 0)
-                first = hashes[np.lexsort((hashes, seen))[: n - math.ceil(least * n - EPSILON) + 1]]
-                k = len(first)
-                columns.append((first.view(np.int64), np.full(k, v), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
-            if not columns:
-                continue
-            token, v, n, at = map(np.concatenate, zip(*columns))
-            part = (token.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((token, part))
-            part, arrays = part[order], [x[order] for x in (token, v, n, at)]
-            starts = np.flatnonzero(np.diff(part, prepend=-1))
-            ends = [*starts[1:].tolist(), len(part)]
-            blobs = [pa.array([x[s:e].tobytes() for s, e in zip(starts.tolist(), ends)], pa.binary()) for x in arrays]
-            yield pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int64()), *blobs], ["part", *(f for f, _ in fields)])
-
-    def meet(key, found):
-        arrays = [
-            np.concatenate([np.frombuffer(b, t.to_pandas_dtype()) for b in found.column(f).to_pylist()]) for f, t in fields
-        ]
-        order = np.argsort(arrays[0], kind="stable")
-        arrays = [x[order] for x in arrays]
-        same = arrays[0][1:] == arrays[0][:-1]
-        both = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        out = [x[both] for x in arrays]
-        return pa.Table.from_arrays(
-            [pa.array(np.full(len(out[0]), key[0].as_py()), pa.int64()), *(pa.array(x, t) for x, (_, t) in zip(out, fields))],
-            ["part", *(f for f, _ in fields)],
-        )
-
-    blobs = texts.mapInArrow(spread, "part long, token binary, v binary, n binary, at binary")
-    return blobs.groupBy("part").applyInArrow(meet, "part long, token long, v long, n int, at int")
-
-
-def _candidates(shared: DataFrame, least: float, chain: bool) -> DataFrame:
-    """(src, dst), src < dst: texts of different components (``label``) that share a shingle of their prefixes.
-
-    All of them, or with ``chain`` only neighbours in the order of size. Left out are pairs that cannot be similar enough
-    by their sizes and by what is left of both behind the first shared shingle.
-    """
-
-    def run(key, found):
-        token, v, n, at, label = (found.column(c).to_numpy() for c in ("token", "v", "n", "at", "label"))
-        order = np.lexsort((v, n, token))
-        token, v, n, at, label = (x[order] for x in (token, v, n, at, label))
-        n, at = n.astype(np.int64), at.astype(np.int64)
-        group_end = np.searchsorted(token, token, "right")
-        # Sizes ascend within a token: partners of i end where they are too large for it.
-        out = []
-        for i in range(len(token)):
-            end = min(i + 2, group_end[i]) if chain else group_end[i]
-            j = slice(i + 1, i + 1 + np.searchsorted(n[i + 1 : end], (n[i] + EPSILON) / least, "right"))
-            most = 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
-            fits = (label[j] != label[i]) & (most >= least / (1 + least) * (n[i] + n[j]) - EPSILON)
-            if fits.any():
-                w = v[j][fits]
-                out.append(np.stack([np.minimum(w, v[i]), np.maximum(w, v[i])], 1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["src", "dst"])
-
-    mixed = shared.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    return shared.join(mixed, "token", "left_semi").groupBy("part").applyInArrow(run, "src long, dst long").distinct()
-
-
-def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (src, dst) whose sets can be this similar by sizes and parities.
-
-    An element that only one of two sets has changes one parity, so sets differ in at least as many elements as parities;
-    sets of this similarity differ in at most ``(1 - least) / (1 + least)`` of the sum of their sizes.
-    """
-    for c in ("src", "dst"):
-        pairs = pairs.join(nodes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
-    differ = F.aggregate(F.zip_with("odd_src", "odd_dst", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-    most = F.lit((1 - least) / (1 + least)) * (F.col("n_src") + F.col("n_dst")) + EPSILON
-    return pairs.where(differ <= most).select("src", "dst")
-
-
 def _labels(edges: DataFrame) -> DataFrame:
     """(v, label) of all ends of the links (src, dst)."""
     ends = edges.select(F.col("src").alias("v")).unionByName(edges.select(F.col("dst").alias("v"))).distinct()
@@ -333,30 +173,6 @@ def _labels(edges: DataFrame) -> DataFrame:
     return components(ends.select(graph, "v"), edges.select(graph, "src", "dst"), ["graph"], mode="weak").select("v", "label")
 
 
-def _similar(nodes: DataFrame, texts: DataFrame, width: int, radius: int, least: float) -> DataFrame:
-    """(src, dst): links of the texts (v, text) that connect whatever has at least this similarity, and nothing else.
-
-    The fingerprints' forests are confirmed first and join most of it. Then all pairs that can be similar and are in
-    different components are taken from the prefixes: neighbours first, which leaves few pairs in groups of variants,
-    then all that are left.
-    """
-    first = nodes.groupBy("fp").agg(F.min("v").alias("v"))
-    ends = [first.select(F.col("fp").alias(c), F.col("v").alias(f"v_{c}")) for c in ("src", "dst")]
-    near = links(first.select("fp"), radius).join(ends[0], "src").join(ends[1], "dst")
-    near = near.select(F.least("v_src", "v_dst").alias("src"), F.greatest("v_src", "v_dst").alias("dst")).distinct()
-    edges = staged(_confirmed(_possible(near, nodes, least), texts, width, least))
-    size = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shared = staged(_shared(texts, size[0], size[1], width, least))
-    checked = None
-    for chain in (True, False):
-        labelled = shared.join(_labels(edges), "v", "left").withColumn("label", F.coalesce("label", "v"))
-        pairs = _candidates(labelled, least, chain)
-        pairs = staged(pairs if checked is None else pairs.join(checked, ["src", "dst"], "left_anti"))
-        checked = pairs
-        edges = edges.unionByName(staged(_confirmed(_possible(pairs, nodes, least), texts, width, least)))
-    return edges
-
-
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, keep: list[str] = (),
     least_similarity: float | None = None,
@@ -365,29 +181,67 @@ def near_duplicates(
 
     Equal fingerprints are one node, whatever their number; nodes are compared tile by tile, each pair of tiles returns a
     forest of its links, and components follow from these by rounds of joins. With ``least_similarity``, nodes are distinct
-    shingle sets and the links are exactly the pairs that are that similar; the fingerprints within ``radius`` only find
-    most of them early. ``stays`` is true for one row of each component, one with its smallest id. The columns ``keep`` follow as
-    keep_0, keep_1, .... Null and empty texts have fingerprint zero and are linked like any other; repeated rows each give
-    a row; a row with a null id gets the smallest id of its component, null if there is none; an empty table gives none;
-    other columns are never read.
+    shingle sets and the links are exactly the pairs that are that similar (in whole percents); the fingerprints within
+    ``radius`` only find most of them early. ``stays`` is true for one row of each component, one with its smallest id. The
+    columns ``keep`` follow as keep_0, keep_1, .... Null and empty texts have fingerprint zero and are linked like any
+    other; repeated rows each give a row; a row with a null id gets the smallest id of its component, null if there is
+    none; an empty table gives none; other columns are never read.
     """
-    exact = least_similarity is not None
-    carried = [*keep] if not exact or text_col in keep else [*keep, text_col]
-    docs = staged(fingerprints(df, id_col, text_col, width, carried, exact).withColumn("row", F.monotonically_increasing_id()))
+    if least_similarity is not None:
+        return _similar_rows(df, id_col, text_col, width, radius, list(keep), round(100 * least_similarity))
+    docs = staged(fingerprints(df, id_col, text_col, width, keep).withColumn("row", F.monotonically_increasing_id()))
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
-    if exact:
-        nodes = docs.groupBy("digest").agg(F.min(own).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("odd").alias("odd"))
-        nodes = staged(nodes.withColumn("v", F.col("first.row")))
-        texts = docs.select(F.col("row").alias("v"), F.coalesce(f"keep_{carried.index(text_col)}", F.lit("")).alias("text"))
-        edges = _similar(nodes.select("fp", "n", "odd", "v"), texts.join(nodes.select("v"), "v", "left_semi"), width, radius, least_similarity)
-    else:
-        nodes = docs.groupBy("fp").agg(F.min(own).alias("first")).withColumn("v", F.col("fp"))
-        edges = staged(links(nodes.select("fp"), radius))
-    key = "digest" if exact else "fp"
+    nodes = docs.groupBy("fp").agg(F.min(own).alias("first")).withColumn("v", F.col("fp"))
+    edges = staged(links(nodes.select("fp"), radius))
     labelled = nodes.join(_labels(edges), "v", "left").withColumn("label", F.coalesce("label", "v"))
     smallest = labelled.groupBy("label").agg(F.min("first").alias("smallest"))
-    named = labelled.select(key, "label").join(smallest, "label").select(key, "smallest")
-    return docs.join(named, key).select(
+    named = labelled.select("fp", "label").join(smallest, "label").select("fp", "smallest")
+    return docs.join(named, "fp").select(
         "doc_id", "fp", F.col("smallest.doc_id").alias("component_id"), (F.col("row") == F.col("smallest.row")).alias("stays"),
         *(f"keep_{i}" for i in range(len(keep))),
     )
+
+
+def _similar_rows(df: DataFrame, id_col: str, text_col: str, width: int, radius: int, keep: list[str], percent: int) -> DataFrame:
+    """``near_duplicates`` by the similarity of shingle sets; texts are read again in the end instead of being copied.
+
+    The fingerprints' forests are verified first and join most of what is similar. The exact join of the sets adds what
+    they miss: pairs beyond the radius, and those whose way in the forest led over a text that is not similar.
+    """
+    session(df)
+    rows = staged(jaccard.set_rows(df, id_col, text_col, width, mark=lambda t: fingerprint(t, width)))
+    docs = rows.where("token IS NULL").select("doc_id", "key", "n", F.col("mark").alias("fp"))
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")
+    nodes = docs.groupBy("key").agg(F.min(own).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    nodes = staged(nodes.withColumn("v", F.monotonically_increasing_id()))
+    first = nodes.where("n > 0").groupBy("fp").agg(F.min("v").alias("v"))
+    near = links(first.select("fp"), radius)
+    for c in ("src", "dst"):
+        near = near.join(first.select(F.col("fp").alias(c), F.col("v").alias(f"v_{c}")), c)
+    near = staged(near.select(F.least("v_src", "v_dst").alias("src"), F.greatest("v_src", "v_dst").alias("dst")).distinct())
+    sigs = jaccard.signatures(df, rows, id_col, text_col, width, percent)
+    index = staged(jaccard.shared_entries(sigs).join(nodes.select("key", "v"), "key").select("sig", "v", "n"))
+    discard(sigs)
+    needed = index.select("v").unionByName(near.select(F.col("src").alias("v"))).unionByName(near.select(F.col("dst").alias("v"))).distinct()
+    sets = jaccard.candidate_sets(df, staged(nodes.join(needed, "v").select("v", "key")), id_col, text_col, width)
+    known = staged(jaccard.verified(near, sets, percent))
+    edges = staged(jaccard.links(index, sets, percent, known).distinct())
+    discard(index, sets, near, known)
+    labelled = staged(nodes.join(_labels(edges), "v", "left").select("key", "first", "fp", F.coalesce("label", "v").alias("label")))
+    smallest = labelled.groupBy("label").agg(F.min(F.struct("first", "key")).alias("smallest"))
+    named = staged(labelled.join(smallest, "label").select(
+        "key", "fp", F.col("smallest.first.doc_id").alias("component_id"), (F.col("smallest.key") == F.col("key")).alias("names")
+    ))
+    chosen = F.col("names") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Rows with one id and one set, of which a single one stays: mostly none.
+    twice = staged(docs.join(named, "key").where(chosen).groupBy("key").count().where("count > 1").select("key"))
+    discard(nodes, labelled, edges, rows)
+    source = jaccard.with_keys(ids_and_texts(df, id_col, text_col, keep), width)
+    kept = [f"keep_{i}" for i in range(len(keep))]
+    names = ["doc_id", "fp", "component_id", "stays", *kept]
+    if is_empty(twice):
+        return source.join(named, "key").withColumn("stays", chosen).select(*names)
+    single = source.join(twice, "key", "left_anti").join(named, "key").withColumn("stays", chosen)
+    number = F.row_number().over(W.partitionBy("key", "doc_id").orderBy(F.xxhash64(*kept) if kept else F.lit(0)))
+    others = source.join(twice, "key", "left_semi").join(named, "key").withColumn("stays", chosen & (number == 1))
+    return single.select(*names).unionByName(others.select(*names))
