@@ -163,6 +163,7 @@ def audit_sources(
     block = W.partitionBy("lang", "class", "part").orderBy("term")
     vocabulary = staged(
         vocabulary.join(parts, ["lang", "class"]).withColumn("part", F.pmod(F.xxhash64("term"), "parts"))
+        .repartition("lang", "class", "part")  # else the join's dealing, by class alone, would serve the window
         .withColumn("slot", (F.row_number().over(block) - 1).cast("int")).drop("parts")
     )
     langs = cells.select("lang").distinct().join(vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("total").alias("lang_n")), "lang", "left").na.fill(0)
