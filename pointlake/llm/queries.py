@@ -70,11 +70,7 @@ def op9_token_counts(spark, sf_dir):
 @query
 def op10_sentencepiece(spark, sf_dir):
     """Digests of the ids of every document and of the text they decode to."""
-    ids = spm.encode_pieces(table(spark, sf_dir, "documents")).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256")
-    )
-    out = spm.decode_pieces(ids)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return spm.piece_digests(table(spark, sf_dir, "documents"))
 
 
 @query

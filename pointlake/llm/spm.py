@@ -7,9 +7,9 @@ normalised byte the original byte it comes from; so every piece of the encoded t
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,8 +21,8 @@ from pointlake.llm.common import by_bytes, ids_and_texts, session, tokenizer_pat
 
 BATCH_BYTES = 1 << 20
 DECODE_ROWS = 50
-#: Entries of a worker's cache of encoded words, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 150_000, 40
+#: Characters of a long text that are encoded at once, up to the next word.
+PIECE_CHARS = 1 << 16
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
 
@@ -117,7 +117,6 @@ class Model:
         )
         # What a word is encoded with: the same model, fed with text that is normalised already.
         self.inner = _identity(path, top)
-        self.words: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """(normalised bytes, for each of them and for the end the original byte they come from)."""
@@ -149,21 +148,22 @@ class Model:
         return out, np.concatenate([align, [len(data)]]).astype(np.int64)
 
     def ids(self, normalised: list[str]) -> Iterator[np.ndarray]:
-        """Ids of normalised texts; word by word where merges cannot cross words, each new word once."""
-        if not self.by_word:
-            for ids in self.inner.encode(normalised, num_threads=1):
-                yield np.array(ids, np.int32)
-            return
-        found, known = [_WORD.findall(t) for t in normalised], self.words
-        new = list(set(chain.from_iterable(found)).difference(known))
-        if new:
-            known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.inner.encode(new, num_threads=1)))
-        for words in found:
-            yield np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
-        room = CACHE_WORDS - (len(known) - len(new))
-        for k, w in enumerate(new):  # the words met first stay: they tend to be the frequent ones
-            if k >= room or len(w) > CACHE_CHARS:
-                del known[w]
+        """Ids of normalised texts; long ones in pieces of whole words where merges cannot cross words."""
+        pieces = [self._pieces(t) for t in normalised]
+        found = iter(self.inner.encode(list(chain.from_iterable(pieces)), num_threads=1))
+        for cut in pieces:
+            yield np.concatenate([np.array(next(found), np.int32) for _ in cut]) if len(cut) > 1 else np.array(next(found), np.int32)
+
+    def _pieces(self, text: str) -> list[str]:
+        if len(text) <= PIECE_CHARS or not self.by_word:
+            return [text]
+        out, at = [], 0
+        while len(text) - at > PIECE_CHARS:
+            # A word begins at a space mark behind another character.
+            cut = next((m.start() + 1 for m in _BORDER.finditer(text, at + PIECE_CHARS)), len(text))
+            out.append(text[at:cut])
+            at = cut
+        return out + [text[at:]]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, starts, ends) of each text with the end id; spans are original bytes, the end id's is empty."""
@@ -175,7 +175,7 @@ class Model:
             yield np.append(ids, np.int32(self.end_id)), np.concatenate([starts, n]), np.concatenate([np.maximum(starts, stops), n])
 
 
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_BORDER = re.compile(f"[^{SPACE}]{SPACE}")
 
 
 def _char_bytes(first: int) -> int:
@@ -277,3 +277,30 @@ def decode_pieces(df: DataFrame, model_file: str = "piece_bpe_32k.model") -> Dat
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
     return df.mapInArrow(run, schema)
+
+
+def piece_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = "piece_bpe_32k.model") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, covered) per row, in one pass that sends no ids to the JVM.
+
+    Digests are of the decimal ids with the end id, joined by a space, and of the text the library decodes them to;
+    ``covered`` counts the original bytes that the pieces' spans cover. Null and empty texts have the end id alone; repeated
+    rows each give a row, a null id stays null, an empty table gives none; other columns are never read.
+    """
+    session(df)
+
+    def run(batches):
+        m, processor = model(model_file), library(model_file)
+        decimal = np.array([str(i) for i in range(len(m.sizes))], object)
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            n, ids_digests, decoded, covered = [], [], [], []
+            for ids, starts, ends in m.encode(batch.column("text").to_pylist()):
+                n.append(len(ids))
+                ids_digests.append(hashlib.sha256(" ".join(decimal[ids].tolist()).encode()).hexdigest())
+                decoded.append(hashlib.sha256(processor.decode(ids.tolist()).encode()).hexdigest())
+                # Spans ascend; what lies before the furthest end so far is covered already.
+                reach = np.maximum.accumulate(np.concatenate([[0], ends]))[:-1]
+                covered.append(int(np.maximum(ends - np.maximum(starts, reach), 0).sum()))
+            columns = [pa.array(n, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(decoded, pa.string()), pa.array(covered, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered"])
+
+    return ids_and_texts(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered long")

@@ -1,5 +1,6 @@
 """Token counts, packing and SentencePiece against the libraries, row by row."""
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -124,6 +125,23 @@ def test_sentencepiece_equals_the_library(hard, hard_rows):
     assert decoded == Counter((i, lib.decode(lib.encode(t, add_eos=True))) for i, t in hard_rows)
 
 
+def test_digests_equal_the_library(hard, hard_rows):
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = Counter()
+    for i, t in hard_rows:
+        ids = lib.encode(t, add_eos=True)
+        want[i, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids)), len(t.encode())] += 1
+    assert Counter(tuple(r) for r in spm.piece_digests(hard).collect()) == want
+
+
+def test_long_texts_in_pieces(texts, monkeypatch):
+    model = spm.Model("piece_bpe_32k.model")
+    whole = [ids.tolist() for ids, _, _ in model.encode(texts)]
+    monkeypatch.setattr(spm, "PIECE_CHARS", 7)
+    assert [ids.tolist() for ids, _, _ in model.encode(texts)] == whole
+
+
 def test_spans_cover_the_original_bytes(texts):
     model = spm.Model("piece_bpe_32k.model")
     for text, (ids, starts, ends) in zip(texts, model.encode(texts)):
