@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -94,6 +96,22 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
         yield batch.slice(start)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^48 by byte planes, so that the shared high bytes of ascending ones compress."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T)
+    return zlib.compress(planes[3:].tobytes(), 1) + planes[:3].tobytes() if len(numbers) else b""
+
+
+def unpacked(data: bytes, count: int) -> np.ndarray:
+    """The ``count`` numbers of ``packed``."""
+    if not count:
+        return np.zeros(0, np.uint64)
+    planes = np.zeros((count, 8), np.uint8)
+    planes[:, :3] = np.frombuffer(data, np.uint8, 3 * count, len(data) - 3 * count).reshape(3, count).T
+    planes[:, 3:6] = np.frombuffer(zlib.decompress(data[: -3 * count]), np.uint8).reshape(3, count).T
+    return planes.reshape(-1).view("<u8").astype(np.uint64)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

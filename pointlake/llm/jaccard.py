@@ -13,14 +13,13 @@ never dealt out, so no shard gets a long list for one token.
 from __future__ import annotations
 
 import functools
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pointlake.llm.common import by_bytes, discard, ids_and_texts, kept_names, kept_schema, partitions, session, staged
+from pointlake.llm.common import by_bytes, discard, ids_and_texts, kept_names, kept_schema, packed, partitions, session, staged, unpacked
 from pointlake.operators.graph import components
 
 BATCH_BYTES, PIECE_BYTES = 2 << 20, 2 << 20
@@ -212,21 +211,6 @@ def hot_tokens(rows: DataFrame, count: int) -> np.ndarray:
 # -- exact counts, prefixes, signatures ------------------------------------------------------------------------------
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    """48-bit numbers by byte planes, so that the shared high bytes of ascending ones compress."""
-    planes = np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].T)
-    return zlib.compress(planes[3:].tobytes(), 1) + planes[:3].tobytes() if len(tokens) else b""
-
-
-def _unpacked(data: bytes, count: int) -> np.ndarray:
-    if not count:
-        return np.zeros(0, np.uint64)
-    planes = np.zeros((count, 8), np.uint8)
-    planes[:, :3] = np.frombuffer(data, np.uint8, 3 * count, len(data) - 3 * count).reshape(3, count).T
-    planes[:, 3 : TOKEN_BITS // 8] = np.frombuffer(zlib.decompress(data[: -3 * count]), np.uint8).reshape(-1, count).T
-    return planes.reshape(-1).view("<u8").astype(np.uint64)
-
-
 BLOB = "nodes binary, tokens binary, owners binary, seen binary"
 
 
@@ -237,7 +221,7 @@ def _blobs(shard: np.ndarray, nodes: np.ndarray, tokens: np.ndarray, owners: np.
     for s, e in zip(first.tolist(), [*first[1:].tolist(), len(shard)]):
         used, owner = np.unique(owners[s:e], return_inverse=True)
         out.append((
-            int(shard[s]), nodes[used].tobytes(), _packed(tokens[s:e]), owner.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(),
+            int(shard[s]), nodes[used].tobytes(), packed(tokens[s:e]), owner.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(),
             b"" if seen is None else seen[s:e].astype("<u2").tobytes(),
         ))
     return out
@@ -257,7 +241,7 @@ def _opened(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         o = np.frombuffer(o, "<u2" if len(n) <= 1 << 16 else "<u4").astype(np.int64)
         nodes.append(n)
         owners.append(o + base)
-        tokens.append(_unpacked(t, len(o)))
+        tokens.append(unpacked(t, len(o)))
         seen.append(np.frombuffer(s, "<u2") if s else np.zeros(len(o), "<u2"))
         base += len(n)
     nodes, owners = np.concatenate(nodes), np.concatenate(owners)

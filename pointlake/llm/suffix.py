@@ -2,8 +2,9 @@
 
 Which 50-byte strings can repeat at all is found first with minimisers: every string of LENGTH bytes has one K-byte
 word of smallest hash, equal strings have the same, and consecutive strings that share theirs form a run of text. Runs
-whose word occurs in one document only hold no repeat. The others go to the shard of their word, where a suffix array
-over the distinct runs, built by induced sorting, finds the equal strings and the smallest document of each.
+whose word occurs in one document only hold no repeat. The others go to the shard of their word. There, runs without a
+string whose hash another document has as well hold no repeat either, and a suffix array over the distinct runs that are
+left, built by induced sorting, finds the equal strings and the smallest document of each.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from pointlake.llm.common import by_bytes, ids_and_texts, kept_schema, partitions, session
+from pointlake.llm.common import by_bytes, ids_and_texts, kept_schema, packed, partitions, session, staged, unpacked
 from pointlake.session import shared_dir
 
 #: Bytes of the documents that are read together, and of the runs of a suffix array.
@@ -26,8 +27,10 @@ CHUNK_BYTES, SHARD_BYTES = 3 << 20, 4 << 20
 K = 24
 #: Characters of a text that place it among the others.
 OPENING = 64
-#: Words in more documents than this send single strings, spread by content, instead of runs.
-HOT_DOCUMENTS, SPREAD = 20_000, 4096
+#: Words in more documents than this send single strings, of which the smallest document is found by aggregation.
+HOT_DOCUMENTS = 5_000
+#: Bits of a word's hash, and words of a shard where they are counted, on average. Words that meet only cost work.
+WORD_BITS, SHARD_WORDS = 48, 4_000_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -214,7 +217,7 @@ def minimiser_runs(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.nda
     empty = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
-        return empty, empty, empty.astype(np.int32), empty
+        return empty, empty, empty.astype(np.uint64), empty
     raw = np.frombuffer(data + b"\0" * (K + 8), np.uint8)
     words = np.lib.stride_tricks.as_strided(raw[: len(raw) // 8 * 8].view(np.uint64), (n + K,), (1,))
     key = words[:n] * np.uint64(0x9E3779B97F4A7C15)
@@ -222,6 +225,7 @@ def minimiser_runs(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.nda
         key ^= key >> np.uint64(29)
         key += words[offset : n + offset]
         key *= np.uint64(0xBF58476D1CE4E5B9)
+    full = key >> np.uint64(64 - WORD_BITS)
     key &= np.uint64(0xFFFFFFFF00000000)
     key |= np.arange(n, dtype=np.uint64)
     width, span = length - K + 1, 1
@@ -237,8 +241,7 @@ def minimiser_runs(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.nda
     new = np.concatenate([[True], (word_at[1:] != word_at[:-1]) | ~valid[:-1]])
     first = np.flatnonzero(new & valid)
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
-    hashes = (best[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return first, stop, hashes, np.searchsorted(bounds, first, "right") - 1
+    return first, stop, full[word_at[first]], np.searchsorted(bounds, first, "right") - 1
 
 
 def _chunks(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -317,22 +320,59 @@ def _is_copy(n: int, copies) -> np.ndarray:
     return out
 
 
-def _word_counts(chunks: DataFrame, length: int) -> DataFrame:
-    """(word, chunk, n): documents of the chunk, whole copies aside, with a run of that word."""
+def _shared_words(chunks: DataFrame, length: int, total: int) -> DataFrame:
+    """(chunk, words, hot): hashes of the words of a chunk that two or more documents have, whole copies aside.
 
-    def count(batches):
+    A chunk deals its distinct words, with the number of its documents that have them, to shards by value; a shard returns
+    to each chunk its words that are shared, and whether very many documents share them.
+    """
+    shards = max(total // 12 // SHARD_WORDS, min(partitions(chunks), total >> 16)) + 1
+
+    def deal(batches):
         for batch in batches:
             for chunk, sizes, data, copies in zip(*(batch.column(c) for c in ("chunk", "sizes", "data", "copies"))):
                 _, _, words, docs = minimiser_runs(data.as_py(), _bounds(sizes), length)
                 own = ~_is_copy(len(sizes), copies)[docs]
-                pairs = np.unique((words[own].astype(np.int64) << 32) | docs[own])
-                found, n = np.unique(pairs >> 32, return_counts=True)
+                words, docs = words[own], docs[own]
+                order = np.lexsort((docs, words))
+                words, docs = words[order], docs[order]
+                new = np.ones(len(words), bool)
+                new[1:] = (words[1:] != words[:-1]) | (docs[1:] != docs[:-1])
+                words, n = np.unique(words[new], return_counts=True)
+                shard = (words * np.uint64(shards) >> np.uint64(WORD_BITS)).astype(np.int64) if shards < 1 << 16 else ((words >> np.uint64(16)) * np.uint64(shards) >> np.uint64(WORD_BITS - 16)).astype(np.int64)
+                first = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+                cuts = list(zip(first, [*first[1:], len(words)]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), chunk.as_py(), np.int64)), pa.array(n.astype(np.int32))],
-                    ["word", "chunk", "n"],
+                    [
+                        pa.array([int(shard[s]) for s, _ in cuts], pa.int64()), pa.array([chunk.as_py()] * len(cuts), pa.int64()),
+                        pa.array([packed(words[s:e]) for s, e in cuts], pa.binary()),
+                        pa.array([zlib.compress(np.minimum(n[s:e], 1 << 30).astype("<u4").tobytes(), 1) for s, e in cuts], pa.binary()),
+                    ],
+                    ["shard", "chunk", "words", "n"],
                 )
 
-    return chunks.select("chunk", "sizes", "data", "copies").mapInArrow(count, "word int, chunk long, n int")
+    def count(key, found):
+        n = [np.frombuffer(zlib.decompress(x), "<u4") for x in found.column("n").to_pylist()]
+        sizes = [len(x) for x in n]
+        words = np.concatenate([unpacked(x, k) for x, k in zip(found.column("words").to_pylist(), sizes)])
+        order = np.argsort(words, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], words[order[1:]] != words[order[:-1]]]))
+        totals = np.add.reduceat(np.concatenate(n)[order].astype(np.int64), first)
+        every = np.empty(len(words), np.int64)
+        every[order] = np.repeat(totals, np.diff(np.append(first, len(words))))
+        out = []
+        for chunk, s, e in zip(found.column("chunk").to_pylist(), np.cumsum([0, *sizes[:-1]]).tolist(), np.cumsum(sizes).tolist()):
+            held = np.flatnonzero(every[s:e] > 1) + s
+            if len(held):
+                out.append((chunk, words[held].astype(np.int64), every[held] > HOT_DOCUMENTS))
+        return pa.Table.from_arrays(
+            [pa.array([c for c, _, _ in out], pa.int64()), pa.array([w for _, w, _ in out], pa.list_(pa.int64())), pa.array([h for _, _, h in out], pa.list_(pa.bool_()))],
+            ["chunk", "words", "hot"],
+        )
+
+    dealt = chunks.select("chunk", "sizes", "data", "copies").mapInArrow(deal, "shard long, chunk long, words binary, n binary")
+    found = dealt.groupBy("shard").applyInArrow(count, "chunk long, words array<long>, hot array<boolean>")
+    return found.groupBy("chunk").agg(F.flatten(F.collect_list("words")).alias("words"), F.flatten(F.collect_list("hot")).alias("hot"))
 
 
 def _anywhere(chunk: int, at: np.ndarray) -> np.ndarray:
@@ -346,35 +386,37 @@ def _run_rows(key, texts, doc, chunk, at, upto) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["key", "text", "doc", "chunk", "at", "upto"])
 
 
-def _runs(held: DataFrame, length: int) -> DataFrame:
-    """(key, text, doc, chunk, at, upto) for the runs of shared words; rows without text are known to be repeats.
+def _runs(held: DataFrame, length: int, single: bool = False) -> DataFrame:
+    """(key, text, doc, chunk, at, upto) for the runs of the words given; rows without text are known to be repeats.
 
-    Equal runs of a chunk are sent once, with the chunk's smallest document; the later documents hold repeats only.
+    Equal runs of a chunk are sent once, with the chunk's smallest document; the later documents hold repeats only. With
+    ``single``, every string is a run of its own, and whole copies, which the other rows have, are left out.
     """
 
     def cut(batches):
         for batch in batches:
-            columns = (batch.column(c) for c in ("chunk", "ids", "sizes", "data", "copies", "words", "hot"))
-            for chunk, ids, sizes, data, copies, words, hot in zip(*columns):
+            columns = (batch.column(c) for c in ("chunk", "ids", "sizes", "data", "copies", "words"))
+            for chunk, ids, sizes, data, copies, words in zip(*columns):
                 chunk, data, ranks, bounds = chunk.as_py(), data.as_py(), _ranks(ids), _bounds(sizes)
                 copied = _is_copy(len(sizes), copies)
-                yield _run_rows(_anywhere(chunk, bounds[:-1][copied]), None, ranks[copied], chunk, bounds[:-1][copied], bounds[1:][copied])
+                if not single:
+                    yield _run_rows(_anywhere(chunk, bounds[:-1][copied]), None, ranks[copied], chunk, bounds[:-1][copied], bounds[1:][copied])
                 if not words.is_valid:
                     continue
                 first, last, word, doc = minimiser_runs(data, bounds, length)
                 own = ~copied[doc]
                 first, last, word, doc = first[own], last[own], word[own], doc[own]
-                order = np.argsort(shared := words.values.to_numpy(), kind="stable")
-                shared, hot = shared[order], hot.values.to_numpy(zero_copy_only=False)[order]
+                shared = np.sort(words.values.to_numpy().astype(np.uint64))
+                if not len(shared):
+                    continue
                 where = np.searchsorted(shared, word)
                 where[where == len(shared)] = 0
                 held = shared[where] == word
-                first, last, word, doc, spread = first[held], last[held], word[held], ranks[doc[held]], hot[where[held]]
-                if spread.any():
-                    n = np.where(spread, last - first + 1, 1)
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    first, last = np.repeat(first, n) + step, np.repeat(np.where(spread, first, last), n) + step
-                    word, doc, spread = np.repeat(word, n), np.repeat(doc, n), np.repeat(spread, n)
+                first, last, word, doc = first[held], last[held], word[held], ranks[doc[held]]
+                if single:
+                    n = last - first + 1
+                    first = last = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    word, doc = np.repeat(word, n), np.repeat(doc, n)
                 smallest: dict[bytes, int] = {}
                 texts = [data[a : b + length] for a, b in zip(first.tolist(), last.tolist())]
                 for text, d in zip(texts, doc.tolist()):
@@ -387,17 +429,54 @@ def _runs(held: DataFrame, length: int) -> DataFrame:
                 low, high, of = low[begin], high[np.append(begin[1:], len(high)) - 1] if len(begin) else high, doc[known][begin]
                 yield _run_rows(_anywhere(chunk, low), None, of, chunk, low, high)
                 sent = np.flatnonzero(~known)
-                key = (word[sent].astype(np.int64) & 0xFFFFFFFF) << 13
                 rows = [texts[i] for i in sent.tolist()]
-                for i in np.flatnonzero(spread[sent]).tolist():
-                    key[i] |= 1 + zlib.crc32(rows[i]) % SPREAD
-                yield _run_rows(key, rows, doc[sent], chunk, first[sent], last[sent] + length)
+                yield _run_rows(word[sent].astype(np.int64), rows, doc[sent], chunk, first[sent], last[sent] + length)
 
     return held.mapInArrow(cut, "key long, text binary, doc long, chunk long, at long, upto long")
 
 
+def _window_hashes(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every string of ``length`` bytes inside the texts raw[bounds[i]:bounds[i+1]]."""
+    sizes = np.diff(bounds)
+    n = np.maximum(sizes - length + 1, 0)
+    text = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[:-1], n)
+    words = _eights(raw)
+    key = np.zeros(len(at), np.uint64)
+    for offset in [*range(0, length - 8, 8), length - 8]:
+        key = (key ^ words[at + offset]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key, text
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place of ``raw`` as a number, past its end zeros."""
+    padded = np.zeros(len(raw) // 8 * 8 + 24, np.uint8)
+    padded[: len(raw)] = raw
+    return np.lib.stride_tricks.as_strided(padded.view(np.uint64), (len(raw) + 1,), (1,))
+
+
+def _with_repeats(rows: pa.Table, length: int) -> np.ndarray:
+    """Numbers of the rows that have a string whose hash a row of another document has as well."""
+    texts = rows.column("text").combine_chunks()
+    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
+    key, row = _window_hashes(raw, offsets - offsets[0], length)
+    if not len(key):
+        return np.zeros(0, np.int64)
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], rows.column("doc").to_numpy()[row[order]]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    apart = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+    return np.unique(row[order[np.repeat(apart, np.diff(np.append(first, len(key))))]])
+
+
 def _solved(rows: pa.Table, length: int) -> pa.RecordBatch:
     """Repeats among the runs of some keys, each complete."""
+    rows = rows.take(pa.array(_with_repeats(rows, length)))
+    if not len(rows):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["chunk", "at", "upto"])
     keys, texts, docs = rows.column("key").to_numpy(), rows.column("text").to_pylist(), rows.column("doc").to_numpy()
     chunks, at = rows.column("chunk").to_numpy(), rows.column("at").to_numpy()
     number: dict[bytes, int] = {}
@@ -431,6 +510,16 @@ def _solved(rows: pa.Table, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["chunk", "at", "upto"])
 
 
+def _hot_repeats(strings: DataFrame) -> DataFrame:
+    """(chunk, at, upto): single strings that a smaller document has; a string is in one row per chunk at most.
+
+    Tasks aggregate first, so a string that every chunk has is not brought together; the join back is split if it is skewed.
+    """
+    firsts = strings.where("text IS NOT NULL").groupBy("text").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("text", "first")
+    later = strings.join(firsts, "text").where("doc > first").select("chunk", "at", "upto")
+    return later.unionByName(strings.where("text IS NULL").select("chunk", "at", "upto"))
+
+
 def _repeats(runs: DataFrame, length: int) -> DataFrame:
     """(chunk, at, upto): bytes that are repeats, from the runs of each key."""
     dealt = runs.repartition(partitions(runs), "key").sortWithinPartitions("key")
@@ -475,11 +564,12 @@ def remove_repeats(
     keep = list(keep)
     chunks = _chunks(df, id_col, text_col, keep)
     texts = chunks.select("chunk", "ids", "sizes", "data").join(_copies(chunks, length), "chunk", "left")
-    words = _word_counts(texts, length).withColumn("total", F.sum("n").over(W.partitionBy("word")))
-    shared = words.where("total > 1").groupBy("chunk").agg(
-        F.collect_list("word").alias("words"), F.collect_list(F.col("total") > HOT_DOCUMENTS).alias("hot")
-    )
-    repeats = _repeats(_runs(texts.join(shared, "chunk", "left"), length), length).groupBy("chunk").agg(
+    total = chunks.select(F.sum(F.length("data"))).first()[0] or 0
+    shared = staged(_shared_words(texts, length, total))
+    chosen = lambda hot: F.transform(F.filter(F.arrays_zip("words", "hot"), lambda x: x["hot"] == hot), lambda x: x["words"])
+    runs = _runs(texts.join(shared.select("chunk", chosen(False).alias("words")), "chunk", "left"), length)
+    strings = staged(_runs(texts.join(shared.where(F.exists("hot", lambda x: x)).select("chunk", chosen(True).alias("words")), "chunk"), length, single=True))
+    repeats = _repeats(runs, length).unionByName(_hot_repeats(strings)).groupBy("chunk").agg(
         F.collect_list("at").alias("at"), F.collect_list("upto").alias("upto")
     )
     found = chunks.join(repeats, "chunk", "left")
