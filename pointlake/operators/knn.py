@@ -8,6 +8,8 @@ chunk of queries; Spark does the partitioning, the routing and the merge.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -193,6 +195,70 @@ def knn_graph(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), **kw)
     return knn_join(points, None, k, keys, exclude_self=True, **kw)
 
 
+MOMENTS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+
+
+def _own_moments(k: int) -> Callable[[dict], dict]:
+    """Covariances of the k nearest other points of a tile around their own mean, and the bound on the k-th distance."""
+
+    def work(g: dict) -> dict:
+        xyz, ids = np.stack([g[c] for c in XYZ], axis=1), g["_id"]
+        rows, cols, dist, rank = nearest_rows(xyz, ids, xyz, ids, k, True)
+        n = np.bincount(rows, minlength=len(ids))
+        share = 1.0 / np.maximum(n, 1)
+        near = xyz[cols]
+        mean = np.stack([np.bincount(rows, near[:, a], len(ids)) for a in range(3)], 1) * share[:, None]
+        off = near - mean[rows]
+        out = {"point_id": ids, "k": n}
+        for a, b in MOMENTS:
+            out[f"c{a}{b}"] = np.bincount(rows, off[:, XYZ.index(a)] * off[:, XYZ.index(b)], len(ids)) * share
+        kth = np.full(len(ids), np.inf)
+        kth[rows[rank == k]] = dist[rank == k]
+        return {**out, **{c: g[c] for c in XYZ}, "_reach": kth, "_home": g["_node"]}
+
+    return work
+
+
+def knn_moments(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), tile_points: int = TILE_POINTS) -> DataFrame:
+    """(keys, point_id, k, cxx, cxy, ..., czz) per point: number and covariances of its k nearest other points.
+
+    Tasks return the moments of a tile's points, one row each, and no neighbours. Only points whose ball leaves their tile
+    meet the tiles it touches, with candidates in rows. Ties go to the smaller id, as in ``knn_join``.
+    """
+    keys = list(keys)
+    types = dict(points.dtypes)
+    t = points.select(*keys, F.col("point_id").alias("_id"), *[F.col(c).cast("double").alias(c) for c in XYZ])
+    splits = build_splits(t, keys, list(XYZ), max(tile_points, 2 * (k + 1)))
+    names = [f"c{a}{b}" for a, b in MOMENTS]
+    covariances = [F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in MOMENTS]
+    count = F.count(F.lit(1)).alias("k")
+    out = [*keys, "point_id", "k", *names]
+    if splits.stuck:
+        near = knn_graph(points, k, keys, tile_points=tile_points, positions=True)
+        found = near.groupBy(*keys, F.col("src").alias("point_id")).agg(count, *covariances)
+        every = points.select(*keys, "point_id").join(found, [*keys, "point_id"], "left")
+        return every.na.fill(0, ["k", *names]).select(*out)
+    tiles = assign_tiles(t, splits)
+    fields = [f"{c} {types[c]}" for c in [*keys, "point_id"]] + ["k bigint", *(f"{c} double" for c in [*names, *XYZ, "_reach"]), "_home string"]
+    own = map_groups(tiles, [*keys, "_node"], _own_moments(k), ", ".join([*fields, "_node string"])).drop("_node")
+    if not splits.levels:
+        return own.select(*out)
+    own = cut(own)
+    radius = F.sqrt("_reach") * F.lit(1.0 + 1e-9)
+    ask = own.select(*keys, F.col("point_id").alias("_id"), *XYZ, "_reach", "_home")
+    routed = cut(assign_ball(ask, splits, radius))
+    leaving = routed.where("_node <> _home").select(*keys, "_id").distinct()
+    routed = routed.join(leaving, [*keys, "_id"], "left_semi").drop("_home")
+    near = _match(routed, tiles, keys, k, True, _schema(points, keys, "point_id"), False)
+    w = Window.partitionBy(*keys, "src").orderBy("d2", "dst")
+    near = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    met = near.groupBy(*keys, F.col("src").alias("point_id")).agg(count, *covariances)
+    stay = own.join(leaving.withColumnRenamed("_id", "point_id"), [*keys, "point_id"], "left_anti")
+    # A point that meets nobody has no row in the end and none among those that stay.
+    alone = own.where("k = 0").join(met, [*keys, "point_id"], "left_anti").join(leaving.withColumnRenamed("_id", "point_id"), [*keys, "point_id"], "left_semi")
+    return stay.select(*out).unionByName(met.select(*out)).unionByName(alone.select(*out))
+
+
 def hybrid_neighbours(points: DataFrame, k: int, radius: float, keys: list[str] = ("cloud_id",)) -> DataFrame:
     """At most k neighbours and none beyond ``radius``."""
     return knn_graph(points, k, keys).where(F.col("d2") <= F.lit(radius * radius))

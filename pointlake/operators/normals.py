@@ -10,21 +10,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ, as_flag, dot, sigmoid
-from pointlake.operators.knn import knn_graph
+from pointlake.operators.knn import MOMENTS, knn_graph, knn_moments
 from pointlake.session import cut
 
-_PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-
-
 def neighbourhood_moments(points: DataFrame, k: int, keys: list[str] = ("cloud_id",)) -> DataFrame:
-    """Covariance of the k nearest neighbours (the point left out) around their own mean, per point.
-
-    The neighbour join delivers the neighbours' coordinates, so all moments are one aggregation with
-    map-side combine.
-    """
-    near = knn_graph(points, k, keys, positions=True)
-    cov = [F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in _PAIRS]
-    return near.groupBy(*keys, F.col("src").alias("point_id")).agg(F.count(F.lit(1)).alias("k"), *cov)
+    """Covariance of the k nearest neighbours (the point left out) around their own mean, per point that has any."""
+    return knn_moments(points, k, keys).where(F.col("k") > 0)
 
 
 _EIGEN_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("nx", "ny", "nz", "e0", "e1", "e2")])
@@ -48,13 +39,10 @@ def pca_normals(points: DataFrame, k: int = 10, keys: list[str] = ("cloud_id",))
     A point without neighbours gets (1, 0, 0). Returns keys, point_id, nx, ny, nz and the eigenvalues.
     """
     keys = list(keys)
-    m = neighbourhood_moments(points, k, keys)
-    e = m.select(*keys, "point_id", _eigen(*[F.col(f"c{a}{b}") for a, b in _PAIRS]).alias("_e")).select(
-        *keys, "point_id", "_e.*"
-    )
-    out = points.select(*keys, "point_id").join(e, keys + ["point_id"], "left")
+    m = knn_moments(points, k, keys)
+    e = m.select(*keys, "point_id", "k", _eigen(*[F.col(f"c{a}{b}") for a, b in MOMENTS]).alias("_e"))
     lone = {"nx": 1.0, "ny": 0.0, "nz": 0.0, "e0": 0.0, "e1": 0.0, "e2": 0.0}
-    return out.select(*keys, "point_id", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in lone.items()])
+    return e.select(*keys, "point_id", *[F.when(F.col("k") > 0, F.col(f"_e.{c}")).otherwise(F.lit(v)).alias(c) for c, v in lone.items()])
 
 
 def flip_bits(df: DataFrame, normal=NORMAL, truth=TRUTH) -> DataFrame:

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pointlake.functions.geometry import XYZ
 from pointlake.operators.graph import components
+from pointlake.operators.grouped import SMALL_GRAPH_ROWS, map_groups
 from pointlake.operators.knn import knn_graph, knn_join
 from pointlake.operators.sampling import cloud_bounds, farthest_points, nearest_centres
-from pointlake.operators.tiles import group_sizes, ranked
+from pointlake.operators.tiles import group_sizes, nth_values, ranked
 from pointlake.session import cut, is_empty
 
 WINDOW_CELLS = 4
@@ -87,47 +89,67 @@ def grid_patches(points: DataFrame, num_per_patch: int | Column, overlap_rate: f
     return p.select("cloud_id", packed.alias("patch_id"), "point_id")
 
 
-def kd_patches(points: DataFrame, max_points: int | Column) -> DataFrame:
+def _kd_leaves(g: dict) -> dict:
+    """All halvings of one node inside a task."""
+    xyz = np.stack([g[c] for c in XYZ], axis=1)
+    limit, leaf = int(g["_limit"][0]), np.empty(len(xyz), np.int64)
+    todo = [(np.arange(len(xyz)), int(g["_node"][0]))]
+    while todo:
+        rows, node = todo.pop()
+        if len(rows) > limit:
+            own = xyz[rows]
+            value = own[:, np.argmax(own.var(axis=0, ddof=1))] if len(rows) > 1 else own[:, 0]
+            right = value > np.partition(value, len(rows) // 2)[len(rows) // 2]
+            if right.any():
+                todo += [(rows[~right], 2 * node), (rows[right], 2 * node + 1)]
+                continue
+        leaf[rows] = node
+    return {"patch_id": leaf, "point_id": g["point_id"]}
+
+
+def kd_patches(points: DataFrame, max_points: int | Column, task_rows: int = SMALL_GRAPH_ROWS) -> DataFrame:
     """Halve every node above ``max_points`` at the upper median of its most varying axis.
 
-    The median is found by distributed rank, so the first levels of a huge cloud are shared by many tasks.
-    A node whose split would leave one side empty stays a leaf. ``patch_id`` is the heap number of the leaf.
+    A node whose split would leave one side empty stays a leaf. ``patch_id`` is the heap number of the leaf. Nodes of more
+    than ``task_rows`` points are split by counts of coordinate values, without sorting or gathering their rows; everything
+    below is finished inside tasks, many nodes in each.
     """
-    open_rows = cut(
-        points.select("cloud_id", "point_id", *[F.col(c).cast("double").alias(c) for c in XYZ],
-                      F.lit(1).cast("long").alias("patch_id"))
-    )
-    limits = per_cloud(points, max_points) if isinstance(max_points, Column) else None
-    leaves = None
-    node = ["cloud_id", "patch_id"]
+    node = ["cloud_id", "_node"]
+    sizes = group_sizes(points, ["cloud_id"], "_n")
+    limit = max_points if isinstance(max_points, Column) else F.lit(max_points)
+    limits = cut(sizes.select("cloud_id", "_n", limit.cast("long").alias("_limit")))
+    rows = points.select("cloud_id", "point_id", *[F.col(c).cast("double").alias(c) for c in XYZ], F.lit(1).cast("long").alias("_node"))
+    types = dict(points.dtypes)
+    schema = f"cloud_id {types['cloud_id']}, patch_id bigint, point_id {types['point_id']}"
+
+    def finished(part: DataFrame) -> DataFrame:
+        return map_groups(part.join(limits.drop("_n"), "cloud_id"), node, _kd_leaves, f"_node bigint, {schema}").drop("_node")
+
+    wide = limits.where((F.col("_n") > task_rows) & (F.col("_n") > F.col("_limit"))).select("cloud_id")
+    if is_empty(wide):
+        return finished(rows)
+    leaves = finished(rows.join(wide, "cloud_id", "left_anti"))
+    open_rows = cut(rows.join(wide, "cloud_id", "left_semi"))
     while True:
-        stats = open_rows.groupBy(*node).agg(
-            F.count(F.lit(1)).alias("_n"), *[F.var_samp(c).alias(f"_v{c}") for c in XYZ]
-        )
+        stats = open_rows.groupBy(*node).agg(F.count(F.lit(1)).alias("_n"), *[F.var_samp(c).alias(f"_v{c}") for c in XYZ])
         top = F.greatest(*[f"_v{c}" for c in XYZ])
         axis = F.when(F.col("_vx") == top, 0).when(F.col("_vy") == top, 1).otherwise(2)
-        above = stats.withColumn("_limit", F.lit(max_points)) if limits is None else stats.join(limits, "cloud_id")
-        split = above.where(F.col("_n") > F.col("_limit")).select(*node, "_n", axis.alias("_axis"))
-        value = F.when(F.col("_axis") == 0, F.col("x")).when(F.col("_axis") == 1, F.col("y")).otherwise(F.col("z"))
-        busy = open_rows.join(split, node).withColumn("_val", value)
-        middle = (
-            ranked(busy, node, ["_val", "point_id"], ["_val"], "_rn")
-            .where(F.col("_rn") == F.floor(F.col("_n") / 2) + 1)
-            .select(*node, F.col("_val").alias("_cut"))
-        )
-        right = busy.join(middle, node).groupBy(*node).agg(
-            F.max("_cut").alias("_cut"), F.max((F.col("_val") > F.col("_cut")).cast("int")).alias("_right")
-        )
-        plan = cut(split.join(right, node).where(F.col("_right") == 1).select(*node, "_axis", "_cut"))
-        kept = open_rows.join(plan, node, "left_anti").select("cloud_id", "patch_id", "point_id")
-        leaves = kept if leaves is None else leaves.unionByName(kept)
-        if is_empty(plan):
+        large = stats.join(limits.drop("_n"), "cloud_id").where((F.col("_n") > task_rows) & (F.col("_n") > F.col("_limit")))
+        large = cut(large.select(*node, "_n", axis.alias("_axis")))
+        leaves = leaves.unionByName(finished(open_rows.join(large, node, "left_anti")))
+        if is_empty(large):
             return leaves
-        side = F.when(value <= F.col("_cut"), F.lit(0)).otherwise(F.lit(1))
+        value = F.when(F.col("_axis") == 0, F.col("x")).when(F.col("_axis") == 1, F.col("y")).otherwise(F.col("z"))
+        busy = open_rows.join(large.drop("_n"), node).withColumn("_val", value)
+        middle = nth_values(busy, node, "_val", large.select(*node, (F.floor(F.col("_n") / 2) + 1).alias("_rank")), task_rows)
+        middle = cut(middle.select(*node, F.col("_val").alias("_cut")))
+        sides = busy.join(middle, node).withColumn("_right", F.col("_val") > F.col("_cut"))
+        whole = cut(sides.groupBy(*node).agg(F.max("_right").alias("_splits")).where(~F.col("_splits")).select(*node))
+        stuck = open_rows.join(whole, node, "left_semi").select("cloud_id", F.col("_node").alias("patch_id"), "point_id")
+        leaves = leaves.unionByName(stuck)
         open_rows = cut(
-            open_rows.join(plan, node)
-            .withColumn("patch_id", (F.col("patch_id") * 2 + side).cast("long"))
-            .drop("_axis", "_cut")
+            sides.join(whole, node, "left_anti")
+            .select("cloud_id", "point_id", *XYZ, (F.col("_node") * 2 + F.col("_right").cast("int")).cast("long").alias("_node"))
         )
 
 

@@ -16,6 +16,7 @@ from pointlake.session import cut, is_empty
 
 FANOUT = 16  # one hexadecimal digit of the node path per level
 RANK_ROWS = 1_000_000  # rows one task sorts when ranking
+BUCKETS = 1024  # parts of a value range whose rows are counted in one round of a selection
 
 
 @dataclass
@@ -183,16 +184,74 @@ def dense_ordinals(ids: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _bucket(value: Column, low: str, high: str) -> Column:
+    """Place of a value among BUCKETS equal parts of the finite range; infinities and NaN lie beyond, in Spark's order."""
+    inf = F.lit(float("inf"))
+    # Halves, because the difference of two large numbers may be infinite.
+    share = (value / 2 - F.col(low) / 2) / (F.col(high) / 2 - F.col(low) / 2)
+    inside = F.when(F.col(high) > F.col(low), F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
+    return F.when(F.isnan(value), BUCKETS + 1).when(value == inf, BUCKETS).when(value == -inf, -1).otherwise(inside).cast("int")
+
+
+def _at_rank(rows: DataFrame, keys: list[str], value: str, targets: DataFrame) -> DataFrame:
+    """(keys, _rank, value) from counts of distinct values; ``_before`` rows of the group are smaller than all given."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.col("_rank") - F.col("_before")
+    hit = counts.withColumn("_upto", upto).join(targets.select(*keys, "_rank", "_before"), keys)
+    return hit.where((F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place)).select(*keys, "_rank", value)
+
+
+def nth_values(rows: DataFrame, keys: list[str], value: str, targets: DataFrame, limit: int = RANK_ROWS) -> DataFrame:
+    """(keys, _rank, value): the values at the ranks, from 1, that ``targets(keys, _rank)`` asks for; nothing is sorted whole.
+
+    Groups beyond ``limit`` rows are narrowed in rounds: tasks count the rows of each part of the value range, and only the
+    part that holds the rank stays. A value however frequent is one number in these counts. What is left within the limit
+    is decided by counts of its distinct values.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
+    v = F.col(value)
+    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    span = [F.count(F.lit(1)).alias("_n"), F.min(v).alias("_low"), F.max(v).alias("_high"), F.min(finite).alias("_from"), F.max(finite).alias("_to")]
+    state = targets.select(*keys, "_rank").distinct().join(rows.groupBy(*keys).agg(*span), keys).withColumn("_before", F.lit(0).cast("long"))
+    state = cut(state)
+    narrow = (F.col("_n") <= limit) | F.col("_low").eqNullSafe(F.col("_high"))
+    done = state.where(narrow)
+    while not is_empty(state.where(~narrow)):
+        wide = state.where(~narrow).select(*keys, "_rank", "_low", "_high", "_from", "_to", "_before")
+        inside = rows.join(wide, keys).where(v.between(F.col("_low"), F.col("_high")))
+        parts = inside.withColumn("_part", _bucket(v, "_from", "_to")).select(*keys, "_rank", "_before", "_part", value)
+        parts = parts.groupBy(*keys, "_rank", "_before", "_part").agg(*span)
+        before = F.sum("_n").over(Window.partitionBy(*keys, "_rank").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        parts = parts.withColumn("_before", F.col("_before") + F.coalesce(before, F.lit(0)))
+        state = cut(parts.where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n"))).select(state.columns))
+        done = done.unionByName(state.where(narrow))
+    single = done.where(F.col("_low").eqNullSafe(F.col("_high"))).select(*keys, "_rank", F.col("_low").alias(value))
+    several = done.where(~F.col("_low").eqNullSafe(F.col("_high")))
+    target = [F.col("_rank").alias("_asked"), "_low", "_high", "_before"]
+    held = rows.join(several.select(*keys, *target), keys).where(v.between(F.col("_low"), F.col("_high"))).select(*keys, "_asked", value)
+    found = _at_rank(held, [*keys, "_asked"], value, several.select(*keys, F.col("_rank").alias("_asked"), "_rank", "_before"))
+    return single.unionByName(found.drop("_asked"))
+
+
 def exact_medians(
     df: DataFrame, keys: list[str], value: str, lower: bool, name: str, limit: int = RANK_ROWS
 ) -> DataFrame:
-    """Exact median per group by rank: the lower middle value, or the mean of both middle values."""
+    """Exact median per group: the lower middle value, or the mean of both middle values.
+
+    Groups within ``limit`` rows take one aggregation, larger ones the selection by counts.
+    """
     if not keys:
         whole = exact_medians(df.withColumn("_whole", F.lit(0)), ["_whole"], value, lower, name, limit)
         return whole.drop("_whole")
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    rn = ranked(rows, keys, [value], [value], "_rn", limit)
-    both = rn.join(group_sizes(rows, keys, "_n"), keys)
-    lo, hi = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    keep = (F.col("_rn") == lo) if lower else ((F.col("_rn") == lo) | (F.col("_rn") == hi))
-    return both.where(keep).groupBy(*keys).agg(F.avg(value).alias(name))
+    sizes = group_sizes(rows, keys, "_n")
+    big = cut(sizes.where(F.col("_n") > limit))
+    middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}`)" if lower else f"percentile(`{value}`, 0.5)")
+    if is_empty(big):
+        return rows.groupBy(*keys).agg(middle.alias(name))
+    small = rows.join(big, keys, "left_anti").groupBy(*keys).agg(middle.alias(name))
+    ranks = [F.floor((F.col("_n") + 1) / 2)] + ([] if lower else [F.floor(F.col("_n") / 2) + 1])
+    targets = big.select(*keys, F.explode(F.array(*ranks)).alias("_rank"))
+    found = nth_values(rows.join(big.drop("_n"), keys, "left_semi"), keys, value, targets, limit)
+    return small.unionByName(found.groupBy(*keys).agg(F.avg(value).alias(name)))

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pointlake.operators.knn import knn_graph, knn_join, radius_join
+from pointlake.operators.knn import knn_graph, knn_join, knn_moments, radius_join
 from pointlake.operators.tiles import exact_medians, ranked
 
 
@@ -80,3 +80,23 @@ def test_exact_medians(spark):
     low = dict(exact_medians(df, ["g"], "v", True, "m", limit=5).collect())
     mid = dict(exact_medians(df, ["g"], "v", False, "m", limit=5).collect())
     assert low == {1: 19.0, 2: 60.0} and mid == {1: 19.5, 2: 60.0}
+
+
+@pytest.mark.parametrize("n,copies,tile", [(70, 0, 512), (220, 0, 24), (160, 60, 24), (1, 0, 512), (3, 0, 512)])
+def test_moments_equal_neighbours(spark, n, copies, tile):
+    """Moments from the tiles' tasks against the covariance of brute-force neighbours; every point has a row."""
+    pdf = cloud(n, 21, copies)
+    df = spark.createDataFrame(pd.concat([pdf, pdf.assign(cloud_id=2)]))
+    k = 7
+    xyz = pdf[["x", "y", "z"]].to_numpy()
+    got = knn_moments(df, k, tile_points=tile).collect()
+    assert len(got) == 2 * n and {(r.cloud_id, r.point_id) for r in got} == {(c, p) for c in (1, 2) for p in range(n)}
+    near = {}
+    for src, dst, _ in brute(pdf, pdf, k, True):
+        near.setdefault(src, []).append(dst)
+    for r in got:
+        mine = xyz[sorted(near.get(r.point_id, []))]
+        assert r.k == len(mine)
+        if len(mine):
+            want = np.cov(mine.T, ddof=0).reshape(3, 3) if len(mine) > 1 else np.zeros((3, 3))
+            assert np.allclose([r.cxx, r.cxy, r.cxz, r.cyy, r.cyz, r.czz], [want[0, 0], want[0, 1], want[0, 2], want[1, 1], want[1, 2], want[2, 2]], atol=1e-12)

@@ -205,3 +205,65 @@ def test_rooted_trees_of_any_depth(spark):
     want = {(1, v): (None if v == 40 else v - 1 if v > 40 else v + 1, abs(v - 40)) for v in range(101)}
     want |= {(2, v): (5, 1) for v in range(10, 60)} | {(2, 5): (None, 0), (3, 9): (None, 0)}
     assert got == want
+
+
+def naive_kd(pdf, limit):
+    """(point, leaf) by halving one node after the other."""
+    out, todo = {}, [(pdf, 1)]
+    while todo:
+        rows, node = todo.pop()
+        if len(rows) > limit:
+            var = rows[["x", "y", "z"]].var()
+            axis = "x" if var.x >= max(var.y, var.z) else "y" if var.y >= var.z else "z"
+            cut = rows.sort_values([axis, "point_id"])[axis].iloc[len(rows) // 2]
+            if (rows[axis] > cut).any():
+                todo += [(rows[rows[axis] <= cut], 2 * node), (rows[rows[axis] > cut], 2 * node + 1)]
+                continue
+        out.update({p: node for p in rows.point_id})
+    return out
+
+
+def test_kd_by_counts_equals_halving(spark):
+    """Half of one cloud has one and the same coordinate; a third cloud is a single position."""
+    pdf = two_clouds(200)
+    pdf.loc[:99, "x"] = 0.25
+    flat = pdf.head(40).assign(cloud_id=3, x=1.0, y=1.0, z=1.0)
+    flat["point_id"] += 50_000
+    pdf = pd.concat([pdf, flat], ignore_index=True)
+    df = spark.createDataFrame(pdf)
+    for task_rows in (15, 200_000):
+        got = {r.point_id: r.patch_id for r in patches.kd_patches(df, 6, task_rows=task_rows).collect()}
+        want = {}
+        for c in (1, 2, 3):
+            want.update(naive_kd(pdf[pdf.cloud_id == c], 6))
+        assert got == want
+    got = {r.point_id: r.patch_id for r in patches.kd_patches(df, F.floor(F.col("_n") / 10), task_rows=30).collect()}
+    assert got == {p: leaf for c in (1, 2, 3) for p, leaf in naive_kd(pdf[pdf.cloud_id == c], (pdf.cloud_id == c).sum() // 10).items()}
+
+
+def test_selection_by_counts(spark, monkeypatch):
+    """Values that most rows hold, infinities, NaN and ranges that overflow."""
+    from pointlake.operators import tiles
+
+    monkeypatch.setattr(tiles, "BUCKETS", 3)
+    rng = np.random.default_rng(5)
+    groups = {
+        1: rng.normal(size=101), 2: np.concatenate([np.full(90, 2.5), rng.normal(size=10)]), 3: np.full(50, -1.0),
+        4: np.concatenate([rng.normal(size=20), [np.inf] * 15, [-np.inf] * 12, [np.nan] * 9]), 5: np.array([1e308, -1e308, 3.0, 1e-300, -1e-300] * 9),
+        6: 2.0 ** rng.integers(-1000, 1000, 77), 7: np.array([4.0]),
+    }
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [(8, None)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    order = {k: sorted(v, key=lambda x: (np.isnan(x), x)) for k, v in groups.items()}
+    targets = [(k, r) for k, v in groups.items() for r in {1, len(v) // 3 + 1, len(v) // 2 + 1, len(v)}]
+    got = tiles.nth_values(df, ["k"], "v", spark.createDataFrame(targets, "k long, _rank long"), limit=4).collect()
+    assert len(got) == len(targets)
+    assert all(np.array_equal(r.v, order[r.k][r._rank - 1], equal_nan=True) for r in got)
+    finite = df.where("k NOT IN (4, 8)")
+    for limit in (4, 60, 1000):
+        low = {r.k: r.m for r in tiles.exact_medians(finite, ["k"], "v", True, "m", limit).collect()}
+        mean = {r.k: r.m for r in tiles.exact_medians(finite, ["k"], "v", False, "m", limit).collect()}
+        for k in (1, 2, 3, 5, 6, 7):
+            n = len(order[k])
+            assert low[k] == order[k][(n + 1) // 2 - 1]
+            assert np.isclose(mean[k], (order[k][(n - 1) // 2] + order[k][n // 2]) / 2)
