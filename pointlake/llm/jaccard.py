@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pointlake.llm.common import by_bytes, discard, ids_and_texts, kept_names, kept_schema, packed, partitions, session, staged, unpacked
 from pointlake.operators.graph import components
@@ -33,8 +33,6 @@ RARE_UPTO, SMALL = 64, 32
 #: rows, and 256. Other tokens are in at most three thousandths, hot ones at most a thousand times the mean size of a set.
 REPORTED, HOT_SHARE, HOT_LEAST = 500, 1000, 256
 HOT = 0xFFFF
-#: Members of an index entry that are chained together.
-CHAIN = 4096
 #: Bits of the map of sets that are candidates, and of a set's parities.
 MAP_BITS, PARITIES = 1 << 26, 1024
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -495,15 +493,22 @@ def parities(tokens: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(bool)).view(">i8").tolist()
 
 
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be similar enough by their sizes and parities, of the rows with these aliases.
+
+    An element of one set only changes one parity; similar sets differ in at most (100 - p) / (100 + p) of their sizes' sum.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (src, dst) of the sets (v, n, odd, tokens) that are similar enough; sizes and parities decide most."""
     few = pairs
     for c in ("src", "dst"):
-        few = few.join(sets.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
-    # An element of one set only changes one parity; similar sets differ in at most (100 - p) / (100 + p) of their sizes' sum.
-    differ = F.aggregate(F.zip_with("odd_src", "odd_dst", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-    few = few.where(F.col("n_src") * 100 >= F.col("n_dst") * percent).where(F.col("n_dst") * 100 >= F.col("n_src") * percent)
-    few = few.where(differ * (100 + percent) <= (F.col("n_src") + F.col("n_dst")) * (100 - percent)).select("src", "dst")
+        few = few.join(sets.select(F.col("v").alias(c), F.struct("n", "odd").alias(f"of_{c}")), c)
+    few = few.where(_possible("of_src", "of_dst", percent)).select("src", "dst")
     for c in ("src", "dst"):
         few = few.join(sets.select(F.col("v").alias(c), F.col("tokens").alias(f"set_{c}")), c)
 
@@ -523,30 +528,40 @@ def labels(edges: DataFrame) -> DataFrame:
     return components(ends.select(graph, "v"), edges.select(graph, "src", "dst"), ["graph"], mode="weak").select("v", "label")
 
 
+def _labelled(index: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """The index with the component of each set, which is its own number if it has no link."""
+    if edges is None:
+        return index.withColumn("label", F.col("v"))
+    return index.join(labels(edges), "v", "left").withColumn("label", F.coalesce("label", "v"))
+
+
 def links(index: DataFrame, sets: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
     """(src, dst): links that connect what similar enough sets connect, from the index (sig, v, n) and ``known`` links.
 
-    First every set meets the one neighbour, in order of size, with which it shares most entries. Then all pairs that share
-    an entry and are still in different components are verified, so no link is missed; members of one component never
-    meet.
+    First every set meets one hub: of the sets that share most entries with all others in its entries, the one with which
+    it shares most. That joins nearly all of a group of variants. Then whatever shares an entry and is still in different
+    components is paired, if sizes and parities allow it, and verified, so no link is missed. The most frequent component
+    of an entry meets the others there but never itself.
     """
-    salt = F.pmod(F.xxhash64("v"), F.greatest(F.lit(1), F.floor(F.col("members") / CHAIN)).cast("long"))
     counts = index.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))
-    chain = W.partitionBy("sig", "salt").orderBy("n", "v")
-    near = index.join(counts, "sig").withColumn("salt", salt).withColumn("before", F.lag("v").over(chain)).where("before IS NOT NULL")
-    best = near.groupBy("v", "before").agg(F.count(F.lit(1)).alias("times")).groupBy("v").agg(F.max_by("before", F.struct("times", "before")).alias("before"))
-    edges = staged(verified(best.select(F.least("v", "before").alias("src"), F.greatest("v", "before").alias("dst")), sets, percent))
+    weights = index.join(counts, "sig").groupBy("v").agg(F.sum("members").alias("weight"))
+    weighed = staged(_labelled(index, known).join(weights, "v"))
+    hubs = weighed.groupBy("sig").agg(F.max_by(F.struct("v", "label", "weight"), F.struct("weight", "v")).alias("hub"))
+    near = weighed.join(hubs, "sig").where(F.col("label") != F.col("hub.label")).select("v", "hub")
+    best = near.groupBy("v", "hub").agg(F.count(F.lit(1)).alias("times")).groupBy("v").agg(F.max_by("hub.v", F.struct("times", "hub.weight", "hub.v")).alias("hub"))
+    edges = staged(verified(best.select(F.least("v", "hub").alias("src"), F.greatest("v", "hub").alias("dst")).distinct(), sets, percent))
     edges = edges if known is None else edges.unionByName(known)
-    labelled = staged(index.join(labels(edges), "v", "left").withColumn("label", F.coalesce("label", "v")))
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
-    left = staged(labelled.join(mixed, "sig", "left_semi").select("sig", "label", "v", "n"))
+    labelled = staged(_labelled(index, edges))
+    discard(weighed)
+    kinds = labelled.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c"))
+    major = kinds.groupBy("sig").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count(F.lit(1)).alias("kinds"))
+    left = labelled.join(major.where("kinds > 1").select("sig", "major"), "sig").join(sets.select("v", "odd"), "v")
+    left = staged(left.select("sig", "v", "n", "label", "major", "odd"))
     discard(labelled)
-    kinds = left.select("sig", "label").distinct()
-    apart = kinds.join(kinds.withColumnRenamed("label", "other"), "sig").where("label < other")
-    a, b = left.select("sig", "label", F.col("v").alias("src"), F.col("n").alias("n_src")), left.select("sig", F.col("label").alias("other"), F.col("v").alias("dst"), F.col("n").alias("n_dst"))
-    pairs = apart.join(a, ["sig", "label"]).join(b, ["sig", "other"])
-    pairs = pairs.where((F.col("n_src") * 100 >= F.col("n_dst") * percent) & (F.col("n_dst") * 100 >= F.col("n_src") * percent))
-    return edges.unionByName(staged(verified(pairs.select("src", "dst").distinct(), sets, percent)))
+    a, b = left.where("label <> major").alias("a"), left.alias("b")
+    meet = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.major")) | (F.col("a.v") < F.col("b.v")))
+    pairs = a.join(b, meet & _possible("a", "b", percent)).select(F.least("a.v", "b.v").alias("src"), F.greatest("a.v", "b.v").alias("dst"))
+    return edges.unionByName(staged(verified(pairs.distinct(), sets, percent)))
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:

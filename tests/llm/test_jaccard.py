@@ -78,7 +78,6 @@ def test_families_with_frequent_tokens(spark, monkeypatch, hot):
         monkeypatch.setattr(jaccard, "HOT_LEAST", 3)
         monkeypatch.setattr(jaccard, "HOT_SHARE", 100)
         monkeypatch.setattr(jaccard, "HELD_TOKENS", 3000)
-        monkeypatch.setattr(jaccard, "CHAIN", 3)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert found(df) == plain_components(rows, 3, 90)
 
