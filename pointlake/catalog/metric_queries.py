@@ -45,7 +45,7 @@ def _(spark, sf):
     return rounded(metrics.unoriented_error(emb_points(spark, sf), ["cloud_id"]))
 
 
-_NORMAL_METRICS = """
+NORMAL_METRICS = """
   round(avg(e), 6) AS mean_error, round(quantile_disc(e, 0.5), 6) AS median_error,
   round(avg(CASE WHEN e < 5 THEN 1.0 ELSE 0.0 END) * 100, 6) AS pgp5,
   round(avg(CASE WHEN e < 10 THEN 1.0 ELSE 0.0 END) * 100, 6) AS pgp10,
@@ -57,14 +57,14 @@ _NORMAL_METRICS = """
 
 @query("normal_metrics", f"""WITH {EMB},
 e AS (SELECT cloud_id, {sql_angle(False, False)} AS e, {sql_angle(True, False)} AS o FROM emb)
-SELECT cloud_id, {_NORMAL_METRICS} FROM e GROUP BY cloud_id""")
+SELECT cloud_id, {NORMAL_METRICS} FROM e GROUP BY cloud_id""")
 def _(spark, sf):
     return rounded(metrics.normal_metrics(emb_points(spark, sf), ["cloud_id"]))
 
 
 @query("normal_metrics_pooled", f"""WITH {EMB},
 e AS (SELECT {sql_angle(False, False)} AS e, {sql_angle(True, False)} AS o FROM emb)
-SELECT {_NORMAL_METRICS} FROM e""")
+SELECT {NORMAL_METRICS} FROM e""")
 def _(spark, sf):
     return rounded(metrics.normal_metrics(emb_points(spark, sf)))
 
@@ -161,7 +161,7 @@ def _(spark, sf):
     return rounded(metrics.patch_point_accuracy(patch_normals(spark, sf))[0])
 
 
-_MERGED = """ranks AS (SELECT cloud_id, patch_id, row_number() OVER (PARTITION BY cloud_id ORDER BY count(*) DESC, patch_id) AS rk
+MERGED = """ranks AS (SELECT cloud_id, patch_id, row_number() OVER (PARTITION BY cloud_id ORDER BY count(*) DESC, patch_id) AS rk
   FROM pn GROUP BY 1, 2),
 merged AS (SELECT pn.cloud_id, pn.point_id, arg_max(CASE WHEN {flip} = 1 THEN -nx ELSE nx END, rk) AS nx,
   arg_max(CASE WHEN {flip} = 1 THEN -ny ELSE ny END, rk) AS ny, arg_max(CASE WHEN {flip} = 1 THEN -nz ELSE nz END, rk) AS nz,
@@ -171,7 +171,7 @@ _FINAL = f"""SELECT cloud_id, round(greatest(avg(CASE WHEN {sql_dot()} > 0 THEN
   1 - avg(CASE WHEN {sql_dot()} > 0 THEN 1.0 ELSE 0.0 END)), 6) AS final_accuracy FROM merged GROUP BY 1"""
 
 
-@query("final_accuracy", f"WITH {PN}, {_MERGED.format(flip='f.flip', table='flips')} {_FINAL}")
+@query("final_accuracy", f"WITH {PN}, {MERGED.format(flip='f.flip', table='flips')} {_FINAL}")
 def _(spark, sf):
     pn = patch_normals(spark, sf)
     merged = orient.merge_patches(pn, patch_flips(spark, sf))
@@ -179,7 +179,7 @@ def _(spark, sf):
     return rounded(metrics.final_accuracy(merged.join(truth, ["cloud_id", "point_id"])))
 
 
-@query("final_accuracy_upper_bound", f"WITH {PN}, {GT_FLIPS}, {_MERGED.format(flip='f.flip', table='gtf')} {_FINAL}")
+@query("final_accuracy_upper_bound", f"WITH {PN}, {GT_FLIPS}, {MERGED.format(flip='f.flip', table='gtf')} {_FINAL}")
 def _(spark, sf):
     pn = patch_normals(spark, sf)
     merged = orient.merge_patches(pn, orient.majority_flips(pn))
@@ -197,7 +197,7 @@ SELECT cloud_id, patch_id, count(*) AS num_points, CAST(sum(CASE WHEN d > 0 THEN
   round(greatest(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END), 1 - avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END)), 6) AS accuracy_inv,
   round(1 - greatest(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END), 1 - avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END)), 6) AS error_rate,
   max(flip) AS flip_pred, CAST(sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) * 2 > count(*) AS BIGINT) AS gt_flip,
-  {_NORMAL_METRICS} FROM e GROUP BY 1, 2""")
+  {NORMAL_METRICS} FROM e GROUP BY 1, 2""")
 def _(spark, sf):
     return rounded(metrics.patch_report(patch_normals(spark, sf), patch_flips(spark, sf)))
 

@@ -368,6 +368,18 @@ def _(spark, sf):
     return rounded(edge_model.score(model, s, ["variant"]).select("cloud_id", "src", "dst", "variant", "logit"), 4)
 
 
+@query("pair_scorer", f"""WITH {EMB}, {knn_sql('k', 'emb', 3)}, v AS (SELECT * FROM (VALUES (0, 1, 1), (1, 1, -1), (2, -1, 1), (3, -1, -1)) t(variant, sa, sb)),
+e AS (SELECT vec_id AS point_id, list_transform(embedding, lambda u: CAST(u AS DOUBLE)) AS f FROM embeddings),
+s AS (SELECT k.cloud_id, src, dst, variant, -sa * sb * list_dot_product(ea.f, eb.f) - ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS logit
+  FROM k JOIN emb a ON a.cloud_id = k.cloud_id AND a.point_id = k.src JOIN emb b ON b.cloud_id = k.cloud_id AND b.point_id = k.dst
+    JOIN e ea ON ea.point_id = k.src JOIN e eb ON eb.point_id = k.dst, v)
+SELECT cloud_id, src, dst, CAST(variant AS BIGINT) AS variant, round(logit, 6) + 0.0 AS logit, round(1 / (1 + exp(-logit)), 6) + 0.0 AS probability FROM s""")
+def _(spark, sf):
+    """A plugged-in scorer of pairs: disagreement of the features, less the squared distance of the centres."""
+    s = orient.edge_samples(_emb_features(spark, sf), 3)
+    return rounded(edge_model.score_with(lambda a, b, d: -(a * b).sum(1) - (d * d).sum(1), s, ["variant"]))
+
+
 @query("merge_smallest", f"""WITH {PN},
 n AS (SELECT cloud_id, patch_id, count(*) AS n FROM pn GROUP BY 1, 2),
 r AS (SELECT p.*, CASE WHEN f.flip = 1 THEN -1.0 ELSE 1.0 END AS s, row_number() OVER (PARTITION BY p.cloud_id, p.point_id ORDER BY n.n, p.patch_id DESC) AS rk

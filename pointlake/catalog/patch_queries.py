@@ -260,7 +260,7 @@ def _(spark, sf):
 
 
 @query("patch_inventory", f"""{_MULTI} SELECT cloud_id, count(DISTINCT scale_idx) AS num_scales, count(*) AS num_patches,
-  CAST(sum(n) AS BIGINT) AS num_rows, CAST(count(DISTINCT scale_idx) = 2 AS BIGINT) AS complete
+  CAST(sum(n) AS BIGINT) AS num_rows, round(sum(n) * 16 / 1048576.0, 6) AS size_mb, CAST(count(DISTINCT scale_idx) = 2 AS BIGINT) AS complete
 FROM (SELECT cloud_id, scale_idx, patch_id, count(*) AS n FROM ms GROUP BY 1, 2, 3) GROUP BY 1""")
 def _(spark, sf):
     return rounded(patches.patch_inventory(_multi(spark, sf), 2))

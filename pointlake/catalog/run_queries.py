@@ -5,15 +5,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from pointlake.catalog.patch_queries import _MULTI, _SCALES, _multi
-from pointlake.catalog.registry import query, rnd, rounded
-from pointlake.catalog.toy import PN, patch_flips, patch_normals, sql_dot
+from pointlake.catalog.metric_queries import MERGED, NORMAL_METRICS
+from pointlake.catalog.registry import ORACLES, query, rounded
+from pointlake.catalog.toy import PN, patch_flips, patch_normals, sql_angle, sql_dot
 from pointlake.fixtures import (
     EMB, EVT, HIST, emb_points, event_points, history_of_events, points_of_events, table, train_history,
 )
-from pointlake.functions.geometry import NORMAL, XYZ
-from pointlake.operators import metrics
+from pointlake.functions.geometry import NORMAL, TRUTH, XYZ
+from pointlake.operators import metrics, normals, orient
 from pointlake.plans import runs
-from pointlake.session import shared_dir
+from pointlake.session import cut, shared_dir
 from pointlake.sources import discovery, ply, tables
 from pointlake.streaming import stream
 
@@ -211,9 +212,9 @@ def _(spark, sf):
     return rounded(back.select("cloud_id", "patch_id", F.col("feature")[0].alias("f0")))
 
 
-_MICRO = "CAST(CAST(round({c} * 1e6) AS BIGINT) AS VARCHAR)"
-_MARK = f"""bit_xor(CAST(('0x' || substr(md5(CAST(point_id AS VARCHAR) || '|' || {_MICRO.format(c='x')} || '|' || {_MICRO.format(c='y')} || '|' ||
-  {_MICRO.format(c='z')}), 1, 13)) AS BIGINT))"""
+_BITS = "CAST(CAST(CAST(CAST({c} + 0.0 AS DOUBLE) AS BIT) AS BIGINT) AS VARCHAR)"
+_MARK = f"""bit_xor(CAST(('0x' || substr(md5(CAST(point_id AS VARCHAR) || '|' || {_BITS.format(c='x')} || '|' || {_BITS.format(c='y')} || '|' ||
+  {_BITS.format(c='z')}), 1, 13)) AS BIGINT))"""
 
 
 @query("cloud_fingerprint", f"WITH {EMB} SELECT cloud_id, count(*) AS n, {_MARK} AS mark FROM emb GROUP BY 1")
@@ -223,9 +224,9 @@ def _(spark, sf):
 
 @query("reusable_results", f"WITH {EMB} SELECT DISTINCT cloud_id FROM emb WHERE cloud_id % 2 = 0")
 def _(spark, sf):
-    """Clouds whose coordinates did not change: the odd ones are moved a little here."""
+    """Clouds whose coordinates did not change: the odd ones are moved by less than a millionth of a millionth."""
     p = emb_points(spark, sf)
-    moved = p.withColumn("x", F.col("x") + F.when(F.col("cloud_id") % 2 == 1, 0.001).otherwise(0.0))
+    moved = p.withColumn("x", F.col("x") + F.when(F.col("cloud_id") % 2 == 1, 1e-13).otherwise(0.0))
     return tables.reusable(tables.fingerprint(moved), tables.fingerprint(p))
 
 
@@ -268,13 +269,15 @@ _RES = """res AS (SELECT o_orderkey, 'm' || CAST(o_orderkey AS VARCHAR) AS model
   o_custkey AS num_points, (o_orderkey % 50) / 50.0 AS acc FROM orders)"""
 
 
-@query("run_summary_rows", f"""WITH {_RES}, s AS (SELECT *, status = 'success' AS ok FROM res)
+_SUMMARY = f"""WITH {_RES}, s AS (SELECT *, status = 'success' AS ok FROM res)
 SELECT model_name, scene_name, '/in' AS input_path, '/out' AS output_dir, status, CASE WHEN ok THEN CAST(num_points AS BIGINT) END AS num_points,
   CASE WHEN ok THEN CAST(3 AS BIGINT) END AS num_patches, CASE WHEN ok THEN 'optimize' END AS pipeline_type,
   CASE WHEN ok AND acc <> 0 THEN round(acc * 100, 6) END AS point_accuracy, CASE WHEN ok AND acc <> 0 THEN round(acc * 100, 6) END AS final_accuracy,
   CAST(NULL AS DOUBLE) AS flip_accuracy, CASE WHEN ok THEN round(acc * 90, 6) END AS mean_error, CASE WHEN ok THEN CAST(1.5 AS DOUBLE) END AS time_total,
-  CASE WHEN ok THEN '' ELSE 'boom' END AS error_message FROM s""")
-def _(spark, sf):
+  CASE WHEN ok THEN '' ELSE 'boom' END AS error_message FROM s"""
+
+
+def _results(spark, sf):
     o = table(spark, sf, "orders")
     key, acc = F.col("o_orderkey"), (F.col("o_orderkey") % 50) / F.lit(50.0)
     r = o.select(
@@ -285,21 +288,81 @@ def _(spark, sf):
         acc.alias("point_accuracy"), acc.alias("final_accuracy"), F.lit(0.0).alias("flip_accuracy"), (acc * 90).alias("mean_error"),
         F.lit(1.5).alias("time_total"), F.lit("boom").alias("error_message"),
     )
-    return rounded(runs.summary_rows(r))
+    return r
 
 
-@query("batch_status", """SELECT c_custkey AS cloud_id, CASE WHEN c_nationkey = 3 THEN 'skipped' WHEN c_custkey % 5 = 0 THEN 'skipped'
-  WHEN c_custkey % 7 = 0 THEN 'failed' ELSE 'success' END AS status,
-  CASE WHEN c_nationkey = 3 THEN 'no file' WHEN c_custkey % 5 = 0 THEN 'output exists' WHEN c_custkey % 7 = 0 THEN 'bad header' END AS error FROM customer""")
+@query("run_summary_rows", _SUMMARY)
 def _(spark, sf):
-    c = table(spark, sf, "customer")
-    targets = c.select(F.col("c_custkey").alias("cloud_id"), F.when(F.col("c_nationkey") == 3, "no file").alias("error"))
-    finished = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("cloud_id"))
+    return rounded(runs.summary_rows(_results(spark, sf)))
+
+
+@query("summary_file", _SUMMARY)
+def _(spark, sf):
+    """The same rows from the file, in which the empty message of a success is an empty field."""
+    path = scratch(spark, "summary")
+    runs.write_summary(_results(spark, sf), path)
+    back = spark.read.schema(runs.summary_rows(_results(spark, sf)).schema).option("header", True).csv(path)
+    return rounded(back.withColumn("error_message", F.coalesce("error_message", F.lit(""))))
 
-    def work(todo):
-        return todo.withColumn("error", F.when(F.col("cloud_id") % 7 == 0, "bad header"))
 
-    return runs.run_with_status(targets, work, finished)
+def _spoil(manifest):
+    """Breaks the written files of clouds 1 (cut short), 2 (no PLY file) and 3 (an unknown type)."""
+    def run(batches):
+        for pdf in batches:
+            for cloud, path in zip(pdf["cloud_id"], pdf["path"]):
+                with open(path, "rb") as f:
+                    data = f.read()
+                data = {1: data[:-9], 2: b"xyz" + data[3:], 3: data.replace(b"property double", b"property dubble")}.get(int(cloud), data)
+                with open(path, "wb") as f:
+                    f.write(data)
+            yield pdf
+
+    return manifest.where("cloud_id IN (1, 2, 3)").mapInPandas(run, manifest.schema).count()
+
+
+@query("batch_status", f"""WITH {EMB}, n AS (SELECT cloud_id, count(*) AS n FROM emb GROUP BY 1)
+SELECT CAST(cloud_id AS VARCHAR) AS cloud_id,
+  CASE WHEN cloud_id IN (1, 2, 3, 5) THEN 'skipped' WHEN cloud_id = 4 THEN 'failed' ELSE 'success' END AS status,
+  CASE cloud_id WHEN 1 THEN 'ValueError: PLY file is shorter than its header says' WHEN 2 THEN 'ValueError: not a PLY file' WHEN 3 THEN 'KeyError: ' || chr(39) || 'dubble' || chr(39)
+    WHEN 4 THEN 'ValueError: coordinates are not finite' WHEN 5 THEN 'output exists' END AS error,
+  CASE WHEN cloud_id NOT IN (1, 2, 3, 4, 5) THEN n END AS normals FROM n""")
+def _(spark, sf):
+    """Normals of a folder of PLY files, three of them broken, one with a coordinate that is no number, one finished."""
+    p = emb_points(spark, sf).select("cloud_id", "point_id", *XYZ)
+    p = p.withColumn("x", F.when((F.col("cloud_id") == 4) & (F.col("point_id") % 3 == 0), F.lit(float("nan"))).otherwise(F.col("x")))
+    folder = scratch(spark, "batch")
+    _spoil(ply.write_ply(p, folder, binary=True))
+    found = {}
+
+    def work(todo):
+        points = ply.read_ply(spark, folder, ["x", "y", "z"], skip_broken=True).join(todo, "cloud_id", "left_semi")
+        good, errors = normals.cloud_normals(points, 10)
+        found["normals"] = cut(good.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("normals")))
+        return found["normals"].select("cloud_id", F.lit(None).cast("string").alias("error")).unionByName(errors)
+
+    targets = ply.ply_status(spark, folder).groupBy("cloud_id").agg(F.min("error").alias("error"))
+    finished = targets.select("cloud_id").where("cloud_id = '5'")
+    return runs.run_with_status(targets, work, finished).join(found["normals"], "cloud_id", "left")
+
+
+@query("downsample_files", f"""WITH {EMB}, s AS (SELECT cloud_id, count(*) AS n FROM emb GROUP BY 1)
+SELECT CAST(cloud_id AS VARCHAR) AS cloud_id, CASE WHEN cloud_id IN (1, 2, 3) THEN 'failed' ELSE 'success' END AS status,
+  CASE cloud_id WHEN 1 THEN 'ValueError' WHEN 2 THEN 'ValueError' WHEN 3 THEN 'KeyError' END AS error,
+  CASE WHEN cloud_id NOT IN (1, 2, 3) THEN n END AS n_in, CASE WHEN cloud_id NOT IN (1, 2, 3) THEN CAST(greatest(1, floor(n * 0.25)) AS BIGINT) END AS n_out,
+  CASE WHEN cloud_id NOT IN (1, 2, 3) THEN round(greatest(1, floor(n * 0.25)) / n, 6) END AS actual_ratio,
+  CASE WHEN cloud_id NOT IN (1, 2, 3) THEN CAST(cloud_id % 2 AS BIGINT) END AS has_normals, CASE WHEN cloud_id NOT IN (1, 2, 3) THEN CAST(0 AS BIGINT) END AS has_colors,
+  CASE WHEN cloud_id NOT IN (1, 2, 3) THEN CAST(greatest(1, floor(n * 0.25)) AS BIGINT) END AS n_original FROM s""")
+def _(spark, sf):
+    """Files sampled to files: the odd clouds have normals, three files are broken; every written point is one of the read ones."""
+    p = emb_points(spark, sf).select("cloud_id", "point_id", *XYZ, *NORMAL)
+    source, target = scratch(spark, "dense"), scratch(spark, "thin")
+    bare = ply.write_ply(p.where("cloud_id % 2 = 0"), source, binary=True)
+    _spoil(bare.unionByName(ply.write_ply(p.where("cloud_id % 2 = 1"), source, binary=True, normals=True)))
+    stats = runs.downsample_files(spark, source, target, ratio=0.25, binary=True)
+    known = p.select(F.col("cloud_id").cast("string").alias("cloud_id"), *XYZ)
+    again = ply.read_ply(spark, target).select("cloud_id", *XYZ).join(known, ["cloud_id", *XYZ], "left_semi")
+    again = again.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n_original"))
+    return rounded(stats.withColumn("error", F.split("error", ":")[0]).join(again, "cloud_id", "left"))
 
 
 _RATE = f"""rep AS (SELECT cloud_id, patch_id, 1 - greatest(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END), 1 - avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END)) AS error_rate
@@ -322,29 +385,71 @@ def _(spark, sf):
     return rounded(runs.patch_info(rep, runs.patches_to_save(rep, max_error_rate=0.3)))
 
 
-@query("metrics_json", f"""WITH {PN} SELECT cloud_id, count(*) AS num_points, round(avg({sql_dot()}), 6) + 0.0 AS acc FROM pn GROUP BY 1""")
+_JSON = {
+    "num_points": "", "num_patches": "", "point_accuracy": "accuracy.", "final_accuracy": "accuracy.", "flip_accuracy": "accuracy.", "edge_accuracy": "accuracy.",
+    "total_edges": "accuracy.", "mean_error": "overall_metrics.", "median_error": "overall_metrics.", "pgp5": "overall_metrics.", "pgp10": "overall_metrics.",
+    "pgp30": "overall_metrics.", "rmse_unoriented": "overall_metrics.", "rmse_oriented": "overall_metrics.",
+}
+_REPORT = f"""SELECT * FROM ({ORACLES['point_accuracy']}) JOIN ({ORACLES['final_accuracy']}) USING (cloud_id) JOIN ({ORACLES['flip_accuracy']}) USING (cloud_id)
+JOIN ({ORACLES['edge_accuracy']}) USING (cloud_id) JOIN (WITH {PN}, {MERGED.format(flip='f.flip', table='flips')}, e AS (SELECT cloud_id, {sql_angle(False, False)} AS e,
+  {sql_angle(True, False)} AS o FROM merged) SELECT cloud_id, count(*) AS num_points, {NORMAL_METRICS} FROM e GROUP BY cloud_id) USING (cloud_id)
+JOIN (WITH {PN} SELECT cloud_id, count(*) AS num_patches FROM flips GROUP BY 1) USING (cloud_id)"""
+
+
+@query("metrics_json", f"SELECT cloud_id, {', '.join(_JSON)} FROM ({_REPORT})")
 def _(spark, sf):
-    """Nested JSON of a report, read back by path."""
-    pn = patch_normals(spark, sf)
-    d = pn.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("num_points"),
-                                   F.avg(F.col("nx") * F.col("gx") + F.col("ny") * F.col("gy") + F.col("nz") * F.col("gz")).alias("point_accuracy"))
-    rest = ["num_patches", "final_accuracy", "flip_accuracy", "edge_accuracy", "total_edges", "mean_error", "median_error", "pgp5", "pgp10",
-            "pgp30", "rmse_unoriented", "rmse_oriented"]
-    j = runs.metrics_json(d.withColumns({c: F.lit(None).cast("double") for c in rest}))
-    return j.select("cloud_id", F.get_json_object("json", "$.num_points").cast("long").alias("num_points"),
-                    rnd(F.get_json_object("json", "$.accuracy.point_accuracy").cast("double")).alias("acc"))
+    """The nested report of every cloud with all its fields, read back by path."""
+    pn, flips = patch_normals(spark, sf), patch_flips(spark, sf)
+    truth = emb_points(spark, sf).select("cloud_id", "point_id", *TRUTH)
+    final, true_flips = orient.merge_patches(pn, flips).join(truth, ["cloud_id", "point_id"]), orient.majority_flips(pn)
+    out = final.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("num_points"))
+    for part in (
+        metrics.normal_metrics(final, ["cloud_id"]), flips.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("num_patches")),
+        metrics.patch_point_accuracy(pn)[1], metrics.final_accuracy(final), metrics.flip_accuracy(flips, true_flips),
+        metrics.edge_accuracy(orient.overlap_relation(pn), true_flips),
+    ):
+        out = out.join(part.select("cloud_id", *(c for c in part.columns if c not in out.columns)), "cloud_id")
+    kind = {c: "long" if c.startswith(("num_", "total_")) else "double" for c in _JSON}
+    return rounded(runs.metrics_json(out).select("cloud_id", *(F.get_json_object("json", f"$.{at}{c}").cast(kind[c]).alias(c) for c, at in _JSON.items())))
 
 
-@query("prediction_rows", f"""WITH {EMB}, t AS (SELECT *, CASE WHEN nx >= ny AND nx >= nz THEN 0 WHEN ny >= nz THEN 1 ELSE 2 END AS p, point_id % 3 AS t FROM emb
-  WHERE point_id % 10 > 0 AND cloud_id IN (SELECT DISTINCT cloud_id FROM emb ORDER BY 1 LIMIT 4))
-SELECT cloud_id, point_id, CAST(p AS BIGINT) AS prediction, t AS ground_truth, CAST([128, 255, 0][p + 1] AS BIGINT) AS pr, CAST([128, 255, 0][t + 1] AS BIGINT) AS tr FROM t""")
+@query("export_patches", f"""WITH {PN}, {_RATE}, k AS (SELECT cloud_id, patch_id FROM rep WHERE error_rate >= 0.3)
+SELECT cloud_id, patch_id, point_id, round(x, 6) + 0.0 AS x, CAST(CASE WHEN {sql_dot()} > 0 THEN 0 ELSE 255 END AS BIGINT) AS r, CAST(CASE WHEN {sql_dot()} > 0 THEN 255 ELSE 0 END AS BIGINT) AS g
+FROM pn SEMI JOIN k USING (cloud_id, patch_id)""")
 def _(spark, sf):
+    """Patches with many errors written with the colours of their points and read back."""
+    chosen = runs.patches_to_save(_patch_rep(spark, sf), min_error_rate=0.3)
+    path = scratch(spark, "segments")
+    runs.export_patches(patch_normals(spark, sf), chosen, path, buckets=8)
+    return rounded(spark.read.parquet(path).select("cloud_id", "patch_id", "point_id", "x", "r", "g"))
+
+
+_PREDICTED = f"""{EMB}, t AS (SELECT *, CASE WHEN nx >= ny AND nx >= nz THEN 0 WHEN ny >= nz THEN 1 ELSE 2 END AS p, point_id % 3 AS t FROM emb
+  WHERE point_id % 10 > 0)"""
+
+
+def _predicted(spark, sf):
     p = emb_points(spark, sf)
     pred = p.where("point_id % 10 > 0").select("cloud_id", "point_id", F.array(*NORMAL).alias("prediction"))
     truth = p.select("cloud_id", "point_id", (F.col("point_id") % 3).alias("ground_truth"))
-    clouds = p.select("cloud_id").distinct().orderBy("cloud_id").limit(4)
-    rows = runs.prediction_rows(p, pred, truth, 3, clouds)
-    return rounded(rows.select("cloud_id", "point_id", "prediction", "ground_truth", "pr", "tr"))
+    return runs.prediction_rows(p, pred, truth, 3)
+
+
+@query("prediction_rows", f"""WITH {_PREDICTED}
+SELECT cloud_id, point_id, CAST(p AS BIGINT) AS prediction, t AS ground_truth, CAST([128, 255, 0][p + 1] AS BIGINT) AS pr, CAST([128, 255, 0][t + 1] AS BIGINT) AS tr FROM t""")
+def _(spark, sf):
+    """Predicted and true labels of all clouds with their colours; a tenth of the points have no prediction."""
+    return rounded(_predicted(spark, sf).select("cloud_id", "point_id", "prediction", "ground_truth", "pr", "tr"))
+
+
+@query("comparison_export", f"""WITH {_PREDICTED}
+SELECT cloud_id, point_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, CAST(p AS BIGINT) AS prediction, t AS ground_truth FROM t""")
+def _(spark, sf):
+    """The comparison of predicted and true labels, written as JSON lines and read back."""
+    path = scratch(spark, "comparison")
+    runs.write_comparison(_predicted(spark, sf), path)
+    schema = "cloud_id long, point_id long, x double, y double, z double, prediction long, ground_truth long"
+    return rounded(spark.read.schema(schema).json(path))
 
 
 @query("epoch_rollup", f"""WITH {HIST} SELECT epoch, round(avg(loss), 6) AS loss, round(avg(accuracy), 6) AS accuracy, round(arg_max(learning_rate, batch), 6) AS learning_rate

@@ -18,11 +18,17 @@ from pointlake.session import cut, is_empty
 SMALL_GRAPH_ROWS = 200_000  # rows of one graph that a task solves in memory
 
 
-def _walk(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, keys, fn, names) -> pd.DataFrame | None:
+def _walk(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, keys, fn, names, failed: list | None) -> pd.DataFrame | None:
     arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
     parts, heads, counts = [], [], []
     for s, e in zip(starts, ends):
-        out = fn({c: a[s:e] for c, a in arrays.items()})
+        try:
+            out = fn({c: a[s:e] for c, a in arrays.items()})
+        except Exception as problem:
+            if failed is None:
+                raise
+            failed.append({**{k: arrays[k][s] for k in keys}, "error": f"{type(problem).__name__}: {problem}"})
+            continue
         n = len(next(iter(out.values())))
         if n:
             parts.append(out)
@@ -36,12 +42,25 @@ def _walk(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, keys, fn, nam
     return pd.DataFrame(data)[names]
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], dict], schema: str) -> DataFrame:
-    """Apply ``fn`` (column arrays of one group -> column arrays of its result, without keys) to every group."""
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], dict], schema: str, errors: bool = False) -> DataFrame:
+    """Apply ``fn`` (column arrays of one group -> column arrays of its result, without keys) to every group.
+
+    With ``errors``, a group for which ``fn`` raises does not end the job: it gives one row with its keys and the column
+    ``error``, which is null in all other rows; ``split_errors`` tells them apart.
+    """
     keys = list(keys)
     names = [c.strip().split()[0] for c in schema.split(", ")]
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def walked(pdf, starts, ends):
+        failed = [] if errors else None
+        out = _walk(pdf, starts, ends, keys, fn, names, failed)
+        if out is not None:
+            yield out.assign(error=None) if errors else out
+        if failed:
+            bad = pd.DataFrame(failed)
+            yield bad.assign(**{c: None for c in names if c not in keys})[[*names, "error"]]
+
     def run(batches):
         held = None
         for pdf in batches:
@@ -56,16 +75,20 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], dict], schem
                 change[1:] |= v[1:] != v[:-1]
             starts = np.flatnonzero(change)
             if len(starts) > 1:
-                out = _walk(pdf, starts[:-1], starts[1:], keys, fn, names)
-                if out is not None:
-                    yield out
+                yield from walked(pdf, starts[:-1], starts[1:])
             held = pdf.iloc[starts[-1] :].reset_index(drop=True)
         if held is not None and len(held):
-            out = _walk(held, np.array([0]), np.array([len(held)]), keys, fn, names)
-            if out is not None:
-                yield out
+            yield from walked(held, np.array([0]), np.array([len(held)]))
+
+    whole = schema + ", error string" if errors else schema
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(run, whole)
+
 
-    return df.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+def split_errors(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(results, one (keys, error) per failed key) of a map with ``errors``; a key with any error has no results."""
+    rows = cut(df)
+    failed = rows.where(F.col("error").isNotNull()).groupBy(*keys).agg(F.min("error").alias("error"))
+    return rows.where(F.col("error").isNull()).drop("error").join(failed.select(*keys), list(keys), "left_anti"), failed
 
 
 def oversized(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:

@@ -198,11 +198,13 @@ def knn_graph(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), **kw)
 MOMENTS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
 
 
-def _own_moments(k: int) -> Callable[[dict], dict]:
+def own_moments(k: int) -> Callable[[dict], dict]:
     """Covariances of the k nearest other points of a tile around their own mean, and the bound on the k-th distance."""
 
     def work(g: dict) -> dict:
         xyz, ids = np.stack([g[c] for c in XYZ], axis=1), g["_id"]
+        if not np.isfinite(xyz).all():
+            raise ValueError("coordinates are not finite")
         rows, cols, dist, rank = nearest_rows(xyz, ids, xyz, ids, k, True)
         n = np.bincount(rows, minlength=len(ids))
         share = 1.0 / np.maximum(n, 1)
@@ -240,7 +242,7 @@ def knn_moments(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), tile
         return every.na.fill(0, ["k", *names]).select(*out)
     tiles = assign_tiles(t, splits)
     fields = [f"{c} {types[c]}" for c in [*keys, "point_id"]] + ["k bigint", *(f"{c} double" for c in [*names, *XYZ, "_reach"]), "_home string"]
-    own = map_groups(tiles, [*keys, "_node"], _own_moments(k), ", ".join([*fields, "_node string"])).drop("_node")
+    own = map_groups(tiles, [*keys, "_node"], own_moments(k), ", ".join([*fields, "_node string"])).drop("_node")
     if not splits.levels:
         return own.select(*out)
     own = cut(own)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ, as_flag, dot, sigmoid
-from pointlake.operators.knn import MOMENTS, knn_graph, knn_moments
+from pointlake.operators.grouped import map_groups, split_errors
+from pointlake.operators.knn import MOMENTS, knn_graph, knn_moments, own_moments
 from pointlake.session import cut
 
 def neighbourhood_moments(points: DataFrame, k: int, keys: list[str] = ("cloud_id",)) -> DataFrame:
@@ -45,6 +46,23 @@ def pca_normals(points: DataFrame, k: int = 10, keys: list[str] = ("cloud_id",))
     return e.select(*keys, "point_id", *[F.when(F.col("k") > 0, F.col(f"_e.{c}")).otherwise(F.lit(v)).alias(c) for c, v in lone.items()])
 
 
+def cloud_normals(points: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(normals, errors): PCA normals of all sound clouds, and (cloud_id, error) of the others.
+
+    A cloud whose points cannot be worked on is a row with its error; it does not end the job of the other clouds.
+    """
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in XYZ]
+    sound = points.groupBy("cloud_id").agg(F.min(finite[0] & finite[1] & finite[2]).alias("_sound"))
+    broken = points.join(sound.where(~F.col("_sound")), "cloud_id", "left_semi")
+    rows = broken.select("cloud_id", F.col("point_id").alias("_id"), *[F.col(c).cast("double").alias(c) for c in XYZ], F.lit("").alias("_node"))
+    types = dict(points.dtypes)
+    schema = f"cloud_id {types['cloud_id']}, point_id {types['point_id']}, k bigint"
+    # What is wrong with a cloud is what the estimation raises for it; one part of it is enough.
+    part = F.pmod(F.xxhash64("_id"), F.lit(64))
+    _, errors = split_errors(map_groups(rows.withColumn("_part", part), ["cloud_id", "_part"], own_moments(k), f"_part bigint, {schema}", errors=True), ["cloud_id"])
+    return pca_normals(points.join(errors.select("cloud_id"), "cloud_id", "left_anti"), k), errors
+
+
 def flip_bits(df: DataFrame, normal=NORMAL, truth=TRUTH) -> DataFrame:
     """True flip bit: 1 where the normal points against the truth."""
     return df.withColumn("gt_flip", as_flag(dot(normal, truth) < 0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ, as_flag, dot, sigmoid
@@ -14,6 +15,8 @@ from pointlake.operators.knn import knn_graph, symmetric_adjacency
 from pointlake.operators.tiles import group_sizes, ranked
 from pointlake.session import cut, is_empty
 
+HELD_PATCHES = 2_000  # patches whose pooled features a task holds before it hands them on
+
 
 def overlap_relation(members: DataFrame, adjacency: DataFrame | None = None, normal=NORMAL) -> DataFrame:
     """Per pair of patches i < j the shared points whose normals agree (a) and disagree (b); a right angle counts
@@ -68,23 +71,69 @@ def majority_flips(members: DataFrame, keys: list[str] = ("cloud_id",), normal=N
     return members.groupBy(*keys, "patch_id").agg(as_flag(against * 2 > F.count(F.lit(1))).alias("flip"))
 
 
+_POOLED = "_n bigint, _sx double, _sy double, _sz double, feature array<double>, inv_feature array<double>"
+
+
+def _pool_batches(keys: list[str], pool):
+    """Pooled features of the patches a task meets; a patch leaves the task in one row, or a few if there are many patches."""
+
+    def flush(held: dict) -> pd.DataFrame:
+        rows = [(*key, n, *xyz, f, g) for key, (n, xyz, f, g) in held.items()]
+        return pd.DataFrame(rows, columns=[*keys, "_n", "_sx", "_sy", "_sz", "feature", "inv_feature"])
+
+    def run(batches):
+        held: dict = {}
+        for pdf in batches:
+            pdf = pdf[pdf["feature"].notna()]
+            if not len(pdf):
+                continue
+            code = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.diff(code[order], prepend=-1))
+            sizes = np.diff(np.append(first, len(order)))
+            f, g = (pool.reduceat(np.stack(pdf[c].to_numpy())[order], first, axis=0) for c in ("feature", "inv_feature"))
+            xyz = np.add.reduceat(pdf[list(XYZ)].to_numpy(np.float64)[order], first, axis=0)
+            heads = pdf[keys].iloc[order[first]].itertuples(index=False, name=None)
+            for i, key in enumerate(heads):
+                n = int(sizes[i])
+                if key in held:
+                    m, at, u, v = held[key]
+                    held[key] = n + m, xyz[i] + at, pool(f[i], u), pool(g[i], v)
+                else:
+                    held[key] = n, xyz[i], f[i], g[i]
+            if len(held) > HELD_PATCHES:
+                yield flush(held)
+                held = {}
+        if held:
+            yield flush(held)
+
+    return run
+
+
 def patch_features(members: DataFrame, pooling: str = "max") -> DataFrame:
     """Pool the point features (arrays) of every patch, with the twin from negated normals, and the mean position.
 
-    Positions of the arrays are aggregated as rows, so a patch of any size has map-side combine.
+    Tasks pool whole arrays first, so a patch of any size sends one row per task, and points send none.
     """
-    how = {"max": F.max, "mean": F.avg}[pooling]
-    keys = ["cloud_id", "patch_id"]
-    long = members.select(*keys, F.posexplode(F.arrays_zip("feature", "inv_feature")).alias("pos", "v"))
-    per = long.groupBy(*keys, "pos").agg(how("v.feature").alias("f"), how("v.inv_feature").alias("g"))
-    # One entry per feature position: as long as the feature vector, whatever the patch size.
-    packed = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "f", "g"))).alias("_a"))
-    centres = members.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"c{c}") for c in XYZ], F.count(F.lit(1)).alias("n_points")
-    )
-    return packed.join(centres, keys).select(
-        *keys, "cx", "cy", "cz", "n_points", F.col("_a.f").alias("feature"), F.col("_a.g").alias("inv_feature")
-    )
+    pool = {"max": np.maximum, "mean": np.add}[pooling]
+    keys, types = ["cloud_id", "patch_id"], dict(members.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+    arrays = [F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("feature", "inv_feature")]
+    rows = members.select(*keys, *[F.col(c).cast("double").alias(c) for c in XYZ], *arrays)
+    pooled = rows.mapInPandas(_pool_batches(keys, pool), f"{head}, {_POOLED}")
+
+    def merge(g: dict) -> dict:
+        n = int(g["_n"].sum())
+        out = [pool.reduce(np.stack(g[c])) / (n if pooling == "mean" else 1) for c in ("feature", "inv_feature")]
+        mean = {f"c{c}": np.array([g[f"_s{c}"].sum() / n]) for c in XYZ}
+        cells = {}
+        for name, value in zip(("feature", "inv_feature"), out):
+            cells[name] = np.empty(1, object)
+            cells[name][0] = value
+        return {**mean, "n_points": np.array([n]), **cells}
+
+    schema = f"{head}, cx double, cy double, cz double, n_points bigint, feature array<double>, inv_feature array<double>"
+    return map_groups(pooled, keys, merge, schema)
 
 
 def with_labels(edges: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:

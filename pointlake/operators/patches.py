@@ -457,9 +457,12 @@ def lookup_patches(members: DataFrame, cloud_id=None, scale_idx: int | None = No
 
 
 def patch_inventory(members: DataFrame, expected_scales: int) -> DataFrame:
-    """Per cloud: scales present, patches, rows, and whether every scale is there."""
+    """Per cloud: scales present, patches, rows, megabytes of the ids, and whether every scale is there.
+
+    A row holds the ids of its patch and its point as eight bytes each.
+    """
     per = members.groupBy("cloud_id", "scale_idx", "patch_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("cloud_id").agg(
         F.count_distinct("scale_idx").alias("num_scales"), F.count(F.lit(1)).alias("num_patches"),
-        F.sum("n").alias("num_rows"),
+        F.sum("n").alias("num_rows"), (F.sum("n") * 16 / (1 << 20)).alias("size_mb"),
     ).withColumn("complete", (F.col("num_scales") == expected_scales).cast("long"))

@@ -305,10 +305,11 @@ def voxel_sizes_for_rate(points: DataFrame, rate: float, offset: float = 0.1, ru
     return done
 
 
-def rate_voxel_downsample(points: DataFrame, rate: float, offset: float = 0.1) -> DataFrame:
-    sizes = voxel_sizes_for_rate(points, rate, offset)
+def rate_voxel_downsample(points: DataFrame, rate: float, offset: float = 0.1, extra: list[str] = ()) -> DataFrame:
+    """Voxel means at the size that keeps about ``rate`` of each cloud; ``in_band`` tells whether the size meets it."""
+    sizes = cut(voxel_sizes_for_rate(points, rate, offset))
     p = points.join(sizes.drop("in_band"), "cloud_id")
-    return voxel_downsample(p, F.col("voxel"))
+    return voxel_downsample(p, F.col("voxel"), extra).join(sizes.select("cloud_id", "in_band"), "cloud_id")
 
 
 def downsample_stats(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ Spark ML fits it on the distributed sample table; only the weights reach the dri
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -47,6 +51,30 @@ def score(model: PipelineModel, samples: DataFrame, keep: list[str] = ()) -> Dat
     )
 
 
+def score_with(fn: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], samples: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(cloud_id, src, dst, logit, probability) and the kept columns from a plugged-in scorer.
+
+    ``fn`` maps two feature matrices (pairs x width) and the offsets of the centres (pairs x 3) to one logit per pair; it
+    sees the pairs in batches, as they come.
+    """
+    names = ["cloud_id", "i", "j", *keep]
+    types = dict(samples.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sides = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("fa", "fb")]
+            offset = np.stack([batch.column(f"d{c}").to_numpy(zero_copy_only=False) for c in XYZ], 1)
+            logit = np.asarray(fn(*sides, offset), np.float64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(logit)], [*names, "logit"])
+
+    rows = samples.select(*names, "fa", "fb", *[f"d{c}" for c in XYZ])
+    out = rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", logit double")
+    probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))
+    return out.select("cloud_id", F.col("i").alias("src"), F.col("j").alias("dst"), "logit", probability.alias("probability"), *keep)
+
+
 def evaluate(model: PipelineModel, samples: DataFrame) -> DataFrame:
     """Binary metrics of the classifier on labelled samples."""
     from pointlake.operators.metrics import binary_metrics

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pointlake.functions.geometry import TRUTH, XYZ
+from pointlake.functions.geometry import NORMAL, TRUTH, XYZ
+from pointlake.operators import sampling
 from pointlake.operators.transforms import colour_correctness, colour_labels
+from pointlake.session import cut, is_empty
+from pointlake.sources import ply
 
 # The columns of the summary file, in order.
 SUMMARY_COLUMNS = [
@@ -115,11 +119,24 @@ def patches_to_save(report: DataFrame, min_error_rate: float | None = None, max_
     return report if max_error_rate is None else report.where(F.col("error_rate") <= max_error_rate)
 
 
-def export_patches(members: DataFrame, chosen: DataFrame, path: str) -> None:
-    """Points of the chosen patches with correctness colours, partitioned by cloud and patch."""
+def export_patches(members: DataFrame, chosen: DataFrame, path: str, buckets: int = 64) -> None:
+    """Points of the chosen patches with correctness colours, in ``buckets`` folders by cloud and patch.
+
+    A patch lies sorted within one folder, whose files' statistics let a reader of one patch skip the others; the number of
+    folders does not grow with that of patches.
+    """
     rows = members.join(chosen.select("cloud_id", "patch_id"), ["cloud_id", "patch_id"], "left_semi")
     rows = colour_correctness(rows) if set(TRUTH) <= set(rows.columns) else rows
-    rows.repartition("cloud_id", "patch_id").write.mode("overwrite").partitionBy("cloud_id", "patch_id").parquet(path)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("cloud_id", "patch_id"), F.lit(buckets)).cast("int"))
+    rows = rows.repartition("bucket", "cloud_id", "patch_id").sortWithinPartitions("bucket", "cloud_id", "patch_id")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_patch(spark: SparkSession, path: str, cloud, patch, buckets: int = 64) -> DataFrame:
+    """The points of one exported patch, read from its bucket only."""
+    one = spark.createDataFrame([(cloud, patch)], spark.read.parquet(path).select("cloud_id", "patch_id").schema)
+    bucket = one.select(F.pmod(F.xxhash64("cloud_id", "patch_id"), F.lit(buckets))).first()[0]
+    return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col("cloud_id") == cloud) & (F.col("patch_id") == patch)).drop("bucket")
 
 
 def patch_info(report: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -153,11 +170,39 @@ def comparison_json(rows: DataFrame) -> DataFrame:
     return rows.select("cloud_id", F.to_json(F.struct("point_id", *XYZ, "prediction", "ground_truth")).alias("json"))
 
 
+def write_comparison(rows: DataFrame, path: str) -> None:
+    """The comparison as lines of JSON, each with the id of its cloud."""
+    line = F.to_json(F.struct("cloud_id", "point_id", *XYZ, "prediction", "ground_truth"))
+    rows.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def _reason(problem: Exception) -> str:
+    """Class and text of what was raised; of errors in Python tasks, that of the task."""
+    found = re.findall(r"^(?:[\w.]+\.)?(\w+(?:Error|Exception|Exit|Warning): [^\n]*)", str(problem), re.M)
+    return found[-1].strip() if found else f"{type(problem).__name__}: {problem}".split("\n")[0]
+
+
+def _isolated(todo: DataFrame, work: Callable[[DataFrame], DataFrame], level: int = 0) -> DataFrame:
+    """Rows (cloud_id, error) of ``work``; a batch that raises is halved until the clouds that raise stand alone."""
+    try:
+        return cut(work(todo).select("cloud_id", "error"))
+    except Exception as problem:
+        reason = _reason(problem)
+    alone = todo.agg(F.count(F.lit(1)), F.count_distinct("cloud_id")).first()
+    if alone[1] <= 1:
+        return todo.select("cloud_id", F.lit(reason).alias("error"))
+    side = F.pmod(F.xxhash64(F.lit(level), "cloud_id"), F.lit(2))
+    halves = [cut(todo.where(side == s)) for s in (0, 1)]
+    done = [_isolated(half, work, level + 1) for half in halves if not is_empty(half)]
+    return done[0] if len(done) == 1 else done[0].unionByName(done[1])
+
+
 def run_with_status(targets: DataFrame, work: Callable[[DataFrame], DataFrame], finished: DataFrame | None = None) -> DataFrame:
-    """Batch run that never aborts as a whole.
+    """Batch run that never aborts as a whole: (cloud_id, status, error).
 
     ``targets(cloud_id, error)``: rows with an error are passed on as skipped, clouds in ``finished`` as skipped
-    with the reason, and the rest goes to ``work``, which returns (cloud_id, error) with a null error on success.
+    with the reason, and the rest goes to ``work``, which returns (cloud_id, error) with a null error on success. If
+    ``work`` itself raises, the batch is halved and run again, so that only the clouds that make it raise fail.
     """
     bad = targets.where(F.col("error").isNotNull()).select("cloud_id", F.lit("skipped").alias("status"), "error")
     todo = targets.where(F.col("error").isNull()).select("cloud_id")
@@ -166,11 +211,49 @@ def run_with_status(targets: DataFrame, work: Callable[[DataFrame], DataFrame],
         done = todo.join(finished, "cloud_id", "left_semi")
         out = out.unionByName(done.select("cloud_id", F.lit("skipped").alias("status"), F.lit("output exists").alias("error")))
         todo = todo.join(finished, "cloud_id", "left_anti")
-    ran = work(todo)
+    ran = _isolated(cut(todo), work)
     status = F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("failed"))
     return out.unionByName(ran.select("cloud_id", status.alias("status"), "error"))
 
 
+def downsample_files(spark: SparkSession, source: str, target: str, ratio: float | None = None, target_points: int | None = None,
+                     seed: int = 42, method: str = "random", binary: bool = False) -> DataFrame:
+    """Sample every cloud of a folder of PLY files, write the samples as PLY and return what was done per cloud.
+
+    (cloud_id, status, error, n_in, n_out, actual_ratio, has_normals, has_colors): the numbers are those of the files, read
+    and written; an unreadable file is a row with its error. ``method`` ``voxel`` keeps about ``ratio`` of the points.
+    """
+    files = cut(ply.ply_status(spark, source))
+    broken = files.where(F.col("error").isNotNull()).groupBy("cloud_id").agg(F.min("error").alias("error"))
+    points = ply.read_ply(spark, source, skip_broken=True).drop("path").join(broken.select("cloud_id"), "cloud_id", "left_anti")
+    if method == "voxel":
+        sample = sampling.rate_voxel_downsample(points, ratio, extra=[*NORMAL, "r", "g", "b"])
+        place = F.shiftleft("vx", 42).bitwiseOR(F.shiftleft("vy", 21)).bitwiseOR(F.col("vz"))  # only an order
+        sample = sample.withColumn("point_id", place)
+    else:
+        sample = sampling.random_downsample(points, ratio=ratio, target_points=target_points, seed=seed)
+    sample = cut(sample)
+    has = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n_in"), F.max(F.col("nx").isNotNull()).cast("long").alias("has_normals"), F.max(F.col("r").isNotNull()).cast("long").alias("has_colors"))
+    has = cut(has)
+    written = None
+    for normals in (0, 1):
+        for colours in (0, 1):
+            mine = has.where((F.col("has_normals") == normals) & (F.col("has_colors") == colours)).select("cloud_id")
+            if is_empty(mine):
+                continue
+            part = ply.write_ply(sample.join(mine, "cloud_id", "left_semi"), target, binary, bool(normals), bool(colours))
+            written = part if written is None else written.unionByName(part)
+    names = ["cloud_id", "status", "error", "n_in", "n_out", "actual_ratio", "has_normals", "has_colors"]
+    skipped = broken.select(
+        "cloud_id", F.lit("failed").alias("status"), "error", *(F.lit(None).cast(t).alias(c) for c, t in zip(names[3:], ["long", "long", "double", "long", "long"]))
+    )
+    if written is None:
+        return skipped
+    done = has.join(written.groupBy("cloud_id").agg(F.sum("rows").alias("n_out")), "cloud_id")
+    done = done.withColumns({"status": F.lit("success"), "error": F.lit(None).cast("string"), "actual_ratio": F.col("n_out") / F.col("n_in")})
+    return done.select(*names).unionByName(skipped)
+
+
 def union_clouds(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Concatenate batches of clouds by column name."""
     for o in others:

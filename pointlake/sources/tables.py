@@ -27,11 +27,15 @@ def config_hash_column(text: Column) -> Column:
     return F.substring(F.md5(text), 1, 8)
 
 
+def _bits(c: str) -> Column:
+    """The 64 bits of a coordinate as a number, equal where coordinates are equal (there is one zero)."""
+    return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.col(c).cast("double") + F.lit(0.0))
+
+
 def fingerprint(points: DataFrame, keys: list[str] = ("cloud_id",)) -> DataFrame:
-    """Order-independent content mark per cloud: number of points and the XOR of row hashes at micro precision."""
-    micro = [F.round(F.col(c) * F.lit(1e6)).cast("long").cast("string") for c in XYZ]
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("point_id").cast("string"), *micro)), 1, 13), 16, 10).cast("long")
-    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("mark"))
+    """Order-independent content mark per cloud: number of points and the XOR of row hashes over the exact coordinates."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("point_id").cast("string"), *map(_bits, XYZ))), 1, 13), 16, 10).cast("long")
+    return points.select(*keys, h.alias("_h")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("_h").alias("mark"))
 
 
 def reusable(current: DataFrame, cached: DataFrame, keys: list[str] = ("cloud_id",)) -> DataFrame:

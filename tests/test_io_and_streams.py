@@ -156,3 +156,67 @@ def test_patches_of_a_cloud_do_not_depend_on_its_batch(spark):
         batch = extract_patches(spark.createDataFrame(both), method, **given).where("cloud_id = 1")
         rows = lambda df: sorted((r.patch_id, r.point_id) for r in df.select("patch_id", "point_id").collect())
         assert rows(alone) == rows(batch), method
+
+
+def test_only_clouds_that_raise_fail(spark):
+    """A job that raises is halved until the culprits stand alone; the other clouds succeed."""
+    from pointlake.plans import runs
+
+    targets = spark.createDataFrame([(f"c{i}", "no file" if i == 9 else None) for i in range(12)], "cloud_id string, error string")
+    asked = []
+
+    def work(todo):
+        asked.append(todo.count())
+
+        def run(batches):
+            for pdf in batches:
+                if set(pdf["cloud_id"]) & {"c3", "c7"}:
+                    raise ZeroDivisionError("no scorer")
+                yield pdf.assign(error=["weak" if c == "c5" else None for c in pdf["cloud_id"]])
+
+        return todo.mapInPandas(run, "cloud_id string, error string")
+
+    got = {r.cloud_id: (r.status, r.error) for r in runs.run_with_status(targets, work, spark.createDataFrame([("c1",)], "cloud_id string")).collect()}
+    assert got["c3"] == got["c7"] == ("failed", "ZeroDivisionError: no scorer") and got["c5"] == ("failed", "weak")
+    assert got["c9"] == ("skipped", "no file") and got["c1"] == ("skipped", "output exists")
+    assert all(got[f"c{i}"] == ("success", None) for i in (0, 2, 4, 6, 8, 10, 11)) and asked[0] == 10
+
+
+def test_groups_that_raise_are_rows(spark):
+    from pointlake.operators.grouped import map_groups, split_errors
+
+    def work(g):
+        if g["k"][0] % 3 == 0:
+            raise KeyError(f"group {g['k'][0]}")
+        return {"n": [len(g["v"])], "name": ["x"], "far": [0.5]}
+
+    df = spark.range(60).selectExpr("id % 10 AS k", "id AS v")
+    good, bad = split_errors(map_groups(df, ["k"], work, "k bigint, n int, name string, far double", errors=True), ["k"])
+    assert {(r.k, r.n, r.name, r.far) for r in good.collect()} == {(k, 6, "x", 0.5) for k in (1, 2, 4, 5, 7, 8)}
+    assert {r.k: r.error for r in bad.collect()} == {k: f"KeyError: 'group {k}'" for k in (0, 3, 6, 9)}
+
+
+@pytest.mark.parametrize("method", ["random", "voxel"])
+def test_files_are_sampled_to_files(spark, tmp_path, method):
+    from pointlake.plans import runs
+
+    pdf = cloud(200, 3).assign(nx=0.0, ny=0.0, nz=1.0, r=7, g=8, b=9)
+    ply.write_ply(spark.createDataFrame(pdf), str(tmp_path / "in"), normals=True, colours=True)
+    (tmp_path / "in" / "bad.ply").write_text("nothing")
+    out = {r.cloud_id: r for r in runs.downsample_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), ratio=0.3, method=method).collect()}
+    assert out["bad"].status == "failed" and out["bad"].error.startswith("ValueError")
+    one, rows = out["1"], ply.read_ply(spark, str(tmp_path / "out")).collect()
+    assert one.n_in == 200 and one.n_out == len(rows) and abs(one.actual_ratio - 0.3) < 0.035 and (one.has_normals, one.has_colors) == (1, 1)
+    assert {(r.nz, r.r, r.g, r.b) for r in rows} == {(1.0, 7, 8, 9)}
+
+
+def test_one_exported_patch_is_read_from_its_bucket(spark, tmp_path):
+    from pointlake.plans import runs
+
+    rows = [(c, p, 10 * p + i, float(i), 0.0, 0.0) for c in (1, 2) for p in range(30) for i in range(3)]
+    members = spark.createDataFrame(rows, "cloud_id long, patch_id long, point_id long, x double, y double, z double")
+    chosen = members.where("patch_id % 2 = 0").select("cloud_id", "patch_id").distinct()
+    runs.export_patches(members, chosen, str(tmp_path / "p"), buckets=4)
+    assert len([f for f in (tmp_path / "p").iterdir() if f.name.startswith("bucket=")]) == 4
+    assert sorted(r.point_id for r in runs.read_patch(spark, str(tmp_path / "p"), 2, 4, buckets=4).collect()) == [40, 41, 42]
+    assert runs.read_patch(spark, str(tmp_path / "p"), 2, 5, buckets=4).count() == 0
