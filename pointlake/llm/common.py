@@ -97,9 +97,12 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^48 by byte planes, so that the shared high bytes of ascending ones compress."""
-    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T)
-    return zlib.compress(planes[3:].tobytes(), 1) + planes[:3].tobytes() if len(numbers) else b""
+    """Ascending numbers below 2^48 as differences, by byte planes; all but the lowest plane compress."""
+    if not len(numbers):
+        return b""
+    steps = np.diff(numbers.astype(np.uint64), prepend=np.uint64(0)).astype("<u8")
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T)
+    return zlib.compress(planes[1:].tobytes(), 1) + planes[0].tobytes()
 
 
 def unpacked(data: bytes, count: int) -> np.ndarray:
@@ -107,9 +110,9 @@ def unpacked(data: bytes, count: int) -> np.ndarray:
     if not count:
         return np.zeros(0, np.uint64)
     planes = np.zeros((count, 8), np.uint8)
-    planes[:, :3] = np.frombuffer(data, np.uint8, 3 * count, len(data) - 3 * count).reshape(3, count).T
-    planes[:, 3:6] = np.frombuffer(zlib.decompress(data[: -3 * count]), np.uint8).reshape(3, count).T
-    return planes.reshape(-1).view("<u8").astype(np.uint64)
+    planes[:, 0] = np.frombuffer(data, np.uint8, count, len(data) - count)
+    planes[:, 1:6] = np.frombuffer(zlib.decompress(data[:-count]), np.uint8).reshape(5, count).T
+    return np.cumsum(planes.reshape(-1).view("<u8").astype(np.uint64), dtype=np.uint64)
 
 
 def ascii_lower(c: Column) -> Column:

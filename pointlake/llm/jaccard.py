@@ -13,20 +13,24 @@ never dealt out, so no shard gets a long list for one token.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pointlake.llm.common import by_bytes, discard, ids_and_texts, kept_names, kept_schema, packed, partitions, session, staged, unpacked
+from pointlake.llm.common import by_bytes, discard, ids_and_texts, kept_names, kept_schema, packed, session, staged, unpacked
 from pointlake.operators.graph import components
 
 BATCH_BYTES, PIECE_BYTES = 2 << 20, 2 << 20
-#: Bits of a token where prefixes are found (sets themselves have 64-bit hashes; tokens that meet only cost work).
-TOKEN_BITS = 48
+#: Most bits of a token where prefixes are found (sets themselves have 64-bit hashes; tokens that meet only cost work), and
+#: how many more it has than the number of all tokens.
+TOKEN_BITS, SPARE_BITS = 48, 7
 #: Tokens of a shard and sets of a shard, on average; tokens a task collects before it deals them out.
 SHARD_TOKENS, SHARD_SETS, HELD_TOKENS = 2_000_000, 20_000, 2_000_000
+#: Shards there are at least, if each gets so many tokens and sets.
+SHARDS, LEAST_TOKENS, LEAST_SETS = 64, 50_000, 1000
 #: Tokens in at most so many sets are rare. Sizes below SMALL index every token singly.
 RARE_UPTO, SMALL = 64, 32
 #: Tasks report tokens in more than a 500th of the rows they hold; hot are those whose reports exceed a thousandth of all
@@ -36,7 +40,9 @@ HOT = 0xFFFF
 #: Bits of the map of sets that are candidates, and of a set's parities.
 MAP_BITS, PARITIES = 1 << 26, 1024
 ODD = np.uint64(0x9E3779B97F4A7C15)
-NODE = np.dtype([("key", "S12"), ("n", "<u4"), ("hot", "<u4")])
+#: Bytes of a set's key, and what a blob has: tokens, hot tokens that need no counting, or sizes of sets.
+KEY_BYTES = 10
+COUNTED, PASSED, SIZES = 0, 1, 2
 
 
 # -- shingles --------------------------------------------------------------------------------------------------------
@@ -135,10 +141,10 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def set_key(tokens: np.ndarray) -> bytes:
-    """Twelve bytes that stand for a set."""
+    """Bytes that stand for a set."""
     from xxhash import xxh3_128_digest
 
-    return xxh3_128_digest(tokens.tobytes())[:12]
+    return xxh3_128_digest(tokens.tobytes())[:KEY_BYTES]
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -209,58 +215,88 @@ def hot_tokens(rows: DataFrame, count: int) -> np.ndarray:
 # -- exact counts, prefixes, signatures ------------------------------------------------------------------------------
 
 
-BLOB = "nodes binary, tokens binary, owners binary, seen binary"
+BLOB = "kind int, nodes binary, tokens binary, owners binary, seen binary"
+BLOB_NAMES = ["shard", "kind", "nodes", "tokens", "owners", "seen"]
 
 
-def _blobs(shard: np.ndarray, nodes: np.ndarray, tokens: np.ndarray, owners: np.ndarray, seen: np.ndarray | None) -> list[tuple]:
-    """(shard, nodes, tokens, owners, seen) per shard; the rows are in the order of shards and, within, of tokens."""
+def _keys(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, [("a", "<u8"), ("b", "<u2")])
+
+
+def _small(data: bytes) -> np.ndarray:
+    """The small numbers of ``_as_planes``."""
+    raw = zlib.decompress(data)
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
+
+
+def _as_planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 by byte planes, compressed."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _blobs(kind: int, shard: np.ndarray, nodes: np.ndarray, tokens: np.ndarray, owners: np.ndarray, seen: np.ndarray | None) -> list[tuple]:
+    """(shard, kind, nodes, tokens, owners, seen) per shard; rows are in the order of shards and, within, of tokens."""
     out = []
     first = np.flatnonzero(np.diff(shard, prepend=-1))
     for s, e in zip(first.tolist(), [*first[1:].tolist(), len(shard)]):
         used, owner = np.unique(owners[s:e], return_inverse=True)
-        out.append((
-            int(shard[s]), nodes[used].tobytes(), packed(tokens[s:e]), owner.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(),
-            b"" if seen is None else seen[s:e].astype("<u2").tobytes(),
-        ))
+        out.append((int(shard[s]), kind, nodes[used].tobytes(), packed(tokens[s:e]), _as_planes(owner), b"" if seen is None else _as_planes(seen[s:e])))
     return out
 
 
-def _batch(rows: list[tuple], more: dict) -> pa.RecordBatch:
-    names = ["shard", "nodes", "tokens", "owners", "seen"]
-    arrays = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))]
-    return pa.RecordBatch.from_arrays([*arrays, *(pa.array([v] * len(rows)) for v in more.values())], [*names, *more])
+def _sizes(shard: np.ndarray, nodes: np.ndarray, n: np.ndarray, hot: np.ndarray) -> list[tuple]:
+    """Blobs that say how many tokens sets have, and how many of them are not counted."""
+    order = np.argsort(shard, kind="stable")
+    shard, nodes, n, hot = shard[order], nodes[order], n[order], hot[order]
+    first = np.flatnonzero(np.diff(shard, prepend=-1))
+    ends = [*first[1:].tolist(), len(shard)]
+    return [(int(shard[s]), SIZES, nodes[s:e].tobytes(), b"", _as_planes(n[s:e]), _as_planes(hot[s:e])) for s, e in zip(first.tolist(), ends)]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], BLOB_NAMES)
+
+
+def _single(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of distinct keys, number of each row's key among them)."""
+    order = np.lexsort((nodes["b"], nodes["a"]))
+    ranked = nodes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 def _opened(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(nodes, tokens, owners, seen) of all blobs of a group, with every node once."""
+    """(nodes, tokens, owners, seen) of token blobs, with every node once and each token of a node once, by token."""
     nodes, tokens, owners, seen, base = [], [], [], [], 0
     for n, t, o, s in zip(*(found.column(c).to_pylist() for c in ("nodes", "tokens", "owners", "seen"))):
-        n = np.frombuffer(n, NODE)
-        o = np.frombuffer(o, "<u2" if len(n) <= 1 << 16 else "<u4").astype(np.int64)
+        n, o = _keys(n), _small(o)
         nodes.append(n)
         owners.append(o + base)
         tokens.append(unpacked(t, len(o)))
-        seen.append(np.frombuffer(s, "<u2") if s else np.zeros(len(o), "<u2"))
+        seen.append(_small(s) if s else np.zeros(len(o), np.int64))
         base += len(n)
-    nodes, owners = np.concatenate(nodes), np.concatenate(owners)
-    halves = _key_parts(nodes)
-    order = np.lexsort(halves)
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([h[order][1:] != h[order][:-1] for h in halves], axis=0)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return nodes[order[new]], np.concatenate(tokens), number[owners], np.concatenate(seen)
+    nodes, owners, tokens, seen = map(np.concatenate, (nodes, owners, tokens, seen))
+    some, number = _single(nodes)
+    owners = number[owners]
+    order = np.lexsort((owners, tokens))
+    tokens, owners, seen = tokens[order], owners[order], seen[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
+    return nodes[some], tokens[new], owners[new], seen[new]
 
 
-def _key_parts(nodes: np.ndarray) -> list[np.ndarray]:
-    raw = np.frombuffer(nodes.tobytes(), np.dtype([("a", "<u8"), ("b", "<u4"), ("rest", "V8")]))
-    return [raw["a"].copy(), raw["b"].copy()]
+def _of_kind(found: pa.Table, *kinds: int) -> pa.Table:
+    return found.filter(pa.array(np.isin(found.column("kind").to_numpy(), kinds)))
 
 
-def _dealt(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, shards: int, hot: np.ndarray) -> DataFrame:
-    """(shard, nodes, tokens, owners, seen, hot): the tokens of all sets, dealt by value; each task sends a set once.
+def _dealt(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, bits: int, shards: int, hot: np.ndarray) -> DataFrame:
+    """(shard, kind, ...): the tokens of all sets, dealt by value; each task sends a set once.
 
-    Hot tokens stay behind, but for sets that need them for a prefix; these pass through a shard marked.
+    Hot tokens stay behind, but for sets that need them for a prefix; these, and the sizes of the sets, pass through a shard.
     """
     least = -(-percent // max(100 - percent, 1)) if percent < 100 else 1 << 62  # smaller sets have no different partner
 
@@ -271,9 +307,10 @@ def _dealt(df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
             nonlocal sets, keys, size
             if not sets:
                 return
-            nodes = np.zeros(len(sets), NODE)
-            owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            full = np.concatenate(sets) >> np.uint64(64 - TOKEN_BITS)
+            nodes = _keys(b"".join(keys))
+            n = np.array([len(x) for x in sets])
+            owners = np.repeat(np.arange(len(sets)), n)
+            full = np.concatenate(sets) >> np.uint64(64 - bits)
             keep = np.ones(len(full), bool)
             keep[1:] = (full[1:] != full[:-1]) | (owners[1:] != owners[:-1])  # tokens that meet in a set count once
             full, owners = full[keep], owners[keep]
@@ -281,25 +318,26 @@ def _dealt(df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
             if len(hot):
                 place = np.minimum(np.searchsorted(hot, full), len(hot) - 1)
                 is_hot = hot[place] == full
-            nodes["key"], nodes["n"] = keys, [len(x) for x in sets]
             hots = np.bincount(owners[is_hot], minlength=len(sets))
-            nodes["hot"] = hots + nodes["n"] - np.bincount(owners, minlength=len(sets))  # and tokens that met
+            uncounted = hots + n - np.bincount(owners, minlength=len(sets))  # and tokens that met
+            spread = int(nodes["a"][0] % np.uint64(shards))
+            yield _batch(_sizes(np.full(len(sets), spread), nodes, n, uncounted))
             # Prefixes take hot tokens last, and of those no more than make a prefix alone.
-            n = nodes["n"].astype(np.int64)
             slack = (100 - percent) * n // 100
-            wanted = np.where(n - nodes["hot"] < slack + 1, slack + 1 + _classes(np.maximum(_band(n), SMALL), percent), 0)
+            wanted = np.where(n - uncounted < slack + 1, slack + 1 + _classes(np.maximum(_band(n), SMALL), percent), 0)
             some = np.flatnonzero(is_hot)
             rank = np.arange(len(some)) - np.repeat(np.cumsum(hots) - hots, hots)
             some = some[rank < wanted[owners[some]]]
+            some = some[np.argsort(full[some], kind="stable")]
             if len(some):
-                spread = int(full[some[0]] % np.uint64(shards))
-                yield _batch(_blobs(np.full(len(some), spread), nodes, full[some], owners[some], None), {"hot": True})
+                yield _batch(_blobs(PASSED, np.full(len(some), spread), nodes, full[some], owners[some], None))
             order = np.argsort(full[~is_hot], kind="stable")
             tokens, owners = full[~is_hot][order], owners[~is_hot][order]
-            shard = ((tokens >> np.uint64(TOKEN_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            rows = _blobs(shard, nodes, tokens, owners, None)
+            top = min(bits, 32)
+            shard = ((tokens >> np.uint64(bits - top)) * np.uint64(shards) >> np.uint64(top)).astype(np.int64)
+            rows = _blobs(COUNTED, shard, nodes, tokens, owners, None)
             for at in range(0, len(rows), 64):
-                yield _batch(rows[at : at + 64], {"hot": False})
+                yield _batch(rows[at : at + 64])
             sets, keys, size = [], [], 0
 
         for batch in by_bytes(batches, "text", BATCH_BYTES):
@@ -319,35 +357,31 @@ def _dealt(df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
                 known.clear()
         yield from flush()
 
-    return ids_and_texts(df, id_col, text_col).mapInArrow(run, f"shard long, {BLOB}, hot boolean")
+    return ids_and_texts(df, id_col, text_col).mapInArrow(run, f"shard long, {BLOB}")
 
 
 def _returned(sets: int):
     """From all tokens of a shard: those in two sets or more, with how many, to the shards of the sets."""
 
     def run(key, found):
-        schema = pa.schema([("shard", pa.int64()), ("nodes", pa.binary()), ("tokens", pa.binary()), ("owners", pa.binary()), ("seen", pa.binary())])
-        marked = found.column("hot").to_numpy()
         out = []
-        for hot in (False, True):
-            part = found.filter(pa.array(marked == hot))
+        for kind in (COUNTED, PASSED):
+            part = _of_kind(found, kind)
             if not len(part):
                 continue
             nodes, tokens, owners, _ = _opened(part)
-            order = np.lexsort((owners, tokens))
-            tokens, owners = tokens[order], owners[order]
-            single = np.ones(len(tokens), bool)
-            single[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
-            tokens, owners = tokens[single], owners[single]
             first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             counts = np.diff(np.append(first, len(tokens)))
-            seen = np.repeat(np.full(len(first), HOT) if hot else np.minimum(counts, HOT - 1), counts)
+            seen = np.repeat(np.full(len(first), HOT) if kind == PASSED else np.minimum(counts, HOT - 1), counts)
             keep = seen > 1
             tokens, owners, seen = tokens[keep], owners[keep], seen[keep]
-            shard = (_key_parts(nodes)[0][owners] % np.uint64(sets)).astype(np.int64)
+            shard = (nodes["a"][owners] % np.uint64(sets)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            out += _blobs(shard[order], nodes, tokens[order], owners[order], seen[order])
-        return pa.Table.from_batches([_batch(out, {})], schema=schema)
+            out += _blobs(COUNTED, shard[order], nodes, tokens[order], owners[order], seen[order])
+        for n, o, s in zip(*(_of_kind(found, SIZES).column(c).to_pylist() for c in ("nodes", "owners", "seen"))):
+            n = _keys(n)
+            out += _sizes((n["a"] % np.uint64(sets)).astype(np.int64), n, _small(o), _small(s))
+        return pa.Table.from_batches([_batch(out)])
 
     return run
 
@@ -408,28 +442,33 @@ def prefix_signatures(tokens: np.ndarray, seen: np.ndarray, n: int, hot: int, pe
 
 def signatures(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """(sig, key, n): index entries of all sets that can have a different partner, each once; staged."""
-    size = rows.where("token IS NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards, sets = size[1] // SHARD_TOKENS + 1, size[0] // SHARD_SETS + 1
-    shards = max(shards, min(partitions(df), size[1] // 50_000 + 1))
-    sets = max(sets, min(partitions(df), size[0] // 1000 + 1))
-    dealt = _dealt(df, id_col, text_col, width, percent, shards, hot_tokens(rows, size[0]))
+    count, total = rows.where("token IS NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = min(TOKEN_BITS, int(total).bit_length() + SPARE_BITS)
+    shards = max(total // SHARD_TOKENS, min(SHARDS, total // LEAST_TOKENS)) + 1
+    sets = max(count // SHARD_SETS, min(SHARDS, count // LEAST_SETS)) + 1
+    # Tokens that differ in the bits left out are counted together.
+    hot = np.unique(hot_tokens(rows, count) >> np.uint64(TOKEN_BITS - bits))
+    dealt = _dealt(df, id_col, text_col, width, percent, bits, shards, hot)
     returned = dealt.groupBy("shard").applyInArrow(_returned(sets), f"shard long, {BLOB}")
 
     def index(key, found):
-        nodes, tokens, owners, seen = _opened(found)
+        tables = [[_keys(n), _small(o), _small(s)] for n, o, s in zip(*(_of_kind(found, SIZES).column(c).to_pylist() for c in ("nodes", "owners", "seen")))]
+        counted = _of_kind(found, COUNTED)
+        if not len(counted):
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.int64())], ["sig", "key", "n"])
+        nodes, tokens, owners, seen = _opened(counted)
+        known, sizes, uncounted = (np.concatenate(x) for x in zip(*tables))
+        some, number = _single(np.concatenate([known, nodes]))
+        # Every node has its sizes, and the first row of a key is the one that has them.
+        own = some[number[len(known) :]]
         order = np.lexsort((tokens, owners))
         tokens, owners, seen = tokens[order], owners[order], seen[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
-        tokens, owners, seen = tokens[new], owners[new], seen[new]
         at = np.searchsorted(owners, np.arange(len(nodes) + 1))
-        made = [prefix_signatures(tokens[s:e], seen[s:e], int(x["n"]), int(x["hot"]), percent) for s, e, x in zip(at[:-1], at[1:], nodes)]
-        sizes = [len(x) for x in made]
-        # Bytes of a key may end in zeros, which numpy's strings drop.
-        keys = [k.ljust(12, b"\0") for k in nodes["key"].tolist()]
+        made = [prefix_signatures(tokens[s:e], seen[s:e], n, h, percent) for s, e, n, h in zip(at[:-1], at[1:], sizes[own].tolist(), uncounted[own].tolist())]
+        lengths = [len(x) for x in made]
         arrays = [
-            pa.array(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64)), pa.array([k for k, c in zip(keys, sizes) for _ in range(c)], pa.binary()),
-            pa.array(np.repeat(nodes["n"].astype(np.int64), sizes), pa.int64()),
+            pa.array(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64)),
+            pa.array([k for k, c in zip((x.tobytes() for x in nodes), lengths) for _ in range(c)], pa.binary()), pa.array(np.repeat(sizes[own], lengths), pa.int64()),
         ]
         return pa.Table.from_arrays(arrays, ["sig", "key", "n"])
 
