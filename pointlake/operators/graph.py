@@ -174,7 +174,7 @@ def confidence_weight() -> Column:
     return F.abs(F.col("a") - F.col("b")).cast("double")
 
 
-def _forest_small(g: dict) -> dict:
+def forest_small(g: dict) -> dict:
     """Best edges first; every vertex keeps its tree (the smallest vertex in it) and its parity to that root."""
     real = g["i"] != g["j"]
     ids, ends = np.unique(np.concatenate([g["i"], g["j"]]), return_inverse=True)
@@ -221,7 +221,7 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame, keys: list[str], weig
     rows = cut(e.unionByName(loops))
     small, big = _split(rows, keys, limit)
     schema = typed(rows, keys) + f", is_edge int, v {id_type}, w {id_type}, bit long"
-    solved = cut(map_groups(small, keys, _forest_small, schema))
+    solved = cut(map_groups(small, keys, forest_small, schema))
     forest = solved.where("is_edge = 1").select(*keys, F.col("v").alias("i"), F.col("w").alias("j"), F.col("bit").alias("differ"))
     state = solved.where("is_edge = 0").select(*keys, "v", F.col("w").alias("root"), F.col("bit").alias("parity"))
     if big is None:

@@ -93,8 +93,8 @@ def split_errors(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
 def oversized(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """Keys of the groups with more than ``limit`` rows, or None when there are none (one counting job)."""
-    big = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys))
-    return None if is_empty(big) else big
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
+    return None if is_empty(big) else cut(big)
 
 
 def typed(df: DataFrame, columns: list[str]) -> str:

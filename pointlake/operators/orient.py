@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ, as_flag, dot, sigmoid
-from pointlake.operators.graph import confidence_weight, graph_vertices, random_weight, spanning_forest
+from pointlake.operators.graph import confidence_weight, forest_small, graph_vertices, random_weight, spanning_forest
 from pointlake.operators.grouped import SMALL_GRAPH_ROWS, map_groups, oversized, typed
-from pointlake.operators.knn import knn_graph, symmetric_adjacency
+from pointlake.operators.knn import knn_graph, nearest_rows, symmetric_adjacency
 from pointlake.operators.tiles import group_sizes, ranked
 from pointlake.session import cut, is_empty
 
+WEIGHT_BITS = 36  # bits of a weight in the local search, so that sums of many million of them fit 64
 HELD_PATCHES = 2_000  # patches whose pooled features a task holds before it hands them on
 
 
@@ -156,6 +157,42 @@ def objective(edges: DataFrame, labels: DataFrame, keys: list[str] = ("cloud_id"
     return labels.select(*keys).distinct().join(known, keys, "left").fillna(0, ["objective", "total_cost"])
 
 
+def _scale(largest: np.ndarray) -> np.ndarray:
+    """Power of two that takes weights up to the largest to whole numbers of WEIGHT_BITS bits; counts stay exact."""
+    return np.ldexp(1.0, WEIGHT_BITS - np.frexp(np.maximum(largest, 1e-300))[1])
+
+
+def _scaled(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The edges with a and b as whole multiples of a unit of their graph's own, so that sums do not depend on their order."""
+    most = edges.groupBy(*keys).agg(F.max(F.greatest(F.abs("a"), F.abs("b")).cast("double")).alias("_most"))
+
+    def unit(batches):
+        for pdf in batches:
+            yield pdf.assign(_scale=_scale(pdf["_most"].to_numpy()))
+
+    units = most.mapInPandas(unit, typed(most, [*keys, "_most"]) + ", _scale double").drop("_most")
+    rows = edges.join(units, keys)
+    return rows.withColumns({c: F.round(F.col(c).cast("double") * F.col("_scale")).cast("long") for c in ("a", "b")}).drop("_scale")
+
+
+def _solve_small(search: bool) -> Callable[[dict], dict]:
+    """Forest, parities and local search of one graph; rows with i = j carry the vertices."""
+
+    def work(g: dict) -> dict:
+        state = forest_small(g)
+        vertex = state["is_edge"] == 0
+        ids, flip = state["v"][vertex], state["bit"][vertex]
+        if not search:
+            return {"patch_id": ids, "flip": flip}
+        real = g["i"] != g["j"]
+        scale = _scale(np.abs(np.concatenate([g["a"][real], g["b"][real], [0.0]])).max())
+        weights = {c: np.append(np.rint(g[c][real] * scale).astype(np.int64), np.zeros(len(ids), np.int64)) for c in ("a", "b")}
+        bits = np.append(np.zeros(real.sum(), np.int64), flip)
+        return _improve_small({"i": np.append(g["i"][real], ids), "j": np.append(g["j"][real], ids), **weights, "flip": bits})
+
+    return work
+
+
 def _improve_small(g: dict) -> dict:
     """The rounds of the local search on one graph; rows with i = j carry the vertices and their bits."""
     own = g["i"] == g["j"]
@@ -184,13 +221,12 @@ def improve_flips(edges: DataFrame, labels: DataFrame, keys: list[str] = ("cloud
     """Parallel local search. A patch flips when that gains and no neighbour gains more; such patches are never
     adjacent, so the objective rises every round until no single flip helps.
 
-    Weights are taken as whole multiples of 2^-20, so that sums do not depend on their order and the search ends.
+    Weights are taken as whole multiples of a power of two that suits the graph's largest, so that sums do not depend on
+    their order and the search ends.
     """
     keys = list(keys)
-    e = edges.where(F.col("i") < F.col("j")).select(
-        *keys, "i", "j", *(F.round(F.col(c).cast("double") * (1 << 20)).cast("long").alias(c) for c in ("a", "b")),
-        F.lit(0).cast("long").alias("flip"),
-    )
+    e = _scaled(edges.where(F.col("i") < F.col("j")).select(*keys, "i", "j", "a", "b"), keys)
+    e = e.select(*keys, "i", "j", "a", "b", F.lit(0).cast("long").alias("flip"))
     zero = F.lit(0).cast("long")
     own = labels.select(*keys, F.col("patch_id").alias("i"), F.col("patch_id").alias("j"), zero.alias("a"),
                         zero.alias("b"), F.col("flip").cast("long").alias("flip"))
@@ -232,14 +268,32 @@ def _improve_rounds(edges: DataFrame, labels: DataFrame, keys: list[str]) -> Dat
 
 
 def forest_flips(edges: DataFrame, keys: list[str] = ("cloud_id",), weight: Column | None = None,
-                 local_search: bool = True) -> DataFrame:
+                 local_search: bool = True, limit: int = SMALL_GRAPH_ROWS) -> DataFrame:
     """Flip bits from a spanning forest (a child follows its parent where a >= b and turns where b > a), then
-    improved by local search on all edges."""
+    improved by local search on all edges.
+
+    Graphs within ``limit`` rows are solved whole in one grouped call, the others by rounds of joins with the same result.
+    """
     keys = list(keys)
-    e = edges.where((F.col("a") > 0) | (F.col("b") > 0))
-    _, state = spanning_forest(graph_vertices(edges, keys), e, keys, confidence_weight() if weight is None else weight)
-    labels = state.select(*keys, F.col("v").alias("patch_id"), F.col("parity").alias("flip"))
-    return improve_flips(e, labels, keys) if local_search else labels
+    weight = confidence_weight() if weight is None else weight
+    e = edges.where(((F.col("a") > 0) | (F.col("b") > 0)) & (F.col("i") < F.col("j"))).select(
+        *keys, "i", "j", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), weight.alias("_w"),
+        as_flag(F.col("b") > F.col("a")).alias("differ"),
+    )
+    zero = F.lit(0.0)
+    own = graph_vertices(edges, keys).select(
+        *keys, F.col("v").alias("i"), F.col("v").alias("j"), zero.alias("a"), zero.alias("b"), zero.alias("_w"), F.lit(0).cast("long").alias("differ")
+    )
+    rows = e.unionByName(own)
+    big = oversized(rows, keys, limit)
+    small = rows if big is None else rows.join(big, keys, "left_anti")
+    labels = map_groups(small, keys, _solve_small(local_search), typed(rows, keys) + f", patch_id {dict(rows.dtypes)['i']}, flip bigint")
+    if big is None:
+        return labels
+    huge = edges.join(big, keys, "left_semi")
+    _, state = spanning_forest(graph_vertices(huge, keys), huge.where((F.col("a") > 0) | (F.col("b") > 0)), keys, weight, limit)
+    found = state.select(*keys, F.col("v").alias("patch_id"), F.col("parity").alias("flip"))
+    return labels.unionByName(improve_flips(huge, found, keys, limit) if local_search else found)
 
 
 def vote_labels(runs: DataFrame, keys: list[str] = ("cloud_id",)) -> DataFrame:
@@ -415,6 +469,49 @@ def propagate_signs(normals: DataFrame, links: DataFrame, keys: list[str] = ("cl
     return n.join(s, keys + ["point_id"]).select(*keys, "point_id", *[(sign * F.col(c)).alias(c) for c in NORMAL], "root")
 
 
+def _signs_small(k: int) -> Callable[[dict], dict]:
+    """Neighbours, forest and signs of one group of points."""
+
+    def work(g: dict) -> dict:
+        xyz, n, ids = (np.stack([g[c] for c in cs], axis=1) for cs in (XYZ, NORMAL, ["point_id"]))
+        ids = ids[:, 0]
+        rows, cols, _, _ = nearest_rows(xyz, ids, xyz, ids, k, True)
+        pairs = np.unique(np.stack([np.minimum(ids[rows], ids[cols]), np.maximum(ids[rows], ids[cols])], 1), axis=0) if len(rows) else np.zeros((0, 2), ids.dtype)
+        order = np.argsort(ids, kind="stable")
+        left, right = (n[order[np.searchsorted(ids[order], pairs[:, c])]] for c in (0, 1))
+        d = left[:, 0] * right[:, 0] + left[:, 1] * right[:, 1] + left[:, 2] * right[:, 2]
+        zero = np.zeros(len(ids))
+        state = forest_small({
+            "i": np.append(pairs[:, 0], ids), "j": np.append(pairs[:, 1], ids), "_w": np.append(np.abs(d), zero), "differ": np.append((d < 0).astype(np.int64), zero.astype(np.int64))
+        })
+        vertex = state["is_edge"] == 0  # by id
+        sign = np.empty(len(ids))
+        sign[order] = np.where(state["bit"][vertex] == 1, -1.0, 1.0)
+        root = np.empty(len(ids), ids.dtype)
+        root[order] = state["w"][vertex]
+        return {"point_id": ids, **{c: sign * g[c] for c in NORMAL}, "root": root}
+
+    return work
+
+
+def agree_inside(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), limit: int = SMALL_GRAPH_ROWS // 10) -> DataFrame:
+    """``propagate_signs`` over the k-nearest-neighbour graph of each group's points (keys, point_id, position, normal).
+
+    Groups within ``limit`` points are solved whole in one grouped call: neighbours, forest and signs; larger ones by joins.
+    """
+    keys = list(keys)
+    rows = points.select(*keys, "point_id", *[F.col(c).cast("double").alias(c) for c in (*XYZ, *NORMAL)])
+    big = oversized(rows, keys, limit)
+    small = rows if big is None else rows.join(big, keys, "left_anti")
+    kind = dict(rows.dtypes)["point_id"]
+    schema = typed(rows, keys) + f", point_id {kind}, nx double, ny double, nz double, root {kind}"
+    out = map_groups(small, keys, _signs_small(k), schema)
+    if big is None:
+        return out
+    huge = rows.join(big, keys, "left_semi")
+    return out.unionByName(propagate_signs(huge, knn_graph(huge, k, keys), keys))
+
+
 def tangent_plane_orientation(points: DataFrame, k: int = 10, radius: float = 0.1) -> DataFrame:
     """Estimate normals and orient them along the forest of the neighbours within ``radius``."""
     from pointlake.operators.knn import hybrid_neighbours

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ
 from pointlake.operators import metrics, normals, orient, patches
 from pointlake.operators.graph import consistency_relation, normalized_edges
-from pointlake.operators.knn import knn_graph
 from pointlake.session import cut
 
 
@@ -40,8 +39,8 @@ def orient_clouds(points: DataFrame, method: str = "grid", k: int = 10, inside:
     members = cut(membership.join(base, ["cloud_id", "point_id"]))
     patch = ["cloud_id", "patch_id"]
     if inside == "forest":
-        signed = orient.propagate_signs(members, knn_graph(members, inside_k, patch), patch)
-        members = cut(members.drop(*NORMAL).join(signed.drop("root"), [*patch, "point_id"]))
+        signed = orient.agree_inside(members, inside_k, patch).drop("root")
+        members = cut(members.drop(*NORMAL).join(signed, [*patch, "point_id"]))
     elif inside == "score":
         scorer = scorer or normals.neighbour_scorer(members, inside_k, patch)
         members = normals.refine_flips(members, scorer, refine_rounds, patch)

@@ -267,3 +267,30 @@ def test_selection_by_counts(spark, monkeypatch):
             n = len(order[k])
             assert low[k] == order[k][(n + 1) // 2 - 1]
             assert np.isclose(mean[k], (order[k][(n - 1) // 2] + order[k][n // 2]) / 2)
+
+
+def test_signs_inside_groups_both_ways(spark):
+    pdf = two_clouds(120)
+    rng = np.random.default_rng(4)
+    n = rng.normal(size=(len(pdf), 3))
+    pdf[["nx", "ny", "nz"]] = n / np.linalg.norm(n, axis=1, keepdims=True)
+    pdf = pd.concat([pdf, pdf.head(1).assign(cloud_id=3), pdf.iloc[5:7].assign(cloud_id=4)], ignore_index=True)
+    df = spark.createDataFrame(pdf)
+    want = {(r.cloud_id, r.point_id): (r.nx, r.ny, r.nz, r.root) for r in orient.propagate_signs(df, knn_graph(df, 6)).collect()}
+    for limit in (60, 10_000):
+        got = {(r.cloud_id, r.point_id): (r.nx, r.ny, r.nz, r.root) for r in orient.agree_inside(df, 6, limit=limit).collect()}
+        assert got == want
+
+
+def test_flip_solver_both_ways_at_any_scale_of_weights(spark):
+    """Weights of 1e-9 and of 1e15 alike; the seeds of a vote are graphs of their own."""
+    e, _ = random_graph(spark, seed=7)
+    results = []
+    for factor in (1e-9, 1.0, 1e15):
+        scaled = e.withColumns({c: F.col(c) * factor for c in "ab"})
+        for limit in (5, 200_000):
+            results.append({r.patch_id: r.flip for r in orient.forest_flips(scaled, limit=limit).collect()})
+    assert all(r == results[2] for r in results[2:4]) and results[0] == results[1] and results[4] == results[5]
+    best = {orient.objective(e, spark.createDataFrame([(1, p, f) for p, f in r.items()], "cloud_id long, patch_id long, flip long")).first().objective for r in results}
+    start = orient.objective(e, orient.forest_flips(e, local_search=False)).first().objective
+    assert min(best) >= start
