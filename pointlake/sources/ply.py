@@ -6,19 +6,19 @@ their sizes; every task reads the short header itself and decodes its own range
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-
 from urllib.parse import unquote_plus
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from pointlake.functions.geometry import NORMAL, XYZ
-from pointlake.operators.grouped import map_groups
 from pointlake.operators.tiles import ranked
 from pointlake.session import cut
 
@@ -116,16 +116,59 @@ def _ascii_rows(handle, head: Header) -> Iterator[tuple[int, np.ndarray]]:
         skip -= dropped
         lines = lines[dropped:][: head.rows - row]
         if lines:
-            block = np.array([ln.split()[: len(head.dtype)] for ln in lines], dtype=object)
-            out = np.empty(len(lines), dtype=head.dtype)
-            for i, name in enumerate(head.dtype.names):
-                out[name] = block[:, i].astype("f8").astype(head.dtype[name])
-            yield row, out
+            yield row, _ascii_block(lines, head.dtype)
             row += len(lines)
         if not data and row < head.rows:
             raise ValueError("PLY file is shorter than its header says")
 
 
+def _lines_from(handle, start: int, begin: int, end: int) -> Iterator[list[bytes]]:
+    """Lines that are not blank and begin inside the byte range [begin, end), of a body that begins at ``start``."""
+    at = max(begin, start)
+    if at > start:  # a line begins here only if the one before ends here
+        handle.seek(at - 1)
+        while (byte := handle.read(1 << 16)) and b"\n" not in byte:
+            at += len(byte)
+        if not byte:
+            return
+        at += byte.index(b"\n")
+    handle.seek(at)
+    rest = b""
+    while at < end:
+        data = handle.read(1 << 22)
+        parts = (rest + data).split(b"\n")
+        rest = parts.pop() if data else b""
+        if parts:
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+            starts = at + np.cumsum(sizes) - sizes
+            found = [ln for ln, s in zip(parts, starts.tolist()) if s < end and ln.strip()]
+            if found:
+                yield found
+            at = int(starts[-1] + sizes[-1])
+        if not data:
+            return
+
+
+def _ascii_block(lines: list[bytes], dtype: np.dtype) -> np.ndarray:
+    block = np.array([ln.split()[: len(dtype)] for ln in lines], dtype=object)
+    out = np.empty(len(lines), dtype=dtype)
+    for i, name in enumerate(dtype.names):
+        out[name] = block[:, i].astype("f8").astype(dtype[name])
+    return out
+
+
+def _ascii_range(handle, head: Header, begin: int, end: int, before: int, total: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Vertices of the lines that begin in a byte range, ``before`` lines of the body being in front of it."""
+    if total - head.skip_lines < head.rows:
+        raise ValueError("PLY file is shorter than its header says")
+    row = before - head.skip_lines
+    for lines in _lines_from(handle, head.start, begin, end):
+        mine = lines[max(0, -row) : max(0, head.rows - row)]
+        if mine:
+            yield max(row, 0), _ascii_block(mine, head.dtype)
+        row += len(lines)
+
+
 @dataclass
 class FileRanges(InputPartition):
     pieces: list  # (path, begin, end)
@@ -135,6 +178,12 @@ class FileRanges(InputPartition):
         self.pieces = pieces
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and the path in it."""
+    root = path[5:] if path.startswith("file:") else path
+    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+
+
 class PlyReader(DataSourceReader):
     def __init__(self, options: dict):
         options = {k.lower(): v for k, v in options.items()}
@@ -143,18 +192,22 @@ class PlyReader(DataSourceReader):
         self.columns = [c for c in options.get("columns", ",".join(COLUMNS)).replace(" ", "").split(",") if c]
         self.normals_required = str(options.get("requirenormals", "false")).lower() == "true"
         self.skip_broken = str(options.get("skipbroken", "false")).lower() == "true"
+        # Of text files in several ranges: lines before each range and in all, by path and first byte.
+        self.lines = json.loads(options.get("lines", "{}"))
 
     def _filesystem(self):
-        root = self.root[5:] if self.root.startswith("file:") else self.root
-        return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        return _store(self.root)
 
-    def partitions(self):
+    def files(self) -> list[tuple[str, int]]:
+        """(path, size) of all files."""
         store, root = self._filesystem()
         info = store.get_file_info(root)
         found = [info] if info.is_file else store.get_file_info(pafs.FileSelector(root, recursive=True))
-        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith(".ply"))
+        return sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith(".ply"))
+
+    def partitions(self):
         out, bundle, weight = [], [], 0
-        for path, size in files:
+        for path, size in self.files():
             for begin in range(0, max(size, 1), self.split):
                 piece = (path, begin, min(size, begin + self.split))
                 if bundle and weight + piece[2] - begin > self.split:
@@ -179,7 +232,10 @@ class PlyReader(DataSourceReader):
             head = read_header(handle)
             if self.normals_required and "nx" not in head.dtype.names:
                 raise ValueError(f"{path} has no normals")
-            if head.encoding == "ascii":
+            if head.encoding == "ascii" and path in self.lines:
+                before, total = self.lines[path][str(begin)], self.lines[path]["total"]
+                rows = _ascii_range(handle, head, begin, end, before, total)
+            elif head.encoding == "ascii":
                 rows = _ascii_rows(handle, head) if begin == 0 else ()
             else:
                 rows = _binary_rows(handle, head, begin, end)
@@ -221,6 +277,26 @@ class PlyReader(DataSourceReader):
 BROKEN = (ValueError, KeyError, IndexError, TypeError, OverflowError)
 
 
+class PlyLinesReader(PlyReader):
+    """Lines of each byte range of the text files that have several."""
+
+    def partitions(self):
+        large = {path for path, size in self.files() if size > self.split}
+        out = [[piece for piece in part.pieces if piece[0] in large] for part in super().partitions()]
+        return [FileRanges(pieces) for pieces in out if pieces]
+
+    def read(self, partition):
+        store, _ = self._filesystem()
+        for path, begin, end in partition.pieces:
+            try:
+                with store.open_input_file(path) as handle:
+                    head = read_header(handle)
+                    if head.encoding == "ascii":
+                        yield path, begin, sum(map(len, _lines_from(handle, head.start, begin, end)))
+            except BROKEN:  # reading the file says what is wrong
+                continue
+
+
 class PlyStatusReader(PlyReader):
     """One row per file, whether it can be read or not."""
 
@@ -236,6 +312,20 @@ class PlyStatusReader(PlyReader):
                 yield self.cloud_of(path), path, rows, error
 
 
+class PlyLinesSource(DataSource):
+    """Lines of the ranges of large text files below ``path``."""
+
+    @classmethod
+    def name(cls):
+        return "ply_lines"
+
+    def schema(self):
+        return "path string, begin long, lines long"
+
+    def reader(self, schema):
+        return PlyLinesReader(dict(self.options))
+
+
 class PlyStatusSource(DataSource):
     """Files below ``path`` with their rows, or the error that reading them raises."""
 
@@ -266,10 +356,82 @@ class PlyDataSource(DataSource):
     def reader(self, schema):
         return PlyReader(dict(self.options))
 
+    def writer(self, schema, overwrite):
+        return PlyWriter(dict(self.options))
+
+
+@dataclass
+class PlyFiles(WriterCommitMessage):
+    """Files that a task has written: (draft, name)."""
+
+    files: list
+
+
+class PlyWriter(DataSourceArrowWriter):
+    """Writes rows in runs of one ``_file``, each a complete file. Options: path, binary, normals, colours.
+
+    Tasks write drafts into a folder of the job's own. Only the commit of the whole job gives the drafts of the successful
+    attempts their names and removes that folder; so attempts that die or are repeated leave neither files nor copies.
+    """
+
+    def __init__(self, options: dict):
+        options = {k.lower(): v for k, v in options.items()}
+        self.binary, self.normals, self.colours = (str(options.get(k, "false")).lower() == "true" for k in ("binary", "normals", "colours"))
+        self.columns = [*XYZ, *(NORMAL if self.normals else ()), *("rgb" if self.colours else "")]
+        self.root = options["path"]
+        self.drafts = f"_drafts-{uuid.uuid4().hex}"
+
+    def _body(self, rows: pa.Table) -> bytes:
+        if not self.binary:
+            return ("\n".join(rows.column("line").to_pylist()) + "\n").encode("ascii")
+        body = np.empty(len(rows), np.dtype([(c, "u1" if c in "rgb" else "<f8") for c in self.columns]))
+        for c in self.columns:
+            body[c] = rows.column(c).to_numpy()
+        return body.tobytes()
+
+    def write(self, iterator):
+        store, base = _store(self.root)
+        folder, done, held = f"{base}/{self.drafts}", [], []
+
+        def flush():
+            if not held:
+                return
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            head = header_text(len(rows), self.binary, self.normals, self.colours, rows.column("_rn")[0].as_py() - 1).encode("ascii")
+            draft = f"{folder}/{uuid.uuid4().hex}.tmp"
+            store.create_dir(folder, recursive=True)
+            with store.open_output_stream(draft) as out:
+                out.write(head + self._body(rows))
+            done.append((draft, f"{base}/{rows.column('_file')[0].as_py()}.ply"))
+
+        for batch in iterator:
+            name = batch.column("_file").to_pylist()
+            starts = [i for i in range(len(name)) if i == 0 or name[i] != name[i - 1]]
+            for s, e in zip(starts, [*starts[1:], len(name)]):
+                if held and held[0].column("_file")[0].as_py() != name[s]:
+                    flush()
+                held.append(batch.slice(s, e - s))
+        flush()
+        return PlyFiles(done)
+
+    def commit(self, messages):
+        store, base = _store(self.root)
+        for message in messages:
+            for draft, name in message.files if message else ():
+                store.create_dir(name.rpartition("/")[0], recursive=True)
+                store.move(draft, name)
+        self.abort(messages)
+
+    def abort(self, messages):
+        store, base = _store(self.root)
+        if store.get_file_info(f"{base}/{self.drafts}").type != pafs.FileType.NotFound:
+            store.delete_dir(f"{base}/{self.drafts}")
+
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(PlyDataSource)
-    spark.dataSource.register(PlyStatusSource)
+    for source in (PlyDataSource, PlyStatusSource, PlyLinesSource):
+        spark.dataSource.register(source)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -290,14 +452,33 @@ def ply_status(spark: SparkSession, path: str, require_normals: bool = False) ->
 
 
 def read_ply(spark: SparkSession, path: str, columns: list[str] | None = None, require_normals: bool = False,
-             skip_broken: bool = False) -> DataFrame:
-    """Points of all files below ``path``. ``skip_broken`` leaves out what ``ply_status`` reports with an error."""
+             skip_broken: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Points of all files below ``path``. ``skip_broken`` leaves out what ``ply_status`` reports with an error.
+
+    Files larger than ``split_bytes`` are read by several tasks. For text files, tasks count the lines of the ranges first,
+    so that every task knows the number of its first point.
+    """
     register(spark)
     reader = spark.read.format("ply").option("requireNormals", str(require_normals).lower())
-    reader = reader.option("skipBroken", str(skip_broken).lower())
+    reader = reader.option("skipBroken", str(skip_broken).lower()).option("splitBytes", split_bytes)
     if columns:
         reader = reader.option("columns", ",".join(columns))
-    return reader.load(qualified(spark, path))
+    full = qualified(spark, path)
+    if any(size > split_bytes for _, size in PlyReader({"path": full}).files()):
+        reader = reader.option("lines", json.dumps(line_places(spark, full, split_bytes)))
+    return reader.load(full)
+
+
+def line_places(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> dict:
+    """Lines before each range of the large text files, by path and first byte: one number per range of a file."""
+    register(spark)
+    out: dict = {}
+    counts = spark.read.format("ply_lines").option("splitBytes", split_bytes).load(path)
+    for file, begin, lines in sorted(tuple(r) for r in counts.collect()):
+        places = out.setdefault(file, {"total": 0})
+        places[str(begin)] = places["total"]
+        places["total"] += lines
+    return out
 
 
 def read_points(spark: SparkSession, table_path: str | None, ply_path: str | None) -> DataFrame:
@@ -335,7 +516,8 @@ def write_ply(points: DataFrame, folder: str, binary: bool = False, normals: boo
     """Write every cloud in point order and return the manifest (cloud_id, part, path, rows).
 
     A cloud of any size is one folder ``<cloud>.cloud`` of complete files ``part-<n>.ply`` with up to ``rows_per_file``
-    points each; the name is percent-encoded, so no two clouds meet, and reading the folder gives one cloud. Files are written under a temporary name and renamed, which makes retries harmless.
+    points each; the name is percent-encoded, so no two clouds meet, and reading the folder gives one cloud. Files appear
+    when the whole job has succeeded, those of failed or repeated attempts never.
     """
     folder = qualified(points.sparkSession, folder)
     cols = [*XYZ, *(NORMAL if normals else ()), *("rgb" if colours else "")]
@@ -348,29 +530,11 @@ def write_ply(points: DataFrame, folder: str, binary: bool = False, normals: boo
     if not binary:
         df = ascii_lines(df, normals, colours)
     keep = cols if binary else ["line"]
-    df = df.select("cloud_id", "part", "_file", "_rn", *keep)
-
-    def save(g: dict) -> dict:
-        order = np.argsort(g["_rn"], kind="stable")
-        n = len(order)
-        head = header_text(n, binary, normals, colours, int(g["_rn"].min()) - 1).encode("ascii")
-        if binary:
-            layout = np.dtype([(c, "u1" if c in "rgb" else "<f8") for c in cols])
-            body = np.empty(n, dtype=layout)
-            for c in cols:
-                body[c] = g[c][order]
-            data = head + body.tobytes()
-        else:
-            data = head + ("\n".join(g["line"][order]) + "\n").encode("ascii")
-        root = folder[5:] if folder.startswith("file:") else folder
-        store, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
-        target = f"{base}/{g['_file'][0]}.ply"
-        store.create_dir(target.rpartition("/")[0], recursive=True)
-        draft = f"{target}.{np.random.default_rng().integers(1 << 62):x}.tmp"
-        with store.open_output_stream(draft) as out:
-            out.write(data)
-        store.move(draft, target)
-        return {"path": np.array([target], dtype=object), "rows": np.array([n])}
-
-    cloud_type = dict(points.dtypes)["cloud_id"]
-    return cut(map_groups(df, ["cloud_id", "part"], save, f"cloud_id {cloud_type}, part long, path string, rows long"))
+    parts = cut(df.groupBy("cloud_id", "part", "_file").agg(F.count(F.lit(1)).alias("rows")))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select("cloud_id", "part", "_file", "_rn", *keep).repartition(tasks, "cloud_id", "part").sortWithinPartitions("cloud_id", "part", "_rn")
+    register(points.sparkSession)
+    writer = rows.drop("cloud_id", "part").write.format("ply").mode("append").option("binary", str(binary).lower())
+    writer.option("normals", str(normals).lower()).option("colours", str(colours).lower()).save(folder)
+    base = _store(folder)[1]
+    return parts.select("cloud_id", "part", F.concat(F.lit(f"{base}/"), "_file", F.lit(".ply")).alias("path"), "rows")

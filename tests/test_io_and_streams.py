@@ -220,3 +220,42 @@ def test_one_exported_patch_is_read_from_its_bucket(spark, tmp_path):
     assert len([f for f in (tmp_path / "p").iterdir() if f.name.startswith("bucket=")]) == 4
     assert sorted(r.point_id for r in runs.read_patch(spark, str(tmp_path / "p"), 2, 4, buckets=4).collect()) == [40, 41, 42]
     assert runs.read_patch(spark, str(tmp_path / "p"), 2, 5, buckets=4).count() == 0
+
+
+def test_a_text_file_is_read_by_many_tasks(spark, tmp_path):
+    """Ranges that begin anywhere in a line, blank lines, other elements before and behind, lines longer than a range."""
+    rng = np.random.default_rng(6)
+    pts = [f"{a:.3f} {b:.3f} {c:.3f}" for a, b, c in rng.normal(size=(300, 3))]
+    pts[17] += " " * 400
+    body = ["9 9", "8 8", *pts[:50], "", "  ", *pts[50:], "3 0 1 2"]
+    head = "ply\nformat ascii 1.0\nelement camera 2\nproperty float u\nproperty float v\nelement vertex 300\nproperty float x\nproperty float y\nproperty float z\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
+    (tmp_path / "text.ply").write_text(head + "\n".join(body) + "\n")
+    (tmp_path / "small.ply").write_text("ply\nformat ascii 1.0\nelement vertex 1\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3")
+    want = sorted((r.cloud_id, r.point_id, r.x, r.y, r.z) for r in ply.read_ply(spark, str(tmp_path)).collect())
+    assert len(want) == 301
+    for split in (180, 333, 1000):
+        df = ply.read_ply(spark, str(tmp_path), split_bytes=split)
+        assert df.rdd.getNumPartitions() > 5 * 180 // split
+        assert sorted((r.cloud_id, r.point_id, r.x, r.y, r.z) for r in df.collect()) == want
+    (tmp_path / "short.ply").write_text(head + "\n".join(body[:200]) + "\n")
+    with pytest.raises(Exception, match="shorter than its header"):
+        ply.read_ply(spark, str(tmp_path), split_bytes=180).count()
+
+
+def test_only_the_commit_gives_files_their_names(spark, tmp_path):
+    """A job that dies leaves nothing; of two attempts of a task the committed one counts."""
+    good = spark.createDataFrame(cloud(50, 4))
+    bad = good.withColumn("x", F.when(F.col("point_id") == 49, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="lost"):
+        ply.write_ply(bad, str(tmp_path / "out"), rows_per_file=5)
+    assert not list(tmp_path.rglob("*.ply")) and not list(tmp_path.rglob("*.tmp"))
+    import pyarrow as pa
+
+    writer = ply.PlyWriter({"path": str(tmp_path / "two"), "binary": "true"})
+    rows = pa.RecordBatch.from_pydict({"_file": ["a/p", "a/p", "b/p"], "_rn": [1, 2, 1], "x": [1.0, 2.0, 3.0], "y": [0.0] * 3, "z": [0.0] * 3})
+    attempts = [writer.write(iter([rows])) for _ in range(2)]
+    assert len(list((tmp_path / "two").rglob("*.tmp"))) == 4 and not list((tmp_path / "two").rglob("*.ply"))
+    writer.commit(attempts[1:])
+    assert sorted(str(f.relative_to(tmp_path / "two")) for f in (tmp_path / "two").rglob("*") if f.is_file()) == ["a/p.ply", "b/p.ply"]
+    got = ply.read_ply(spark, str(tmp_path / "two")).collect()
+    assert sorted((r.cloud_id, r.x) for r in got) == [("a/p", 1.0), ("a/p", 2.0), ("b/p", 3.0)]
