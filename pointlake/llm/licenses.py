@@ -29,9 +29,6 @@ NOTICES = [
 ]
 #: Words too common to be looked up; they still count as words between the others.
 COMMON = {"a", "and", "any", "are", "by", "except", "file", "in", "is", "may", "not", "of", "or", "person", "the", "this", "to", "under", "use", "with", "without", "work", "you"}
-#: In the SQL only: the rarest licence words of a document that choose the notices it is held against. The operator holds
-#: every document against all notices; rows differ only where a document has more licence words than this.
-RARE_WORDS = 6
 #: Share of a notice's indexed words that must stand at their places.
 LEAST_SHARE = 0.6
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -56,9 +53,10 @@ def postings() -> list[tuple[int, str, str, int, int, int, int, bool]]:
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row.
 
-    One pass over the texts keeps the positions of licence words only. Postings and positions meet at the place where a
-    notice would start, and it holds if its mandatory words and ``LEAST_SHARE`` of its indexed words stand there, however
-    many notices a document has. Base phrases must stand complete. ``score`` is the largest share
+    One pass over the texts keeps the positions of licence words only. Every notice is posted under that of its mandatory
+    words which fewest documents have; a document looks up all its licence words and is held against the notices posted
+    there, however many. Postings and positions meet at the place where a notice would start, and it holds if its mandatory
+    words and ``LEAST_SHARE`` of its indexed words stand there. Base phrases must stand complete. ``score`` is the largest share
     of an accepted notice, 0 without any. Null and empty texts have no words; ``first_word``, ``last_word`` are null
     where no base phrase is; repeated rows each give a row, a null id stays null, an empty table gives none; other columns are
     never read. A common word between two indexed ones may be any word, except in base phrases, which have none.
@@ -80,8 +78,16 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", known).alias("has"),
         F.when(F.arrays_overlap("words", known), hits).alias("hits"), F.monotonically_increasing_id().alias("row"),
     ))
-    places = docs.where(F.size("has") > 1).select("row", F.explode("hits").alias("hit")).select("row", "hit.word", "hit.at")
-    met = places.join(F.broadcast(table), "word").withColumn("start", F.col("at") - F.col("place"))
+    # As many rows as the catalogue has words.
+    seen = dict(docs.select(F.explode("has").alias("word")).groupBy("word").count().collect())
+    posted: dict[str, list[int]] = {}
+    for notice in sorted({p[0] for p in postings()}):
+        rarest = min((seen.get(p[2], 0), p[2]) for p in postings() if p[0] == notice and p[6])[1]
+        posted.setdefault(rarest, []).append(notice)
+    looked_up = F.concat(*(F.when(F.array_contains("has", w), F.array(*map(F.lit, held))).otherwise(F.array().cast("array<int>")) for w, held in posted.items()))
+    places = docs.withColumn("candidates", looked_up).where(F.size("candidates") > 0)
+    places = places.select("row", "candidates", F.explode("hits").alias("hit")).select("row", "candidates", "hit.word", "hit.at")
+    met = places.join(F.broadcast(table), "word").where(F.array_contains("candidates", F.col("notice"))).withColumn("start", F.col("at") - F.col("place"))
     found = met.groupBy("row", "notice", "start").agg(
         F.first("label").alias("label"), F.first("base").alias("base"), (F.count(F.lit(1)) / F.first("n_indexed")).alias("share"),
         (F.sum("must") == F.first("n_must")).alias("whole"),
@@ -109,19 +115,15 @@ WITH t AS (
 p(notice, label, word, place, n_indexed, n_must, must, base) AS (VALUES {values}),
 w AS (SELECT row, unnest(words) AS word, unnest(range(len(words))) AS pos FROM t),
 h AS (SELECT * FROM w WHERE word IN (SELECT word FROM p)),
-d AS (SELECT word, count(DISTINCT row) AS df FROM h GROUP BY word),
-r AS (SELECT row, word, row_number() OVER (PARTITION BY row ORDER BY df, word) AS rank FROM (SELECT DISTINCT row, word FROM h) JOIN d USING (word)),
-c AS (SELECT DISTINCT row, notice FROM r JOIN p USING (word) WHERE rank <= {RARE_WORDS} AND NOT base),
 f AS (
   SELECT row, notice, pos - place AS start, any_value(label) AS label, any_value(base) AS base, count(*) / any_value(n_indexed) AS share
   FROM h JOIN p USING (word) GROUP BY row, notice, start
   HAVING sum(must) = any_value(n_must) AND share >= {LEAST_SHARE} AND start >= 0),
-g AS (SELECT * FROM f WHERE base UNION ALL SELECT * FROM f SEMI JOIN c USING (row, notice) WHERE NOT base),
 a AS (
   SELECT row, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
     array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,
     array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
-  FROM g GROUP BY row)
+  FROM f GROUP BY row)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
   CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   CAST(coalesce(score, 0) AS DOUBLE) AS score
