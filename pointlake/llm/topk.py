@@ -26,7 +26,12 @@ class Lists:
         self.exact = matrix
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, ties to smaller ids, without rows of id ``own``.
+        """(ids, scores) of the k best, ties to smaller ids, without rows of id ``own``."""
+        best, scores = self.best(own, query, k)
+        return self.ids[best], scores
+
+    def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the k best, ties to smaller ids, without rows of id ``own``.
 
         Each round reads the lists deeper, from the end that raises the score, and scores what it meets for the first
         time. It stops when nothing unseen can reach the k-th score: what is unseen has at most the last values read.
@@ -63,12 +68,12 @@ class Lists:
                     break
             low, high = high, min(4 * high, n)
         if not count:
-            return self.ids[:0], np.zeros(0, np.int64)
-        members, scores = self.ids[np.concatenate(members)], np.concatenate(scores)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        members, scores = np.concatenate(members), np.concatenate(scores)
         if count > k:
             keep = scores >= -np.partition(-scores, k - 1)[k - 1]
             members, scores = members[keep], scores[keep]
-        best = np.lexsort((members, -scores))[:k]
+        best = np.lexsort((self.ids[members], -scores))[:k]
         return members[best], scores[best].astype(np.int64)
 
 
@@ -86,43 +91,41 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     count = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
     return (
         rows.join(count, "dim").groupBy("dim", "blocks", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int").alias(name))
-        .agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-        .select("dim", name, F.col("blocks").alias(name + "s"), F.col("rows.vec_id").alias(name + "_ids"), F.flatten("rows.v").alias(name + "_v"))
+        .agg(F.collect_list(F.struct("vec_id", "v", "times")).alias("rows"))
+        .select("dim", name, F.col("blocks").alias(name + "s"), F.col("rows.vec_id").alias(name + "_ids"), F.flatten("rows.v").alias(name + "_v"), F.col("rows.times").alias(name + "_times"))
     )
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) over integer vectors (vec_id, v): the k highest inner products per query.
 
-    Ties go to the smaller id; rows with the query's id are its own and no candidates; a row repeated as a whole counts
-    once. Only vectors of a query's dimension are compared. All queries in blocks visit all vectors in blocks; each visit
+    Ties go to the smaller id; rows with the query's id are its own and no candidates. A row repeated as a whole is searched
+    once and counts as often as it stands there, as a candidate and as a query. Only vectors of a query's dimension are compared. All queries in blocks visit all vectors in blocks; each visit
     returns k rows per query at most, and the best of these are kept. A null vector or id takes no part; an empty table
     gives no rows.
     """
     session(vectors)
-    tidy = lambda df: df.select("vec_id", "v", F.size("v").alias("dim")).dropna().dropDuplicates(["vec_id", "v"])
+    tidy = lambda df: df.select("vec_id", "v", F.size("v").alias("dim")).dropna().groupBy("vec_id", "v", "dim").agg(F.count(F.lit(1)).alias("times"))
     blocks = staged(_blocks(tidy(vectors), BLOCK, "block"))
     asked = staged(_blocks(tidy(queries), QUERIES, "ask"))
     counts = lambda df, n: df.select("dim", n).distinct()  # noqa: E731  one row per dimension
     left = blocks.join(counts(asked, "asks"), "dim").withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
     right = asked.join(counts(blocks, "blocks"), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = left.join(right, ["dim", "block", "ask"]).select("dim", "block_ids", "block_v", "ask_ids", "ask_v")
+    met = left.join(right, ["dim", "block", "ask"]).select("dim", "block_ids", "block_v", "block_times", "ask_ids", "ask_v", "ask_times")
 
     def search(batches):
         for batch in batches:
-            for dim, *arrays in zip(*(batch.column(c) for c in ("dim", "block_ids", "block_v", "ask_ids", "ask_v"))):
+            for dim, *arrays in zip(*(batch.column(c) for c in ("dim", "block_ids", "block_v", "block_times", "ask_ids", "ask_v", "ask_times"))):
                 dim = dim.as_py()
-                ids, values, ask_ids, ask_values = (x.values.to_numpy() for x in arrays)
+                ids, values, times, ask_ids, ask_values, ask_times = (x.values.to_numpy() for x in arrays)
                 lists = Lists(ids, values.reshape(len(ids), dim))
-                out = [(q, *lists.top(q, v, k)) for q, v in zip(ask_ids.tolist(), ask_values.reshape(len(ask_ids), dim))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]).astype(np.int64)),
-                        pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out])),
-                    ],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+                out = [lists.best(q, v, k) for q, v in zip(ask_ids.tolist(), ask_values.reshape(len(ask_ids), dim))]
+                sizes, places = [len(i) for i, _ in out], np.concatenate([i for i, _ in out])
+                arrays = [np.repeat(ask_ids, sizes), ids[places], np.concatenate([s for _, s in out]), np.minimum(times[places], k) * np.minimum(np.repeat(ask_times, sizes), k)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["query_id", "vec_id", "score", "times"])
+
+    found = met.mapInArrow(search, "query_id long, vec_id long, score long, times long")
+    # More than k of one row never count.
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k))))).drop("times", "copy")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

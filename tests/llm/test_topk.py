@@ -8,10 +8,11 @@ from pointlake.llm import topk
 
 
 def plain(vectors, queries, k):
-    out = []
+    out, scored = [], {}
     for q, v in queries:
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q and len(w) == len(v))
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+        scored.setdefault(q, []).extend((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q and len(w) == len(v))
+    for q, found in scored.items():
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(found)[:k])]
     return sorted(out)
 
 
@@ -21,11 +22,12 @@ def test_equals_all_scores_with_ties_and_repeats(spark, monkeypatch):
     rng = np.random.default_rng(0)
     values = [(i, rng.integers(-3, 4, 6).tolist()) for i in range(300)] + [(400 + i, rng.integers(-9, 9, 2).tolist()) for i in range(4)]
     values += [(500, [0] * 6), (501, [2**40, 0, 0, 0, 0, 1]), (502, [2**20, 5, 0, 0, 0, 0]), (503, [])]
-    rows = values + values[:50]
+    rows = values + values[:50] + values[200:203] * 9 + [(7, [3] * 6), (None, [9] * 6)]
     df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, v array<long>, score int").repartition(4)
-    asked = [(i, v) for i, v in values if i % 10 == 0]
+    rows = [r for r in rows if r[0] is not None]
+    asked = [(i, v) for i, v in rows if i % 10 == 0]
     got = topk.exact_top_k(df, df.where("vec_id % 10 = 0"), k=5)
-    assert sorted(map(tuple, got.collect())) == plain(values, asked, 5)
+    assert sorted(map(tuple, got.collect())) == plain(rows, asked, 5)
 
 
 def test_integer_vectors_leave_out_what_is_not_finite(spark):
