@@ -18,7 +18,9 @@ from pointlake.llm.tokens import BATCH_BYTES, encoder
 
 #: Pieces that are packed together in a task, about so many in later rounds.
 BLOCK_PIECES = 20_000
-COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, carried boolean, grp long"
+COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free long, grp long"
+#: Deals in a row that may save nothing before packing ends.
+USELESS_DEALS = 2
 
 
 def cut_lengths(total: int, limit: int) -> list[int]:
@@ -133,7 +135,7 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, limit: int) -> list[l
 
 
 def _packed(rows: pd.DataFrame, limit: int, group: int, base: int) -> pd.DataFrame:
-    """The pieces with sequence, offset and whether a later round may pack them again: all that leave room.
+    """The pieces with sequence, offset and the room that their sequence leaves.
 
     Pieces that have sequences keep them if these are not fewer afterwards.
     """
@@ -144,12 +146,12 @@ def _packed(rows: pd.DataFrame, limit: int, group: int, base: int) -> pd.DataFra
         ids = rows["sequence_id"].to_numpy(np.int64)[order]
         bins = [b.tolist() for b in np.split(order, np.flatnonzero(np.diff(ids)) + 1)]
     seq, offset = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-    carried = np.zeros(len(rows), bool)
+    free = np.zeros(len(rows), np.int64)
     for k, members in enumerate(bins):
         ends = np.cumsum(sizes[members])
         seq[members], offset[members] = base + k, ends - sizes[members]
-        carried[members] = ends[-1] <= limit - limit // 16
-    return rows.assign(sequence_id=seq, offset=offset, carried=carried, grp=np.int64(group))
+        free[members] = limit - ends[-1]
+    return rows.assign(sequence_id=seq, offset=offset, free=free, grp=np.int64(group))
 
 
 def pieces_of(ids: list[int], end_id: int, limit: int) -> Iterator[tuple[int, int, int, int]]:
@@ -181,9 +183,9 @@ def pack_documents(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row and its place.
 
-    Each task tokenises its documents and packs them in blocks (best fit, then local search) without a shuffle; all
-    sequences that leave a sixteenth free are dealt by hash into groups and packed again, in rounds, until a round saves
-    no sequence or all were in one group. Blocks and groups are cut by count, so one hot source or id is as good as any. Every table between rounds is written to the shared
+    Each task tokenises its documents and packs them in blocks (best fit, then local search) without a shuffle. All
+    sequences that leave any room are dealt by hash into groups and packed again, in rounds, until
+    their number is that of their ids over the limit, all were in one group, or two deals in a row saved nothing. Blocks and groups are cut by count, so one hot source or id is as good as any. Every table between rounds is written to the shared
     folder. Null and empty texts are one end id; rows with a null id or a repeated id are packed like any other; an
     empty table gives no rows; other columns are never read.
     """
@@ -212,26 +214,28 @@ def pack_documents(
             yield flush()
 
     out = staged(ids_and_texts(df, id_col, text_col).mapInArrow(first, COLUMNS))
-    done, level = [], 1
+    done, level, useless = [], 1, 0
     sequences = F.coalesce(F.sum((F.col("offset") == 0).cast("long")), F.lit(0))
     while True:
-        carried = out.where("carried")
-        done.append(out.where(~F.col("carried")))
-        pieces, before = carried.agg(F.count(F.lit(1)), sequences).first()
+        carried, full = out.where("free > 0"), out.where("free = 0")
+        pieces, before, total = carried.agg(F.count(F.lit(1)), sequences, F.coalesce(F.sum("length"), F.lit(0))).first()
+        done.append(full)
         groups = -(-pieces // BLOCK_PIECES)
-        if before < 2:
+        if before <= -(-total // limit):
             out = carried
             break
         out = staged(_again(carried, limit, level, groups))
-        if groups == 1 or out.agg(sequences).first()[0] >= before:
+        after = out.agg(sequences).first()[0]
+        useless = 0 if after < before else useless + 1
+        if groups == 1 or useless == USELESS_DEALS or after <= -(-total // limit):
             break
         level += 1
     for rows in done:
         out = out.unionByName(rows)
-    return out.drop("carried", "grp")
+    return out.drop("free", "grp")
 
 
 ARROW = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
-    ("sequence_id", pa.int64()), ("offset", pa.int64()), ("carried", pa.bool_()), ("grp", pa.int64()),
+    ("sequence_id", pa.int64()), ("offset", pa.int64()), ("free", pa.int64()), ("grp", pa.int64()),
 ])

@@ -178,3 +178,15 @@ def test_character_map_takes_the_longest_prefix_and_aligns():
 def test_empty_tables(hard):
     none = hard.where("false")
     assert tokens.token_counts(none).collect() == [] and packing.pack_documents(none).collect() == [] and spm.encode_pieces(none).collect() == []
+
+
+def test_nearly_full_sequences_meet_across_tasks(spark, tmp_path, monkeypatch):
+    """One file of texts that leave room for those of another file only: as many sequences as the sum of ids asks for."""
+    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    long, short = "a" + " a" * 1928, "a" + " a" * 116
+    assert [len(enc.encode(t, add_special_tokens=False).ids) for t in (long, short)] == [1929, 117]
+    for k, t in enumerate((long, short)):
+        spark.createDataFrame([(100 * k + i, t) for i in range(60)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d", mode="append")
+    rows = packing.pack_documents(spark.read.parquet(f"{tmp_path}/d"), limit=2048, end_id=0).collect()
+    assert len({r.sequence_id for r in rows}) == 60
+    check_sequences(rows, 2048)
