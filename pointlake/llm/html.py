@@ -30,8 +30,10 @@ PERIOD = 4
 TEMPLATE_PAGES, LINK_SHARE = 3, 0.5
 #: Wrappers that a task keeps parsed.
 REMEMBERED = 2000
-#: Elements nested deeper than this still part blocks but count as part of the one at this depth.
+#: Elements nested deeper than this still part blocks but count as part of the one at this depth, or as dropped.
 DEPTH = 200
+#: Characters of the label of a container's first child that are kept as they are in its own.
+LABEL = 40
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
@@ -91,12 +93,13 @@ def _label(tag: str, attributes: str) -> str:
 def read_page(html: str) -> tuple[list, list[list]]:
     """(token tree, texts as [block, text]) of a page; the block number grows where a block element begins or ends."""
     root = ["", 0, 0, []]
-    stack, texts, block, links, at, deeper = [root], [], 0, 0, 0, 0
+    stack, texts, block, links, at = [root], [], 0, 0, 0
+    deeper: list[tuple[str, bool]] = []  # tag, and whether its text or that of one around it is dropped
 
     def say(raw):
         nonlocal texts
         text = entities.unescape(raw)
-        if not text:
+        if not text or deeper and deeper[-1][1]:
             return
         here = stack[-1][3]
         if not here or here[-1][0] != "#":
@@ -131,8 +134,13 @@ def read_page(html: str) -> tuple[list, list[list]]:
             continue
         if closing_tag:
             if deeper:
-                deeper -= 1
-                continue
+                place = next((k for k in range(len(deeper) - 1, -1, -1) if deeper[k][0] == tag), None)
+                if place is not None:
+                    del deeper[place:]
+                    continue
+                if tag in REPEATING:
+                    continue
+                deeper.clear()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0].split(".", 1)[0] == tag:
                     del stack[k:]
@@ -152,7 +160,8 @@ def read_page(html: str) -> tuple[list, list[list]]:
                 if name in SCOPES:
                     break
         if len(stack) > DEPTH:
-            deeper += not found[0].endswith("/>")
+            if not found[0].endswith("/>"):
+                deeper.append((tag, bool(deeper and deeper[-1][1]) or _says(_label(tag, attributes or ""), True)[0]))
             continue
         node = [_label(tag, attributes or ""), 0, 0, []]
         stack[-1][3].append(node)
@@ -179,7 +188,8 @@ def _close(root: list, texts: list) -> None:
         node[3] = [c for c in node[3] if c[0] != "#" or _has_text(c, texts)]
         node[3] = _grouped(node[3])
         if node[0] in BARE:
-            node[0] += ":" + (node[3][0][0] if node[3] else "")[:40]
+            first = node[3][0][0] if node[3] else ""
+            node[0] += ":" + (first if len(first) <= LABEL else f"{first[:LABEL]}~{zlib.crc32(first.encode()):x}")
 
 
 def _has_text(slot: list, texts: list) -> bool:

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from pointlake.llm import html, url_filter
 from pointlake.llm.queries import URL_RULES
 
@@ -88,3 +90,15 @@ def test_real_pages_keep_the_article_only(spark, sf):
 def test_hostile_markup_ends():
     for page in ('<a "' * 2000, "<!--" * 1000, "<script>" * 500, '<p class="' + "x" * 10_000, "</p>" * 5000, "<table><tr><td>" * 300 + "x"):
         html.page_text(page, None)
+
+
+@pytest.mark.parametrize("depth", [10, 150, 210, 260])
+def test_menus_and_footers_at_any_depth(depth):
+    page = "<div>" * depth + "<nav><ul><li><a href=x>menu</a></li></ul></nav><p>the text</p><footer><p>imprint</p></footer>" + "</div>" * depth
+    assert html.page_text(f"<article><p>one</p>{page}<p>two</p></article>", None) == "one\nthe text\ntwo"
+
+
+def test_containers_with_long_labels_stay_apart():
+    long = "x" * 60
+    trees = [html.read_page(f"<body><div><p class='{long}{c}'>a</p></div></body>")[0] for c in "ab"]
+    assert html.expression(trees[0]) != html.expression(trees[1])
