@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pointlake.functions.geometry import XYZ, dist2
 from pointlake.operators.grouped import map_groups
-from pointlake.operators.tiles import Splits, assign_ball, assign_tiles, build_splits
+from pointlake.operators.tiles import RANK_ROWS, Splits, assign_ball, assign_tiles, build_splits, nth_values, ranked
 from pointlake.session import cut
 
 TILE_POINTS = 512
@@ -190,6 +190,24 @@ def knn_join(
     return out.select(*out_cols)
 
 
+def nearest_many(queries: DataFrame, targets: DataFrame, limits: DataFrame, keys: list[str] = ("cloud_id",), task_rows: int = RANK_ROWS) -> DataFrame:
+    """(keys, src, dst, nn_rank, d2): the nearest targets of few queries, as many as ``limits(keys, _limit)`` says.
+
+    For numbers of neighbours that no task should hold: the distance of the last one is found by counts, then everything up
+    to it is kept and ranked in pieces. Ties go to the smaller id, as in ``knn_join``.
+    """
+    keys = list(keys)
+    q = queries.select(*keys, F.col("point_id").alias("src"), *[F.col(c).cast("double").alias(f"q{c}") for c in XYZ])
+    t = targets.select(*keys, F.col("point_id").alias("dst"), *[F.col(c).cast("double").alias(c) for c in XYZ])
+    apart = t.join(q, keys).select(*keys, "src", "dst", dist2(XYZ, [f"q{c}" for c in XYZ]).alias("d2"))
+    sizes = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = cut(q.select(*keys, "src").join(limits, keys).join(sizes, keys).select(*keys, "src", F.least("_limit", "_n").alias("_rank")))
+    last = nth_values(apart, [*keys, "src"], "d2", wanted, task_rows).withColumnRenamed("d2", "_last")
+    near = apart.join(last, [*keys, "src"]).where(F.col("d2") <= F.col("_last"))
+    ranks = ranked(near, [*keys, "src"], ["d2", "dst"], ["d2", "dst"], "nn_rank", task_rows)
+    return ranks.where(F.col("nn_rank") <= F.col("_rank")).select(*keys, "src", "dst", F.col("nn_rank").cast("int").alias("nn_rank"), "d2")
+
+
 def knn_graph(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), **kw) -> DataFrame:
     """Directed k-nearest-neighbour graph; a point is never its own neighbour, copies of it may be."""
     return knn_join(points, None, k, keys, exclude_self=True, **kw)

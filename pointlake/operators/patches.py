@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pointlake.functions.geometry import XYZ
 from pointlake.operators.graph import components
 from pointlake.operators.grouped import SMALL_GRAPH_ROWS, map_groups
-from pointlake.operators.knn import knn_graph, knn_join
+from pointlake.operators.knn import knn_graph, knn_join, nearest_many
 from pointlake.operators.sampling import cloud_bounds, farthest_points, nearest_centres
 from pointlake.operators.tiles import group_sizes, nth_values, ranked
 from pointlake.session import cut, is_empty
 
 WINDOW_CELLS = 4
+TASK_NEIGHBOURS = 4096  # neighbours of one seed that a task searches
 
 
 def overlap_count(rate: float) -> int:
@@ -42,18 +43,27 @@ def fps_patches(points: DataFrame, patch_count: int | Column, overlap_rate: floa
     return patches_around_centres(points, farthest_points(points, patch_count), overlap_count(overlap_rate))
 
 
-def knn_patches(points: DataFrame, patch_count: int | Column, num_per_patch: int | Column) -> DataFrame:
-    """The ``num_per_patch`` points nearest to each farthest-point seed, the seed included."""
+def knn_patches(points: DataFrame, patch_count: int | Column, num_per_patch: int | Column, task_neighbours: int = TASK_NEIGHBOURS) -> DataFrame:
+    """The ``num_per_patch`` points nearest to each farthest-point seed, the seed included.
+
+    Every cloud keeps its own number of neighbours. Numbers beyond ``task_neighbours`` are not searched tile by tile but
+    selected by counts of distances, so that no task holds them.
+    """
     seeds = farthest_points(points, patch_count)
     q = seeds.select("cloud_id", F.col("center").alias("point_id"), *XYZ)
     p = points.select("cloud_id", F.col("point_id").cast("long").alias("point_id"), *XYZ)
-    limits = per_cloud(points, num_per_patch) if isinstance(num_per_patch, Column) else None
-    # The widest search of the batch serves all clouds; each keeps its own number of neighbours.
-    most = num_per_patch if limits is None else limits.agg(F.max("_limit")).first()[0] or 1
-    near = knn_join(q, p, most)
-    if limits is not None:
-        near = near.join(limits, "cloud_id").where(F.col("nn_rank") <= F.col("_limit"))
-    return near.select(
+    limits = cut(per_cloud(points, num_per_patch))
+    narrow, wide = limits.where(F.col("_limit") <= task_neighbours), limits.where(F.col("_limit") > task_neighbours)
+    out = None
+    most = narrow.agg(F.max("_limit")).first()[0]
+    if most is not None:
+        mine = narrow.select("cloud_id")
+        near = knn_join(q.join(mine, "cloud_id", "left_semi"), p.join(mine, "cloud_id", "left_semi"), max(most, 1))
+        out = near.join(narrow, "cloud_id").where(F.col("nn_rank") <= F.col("_limit")).drop("_limit")
+    if out is None or not is_empty(wide):
+        far = nearest_many(q, p, wide)
+        out = far if out is None else out.unionByName(far)
+    return out.select(
         "cloud_id", F.col("src").alias("patch_id"), F.col("dst").alias("point_id"), F.col("nn_rank").alias("rank")
     )
 

@@ -294,3 +294,22 @@ def test_flip_solver_both_ways_at_any_scale_of_weights(spark):
     best = {orient.objective(e, spark.createDataFrame([(1, p, f) for p, f in r.items()], "cloud_id long, patch_id long, flip long")).first().objective for r in results}
     start = orient.objective(e, orient.forest_flips(e, local_search=False)).first().objective
     assert min(best) >= start
+
+
+def test_many_neighbours_by_counts(spark):
+    """Numbers of neighbours that no task should hold, next to small ones; copies of a position tie."""
+    pdf = two_clouds(150)
+    pdf.loc[20:60, ["x", "y", "z"]] = pdf.loc[20, ["x", "y", "z"]].to_numpy()
+    df = spark.createDataFrame(pdf)
+    wanted = F.when(F.col("cloud_id") == 1, F.lit(70)).otherwise(F.lit(5))
+    whole = {(r.cloud_id, r.patch_id, r.point_id, r.rank) for r in patches.knn_patches(df, 4, F.floor(F.col("_n") * 0.4)).collect()}
+    assert len(whole) == 4 * (60 + 20)
+    for limit in (30, 10):
+        assert {(r.cloud_id, r.patch_id, r.point_id, r.rank) for r in patches.knn_patches(df, 4, F.floor(F.col("_n") * 0.4), task_neighbours=limit).collect()} == whole
+    from pointlake.operators.knn import knn_join, nearest_many
+
+    seeds = df.where("point_id % 40 = 25")
+    limits = df.select("cloud_id").distinct().withColumn("_limit", wanted.cast("long"))
+    got = {tuple(r) for r in nearest_many(seeds, df, limits, task_rows=20).collect()}
+    want = {tuple(r) for r in knn_join(seeds, df, 70).collect() if r.nn_rank <= (70 if r.cloud_id == 1 else 5)}
+    assert {g[:4] for g in got} == {w[:4] for w in want} and len(got) == len(want)
