@@ -503,12 +503,31 @@ def _events_schema(spark, sf):
 @query("stream_epoch_rollup", f"""WITH {HIST} SELECT epoch, round(avg(loss), 6) AS loss, round(avg(accuracy), 6) AS accuracy, round(arg_max(learning_rate, batch), 6) AS learning_rate
 FROM hist GROUP BY 1""")
 def _(spark, sf):
-    """Training history as a stream; the rolled-up epochs equal those of the batch job."""
-    name = f"epochs_{uuid.uuid4().hex}"
-    events = spark.readStream.schema(_events_schema(spark, sf)).parquet(f"{sf}/event[s].parquet")
-    q = stream.rollup_stream(history_of_events(events), name, scratch(spark, "stream"))
-    q.awaitTermination()
-    return rounded(spark.table(name))
+    """Training history as a stream of several files; the rolled-up epochs equal those of the batch job."""
+    folder, sink = scratch(spark, "history"), scratch(spark, "epochs")
+    table(spark, sf, "events").repartition(5, "event_id").write.parquet(folder)
+    events = spark.readStream.schema(_events_schema(spark, sf)).option("maxFilesPerTrigger", 2).parquet(folder)
+    stream.rollup_stream(history_of_events(events), sink, scratch(spark, "stream")).awaitTermination()
+    return rounded(stream.read_rollup(spark, sink))
+
+
+@query("stream_pieces", f"""WITH {EVT}, g AS (SELECT cloud_id, count(*) AS n, sum(point_id) AS ids, round(sum(x), 6) + 0.0 AS sx FROM evt GROUP BY 1)
+SELECT cloud_id, CASE WHEN cloud_id % 7 = 0 THEN 'incomplete' ELSE 'ok' END AS status, n, CASE WHEN cloud_id % 7 > 0 THEN CAST(ids AS BIGINT) END AS ids,
+  CASE WHEN cloud_id % 7 > 0 THEN sx END AS sx FROM g""")
+def _(spark, sf):
+    """Clouds whose points arrive in six files in no order; every seventh request declares a point too many and times out."""
+    folder, sink = scratch(spark, "pieces"), scratch(spark, "whole")
+    p = event_points(spark, sf).select("cloud_id", "point_id", *XYZ)
+    p.repartition(6, F.xxhash64("point_id")).write.parquet(folder)
+    sizes = p.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
+    requests = sizes.select("cloud_id", (F.col("n") + (F.col("cloud_id") % 7 == 0).cast("int")).alias("data_size"))
+    sums = lambda df: df.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_id").alias("ids"), F.sum("x").alias("sx"))
+    stream.collect_stream(spark, folder, p.schema, sink, scratch(spark, "stream"), requests, patience=5, files_per_batch=1, interval=None, work=sums).awaitTermination()
+    done = spark.read.parquet(sink).select("cloud_id", F.lit("ok").alias("status"), "n", "ids", "sx")
+    late = spark.read.parquet(f"{sink}_errors").groupBy("cloud_id").agg(F.min("message").alias("status"), F.sum("received").alias("n"))
+    waiting = spark.read.parquet(f"{sink}_pending").where("batch = 5").groupBy("cloud_id").agg(F.lit("incomplete").alias("status"), F.count(F.lit(1)).alias("n"))
+    late = late.unionByName(waiting).groupBy("cloud_id").agg(F.min("status").alias("status"), F.sum("n").alias("n"))
+    return rounded(done.unionByName(late.withColumns({"ids": F.lit(None).cast("long"), "sx": F.lit(None).cast("double")}).select(done.columns)))
 
 
 @query("stream_orientation", f"WITH {EVT} SELECT cloud_id, count(*) AS n, CAST(1 AS BIGINT) AS unit FROM evt GROUP BY 1")

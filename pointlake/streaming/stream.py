@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pointlake.functions.geometry import NORMAL, XYZ
 from pointlake.operators.normals import neighbour_scorer, pca_normals, refine_flips
 from pointlake.plans.runs import epoch_rollup
+from pointlake.session import cut
 
 KNOWN_FUNCTIONS = ("direct_orientation",)
 
@@ -44,7 +45,7 @@ def orient_stream(spark: SparkSession, source: str, schema, sink: str, checkpoin
                   work: Callable[[DataFrame], DataFrame] = orient_batch) -> StreamingQuery:
     """Orient clouds whose Parquet files arrive in a folder, a few files per micro-batch.
 
-    A cloud arrives within one file. Results go to ``sink/batch=<id>`` by overwrite, so a repeated micro-batch
+    A cloud arrives within one file (``collect_stream`` puts clouds together). Results go to ``sink/batch=<id>`` by overwrite, so a repeated micro-batch
     replaces its own output; rejected requests go to ``sink_errors``. ``interval=None`` drains what is there.
     """
 
@@ -63,11 +64,53 @@ def orient_stream(spark: SparkSession, source: str, schema, sink: str, checkpoin
     return writer.start()
 
 
-def rollup_stream(history: DataFrame, name: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Per-epoch means of a streamed training history in the table ``name`` (complete mode: one row per epoch)."""
-    writer = (
-        epoch_rollup(history).writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", checkpoint)
-    )
+def collect_stream(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, requests: DataFrame, patience: int = 10,
+                   files_per_batch: int = 4, interval: str | None = "2 seconds",
+                   work: Callable[[DataFrame], DataFrame] = orient_batch) -> StreamingQuery:
+    """Orient clouds that arrive in any number of files, each as soon as all the points its request declares are there.
+
+    ``requests(cloud_id, data_size)``, one row per cloud. Points wait in ``sink_pending/batch=<id>``, the state that the next
+    micro-batch starts from; results go to ``sink/batch=<id>``. Clouds without a request, with more points than declared, or
+    still incomplete ``patience`` micro-batches after their first points go to ``sink_errors/batch=<id>``. All of these are
+    written by overwrite, so a micro-batch that is repeated after a restart replaces its own output and state.
+    """
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        held = batch.withColumn("_since", F.lit(batch_id).cast("long"))
+        if batch_id > 0:
+            held = spark.read.schema(held.schema).parquet(f"{sink}_pending/batch={batch_id - 1}").unionByName(held)
+        held = cut(held)
+        here = held.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("received"), F.min("_since").alias("_first"))
+        state = cut(here.join(requests.select("cloud_id", "data_size"), "cloud_id", "left"))
+        complete = F.col("received") == F.col("data_size")
+        message = F.when(F.col("data_size").isNull(), "no request").when(F.col("received") > F.col("data_size"), "more points than declared")
+        message = message.when(~complete & (F.lit(batch_id) - F.col("_first") >= patience), "incomplete")
+        errors = state.withColumn("message", message).where("message IS NOT NULL")
+        errors.select("cloud_id", "data_size", "received", "message").write.mode("overwrite").parquet(f"{sink}_errors/batch={batch_id}")
+        ready = state.where(complete).select("cloud_id")
+        gone = ready.unionByName(errors.select("cloud_id"))
+        held.join(gone, "cloud_id", "left_anti").write.mode("overwrite").parquet(f"{sink}_pending/batch={batch_id}")
+        work(held.drop("_since").join(ready, "cloud_id", "left_semi")).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
     return writer.start()
+
+
+def rollup_stream(history: DataFrame, sink: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Per-epoch means of a streamed training history: every micro-batch writes them anew to ``sink/version=<id>``."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/version={batch_id}")
+
+    writer = epoch_rollup(history).writeStream.outputMode("complete").foreachBatch(process).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
+def read_rollup(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest version of a streamed roll-up."""
+    rows = spark.read.parquet(sink)
+    newest = rows.agg(F.max("version")).first()[0]
+    return rows.where(F.col("version") == newest).drop("version")

@@ -259,3 +259,25 @@ def test_only_the_commit_gives_files_their_names(spark, tmp_path):
     assert sorted(str(f.relative_to(tmp_path / "two")) for f in (tmp_path / "two").rglob("*") if f.is_file()) == ["a/p.ply", "b/p.ply"]
     got = ply.read_ply(spark, str(tmp_path / "two")).collect()
     assert sorted((r.cloud_id, r.x) for r in got) == [("a/p", 1.0), ("a/p", 2.0), ("b/p", 3.0)]
+
+
+def test_clouds_in_pieces_and_a_restart(spark, tmp_path):
+    """Points dealt at random to twelve files; the stream stops half way and goes on from its checkpoint."""
+    pdf = pd.concat([cloud(30 + 7 * c, c).assign(cloud_id=c) for c in range(5)], ignore_index=True)
+    pdf["point_id"] = np.arange(len(pdf))
+    df = spark.createDataFrame(pdf)
+    sizes = pdf.groupby("cloud_id").size()
+    requests = spark.createDataFrame([(c, int(sizes[c]) + (c == 2) - (c == 3)) for c in range(4)], "cloud_id long, data_size long")
+    pieces = np.random.default_rng(1).integers(0, 12, len(pdf))
+    for half in (0, 1):
+        for k in range(6 * half, 6 * half + 6):
+            spark.createDataFrame(pdf[pieces == k]).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+        q = stream.collect_stream(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "at"), requests, patience=100, files_per_batch=2, interval=None, work=lambda d: d.withColumn("seen", F.lit(1)))
+        q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    want = pdf[pdf.cloud_id.isin([0, 1])]
+    assert sorted(got.point_id) == sorted(want.point_id) and np.isclose(got.x.sum(), want.x.sum())
+    errors = {(r.cloud_id, r.message) for r in spark.read.parquet(str(tmp_path / "out_errors")).collect()}
+    assert errors == {(4, "no request"), (3, "more points than declared")}
+    last = spark.read.parquet(str(tmp_path / "out_pending")).where("batch = 5").toPandas()
+    assert set(last.cloud_id) == {2} and len(last) == sizes[2]
