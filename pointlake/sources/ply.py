@@ -7,6 +7,7 @@ their sizes; every task reads the short header itself and decodes its own range
 from __future__ import annotations
 
 import json
+import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -434,13 +435,23 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path as Spark resolves it, with its file system; local paths are for a local master only."""
+def _full(spark: SparkSession, path: str) -> str:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    full = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark resolves it, with its file system.
+
+    A path in the file system of the machine is for a local master, or lies in the folder of ``spark.checkpoint.dir``, which
+    all executors share.
+    """
+    sc, full = spark.sparkContext, _full(spark, path)
     if full.startswith("file:"):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{full} is a local path; executors of a cluster would each see their own")
+        shared = [_full(spark, root) for root in (sc.getCheckpointDir(), spark.conf.get("spark.checkpoint.dir", None)) if root]
+        inside = any(posixpath.normpath(full).startswith(f"{posixpath.normpath(root)}/") for root in shared)
+        if not sc.master.startswith("local") and not inside:
+            raise ValueError(f"{full} is a local path outside spark.checkpoint.dir; executors of a cluster would each see their own")
         return "/" + full[5:].lstrip("/")
     return full
 

@@ -261,6 +261,20 @@ def test_only_the_commit_gives_files_their_names(spark, tmp_path):
     assert sorted((r.cloud_id, r.x) for r in got) == [("a/p", 1.0), ("a/p", 2.0), ("b/p", 3.0)]
 
 
+def test_a_cluster_exports_to_the_folder_that_its_executors_share(spark, tmp_path, monkeypatch):
+    """Elsewhere a path of the machine's own file system is refused, also one that only begins like the shared folder."""
+    from pointlake.session import shared_dir
+
+    shared = shared_dir(spark)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    ply.write_ply(spark.createDataFrame(cloud(20, 4)), f"{shared}/ply", binary=True).count()
+    assert ply.read_ply(spark, f"{shared}/ply").count() == 20
+    root = spark.conf.get("spark.checkpoint.dir", None) or shared
+    for place in (str(tmp_path), f"{root}-else/ply", f"{root}/../ply"):
+        with pytest.raises(ValueError, match="local path"):
+            ply.read_ply(spark, place)
+
+
 def test_clouds_in_pieces_and_a_restart(spark, tmp_path):
     """Points dealt at random to twelve files; the stream stops half way and goes on from its checkpoint."""
     pdf = pd.concat([cloud(30 + 7 * c, c).assign(cloud_id=c) for c in range(5)], ignore_index=True)
