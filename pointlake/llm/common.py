@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pointlake.session import shared_dir, tune
+from pointlake.session import discard, staged, tune  # noqa: F401
 
 #: Rows of an Arrow batch, so that a batch of long texts stays in memory.
 BATCH_ROWS = 1000
@@ -27,27 +26,6 @@ def session(df_or_spark) -> SparkSession:
     return spark
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read again.
-
-    Cuts the lineage like a checkpoint; in addition later plans know its true size and read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes staged tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pointlake.functions.geometry import as_flag
 from pointlake.operators.grouped import SMALL_GRAPH_ROWS, map_groups, oversized, typed
 from pointlake.operators.tiles import group_sizes
-from pointlake.session import cut, is_empty
+from pointlake.session import cut, discard, is_empty, staged
 
 
 def _reach_small(g: dict) -> dict:
@@ -58,7 +58,8 @@ def _reach_rounds(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> Dat
     """Labels by rounds of joins. Labels also jump to the label of their label, which is sound because reaching
     is transitive, so long chains need few rounds."""
     edges = cut(edges.select(*keys, "src", "dst"))
-    labels = cut(vertices.select(*keys, "v", F.col("v").alias("label")))
+    held = staged(vertices.select(*keys, "v", F.col("v").alias("label")))
+    labels = held
     while True:
         src = labels.select(*keys, F.col("v").alias("src"), F.col("label").alias("_in"))
         incoming = edges.join(src, keys + ["src"]).groupBy(*keys, F.col("dst").alias("v")).agg(
@@ -73,9 +74,12 @@ def _reach_rounds(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> Dat
                 F.least("label", "_hop", F.coalesce("_in", "label")).alias("label"),
             )
         )
-        nxt = cut(nxt)
-        labels = nxt.select(*keys, "v", "label")
+        nxt = staged(nxt)
+        discard(held)
+        held, labels = nxt, nxt.select(*keys, "v", "label")
         if is_empty(nxt.where(F.col("label") < F.col("_old"))):
+            labels = cut(labels)
+            discard(held)
             return labels
 
 
@@ -276,17 +280,22 @@ def _forest_rounds(vertices: DataFrame, e: DataFrame, keys: list[str]) -> tuple[
 
 def _shortcut(links: DataFrame, keys: list[str]) -> DataFrame:
     """Follow parent links to the top by doubling, combining parities on the way."""
+    held = None
     while True:
         up = links.select(*keys, F.col("root").alias("up"), F.col("up").alias("_up2"), F.col("x").alias("_x2"))
-        nxt = cut(
+        nxt = staged(
             links.join(up, keys + ["up"], "left").select(
                 *keys, "root", F.coalesce("_up2", "up").alias("_new"), F.col("up").alias("_old"),
                 F.when(F.col("up") == F.col("root"), F.col("x"))
                 .otherwise(F.col("x").bitwiseXOR(F.coalesce("_x2", F.lit(0).cast("long")))).alias("x"),
             )
         )
-        links = nxt.select(*keys, "root", F.col("_new").alias("up"), "x")
+        if held is not None:
+            discard(held)
+        held, links = nxt, nxt.select(*keys, "root", F.col("_new").alias("up"), "x")
         if is_empty(nxt.where(F.col("_new") != F.col("_old"))):
+            links = cut(links)
+            discard(held)
             return links
 
 
@@ -295,18 +304,20 @@ def _suffix_sums(arcs: DataFrame, keys: list[str]) -> DataFrame:
 
     Arcs of lists that do not end are left out.
     """
-    arcs, before = cut(arcs), None
+    arcs, before = staged(arcs), None
     while True:
         left = arcs.where(F.col("np").isNotNull()).count()
         if left == 0 or left == before:
-            return arcs.where(F.col("np").isNull()).select(*keys, "p", "v", "s")
-        before = left
-        ahead = arcs.select(*keys, F.col("p").alias("np"), F.col("v").alias("nv"), F.col("np").alias("_p"), F.col("nv").alias("_v"), F.col("s").alias("_s"))
-        arcs = cut(
-            arcs.join(ahead, [*keys, "np", "nv"], "left").select(
-                *keys, "p", "v", F.col("_p").alias("np"), F.col("_v").alias("nv"), (F.col("s") + F.coalesce("_s", F.lit(0))).alias("s")
-            )
+            ended = cut(arcs.where(F.col("np").isNull()).select(*keys, "p", "v", "s"))
+            discard(arcs)
+            return ended
+        before, last = left, arcs
+        ahead = last.select(*keys, F.col("p").alias("np"), F.col("v").alias("nv"), F.col("np").alias("_p"), F.col("nv").alias("_v"), F.col("s").alias("_s"))
+        moved = last.where(F.col("np").isNotNull()).join(ahead, [*keys, "np", "nv"], "left").select(
+            *keys, "p", "v", F.col("_p").alias("np"), F.col("_v").alias("nv"), (F.col("s") + F.coalesce("_s", F.lit(0))).alias("s")
         )
+        arcs = staged(moved.unionByName(last.where(F.col("np").isNull())))
+        discard(last)
 
 
 def rooted_tree(tree_edges: DataFrame, roots: DataFrame, keys: list[str] = ("cloud_id",)) -> DataFrame:

@@ -13,7 +13,7 @@ from pointlake.operators.graph import confidence_weight, forest_small, graph_ver
 from pointlake.operators.grouped import SMALL_GRAPH_ROWS, map_groups, oversized, typed
 from pointlake.operators.knn import knn_graph, nearest_rows, symmetric_adjacency
 from pointlake.operators.tiles import group_sizes, ranked
-from pointlake.session import cut, is_empty
+from pointlake.session import cut, discard, is_empty, staged
 
 WEIGHT_BITS = 36  # bits of a weight in the local search, so that sums of many million of them fit 64
 HELD_PATCHES = 2_000  # patches whose pooled features a task holds before it hands them on
@@ -249,8 +249,9 @@ def _improve_rounds(edges: DataFrame, labels: DataFrame, keys: list[str]) -> Dat
         same = F.col("_fi") == F.col("_fj")
         gain = F.sum(F.when(same, F.col("b") - F.col("a")).otherwise(F.col("a") - F.col("b")))
         gains = with_labels(e, labels, keys).groupBy(*keys, F.col("i").alias("patch_id")).agg(gain.alias("_g"))
-        gains = cut(gains.where(F.col("_g") > 0))
+        gains = staged(gains.where(F.col("_g") > 0))
         if is_empty(gains):
+            discard(gains)
             break
         mine = gains.select(*keys, F.col("patch_id").alias("i"), F.struct(F.col("_g"), -F.col("patch_id")).alias("_mi"))
         theirs = gains.select(*keys, F.col("patch_id").alias("j"), F.struct(F.col("_g"), -F.col("patch_id")).alias("_mj"))
@@ -264,6 +265,7 @@ def _improve_rounds(edges: DataFrame, labels: DataFrame, keys: list[str]) -> Dat
             .withColumn("flip", F.when(F.col("_t") == 1, 1 - F.col("flip")).otherwise(F.col("flip")))
             .drop("_t")
         )
+        discard(gains)
     return labels
 
 

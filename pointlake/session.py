@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,5 +46,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read again.
+
+    Cuts the lineage like a checkpoint; in addition later plans know its true size and read only the columns they need.
+    A checkpoint keeps the size that was estimated for its plan. Where every round joins the last one's result, that number
+    gets twice as many digits each time, and after twenty rounds planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0

@@ -207,6 +207,18 @@ def test_rooted_trees_of_any_depth(spark):
     assert got == want
 
 
+def test_rounds_of_joins_do_not_inflate_the_estimated_size(spark):
+    """Planning a join reads the sizes of both sides; they must not grow with the rounds that made them."""
+    chain = spark.createDataFrame([(1, i, i + 1) for i in range(40)], "cloud_id long, i long, j long")
+    tree = graph.rooted_tree(chain, spark.createDataFrame([(1, 0)], "cloud_id long, v long"))
+    links = chain.select("cloud_id", F.col("j").alias("root"), F.col("i").alias("up"), F.lit(1).cast("long").alias("x"))
+    top = spark.createDataFrame([(1, 0, 0, 0)], links.schema)
+    vertices = tree.select("cloud_id", "v")
+    edges = chain.select("cloud_id", F.col("i").alias("src"), F.col("j").alias("dst"))
+    for out in (tree, graph._shortcut(links.unionByName(top), ["cloud_id"]), graph._reach_rounds(vertices, edges, ["cloud_id"])):
+        assert len(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 120
+
+
 def naive_kd(pdf, limit):
     """(point, leaf) by halving one node after the other."""
     out, todo = {}, [(pdf, 1)]
