@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from pointlake.functions.geometry import XYZ
+from pointlake.session import discard, staged
 
 
 def canonical(config: dict, relevant: list[str] | None = None) -> str:
@@ -47,6 +48,8 @@ def unfinished(todo: DataFrame, finished: DataFrame, keys: list[str]) -> DataFra
     return todo.join(finished, keys, "left_anti")
 
 
+#: Values of the partition columns up to which each has a folder of its own.
+MOST_FOLDERS = 1000
 MANIFEST = "hash string, config string, n_rows long, folder string, columns string"
 
 
@@ -55,10 +58,23 @@ def write_table(df: DataFrame, root: str, config: dict, partition_by: list[str]
 
     The manifest is the commit: until it is there, readers see the table before, complete. It keeps the column types,
     so that ids which look like numbers come back as they were.
+
+    Up to ``MOST_FOLDERS`` values of the partition columns have a folder each. More of them lie in files in their order,
+    whose statistics let a reader of one value skip the others; the number of files then grows with the rows only.
     """
     spark, path = df.sparkSession, f"{root}/{config_hash(config)}"
     folder = f"data-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(f"{path}/{folder}")
+    if partition_by:
+        rows = staged(df)
+        if rows.select(*partition_by).distinct().limit(MOST_FOLDERS + 1).count() > MOST_FOLDERS:
+            # The rows' own hash cuts a value that very many of them have.
+            every = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+            rows.repartitionByRange(*partition_by, every).sortWithinPartitions(*partition_by).write.parquet(f"{path}/{folder}")
+        else:
+            rows.write.partitionBy(*partition_by).parquet(f"{path}/{folder}")
+        discard(rows)
+    else:
+        df.write.parquet(f"{path}/{folder}")
     rows = spark.read.schema(df.schema).parquet(f"{path}/{folder}").count()
     row = (config_hash(config), canonical(config), rows, folder, df.schema.json())
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")

@@ -54,6 +54,19 @@ def test_table_of_another_configuration_is_not_used(spark, tmp_path):
     assert tables.config_hash({"b": 1, "a": 2}) == tables.config_hash({"a": 2, "b": 1, "c": 3}, ["a", "b"])
 
 
+def test_the_files_of_a_table_do_not_grow_with_its_partition_values(spark, tmp_path):
+    """More values than folders: few files, each with its own stretch of ids, and a hot id in several of them."""
+    df = spark.range(6000).selectExpr("concat('00', if(id < 3000, id, 7)) AS s", "id AS n")
+    df = df.unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS s, -1L AS n"))
+    path = tables.write_table(df, str(tmp_path), {"k": 1}, ["s"])
+    assert len(list((tmp_path / path.rsplit("/", 1)[-1]).rglob("part-*.parquet"))) <= 8
+    back = tables.read_table(spark, str(tmp_path), {"k": 1})
+    assert sorted((r.s or "", r.n) for r in back.collect()) == sorted((r.s or "", r.n) for r in df.collect())
+    assert back.where("s = '007'").count() == 3001
+    tables.write_table(df.where("n < 5"), str(tmp_path), {"k": 1}, ["s"])
+    assert tables.read_table(spark, str(tmp_path), {"k": 1}).count() == 6
+
+
 def test_stream_equals_batch(spark, tmp_path):
     pdf = pd.concat([cloud(40, s).assign(cloud_id=s) for s in range(6)])
     df = spark.createDataFrame(pdf)
