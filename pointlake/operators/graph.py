@@ -182,26 +182,40 @@ def forest_small(g: dict) -> dict:
     """Best edges first; every vertex keeps its tree (the smallest vertex in it) and its parity to that root."""
     real = g["i"] != g["j"]
     ids, ends = np.unique(np.concatenate([g["i"], g["j"]]), return_inverse=True)
-    a, b = ends[: len(real)], ends[len(real) :]
     order = np.lexsort((g["j"], g["i"], -g["_w"]))
     order = order[real[order]]
-    root, parity, trees = np.arange(len(ids)), np.zeros(len(ids), dtype="int64"), {}
-    taken = []
-    for e in order:
-        ra, rb = root[a[e]], root[b[e]]
-        if ra == rb:
-            continue
-        taken.append(e)
-        x = parity[a[e]] ^ parity[b[e]] ^ g["differ"][e]
-        keep, gone = (ra, rb) if ra < rb else (rb, ra)
-        moved = trees.pop(gone, [gone])
-        root[moved] = keep
-        parity[moved] ^= x
-        trees.setdefault(keep, [keep]).extend(moved)
-    t = np.array(taken, dtype=int)
-    n, m = len(ids), len(t)
+    a, b, differ = ends[: len(real)][order], ends[len(real) :][order], g["differ"][order]
+    n, m = len(ids), len(order)
+    root, parity, taken = np.arange(n), np.zeros(n, dtype="int64"), np.zeros(m, dtype=bool)
+    left = np.arange(m)
+    # Every tree takes its best edge to another one, all trees at once; which edges are best has one answer, whatever the way.
+    while True:
+        ra, rb = root[a[left]], root[b[left]]
+        apart = ra != rb
+        left, ra, rb = left[apart], ra[apart], rb[apart]
+        if not len(left):
+            break
+        best = np.full((2, n), m)
+        best[0, ra[::-1]], best[1, rb[::-1]] = left[::-1], left[::-1]  # the last one written is the best
+        best = best.min(axis=0)
+        trees = np.flatnonzero(best < m)
+        e = best[trees]
+        taken[e] = True
+        up, turn = np.arange(n), np.zeros(n, dtype="int64")
+        up[trees] = root[a[e]] + root[b[e]] - trees
+        turn[trees] = parity[a[e]] ^ parity[b[e]] ^ differ[e]
+        top = trees[(up[up[trees]] == trees) & (trees < up[trees])]  # two trees that took the same edge
+        up[top], turn[top] = top, 0
+        while (up != up[up]).any():
+            turn, up = turn ^ turn[up], up[up]
+        parity, root = parity ^ turn[root], up[root]
+    first = np.arange(n)
+    first[root[::-1]] = np.arange(n)[::-1]
+    root = first[root]
+    parity = parity ^ parity[root]
+    t = order[taken]
     return {
-        "is_edge": np.concatenate([np.zeros(n), np.ones(m)]).astype("int32"),
+        "is_edge": np.concatenate([np.zeros(n), np.ones(len(t))]).astype("int32"),
         "v": np.concatenate([ids, g["i"][t]]), "w": np.concatenate([ids[root], g["j"][t]]),
         "bit": np.concatenate([parity, g["differ"][t]]),
     }

@@ -42,17 +42,48 @@ def _walk(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, keys, fn, nam
     return pd.DataFrame(data)[names]
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], dict], schema: str, errors: bool = False) -> DataFrame:
+def _walk_many(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, keys, fn, names) -> pd.DataFrame | None:
+    rows = pdf.iloc[: ends[-1]]
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    out = fn({c: rows[c].to_numpy() for c in rows.columns}, group)
+    of = out.pop("_group")
+    if not len(of):
+        return None
+    return pd.DataFrame({**{k: rows[k].to_numpy()[starts[of]] for k in keys}, **out})[names]
+
+
+def numbered(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct (group, id), in their order, and the number of that pair for every row."""
+    order = np.lexsort((ids, group))
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (np.diff(group[order]) != 0) | (ids[order][1:] != ids[order][:-1])
+    number = np.empty(len(ids), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], dict], schema: str, errors: bool = False, many: bool = False) -> DataFrame:
     """Apply ``fn`` (column arrays of one group -> column arrays of its result, without keys) to every group.
 
     With ``errors``, a group for which ``fn`` raises does not end the job: it gives one row with its keys and the column
     ``error``, which is null in all other rows; ``split_errors`` tells them apart.
+
+    With ``many``, ``fn`` works off all whole groups of a batch in one call: it gets their columns and the number of each row's
+    group, ascending, and returns the group of each row of its result as ``_group``. For groups so small that a call costs more
+    than the work.
     """
     keys = list(keys)
+    if errors and many:
+        raise ValueError("errors of single groups need a call per group")
     names = [c.strip().split()[0] for c in schema.split(", ")]
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def walked(pdf, starts, ends):
+        if many:
+            out = _walk_many(pdf, starts, ends, keys, fn, names)
+            if out is not None:
+                yield out
+            return
         failed = [] if errors else None
         out = _walk(pdf, starts, ends, keys, fn, names, failed)
         if out is not None:

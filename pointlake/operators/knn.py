@@ -22,6 +22,8 @@ from pointlake.session import cut
 TILE_POINTS = 512
 QUERY_CHUNK = 8192
 _BLOCK = 1024
+_STACK_ROWS = 128  # rows of a group whose distances are found together with those of others
+_STACK_CELLS = 1 << 19  # distances in one array of several groups
 
 
 def nearest_rows(q_xyz, q_id, t_xyz, t_id, k, exclude_self, reach=None):
@@ -51,6 +53,40 @@ def nearest_rows(q_xyz, q_id, t_xyz, t_id, k, exclude_self, reach=None):
     return [np.concatenate(p) for p in zip(*parts)]
 
 
+def nearest_inside(xyz: np.ndarray, ids: np.ndarray, group: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Rows (index, index, d2, rank) of the k nearest others inside each row's group, of many groups, as ``nearest_rows`` finds them.
+
+    ``group`` is ascending. Groups of equal size are stacked; wide ones, and those with coordinates that are not finite, go
+    one by one.
+    """
+    order = np.lexsort((ids, group))
+    xyz, ids = xyz[order], ids[order]
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.append(starts, len(group)))
+    sound = np.logical_and.reduceat(np.isfinite(xyz).all(axis=1), starts) if len(starts) else np.zeros(0, bool)
+    stacked = sound & (sizes <= _STACK_ROWS)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+    for s, n in zip(starts[~stacked], sizes[~stacked]):
+        rows, cols, dist, rank = nearest_rows(xyz[s : s + n], ids[s : s + n], xyz[s : s + n], ids[s : s + n], k, True)
+        parts.append((order[rows + s], order[cols + s], dist, rank))
+    for n in np.unique(sizes[stacked]):
+        first = starts[stacked & (sizes == n)]
+        step = max(1, _STACK_CELLS // int(n * n))
+        for at in range(0, len(first), step):
+            place = first[at : at + step, None] + np.arange(n)
+            p, i = xyz[place], ids[place]
+            d2 = np.zeros((len(place), n, n))
+            for axis in range(3):
+                diff = p[:, :, None, axis] - p[:, None, :, axis]
+                d2 += diff * diff
+            d2[i[:, :, None] == i[:, None, :]] = np.inf
+            near = np.argsort(d2, axis=2, kind="stable")[:, :, :k]
+            dist = np.take_along_axis(d2, near, axis=2)
+            g, r, rank = np.nonzero(np.isfinite(dist))
+            parts.append((order[place[g, r]], order[place[g, near[g, r, rank]]], dist[g, r, rank], rank + 1))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
 def _schema(df: DataFrame, keys: list[str], id_col: str) -> str:
     types = dict(df.dtypes)
     fields = [f"{key} {types[key]}" for key in keys]
@@ -216,20 +252,20 @@ def knn_graph(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), **kw)
 MOMENTS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
 
 
-def own_moments(k: int) -> Callable[[dict], dict]:
-    """Covariances of the k nearest other points of a tile around their own mean, and the bound on the k-th distance."""
+def own_moments(k: int) -> Callable[[dict, np.ndarray], dict]:
+    """Covariances of the k nearest other points of a tile around their own mean, and the bound on the k-th distance; many tiles."""
 
-    def work(g: dict) -> dict:
+    def work(g: dict, group: np.ndarray) -> dict:
         xyz, ids = np.stack([g[c] for c in XYZ], axis=1), g["_id"]
         if not np.isfinite(xyz).all():
             raise ValueError("coordinates are not finite")
-        rows, cols, dist, rank = nearest_rows(xyz, ids, xyz, ids, k, True)
+        rows, cols, dist, rank = nearest_inside(xyz, ids, group, k)
         n = np.bincount(rows, minlength=len(ids))
         share = 1.0 / np.maximum(n, 1)
         near = xyz[cols]
         mean = np.stack([np.bincount(rows, near[:, a], len(ids)) for a in range(3)], 1) * share[:, None]
         off = near - mean[rows]
-        out = {"point_id": ids, "k": n}
+        out = {"_group": group, "point_id": ids, "k": n}
         for a, b in MOMENTS:
             out[f"c{a}{b}"] = np.bincount(rows, off[:, XYZ.index(a)] * off[:, XYZ.index(b)], len(ids)) * share
         kth = np.full(len(ids), np.inf)
@@ -239,11 +275,12 @@ def own_moments(k: int) -> Callable[[dict], dict]:
     return work
 
 
-def knn_moments(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), tile_points: int = TILE_POINTS) -> DataFrame:
+def knn_moments(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), tile_points: int = TILE_POINTS, positions: bool = False) -> DataFrame:
     """(keys, point_id, k, cxx, cxy, ..., czz) per point: number and covariances of its k nearest other points.
 
     Tasks return the moments of a tile's points, one row each, and no neighbours. Only points whose ball leaves their tile
-    meet the tiles it touches, with candidates in rows. Ties go to the smaller id, as in ``knn_join``.
+    meet the tiles it touches, with candidates in rows. Ties go to the smaller id, as in ``knn_join``. ``positions`` adds the
+    point's own x, y, z.
     """
     keys = list(keys)
     types = dict(points.dtypes)
@@ -252,15 +289,16 @@ def knn_moments(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), tile
     names = [f"c{a}{b}" for a, b in MOMENTS]
     covariances = [F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in MOMENTS]
     count = F.count(F.lit(1)).alias("k")
-    out = [*keys, "point_id", "k", *names]
+    own_xyz = XYZ if positions else ()
+    out = [*keys, "point_id", "k", *names, *own_xyz]
     if splits.stuck:
         near = knn_graph(points, k, keys, tile_points=tile_points, positions=True)
         found = near.groupBy(*keys, F.col("src").alias("point_id")).agg(count, *covariances)
-        every = points.select(*keys, "point_id").join(found, [*keys, "point_id"], "left")
+        every = t.select(*keys, F.col("_id").alias("point_id"), *own_xyz).join(found, [*keys, "point_id"], "left")
         return every.na.fill(0, ["k", *names]).select(*out)
     tiles = assign_tiles(t, splits)
     fields = [f"{c} {types[c]}" for c in [*keys, "point_id"]] + ["k bigint", *(f"{c} double" for c in [*names, *XYZ, "_reach"]), "_home string"]
-    own = map_groups(tiles, [*keys, "_node"], own_moments(k), ", ".join([*fields, "_node string"])).drop("_node")
+    own = map_groups(tiles, [*keys, "_node"], own_moments(k), ", ".join([*fields, "_node string"]), many=True).drop("_node")
     if not splits.levels:
         return own.select(*out)
     own = cut(own)
@@ -274,6 +312,8 @@ def knn_moments(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), tile
     near = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     met = near.groupBy(*keys, F.col("src").alias("point_id")).agg(count, *covariances)
     stay = own.join(leaving.withColumnRenamed("_id", "point_id"), [*keys, "point_id"], "left_anti")
+    if positions:
+        met = met.join(own.select(*keys, "point_id", *XYZ), [*keys, "point_id"])
     # A point that meets nobody has no row in the end and none among those that stay.
     alone = own.where("k = 0").join(met, [*keys, "point_id"], "left_anti").join(leaving.withColumnRenamed("_id", "point_id"), [*keys, "point_id"], "left_semi")
     return stay.select(*out).unionByName(met.select(*out)).unionByName(alone.select(*out))

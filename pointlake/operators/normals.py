@@ -34,16 +34,17 @@ def _eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Se
     return pd.DataFrame(np.hstack([n, values]), columns=["nx", "ny", "nz", "e0", "e1", "e2"])
 
 
-def pca_normals(points: DataFrame, k: int = 10, keys: list[str] = ("cloud_id",)) -> DataFrame:
+def pca_normals(points: DataFrame, k: int = 10, keys: list[str] = ("cloud_id",), positions: bool = False) -> DataFrame:
     """Unsigned normal of every point: direction of least variance, largest component positive.
 
-    A point without neighbours gets (1, 0, 0). Returns keys, point_id, nx, ny, nz and the eigenvalues.
+    A point without neighbours gets (1, 0, 0). Returns keys, point_id, nx, ny, nz and the eigenvalues; ``positions`` adds
+    x, y, z, which saves a join back to the points.
     """
-    keys = list(keys)
-    m = knn_moments(points, k, keys)
-    e = m.select(*keys, "point_id", "k", _eigen(*[F.col(f"c{a}{b}") for a, b in MOMENTS]).alias("_e"))
+    keys, own_xyz = list(keys), XYZ if positions else ()
+    m = knn_moments(points, k, keys, positions=positions)
+    e = m.select(*keys, "point_id", *own_xyz, "k", _eigen(*[F.col(f"c{a}{b}") for a, b in MOMENTS]).alias("_e"))
     lone = {"nx": 1.0, "ny": 0.0, "nz": 0.0, "e0": 0.0, "e1": 0.0, "e2": 0.0}
-    return e.select(*keys, "point_id", *[F.when(F.col("k") > 0, F.col(f"_e.{c}")).otherwise(F.lit(v)).alias(c) for c, v in lone.items()])
+    return e.select(*keys, "point_id", *own_xyz, *[F.when(F.col("k") > 0, F.col(f"_e.{c}")).otherwise(F.lit(v)).alias(c) for c, v in lone.items()])
 
 
 def cloud_normals(points: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +60,12 @@ def cloud_normals(points: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]
     schema = f"cloud_id {types['cloud_id']}, point_id {types['point_id']}, k bigint"
     # What is wrong with a cloud is what the estimation raises for it; one part of it is enough.
     part = F.pmod(F.xxhash64("_id"), F.lit(64))
-    _, errors = split_errors(map_groups(rows.withColumn("_part", part), ["cloud_id", "_part"], own_moments(k), f"_part bigint, {schema}", errors=True), ["cloud_id"])
+    moments = own_moments(k)
+
+    def alone(g: dict) -> dict:
+        return moments(g, np.zeros(len(g["_id"]), np.int64))
+
+    _, errors = split_errors(map_groups(rows.withColumn("_part", part), ["cloud_id", "_part"], alone, f"_part bigint, {schema}", errors=True), ["cloud_id"])
     return pca_normals(points.join(errors.select("cloud_id"), "cloud_id", "left_anti"), k), errors
 
 

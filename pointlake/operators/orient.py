@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pointlake.functions.geometry import NORMAL, TRUTH, XYZ, as_flag, dot, sigmoid
 from pointlake.operators.graph import confidence_weight, forest_small, graph_vertices, random_weight, spanning_forest
-from pointlake.operators.grouped import SMALL_GRAPH_ROWS, map_groups, oversized, typed
-from pointlake.operators.knn import knn_graph, nearest_rows, symmetric_adjacency
+from pointlake.operators.grouped import SMALL_GRAPH_ROWS, map_groups, numbered, oversized, typed
+from pointlake.operators.knn import knn_graph, nearest_inside, symmetric_adjacency
 from pointlake.operators.tiles import group_sizes, ranked
 from pointlake.session import cut, discard, is_empty, staged
 
@@ -175,20 +175,25 @@ def _scaled(edges: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumns({c: F.round(F.col(c).cast("double") * F.col("_scale")).cast("long") for c in ("a", "b")}).drop("_scale")
 
 
-def _solve_small(search: bool) -> Callable[[dict], dict]:
-    """Forest, parities and local search of one graph; rows with i = j carry the vertices."""
+def _solve_small(search: bool) -> Callable[[dict, np.ndarray], dict]:
+    """Forest, parities and local search of many graphs, as one graph without links between them; rows with i = j carry the vertices."""
 
-    def work(g: dict) -> dict:
-        state = forest_small(g)
-        vertex = state["is_edge"] == 0
-        ids, flip = state["v"][vertex], state["bit"][vertex]
+    def work(g: dict, group: np.ndarray) -> dict:
+        ends, of = np.append(g["i"], g["j"]), np.append(group, group)
+        first, vertex = numbered(of, ends)
+        i, j = np.split(vertex, 2)
+        state = forest_small({**g, "i": i, "j": j})
+        out = {"_group": of[first], "patch_id": ends[first], "flip": state["bit"][: len(first)]}
         if not search:
-            return {"patch_id": ids, "flip": flip}
-        real = g["i"] != g["j"]
-        scale = _scale(np.abs(np.concatenate([g["a"][real], g["b"][real], [0.0]])).max())
-        weights = {c: np.append(np.rint(g[c][real] * scale).astype(np.int64), np.zeros(len(ids), np.int64)) for c in ("a", "b")}
-        bits = np.append(np.zeros(real.sum(), np.int64), flip)
-        return _improve_small({"i": np.append(g["i"][real], ids), "j": np.append(g["j"][real], ids), **weights, "flip": bits})
+            return out
+        real, own = i != j, np.arange(len(first))
+        largest = np.zeros(group[-1] + 1)
+        np.maximum.at(largest, group[real], np.maximum(np.abs(g["a"][real]), np.abs(g["b"][real])))
+        scale = _scale(largest)[group[real]]
+        weights = {c: np.append(np.rint(g[c][real] * scale).astype(np.int64), np.zeros(len(own), np.int64)) for c in ("a", "b")}
+        bits = np.append(np.zeros(real.sum(), np.int64), out["flip"])
+        out["flip"] = _improve_small({"i": np.append(i[real], own), "j": np.append(j[real], own), **weights, "flip": bits})["flip"]
+        return out
 
     return work
 
@@ -289,7 +294,7 @@ def forest_flips(edges: DataFrame, keys: list[str] = ("cloud_id",), weight: Colu
     rows = e.unionByName(own)
     big = oversized(rows, keys, limit)
     small = rows if big is None else rows.join(big, keys, "left_anti")
-    labels = map_groups(small, keys, _solve_small(local_search), typed(rows, keys) + f", patch_id {dict(rows.dtypes)['i']}, flip bigint")
+    labels = map_groups(small, keys, _solve_small(local_search), typed(rows, keys) + f", patch_id {dict(rows.dtypes)['i']}, flip bigint", many=True)
     if big is None:
         return labels
     huge = edges.join(big, keys, "left_semi")
@@ -471,47 +476,51 @@ def propagate_signs(normals: DataFrame, links: DataFrame, keys: list[str] = ("cl
     return n.join(s, keys + ["point_id"]).select(*keys, "point_id", *[(sign * F.col(c)).alias(c) for c in NORMAL], "root")
 
 
-def _signs_small(k: int) -> Callable[[dict], dict]:
-    """Neighbours, forest and signs of one group of points."""
+def _signs_small(k: int) -> Callable[[dict, np.ndarray], dict]:
+    """Neighbours, forest and signs of many groups of points: one forest over all, whose trees stay inside their groups."""
 
-    def work(g: dict) -> dict:
-        xyz, n, ids = (np.stack([g[c] for c in cs], axis=1) for cs in (XYZ, NORMAL, ["point_id"]))
-        ids = ids[:, 0]
-        rows, cols, _, _ = nearest_rows(xyz, ids, xyz, ids, k, True)
-        pairs = np.unique(np.stack([np.minimum(ids[rows], ids[cols]), np.maximum(ids[rows], ids[cols])], 1), axis=0) if len(rows) else np.zeros((0, 2), ids.dtype)
-        order = np.argsort(ids, kind="stable")
-        left, right = (n[order[np.searchsorted(ids[order], pairs[:, c])]] for c in (0, 1))
+    def work(g: dict, group: np.ndarray) -> dict:
+        xyz, n, ids = np.stack([g[c] for c in XYZ], axis=1), np.stack([g[c] for c in NORMAL], axis=1), g["point_id"]
+        first, vertex = numbered(group, ids)
+        rows, cols, _, _ = nearest_inside(xyz, ids, group, k)
+        ends = vertex[rows], vertex[cols]
+        lo, hi = np.divmod(np.unique(np.minimum(*ends) * len(first) + np.maximum(*ends)), len(first))
+        left, right = n[first[lo]], n[first[hi]]
         d = left[:, 0] * right[:, 0] + left[:, 1] * right[:, 1] + left[:, 2] * right[:, 2]
-        zero = np.zeros(len(ids))
+        own = np.arange(len(first))
         state = forest_small({
-            "i": np.append(pairs[:, 0], ids), "j": np.append(pairs[:, 1], ids), "_w": np.append(np.abs(d), zero), "differ": np.append((d < 0).astype(np.int64), zero.astype(np.int64))
+            "i": np.append(lo, own), "j": np.append(hi, own), "_w": np.append(np.abs(d), np.zeros(len(own))),
+            "differ": np.append((d < 0).astype(np.int64), np.zeros(len(own), np.int64)),
         })
-        vertex = state["is_edge"] == 0  # by id
-        sign = np.empty(len(ids))
-        sign[order] = np.where(state["bit"][vertex] == 1, -1.0, 1.0)
-        root = np.empty(len(ids), ids.dtype)
-        root[order] = state["w"][vertex]
-        return {"point_id": ids, **{c: sign * g[c] for c in NORMAL}, "root": root}
+        bit, root = state["bit"][: len(own)], state["w"][: len(own)]
+        sign = np.where(bit[vertex] == 1, -1.0, 1.0)
+        return {"_group": group, "point_id": ids, **{c: g[c] for c in XYZ}, **{c: sign * g[c] for c in NORMAL}, "root": ids[first[root[vertex]]]}
 
     return work
 
 
-def agree_inside(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), limit: int = SMALL_GRAPH_ROWS // 10) -> DataFrame:
+def agree_inside(points: DataFrame, k: int, keys: list[str] = ("cloud_id",), limit: int = SMALL_GRAPH_ROWS // 10, positions: bool = False) -> DataFrame:
     """``propagate_signs`` over the k-nearest-neighbour graph of each group's points (keys, point_id, position, normal).
 
-    Groups within ``limit`` points are solved whole in one grouped call: neighbours, forest and signs; larger ones by joins.
+    Groups within ``limit`` points are solved whole, many in one grouped call: neighbours, forest and signs; larger ones by
+    joins. ``positions`` adds x, y, z, which saves a join back to the points.
     """
     keys = list(keys)
     rows = points.select(*keys, "point_id", *[F.col(c).cast("double").alias(c) for c in (*XYZ, *NORMAL)])
     big = oversized(rows, keys, limit)
     small = rows if big is None else rows.join(big, keys, "left_anti")
     kind = dict(rows.dtypes)["point_id"]
-    schema = typed(rows, keys) + f", point_id {kind}, nx double, ny double, nz double, root {kind}"
-    out = map_groups(small, keys, _signs_small(k), schema)
+    fields = ", ".join(f"{c} double" for c in (*XYZ, *NORMAL))
+    schema = typed(rows, keys) + f", point_id {kind}, {fields}, root {kind}"
+    out = [*keys, "point_id", *(XYZ if positions else ()), *NORMAL, "root"]
+    found = map_groups(small, keys, _signs_small(k), schema, many=True).select(*out)
     if big is None:
-        return out
+        return found
     huge = rows.join(big, keys, "left_semi")
-    return out.unionByName(propagate_signs(huge, knn_graph(huge, k, keys), keys))
+    signed = propagate_signs(huge, knn_graph(huge, k, keys), keys)
+    if positions:
+        signed = signed.join(huge.select(*keys, "point_id", *XYZ), [*keys, "point_id"])
+    return found.unionByName(signed.select(*out))
 
 
 def tangent_plane_orientation(points: DataFrame, k: int = 10, radius: float = 0.1) -> DataFrame:

@@ -33,14 +33,15 @@ def orient_clouds(points: DataFrame, method: str = "grid", k: int = 10, inside:
     ``scorer``), or left as they are (``'none'``). Then one bit per patch is chosen to make patches agree.
     """
     p = points.select("cloud_id", F.col("point_id").cast("long").alias("point_id"), *XYZ)
-    base = cut(p.join(normals.pca_normals(p, k).select("cloud_id", "point_id", *NORMAL), ["cloud_id", "point_id"]))
+    types = dict(p.dtypes)
+    base = normals.pca_normals(p, k, positions=True).where(F.col("cloud_id").isNotNull() & F.col("point_id").isNotNull())
+    base = cut(base.select("cloud_id", "point_id", *[F.col(c).cast(types[c]).alias(c) for c in XYZ], *NORMAL))
     membership = patches.extract_patches(base, method, **patch_options).select("cloud_id", "patch_id", "point_id")
     membership = patches.drop_small(membership.distinct(), ["cloud_id", "patch_id"], 2)
     members = cut(membership.join(base, ["cloud_id", "point_id"]))
     patch = ["cloud_id", "patch_id"]
     if inside == "forest":
-        signed = orient.agree_inside(members, inside_k, patch).drop("root")
-        members = cut(members.drop(*NORMAL).join(signed, [*patch, "point_id"]))
+        members = cut(orient.agree_inside(members, inside_k, patch, positions=True).drop("root"))
     elif inside == "score":
         scorer = scorer or normals.neighbour_scorer(members, inside_k, patch)
         members = normals.refine_flips(members, scorer, refine_rounds, patch)

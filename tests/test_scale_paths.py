@@ -294,6 +294,46 @@ def test_signs_inside_groups_both_ways(spark):
         assert got == want
 
 
+def test_many_small_groups_share_a_call(spark):
+    """Moments, signs and flips of 300 groups come from a few calls, one per batch, and are those of each group alone."""
+    from pointlake.operators.grouped import map_groups
+    from pointlake.operators.knn import nearest_inside, nearest_rows
+
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 40, 300)
+    group = np.repeat(np.arange(300), sizes)
+    ids = np.concatenate([rng.permutation(99)[:n] for n in sizes])
+    xyz = rng.integers(0, 5, (len(ids), 3)) / 2.0  # many equal distances
+    rows, cols, dist, rank = nearest_inside(xyz, ids, group, 6)
+    found = np.lexsort((rank, rows))
+    want = [[], [], [], []]
+    for s, n in zip(np.cumsum(sizes) - sizes, sizes):
+        one = nearest_rows(xyz[s : s + n], ids[s : s + n], xyz[s : s + n], ids[s : s + n], 6, True)
+        for out, part, shift in zip(want, one, (s, s, 0, 0)):
+            out.append(part + shift)
+    for got, parts in zip((rows, cols, dist, rank), want):
+        assert (got[found] == np.concatenate(parts)).all()
+
+    def work(g, of):
+        return {"_group": of, "point_id": g["point_id"], "call": np.full(len(of), g["point_id"][0])}
+
+    df = spark.createDataFrame(pd.DataFrame({"cloud_id": group, "point_id": np.arange(len(ids))}))
+    calls = map_groups(df, ["cloud_id"], work, "cloud_id long, point_id long, call long", many=True).toPandas()
+    assert sorted(zip(calls.cloud_id, calls.point_id)) == list(zip(group, range(len(ids))))
+    assert calls.call.nunique() <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_signs_of_repeated_rows_and_positions(spark):
+    pdf = two_clouds(30).assign(nx=0.0, ny=0.0, nz=1.0)
+    pdf.loc[::3, "nz"] = -1.0
+    once = orient.agree_inside(spark.createDataFrame(pdf), 4, positions=True).toPandas()
+    twice = orient.agree_inside(spark.createDataFrame(pd.concat([pdf, pdf])), 8, positions=True).toPandas()
+    assert list(once.columns) == ["cloud_id", "point_id", "x", "y", "z", "nx", "ny", "nz", "root"]
+    assert len(twice) == 2 * len(once)
+    assert sorted(map(tuple, once.iloc[:, :5].values)) == sorted(map(tuple, pdf[["cloud_id", "point_id", "x", "y", "z"]].values))
+    assert (twice.groupby(["cloud_id", "root"]).nz.nunique() == 1).all()
+
+
 def test_flip_solver_both_ways_at_any_scale_of_weights(spark):
     """Weights of 1e-9 and of 1e15 alike; the seeds of a vote are graphs of their own."""
     e, _ = random_graph(spark, seed=7)
