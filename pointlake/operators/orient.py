@@ -386,7 +386,8 @@ def edge_samples(patches: DataFrame, k: int, with_inverse: bool = True) -> DataF
     """
     ok = group_sizes(patches, ["cloud_id"]).where(F.col("n") >= k).select("cloud_id")
     p = patches.join(ok, "cloud_id", "left_semi")
-    graph = centre_graph(p, k).select("cloud_id", F.col("src").alias("i"), F.col("dst").alias("j"))
+    # Learning and scoring read the samples several times; neighbours are searched once.
+    graph = staged(centre_graph(p, k).select("cloud_id", F.col("src").alias("i"), F.col("dst").alias("j")))
     cols = ["feature", *(["inv_feature"] if with_inverse else []), *XYZ, "gt_flip"]
     pi = p.select("cloud_id", F.col("patch_id").alias("i"), *[F.col(c).alias(f"_a_{c}") for c in cols])
     pj = p.select("cloud_id", F.col("patch_id").alias("j"), *[F.col(c).alias(f"_b_{c}") for c in cols])

@@ -18,12 +18,32 @@ from pyspark.sql import DataFrame, functions as F
 from pointlake.functions.geometry import XYZ
 
 
-def _inputs(samples: DataFrame) -> DataFrame:
-    """Both features, their products (whose sign carries agreement) and the offset of the centres."""
-    product = F.zip_with("fa", "fb", lambda a, b: a * b)
-    offset = F.array(*[F.col(f"d{c}") for c in XYZ])
-    every = F.concat("fa", "fb", product, offset)
-    return samples.withColumn("_v", array_to_vector(F.transform(every, lambda v: v.cast("double"))))
+def _inputs(samples: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Both features, their products (whose sign carries agreement) and the offset of the centres, as ``_v``.
+
+    The features themselves stay only if ``keep`` names them.
+    """
+    rest = [c for c in samples.columns if c not in ("fa", "fb") or c in keep]
+    offset = [f"d{c}" for c in XYZ]
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            a, b = (_matrix(batch.column(c)) for c in ("fa", "fb"))
+            apart = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in offset], 1)
+            every = np.hstack([a, b, a * b, apart])
+            values = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * every.shape[1], pa.array(every.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), values], [*rest, "_v"])
+
+    types = dict(samples.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in rest)
+    return samples.mapInArrow(run, f"{schema}, _v array<double>").withColumn("_v", array_to_vector("_v"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def fit(samples: DataFrame, kind: str = "logistic", hidden: list[int] = (32,), max_iter: int = 20, seed: int = 42) -> PipelineModel:
@@ -33,7 +53,7 @@ def fit(samples: DataFrame, kind: str = "logistic", hidden: list[int] = (32,), m
     if kind == "logistic":
         learner = LogisticRegression(featuresCol="inputs", labelCol="label", maxIter=max_iter, regParam=1e-3)
     elif kind == "mlp":
-        width = data.select(F.size("fa") * 3 + 3).first()[0]
+        width = samples.select(F.size("fa") * 3 + 3).first()[0]
         learner = MultilayerPerceptronClassifier(
             featuresCol="inputs", labelCol="label", layers=[width, *hidden, 2], maxIter=max_iter, seed=seed
         )
@@ -44,7 +64,7 @@ def fit(samples: DataFrame, kind: str = "logistic", hidden: list[int] = (32,), m
 
 def score(model: PipelineModel, samples: DataFrame, keep: list[str] = ()) -> DataFrame:
     """(cloud_id, src, dst, logit, probability) and the kept columns: large logits ask the ends to differ."""
-    out = model.transform(_inputs(samples))
+    out = model.transform(_inputs(samples, keep))
     raw, prob = vector_to_array("rawPrediction"), vector_to_array("probability")
     return out.select(
         "cloud_id", F.col("i").alias("src"), F.col("j").alias("dst"), raw[1].alias("logit"), prob[1].alias("probability"), *keep

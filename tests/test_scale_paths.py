@@ -365,3 +365,22 @@ def test_many_neighbours_by_counts(spark):
     got = {tuple(r) for r in nearest_many(seeds, df, limits, task_rows=20).collect()}
     want = {tuple(r) for r in knn_join(seeds, df, 70).collect() if r.nn_rank <= (70 if r.cloud_id == 1 else 5)}
     assert {g[:4] for g in got} == {w[:4] for w in want} and len(got) == len(want)
+
+
+def test_pair_classifier_searches_neighbours_once(spark):
+    """Samples read a stored neighbour graph, however often they are read; the inputs are the features, their products and the offset."""
+    from pointlake.plans import edge_model
+
+    pdf = two_clouds(12).rename(columns={"point_id": "patch_id"}).assign(gt_flip=0)
+    df = spark.createDataFrame(pdf[["cloud_id", "patch_id", "x", "y", "z", "gt_flip"]])
+    f = F.array("x", "y")
+    s = orient.edge_samples(df.withColumns({"feature": f, "inv_feature": F.transform(f, lambda v: -v)}), 3)
+    assert any("/staged-" in path for path in s.inputFiles())
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan
+    key = ["cloud_id", "i", "j", "variant"]
+    rows = edge_model._inputs(s).drop("label", "dx", "dy", "dz").join(s, key).collect()
+    assert len(rows) == s.count() > 0
+    for r in rows:
+        a, b = np.array(r.fa), np.array(r.fb)
+        assert (r._v.toArray() == [*a, *b, *(a * b), r.dx, r.dy, r.dz]).all()
