@@ -288,6 +288,19 @@ def test_a_cluster_exports_to_the_folder_that_its_executors_share(spark, tmp_pat
             ply.read_ply(spark, place)
 
 
+@pytest.mark.parametrize("name", [
+    "downsample_files", "ply_manifest", "ply_names_round_trip", "ply_round_trip_ascii", "ply_round_trip_binary", "ply_same_stem",
+])
+def test_file_queries_on_a_cluster(spark, sf, monkeypatch, name):
+    """The queries write and read below the folder that executors share, so they give their rows under a master that is not local."""
+    import __spark_entry__ as entry
+    from tests.oracle_tool import compare, connect
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    n, problem = compare(spark, connect(sf), name, entry.queries(), entry.oracle_sql(), sf)
+    assert n > 0 and not problem
+
+
 def test_clouds_in_pieces_and_a_restart(spark, tmp_path):
     """Points dealt at random to twelve files; the stream stops half way and goes on from its checkpoint."""
     pdf = pd.concat([cloud(30 + 7 * c, c).assign(cloud_id=c) for c in range(5)], ignore_index=True)
