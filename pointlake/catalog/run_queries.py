@@ -119,11 +119,10 @@ def _(spark, sf):
     folder = scratch(spark, "ply")
     for f in range(3):
         part = p.where(F.col("folder") == f).withColumn("cloud_id", F.lit("all"))
-        ply.write_ply(part, f"{folder}/raw{f}").count()
         files = spark._jvm.org.apache.hadoop.fs
         store = files.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
         store.mkdirs(files.Path(f"{folder}/all/f{f}"))
-        store.rename(files.Path(f"{folder}/raw{f}/all.cloud/part-00000000.ply"), files.Path(f"{folder}/all/f{f}/all.ply"))
+        ply.join_parts(ply.write_ply(part, f"{folder}/raw{f}").withColumn("file", F.lit("all.ply")), f"{folder}/all/f{f}")
     back = ply.read_ply(spark, f"{folder}/all", ["x"]).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("point_id").alias("ids"))
     return back.select(F.substring("cloud_id", 2, 1).cast("long").alias("folder"), "cloud_id", "n", "ids")
 

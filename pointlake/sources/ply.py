@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote_plus
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -549,3 +551,43 @@ def write_ply(points: DataFrame, folder: str, binary: bool = False, normals: boo
     writer.option("normals", str(normals).lower()).option("colours", str(colours).lower()).save(folder)
     base = _store(folder)[1]
     return parts.select("cloud_id", "part", F.concat(F.lit(f"{base}/"), "_file", F.lit(".ply")).alias("path"), "rows")
+
+
+COPY_BYTES = 1 << 22
+
+
+def _join_files(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One file out of the parts of a cloud, copied block by block."""
+    target, parts = pdf["target"].iloc[0], pdf.sort_values("part")
+    store, name = _store(target)
+    folder, file = name.rsplit("/", 1)
+    draft = f"{folder}/_{file}-{uuid.uuid4().hex}.tmp"
+    store.create_dir(folder, recursive=True)
+    try:
+        with store.open_output_stream(draft) as out:
+            for i, path in enumerate(parts["path"]):
+                with store.open_input_file(path) as handle:
+                    start = read_header(handle).start
+                    handle.seek(0)
+                    head = handle.read(start)
+                    if i == 0:
+                        out.write(re.sub(rb"element vertex \d+", b"element vertex %d" % parts["rows"].sum(), head, count=1))
+                    while block := handle.read(COPY_BYTES):
+                        out.write(block)
+        store.move(draft, name)
+    except BaseException:
+        if store.get_file_info(draft).type != pafs.FileType.NotFound:
+            store.delete_file(draft)
+        raise
+    return pd.DataFrame({"path": [name], "rows": [parts["rows"].sum()]})
+
+
+def join_parts(manifest: DataFrame, folder: str) -> DataFrame:
+    """Put the parts of every exported cloud together to one plain file below ``folder`` and return (path, rows).
+
+    ``manifest`` is what ``write_ply`` returns, with the name of each cloud's file as ``file``; the parts lie in the same
+    store and stay there. A file is written by one task, since it has one end to append to; the task holds a block of it.
+    """
+    root = qualified(manifest.sparkSession, folder)
+    rows = manifest.select(F.concat(F.lit(f"{root}/"), "file").alias("target"), "part", "path", "rows")
+    return cut(rows.groupBy("target").applyInPandas(_join_files, "path string, rows long"))

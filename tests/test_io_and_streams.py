@@ -301,6 +301,31 @@ def test_file_queries_on_a_cluster(spark, sf, monkeypatch, name):
     assert n > 0 and not problem
 
 
+@pytest.mark.parametrize("binary", [False, True])
+def test_parts_of_a_cloud_become_one_file(spark, tmp_path, binary):
+    pdf = pd.concat([cloud(23, 4), cloud(5, 5).assign(cloud_id=2)], ignore_index=True).round(3)
+    parts = ply.write_ply(spark.createDataFrame(pdf), str(tmp_path / "in"), binary=binary, rows_per_file=4)
+    done = ply.join_parts(parts.withColumn("file", F.concat(F.col("cloud_id").cast("string"), F.lit("/all.ply"))), str(tmp_path / "out"))
+    assert sorted((r.path, r.rows) for r in done.collect()) == [(str(tmp_path / "out" / c / "all.ply"), n) for c, n in (("1", 23), ("2", 5))]
+    assert sorted(f.name for f in (tmp_path / "out").rglob("*") if f.is_file()) == ["all.ply", "all.ply"]
+    back = ply.read_ply(spark, str(tmp_path / "out"), split_bytes=200).toPandas().sort_values(["cloud_id", "point_id"])
+    for c, g in back.groupby("cloud_id"):
+        mine = pdf[pdf.cloud_id == int(c[0])].sort_values("point_id")
+        assert c[1:] == "/all" and g.point_id.tolist() == list(range(len(mine)))
+        assert np.allclose(g[["x", "y", "z"]], mine[["x", "y", "z"]], atol=1e-6)
+
+
+def test_same_stem_keeps_clouds_of_several_parts_whole(spark, sf, monkeypatch):
+    from functools import partial
+
+    import __spark_entry__ as entry
+    from tests.oracle_tool import compare, connect
+
+    monkeypatch.setattr(ply, "write_ply", partial(ply.write_ply, rows_per_file=40))
+    n, problem = compare(spark, connect(sf), "ply_same_stem", entry.queries(), entry.oracle_sql(), sf)
+    assert n == 3 and not problem
+
+
 def test_clouds_in_pieces_and_a_restart(spark, tmp_path):
     """Points dealt at random to twelve files; the stream stops half way and goes on from its checkpoint."""
     pdf = pd.concat([cloud(30 + 7 * c, c).assign(cloud_id=c) for c in range(5)], ignore_index=True)
