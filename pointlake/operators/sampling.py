@@ -9,17 +9,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pointlake.functions.geometry import XYZ, dist2
 from pointlake.operators.knn import knn_join
 from pointlake.operators.tiles import group_sizes
-from pointlake.session import cut, is_empty
+from pointlake.session import cut, discard, is_empty, staged
 
-POOL_POINTS = 20_000  # points one task looks at when it picks farthest points
+WHOLE_POINTS = 20_000  # points of a cloud that is sampled at once
+POOL_POINTS = 200_000  # points one task looks at when it picks farthest points
+_BLOCK_POINTS = 128  # points whose gaps are left alone together when a pick is too far away
 
 _CENTRES = "cloud_id {cloud}, center bigint, point_id {point}, x double, y double, z double"
 
 
 def _pick_farthest(xyz, ids, gap, need, floor):
-    """Greedy picks inside one pool while the widest gap is certain to be the widest of the whole cloud."""
+    """Rows of greedy picks inside one pool while the widest gap is certain to be the widest of the whole cloud."""
     order = np.argsort(ids, kind="stable")
-    xyz, ids, gap = xyz[order], ids[order], gap[order].copy()
+    xyz, gap = xyz[order], gap[order].copy()
+    if len(ids) > 8 * _BLOCK_POINTS and np.isfinite(xyz).all():
+        return order[_pick_in_blocks(xyz, gap, need, floor)]
     picks = []
     while len(picks) < need:
         i = int(np.argmax(gap))  # the first maximum has the smallest id
@@ -30,7 +34,60 @@ def _pick_farthest(xyz, ids, gap, need, floor):
         d2 = diff[:, 0] * diff[:, 0] + diff[:, 1] * diff[:, 1] + diff[:, 2] * diff[:, 2]
         gap = np.minimum(gap, d2)
         gap[i] = -1.0
-    return xyz[picks], ids[picks]
+    return order[np.array(picks, dtype=np.int64)]
+
+
+def _blocks(xyz):
+    """Rows in blocks of neighbouring points, ascending inside a block: (blocks, width), short blocks end in -1."""
+    parts = [np.arange(len(xyz))]
+    while len(parts[0]) > _BLOCK_POINTS:
+        halves = []
+        for rows in parts:
+            own = xyz[rows]
+            value = own[:, np.argmax(own.max(axis=0) - own.min(axis=0))]
+            side = np.argpartition(value, len(rows) // 2)
+            halves += [rows[side[len(rows) // 2 :]], rows[side[: len(rows) // 2]]]  # the first is never the shorter one
+        parts = halves
+    out = np.full((len(parts), len(parts[0])), -1)
+    for i, rows in enumerate(parts):
+        out[i, : len(rows)] = np.sort(rows)
+    return out
+
+
+def _pick_in_blocks(xyz, gap, need, floor):
+    """The same picks, row by row, but a pick only meets the blocks that hold a gap wider than their distance from it.
+
+    Boxes bound distances exactly: rounding is monotonic, and the sums have the order of those between points.
+    """
+    rows = _blocks(xyz)
+    real = rows >= 0
+    at = np.where(real, rows, rows[:, :1])
+    axes = [np.ascontiguousarray(xyz[:, a][at]) for a in range(3)]
+    low, high = [v.min(axis=1) for v in axes], [v.max(axis=1) for v in axes]
+    gaps = np.where(real, gap[at], -1.0)
+    place = gaps.argmax(axis=1)  # the first maximum of a block has its smallest id
+    every = np.arange(len(rows))
+    best, first = gaps[every, place], at[every, place]
+    picks = []
+    while len(picks) < need:
+        widest = best.max()
+        if widest < 0 or not widest > floor:
+            break
+        ties = np.flatnonzero(best == widest)
+        b = ties[np.argmin(first[ties])]
+        picks.append(i := first[b])
+        p = xyz[i]
+        away = [np.maximum(0.0, np.maximum(low[a] - p[a], p[a] - high[a])) for a in range(3)]
+        near = away[0] * away[0] + away[1] * away[1] + away[2] * away[2] < best
+        near[b] = True
+        hit = np.flatnonzero(near)
+        diff = [axes[a][hit] - p[a] for a in range(3)]
+        gaps[b, place[b]] = -1.0
+        new = np.minimum(gaps[hit], diff[0] * diff[0] + diff[1] * diff[1] + diff[2] * diff[2])
+        gaps[hit] = new
+        place[hit] = at_best = new.argmax(axis=1)
+        best[hit], first[hit] = new[every[: len(hit)], at_best], at[hit, at_best]
+    return np.array(picks, dtype=np.int64)
 
 
 def with_counts(points: DataFrame, count: int | Column) -> DataFrame:
@@ -44,13 +101,15 @@ def farthest_points(points: DataFrame, count: int | Column, starts: DataFrame |
                     pool: int = POOL_POINTS) -> DataFrame:
     """Exact farthest-point sampling per cloud: (cloud_id, center, point_id, x, y, z), ``center`` from 0.
 
-    Starts at the smallest id, or at ``starts(cloud_id, point_id)``; ties go to the smaller id. A cloud that
-    fits the pool is sampled in one task. A larger cloud proceeds in passes: the pool holds its points with
+    Starts at the smallest id, or at ``starts(cloud_id, point_id)``; ties go to the smaller id. A small cloud
+    that fits the pool is sampled in one task. A larger cloud proceeds in passes: the pool holds its points with
     the widest gaps, and picks go on as long as the pool's widest gap exceeds every gap outside, so each pass
-    yields a run of picks that equals the one-by-one procedure.
+    yields a run of picks that equals the one-by-one procedure. Gaps are kept as a table of known size: sizes that
+    are estimated through passes of joins get six times as many digits each time, until the driver cannot hold them.
     """
     types = dict(points.dtypes)
     schema = _CENTRES.format(cloud=types["cloud_id"], point=types["point_id"])
+    whole = min(pool, WHOLE_POINTS)
     want = cut(with_counts(points, count))
     p = points.select("cloud_id", "point_id", *[F.col(c).cast("double").alias(c) for c in XYZ])
     first = starts if starts is not None else p.groupBy("cloud_id").agg(F.min("point_id").alias("point_id"))
@@ -59,74 +118,62 @@ def farthest_points(points: DataFrame, count: int | Column, starts: DataFrame |
     def small(pdf: pd.DataFrame) -> pd.DataFrame:
         gap = np.full(len(pdf), 1e300)
         gap[(pdf["point_id"] == pdf["_start"]).to_numpy()] = np.inf
-        xyz, ids = _pick_farthest(pdf[list(XYZ)].to_numpy(), pdf["point_id"].to_numpy(), gap,
-                                  int(pdf["_want"].iloc[0]), -1.0)
-        out = pd.DataFrame(xyz, columns=list(XYZ))
-        return out.assign(cloud_id=pdf["cloud_id"].iloc[0], center=np.arange(len(ids)), point_id=ids)[
-            ["cloud_id", "center", "point_id", *XYZ]
-        ]
+        rows = _pick_farthest(pdf[list(XYZ)].to_numpy(), pdf["point_id"].to_numpy(), gap, int(pdf["_want"].iloc[0]), -1.0)
+        return pdf.iloc[rows].assign(center=np.arange(len(rows)))[["cloud_id", "center", "point_id", *XYZ]]
 
     picked = (
-        p.join(want.where(F.col("_n") <= pool), "cloud_id")
+        p.join(want.where(F.col("_n") <= whole), "cloud_id")
         .join(first, "cloud_id")
         .groupBy("cloud_id")
         .applyInPandas(small, schema)
     )
-    big = want.where(F.col("_n") > pool)
+    big = want.where(F.col("_n") > whole).select("cloud_id", "_want")
     if is_empty(big):
         return picked
 
-    state = p.join(big, "cloud_id")
-    new = cut(
-        state.join(first, "cloud_id")
-        .where(F.col("point_id") == F.col("_start"))
-        .select("cloud_id", F.lit(0).cast("long").alias("center"), "point_id", *XYZ)
-    )
-    state = cut(state.withColumn("_gap", F.lit(float("inf"))))
+    # Ids may repeat, rows have numbers of their own.
+    state = staged(p.join(big.select("cloud_id"), "cloud_id").withColumn("_row", F.monotonically_increasing_id()).withColumn("_gap", F.lit(float("inf"))))
+    new = state.join(first, "cloud_id").where(F.col("point_id") == F.col("_start"))
+    new = new.groupBy("cloud_id").agg(F.min_by(F.struct("point_id", *XYZ, "_row"), "_row").alias("_s"))
+    new = cut(new.select("cloud_id", F.lit(0).cast("long").alias("center"), "_s.*"))
     while True:
-        picked = picked.unionByName(new)
+        picked = picked.unionByName(new.drop("_row"))
+        done = new.groupBy("cloud_id").agg((F.max("center") + 1).alias("_have"))
+        left = cut(big.join(done, "cloud_id").where(F.col("_have") < F.col("_want")))
+        if is_empty(left):
+            discard(state)
+            return picked
+        rest = state.select("cloud_id", "point_id", *XYZ, "_row", "_gap").join(left, "cloud_id")
         near = knn_join(
-            state.select("cloud_id", "point_id", *XYZ),
-            new.select("cloud_id", F.col("center").cast(types["point_id"]).alias("point_id"), *XYZ),
+            rest.select("cloud_id", F.col("_row").alias("point_id"), *XYZ),
+            new.select("cloud_id", F.col("center").alias("point_id"), *XYZ),
             1,
-        ).select("cloud_id", F.col("src").alias("point_id"), F.col("d2").alias("_d2"))
-        done = new.groupBy("cloud_id").agg((F.max("center") + 1).alias("_have"))
-        taken = new.select("cloud_id", "point_id", F.lit(True).alias("_taken"))
-        state = cut(
-            state.drop("_have")
-            .join(done, "cloud_id")
-            .where(F.col("_have") < F.col("_want"))
-            .join(near, ["cloud_id", "point_id"])
-            .join(taken, ["cloud_id", "point_id"], "left")
-            .withColumn(
-                "_gap",
-                F.when(F.col("_taken") | (F.col("_gap") < 0), F.lit(-1.0)).otherwise(F.least("_gap", "_d2")),
-            )
+        ).select("cloud_id", F.col("src").alias("_row"), F.col("d2").alias("_d2"))
+        taken = new.select("cloud_id", "_row", F.lit(True).alias("_taken"))
+        gap = F.when(F.col("_taken") | (F.col("_gap") < 0), F.lit(-1.0)).otherwise(F.least("_gap", "_d2"))
+        last, state = state, staged(
+            rest.join(near, ["cloud_id", "_row"])
+            .join(taken, ["cloud_id", "_row"], "left")
+            .withColumn("_gap", gap)
             .drop("_d2", "_taken")
         )
-        if is_empty(state):
-            return picked
-        new = cut(_next_picks(state, pool, schema))
+        discard(last)
+        new = cut(_next_picks(state, pool, f"{schema}, _row bigint"))
 
 
 def _next_picks(state: DataFrame, pool: int, schema: str) -> DataFrame:
-    w = Window.partitionBy("cloud_id").orderBy(F.desc("_gap"), "point_id")
+    w = Window.partitionBy("cloud_id").orderBy(F.desc("_gap"), "point_id", "_row")
     top = state.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pool + 1)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         outside = pdf["_gap"][pdf["_r"] == pool + 1]
         floor = float(outside.iloc[0]) if len(outside) else -1.0
-        inner = pdf[pdf["_r"] <= pool]
+        inner = pdf[pdf["_r"] <= pool].sort_values("_r")
         have, need = int(pdf["_have"].iloc[0]), int(pdf["_want"].iloc[0] - pdf["_have"].iloc[0])
-        args = inner[list(XYZ)].to_numpy(), inner["point_id"].to_numpy(), inner["_gap"].to_numpy()
-        xyz, ids = _pick_farthest(*args, need, floor)
-        if len(ids) == 0:  # the widest gap is tied with the outside: rank 1 has the smallest id of all ties
-            best = inner[inner["_r"] == 1]
-            xyz, ids = best[list(XYZ)].to_numpy(), best["point_id"].to_numpy()
-        out = pd.DataFrame(xyz, columns=list(XYZ))
-        return out.assign(cloud_id=pdf["cloud_id"].iloc[0], center=have + np.arange(len(ids)), point_id=ids)[
-            ["cloud_id", "center", "point_id", *XYZ]
-        ]
+        rows = _pick_farthest(inner[list(XYZ)].to_numpy(), inner["point_id"].to_numpy(), inner["_gap"].to_numpy(), need, floor)
+        if len(rows) == 0 and inner["_gap"].iloc[0] >= 0:  # the widest gap is tied with the outside: rank 1 has the smallest id of all ties
+            rows = [0]
+        return inner.iloc[rows].assign(center=have + np.arange(len(rows)))[["cloud_id", "center", "point_id", *XYZ, "_row"]]
 
     return top.groupBy("cloud_id").applyInPandas(step, schema)
 

@@ -36,6 +36,43 @@ def test_farthest_points_in_passes_equal_one_by_one(spark):
         assert mine == naive_fps(pdf[pdf.cloud_id == c], 12)
 
 
+def estimate_digits(df):
+    return len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def test_passes_of_farthest_points_do_not_inflate_the_estimated_size(spark):
+    pdf = two_clouds(300)
+    got = sampling.farthest_points(spark.createDataFrame(pdf), F.floor(F.col("_n") / 12), pool=60)
+    assert estimate_digits(got) < 120
+    rows = got.toPandas()
+    for c, n in ((1, 25), (2, 8)):
+        assert rows[rows.cloud_id == c].sort_values("center")["point_id"].tolist() == naive_fps(pdf[pdf.cloud_id == c], n)
+
+
+def test_farthest_points_in_passes_with_repeated_rows(spark):
+    """Each row of a repeated id can be picked once; rows do not multiply from pass to pass."""
+    pdf = two_clouds(60)
+    pdf = pd.concat([pdf, pdf[pdf.point_id % 3 == 0]], ignore_index=True)
+    got = sampling.farthest_points(spark.createDataFrame(pdf), 1000, pool=30).toPandas()
+    for c in (1, 2):
+        mine, want = (sorted(t[t.cloud_id == c].point_id) for t in (got, pdf))
+        assert mine == want
+        order = got[got.cloud_id == c].sort_values("center")
+        assert order.center.tolist() == list(range(len(want)))
+        distinct = order.point_id.nunique()
+        assert order.point_id.tolist()[:distinct] == naive_fps(pdf[pdf.cloud_id == c].drop_duplicates(), distinct)
+
+
+def test_picks_in_blocks_equal_one_by_one():
+    rng = np.random.default_rng(0)
+    grid = rng.integers(0, 9, (2000, 3)).astype(float)  # ties and copies
+    for xyz in (rng.normal(size=(1500, 3)), grid, np.full((1100, 3), 2.0), rng.normal(size=(1300, 3)) * [1, 0, 0]):
+        ids = rng.permutation(len(xyz))
+        gap = np.where(ids == 0, np.inf, 1e300)
+        pdf = pd.DataFrame(xyz, columns=["x", "y", "z"]).assign(point_id=ids)
+        assert ids[sampling._pick_farthest(xyz, ids, gap, len(xyz) // 2, -1.0)].tolist() == naive_fps(pdf, len(xyz) // 2)
+
+
 def sequential_labels(ids, edges):
     label, out = {}, {}
     for s, d in edges:
