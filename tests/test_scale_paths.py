@@ -49,6 +49,22 @@ def test_passes_of_farthest_points_do_not_inflate_the_estimated_size(spark):
         assert rows[rows.cloud_id == c].sort_values("center")["point_id"].tolist() == naive_fps(pdf[pdf.cloud_id == c], n)
 
 
+def test_scales_without_a_count_in_passes(spark, monkeypatch):
+    """As many patches as the size of each cloud says, also where a cloud is sampled in passes; every point in two, without patches of one."""
+    monkeypatch.setattr(sampling.farthest_points, "__defaults__", (None, 60))
+    pdf = two_clouds(300)
+    out = patches.multi_scale_patches(spark.createDataFrame(pdf), [dict(method="fps", num_per_patch=12, overlap_rate=0.5)])
+    assert estimate_digits(out) < 120
+    got = out.toPandas()
+    for c, n in ((1, 25), (2, 8)):
+        mine, xyz = got[got.cloud_id == c], pdf[pdf.cloud_id == c].set_index("point_id")[["x", "y", "z"]]
+        centres = xyz.loc[naive_fps(pdf[pdf.cloud_id == c], n)].to_numpy()
+        near = np.argsort(((xyz.to_numpy()[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)[:, :2]
+        several = np.bincount(near.ravel(), minlength=n) > 1
+        want = sorted((int(p), int(i)) for p, two in zip(xyz.index, near) for i in two if several[i])
+        assert sorted((r.point_id, r.patch_id) for r in mine.itertuples()) == want
+
+
 def test_farthest_points_in_passes_with_repeated_rows(spark):
     """Each row of a repeated id can be picked once; rows do not multiply from pass to pass."""
     pdf = two_clouds(60)
